@@ -13,16 +13,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints and written tables.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary folder is used.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset (single-machine tests)
+    a temporary folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -39,34 +44,29 @@ BLOOM_WORDS = 1 << 21
 
 
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of the long column, as 64-bit words, 16 bits a key up to BLOOM_WORDS.
+    """A Bloom filter of the column's 64-bit hashes, as words, 16 bits a key up to BLOOM_WORDS.
 
-    The driver receives the filter's words alone, whose number is bounded; the keys stay
-    on the executors.
+    The driver receives the filter's words alone, whose number is bounded; the keys stay on the
+    executors.
     """
-    n = keys.count()
-    words = 64
+    n, words = keys.count(), 64
     while words * 4 < n and words < BLOOM_WORDS:
         words *= 2
-    h = F.xxhash64(F.col(column))
-    bits = keys.select(F.explode(F.array(h, F.shiftright(h, 32).bitwiseXOR(F.xxhash64(h)))).alias("h"))
+    h = F.col(column)
+    bits = keys.select(F.explode(F.array(h, F.shiftrightunsigned(h, 17).bitwiseXOR(F.shiftleft(h, 23)))).alias("h"))
     got = (
-        bits.select(F.pmod(F.shiftright("h", 6), F.lit(words)).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
+        bits.select(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(words - 1).cast("long")).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toPandas()
     )
     out = np.zeros(words, np.int64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return out
-
-
-def bloom_has(words: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold the keys with the hashes h and g, as the columns of bloom_hashes."""
-    one = lambda x: (words[((x >> 6) % len(words))] >> (x & 63)) & 1
-    return (one(h) & one(g)).astype(bool)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
-def bloom_hashes(column: str) -> list:
-    h = F.xxhash64(F.col(column))
-    return [h.alias("bloom_h"), F.shiftright(h, 32).bitwiseXOR(F.xxhash64(h)).alias("bloom_g")]
+def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold the hashes."""
+    top = np.uint64(len(words) - 1)
+    one = lambda x: (words[((x >> np.uint64(6)) & top).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+    return (one(h) & one((h >> np.uint64(17)) ^ (h << np.uint64(23)))).astype(bool)
