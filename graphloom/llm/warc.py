@@ -8,7 +8,8 @@ these by the origin's record id, orders them by segment number, verifies numbers
 and only then decodes the chunks.
 
 Defined cases: a null html is an empty payload; a null url is `urn:page:<id>`; rows with the same
-page_id (or none) are told apart by their ordinal among themselves; an incomplete or damaged
+page_id (or none) are told apart by their digest and their ordinal among themselves; pages of one
+payload without any page_id are all responses; an incomplete or damaged
 segment chain raises ValueError; an empty table gives an empty result.
 """
 
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import cut
+from graphloom.llm._shared import cut, shared_folder
 
 SEGMENT = 32 * 1024
 CHUNK = 4096
 MIN_SHARED = 1000
 RECORDS_PER_FILE = 2048
 SALTS = 64
+_NONE = -(1 << 63)  #: stands for a null page_id in joins
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -57,8 +59,8 @@ def dechunked(data: bytes) -> bytes:
         at += size + 2
 
 
-def record_id(page_id: int | None, nth: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{nth}')}>"
+def record_id(page_id: int | None, sha: str, nth: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha}:{nth}')}>"
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -68,14 +70,15 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def page_records(page_id, nth: int, url: str | None, payload: bytes, kind: str, refers_to, segment: int = SEGMENT) -> Iterator[bytes]:
     """A page's records, without the CRLF CRLF that ends each."""
-    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    me = record_id(page_id, nth)
+    digest = hashlib.sha1(payload)
+    sha1 = "sha1:" + base64.b32encode(digest.digest()).decode()
+    me = record_id(page_id, digest.hexdigest(), nth)
     uri = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     common = [("WARC-Target-URI", uri), ("WARC-Date", _DATE), ("WARC-Payload-Digest", sha1), ("X-Page-Id", "" if page_id is None else str(page_id))]
     if kind == "revisit":
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), *common, ("WARC-Profile", profile), ("WARC-Refers-To", record_id(refers_to, 1)), ("X-Refers-To-Page-Id", str(refers_to)), ("Content-Type", "application/http; msgtype=response")], head)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", me), *common, ("WARC-Profile", profile), ("WARC-Refers-To", record_id(refers_to, digest.hexdigest(), 1)), ("X-Refers-To-Page-Id", str(refers_to)), ("Content-Type", "application/http; msgtype=response")], head)
         return
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [body[i : i + segment] for i in range(0, len(body), segment)]
@@ -115,12 +118,12 @@ def plan_records(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     part = keys.filter(F.col("len") >= min_shared).groupBy("sha", "len", "salt").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     whole = part.groupBy("sha", "len").agg(F.max("top").alias("top"), F.sum("n").alias("n")).filter("n > 1")
     roles = part.select("sha", "len", "salt").join(whole, ["sha", "len"])
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("sha"))
-    decided = keys.join(roles, ["sha", "len", "salt"], "left").withColumn("nth", nth)
+    revisits = keys.join(roles, ["sha", "len", "salt"]).select(F.coalesce("page_id", F.lit(_NONE)).alias("key"), "sha", "top").distinct()
+    rows = pages.select("page_id", "url", "html", F.coalesce("page_id", F.lit(_NONE)).alias("key"), F.sha1(data).alias("sha"))
+    # the join's partitioning serves the window, so that html is shuffled once
+    rows = rows.join(revisits, ["key", "sha"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("key", "sha").orderBy("url")))
     revisit = F.col("top").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1))
-    decided = decided.select(F.col("page_id").alias("r_id"), F.col("nth"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
-    rows = pages.select("page_id", "url", "html", F.row_number().over(Window.partitionBy("page_id").orderBy(F.sha1(F.coalesce("html", F.lit(""))))).alias("l_nth"))
-    return rows.join(decided, rows["page_id"].eqNullSafe(decided["r_id"]) & (rows["l_nth"] == decided["nth"])).drop("r_id", "l_nth")
+    return rows.select("page_id", "url", "html", "sha", "nth", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
 def write_warc(planned: DataFrame, path: str) -> None:
@@ -239,7 +242,6 @@ def op4_warc(spark, sf_dir) -> DataFrame:
     """Archives go to a new folder under the shared checkpoint folder."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     planned = plan_records(pages)
-    cut(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
     write_warc(planned, path)
     return read_warc(spark, path).drop("html")
