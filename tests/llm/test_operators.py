@@ -1,0 +1,361 @@
+import hashlib
+import random
+import re
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import chat, exact_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, substring_dedup, warc
+from graphloom.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(name, same):
+    same(QUERIES[name], ORACLE_SQL[name])
+
+
+def rows_by_id(frame, *cols):
+    got = frame.collect()
+    out = {r["doc_id"]: tuple(r[c] for c in cols) for r in got}
+    assert len(out) == len(got)
+    return out
+
+
+# ---- mixing
+
+
+def test_mix(docs, texts, messy):
+    got = rows_by_id(mixing.mix_sources(docs), "source", "size", "source_size", "target", "copies", "taken", "position")
+    source = {r[0]: r[3] for r in messy}
+    size = {d: len(brute.words(t)) for d, t in texts}
+    names = sorted({s for s in source.values()}, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total = {s: sum(size[d] for d in source if source[d] == s) for s in names}
+    target, left, open_ = dict.fromkeys(names, 0.0), 1.5 * sum(total.values()), set(names)
+    while left > 1e-6 and open_:  # shared out by weight, again and again
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        for s in share:
+            target[s] += share[s]
+        left = sum(max(0.0, target[s] - 2 * total[s]) for s in open_)
+        for s in list(open_):
+            if target[s] >= 2 * total[s]:
+                target[s] = 2.0 * total[s]
+                open_.discard(s)
+    assert set(got) == set(source)
+    for d, (s, n, of, aim, copies, taken, position) in got.items():
+        assert (s, n, of) == (source[d], size[d], total[source[d]])
+        assert aim == pytest.approx(target[s], abs=1e-3) and taken == copies * n <= 2 * n
+        assert (position is None) == (copies == 0) or aim == 0
+    for s in names:
+        largest = max(size[d] for d in source if source[d] == s)
+        assert abs(sum(got[d][5] for d in source if source[d] == s) - target[s]) <= largest / 2 + 1
+    assert got == rows_by_id(mixing.mix_sources(docs.repartition(3)), "source", "size", "source_size", "target", "copies", "taken", "position")
+
+
+def test_schedule_inverse():
+    for knots in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5), (1.0, 3.0, 0.5)):
+        parts = mixing._segments(knots)
+        assert parts[-1][5] == pytest.approx(1)
+
+
+def test_training_order(docs, spark):
+    mixed = mixing.mix_sources(docs).select("doc_id", "copies").collect()
+    out = mixing.training_order(docs)
+    assert out.columns == docs.columns
+    n = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert n == {r["doc_id"]: r["copies"] for r in mixed if r["copies"]}
+    twice = docs.unionByName(docs.filter("doc_id < 20"))
+    peers = rows_by_id(mixing.mix_sources(twice).dropDuplicates(["doc_id"]), "copies")
+    m = {r["doc_id"]: r["count"] for r in mixing.training_order(twice).groupBy("doc_id").count().collect()}
+    assert m == {d: c[0] * (2 if d < 20 else 1) for d, c in peers.items() if c[0]}
+
+
+# ---- chat
+
+
+def test_perspectives(spark):
+    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo\nyo"), (1, 2, "cy", None), (1, 3, "ann", ""), (2, 0, None, "x"), (2, 0, None, "x"), (None, 5, " ", "é")]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit(1))).collect()
+    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "ann"), (1, "bob"), (1, "cy"), (2, "unknown"), (None, "unknown")}
+    for conv, who in {(r["conv_id"], r["perspective"]) for r in got}:
+        turns = sorted((r for r in got if (r["conv_id"], r["perspective"]) == (conv, who)), key=lambda r: r["position"])
+        whole = "".join(r["segment"] for r in turns)
+        for r in turns:
+            assert whole[r["char_start"] : r["char_end"]] == r["segment"]
+            assert (r["mask_start"] is not None) == (r["speaker"] == who)
+            if r["mask_start"] is not None:
+                assert whole[: r["mask_start"]].endswith(chat.ASSISTANT) and whole[r["mask_start"] : r["mask_end"]].endswith(chat.END)
+            else:
+                assert r["segment"].startswith(f"<|user name={r['speaker']}|>")
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# ---- quality rules
+
+
+def test_quality_rules(docs, texts, spark):
+    trusted = spark.createDataFrame([(i,) for i in range(60)] + [(None,)], "doc_id long")
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    got = rows_by_id(quality_rules.quality_rules(docs, trusted), *cols, "base_failed", "kept", "score", "threshold")
+    for d, t in texts:
+        b = brute.base(t)
+        assert got[d][:5] == b
+        failed = b[0] < 50 or 100 * b[4] > 50 * b[0]
+        assert got[d][5] == failed and got[d][6] == (not failed and got[d][7] >= got[d][8])
+    again = rows_by_id(quality_rules.quality_rules(docs.repartition(2), trusted), *cols, "base_failed", "kept", "score", "threshold")
+    assert got == again
+
+
+def test_quality_rules_without_target(docs, nothing, spark):
+    none = spark.createDataFrame([], "doc_id long")
+    assert {r["score"] for r in quality_rules.quality_rules(docs, none).collect()} == {0.0}
+    assert quality_rules.quality_rules(nothing, none).count() == 0
+
+
+# ---- WARC
+
+PAGES = "page_id long, url string, html string, sha string"
+
+
+def test_warc(spark, tmp_path):
+    r = random.Random(1)
+    big = "".join(chr(r.randrange(32, 500)) for _ in range(90_000)) + "\r\n\r\nWARC/1.1\r\n\r\n"
+    same = "s" * 1000
+    rows = [(1, "http://a", big, "x"), (2, None, None, "x"), (3, "u\r\nv", "", "x"), (4, "u", same, "x"), (9, "u", same, "x"), (7, "u", same, "x"), (5, "u", "t" * 999, "x"), (6, "u", "t" * 999, "x"), (9, "u", same, "x"), (None, "u", "no id", "x"), (8, "u", big, "x")]
+    planned = warc.plan_records(spark.createDataFrame(rows, PAGES).repartition(3))
+    warc.write_warc(planned, str(tmp_path / "w"))
+    got = sorted(((x["page_id"] if x["page_id"] is not None else -1), x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"], x["html"]) for x in warc.read_warc(spark, str(tmp_path / "w")).collect())
+    want = []
+    for page, _, html, _ in rows:
+        data = (html or "").encode()
+        top = {same: 9, big: 8}.get(html)
+        first = top is None or page == top and (page, "response") not in [(w[0], w[3]) for w in want]
+        want.append((page if page is not None else -1, len(data), hashlib.sha1(data).hexdigest(), "response" if first else "revisit", None if first else top, (html or "") if first else None))
+    assert got == sorted(want)
+
+
+def test_warc_framing():
+    for n in (0, 1, 4095, 4096, 4097, 20_000):
+        payload = bytes(i % 251 for i in range(n))
+        assert warc.dechunked(warc.chunked(payload)) == payload
+    parts = [(2, 6, b"def"), (1, None, b"abc")]
+    assert warc.reassembled(parts) == b"abcdef"
+    for bad in ([(1, None, b"abc"), (3, 6, b"def")], [(1, None, b"abc"), (2, 7, b"def")]):
+        with pytest.raises(ValueError):
+            warc.reassembled(bad)
+
+
+# ---- packing
+
+
+def check_packing(pieces, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = sorted((d if d is not None else -1, np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for d, x in texts)
+    rows, seqs, by = pieces.collect(), {}, {}
+    for r in rows:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        by.setdefault(r["doc_id"] if r["doc_id"] is not None else -1, []).append(r)
+    for places in seqs.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    for d, ids in want:
+        at = 0
+        for r in sorted(by[d], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) // 4
+            assert r["ids_crc32"] == zlib.crc32(ids[4 * at : 4 * (at + r["length"])])
+            at += r["length"]
+        assert at == len(ids) // 4
+    return sum(r["length"] for r in rows) / (packing.CAPACITY * len(seqs))
+
+
+def test_packing(docs, texts, spark):
+    few = [(d, t) for d, t in texts if d not in (306, 307, 308)]
+    extra = [(None, "no id"), (400, "<|endoftext|> it's  ÉTÉ não x's 'S ΣΣ 123abc"), (401, "\U0001f600‍#aİ")]
+    frame = docs.select("doc_id", "text").filter("doc_id not in (306, 307, 308)").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    assert check_packing(packing.pack(frame), few + extra) > 0.9
+
+
+def test_packing_empty_and_repeats(nothing, spark):
+    assert packing.pack(nothing).count() == 0
+    rows = packing.pack(spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 2
+
+
+def test_column_generation_is_near_the_bound():
+    r = np.random.default_rng(0)
+    size, demand = np.arange(1, 129), r.integers(1, 400, 128).astype(float)
+    columns, x = packing.solve_patterns(size, demand, 128)
+    assert (size @ columns <= 128 + 1e-9).all() and (columns @ x >= demand - 1e-4).all()
+    dual = np.linalg.solve(columns.T, np.ones(len(size)))
+    worth, _ = packing._knapsack(np.maximum(dual, 0), size, 128)
+    # the duals, scaled to be feasible, bound every solution from below
+    assert x.sum() * worth <= (demand @ dual) * 1.001 and worth < 1.001
+    histogram = {int(16 * s): int(d) for s, d in zip(size, demand)}
+    rows = packing.plan(histogram)
+    for s, d in zip(size, demand):
+        spans = sorted((lo, hi) for c, lo, hi, _, _ in rows if c == s)
+        assert spans[0][0] == 0 and spans[-1][1] == d and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+# ---- near duplicates
+
+
+def test_near_duplicates(docs, texts):
+    got = rows_by_id(jaccard_join.near_duplicates(docs), "n_shingles", "component_id")
+    assert got == brute.components(texts)
+
+
+def test_long_lists_by_hubs(docs, texts, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
+    monkeypatch.setattr(jaccard_join, "HOT", 20)
+    monkeypatch.setattr(jaccard_join, "COMMON_MIN", 4)
+    few = docs.filter("doc_id < 300")
+    got = rows_by_id(jaccard_join.near_duplicates(few), "n_shingles", "component_id")
+    assert got == brute.components([x for x in texts if x[0] < 300])
+
+
+def test_near_duplicates_odd_rows(nothing, spark):
+    assert jaccard_join.near_duplicates(nothing).count() == 0
+    rows = [(None, "a b c d e f"), (4, "A B C D E F"), (4, "a b c d e f"), (None, None)]
+    got = sorted((r["n_shingles"], r["component_id"] or -1) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, -1), (2, 4), (2, 4), (2, 4)]
+
+
+# ---- languages
+
+
+def test_gradient():
+    r = np.random.default_rng(1)
+    net = language_id.Network(*[x.astype(np.float64) for x in language_id.start(3, 4)])
+    rows, n = language_id.segments(np.frombuffer(b"abcdeab", np.uint8), np.array([0, 3, 5]), np.array([3, 5, 7]))
+    label = np.array([0, 2, 1])
+    _, g = language_id.gradients(net, rows, n, label)
+    for part, grad in zip(net, g):
+        for _ in range(12):
+            i = tuple(r.integers(s) for s in part.shape)
+            old, eps = part[i], 1e-3
+            part[i] = old + eps
+            up, _ = language_id.gradients(net, rows, n, label)
+            part[i] = old - eps
+            down, _ = language_id.gradients(net, rows, n, label)
+            part[i] = old
+            assert grad[i] == pytest.approx((up - down) / (2 * eps), abs=2e-3)
+
+
+def test_held_out_languages(spark):
+    got = language_id.op7_language_id(spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = got.join(truth, "doc_id").filter("held_out and lang is not null").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows) and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_languages_of_odd_rows(docs, nothing, spark):
+    net, names = language_id.fit(docs, 100)
+    got = rows_by_id(language_id.identify(docs, net, names), "lang_pred", "score")
+    assert len(got) == docs.count()
+    for d in (300, 301, 302, 310):
+        assert got[d] == ("und", 0.0)
+    assert set(names) == {"en", "fr", "de"} and got[308][0] in names
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(got) - {300, 301, 302, 310}
+    net, names = language_id.fit(nothing)
+    assert names == [] and {r["lang_pred"] for r in language_id.identify(docs, net, names).collect()} == {"und"}
+    assert language_id.identify(nothing, net, names).count() == 0
+
+
+# ---- quality classifier
+
+
+def test_held_out_quality(spark):
+    got = quality_classifier.op8_quality(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = got.join(labels, "doc_id").filter("held_out").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.95
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
+
+
+def test_quality_of_odd_rows(docs, nothing, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
+    assert quality_classifier.score_quality(nothing, none).count() == 0
+    some = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    a, b = (rows_by_id(quality_classifier.score_quality(x, some), "score") for x in (docs, docs.repartition(2)))
+    assert a == b and len(a) == docs.count()
+
+
+# ---- exact duplicates
+
+
+def normal(t):
+    return re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+
+
+def test_exact_duplicates(docs, texts):
+    got = rows_by_id(exact_dedup.exact_duplicates(docs), "keep_id", "group_size", "kept", "text_sha256")
+    groups = {}
+    for d, t in texts:
+        groups.setdefault(normal(t), []).append(d)
+    for d, t in texts:
+        g = groups[normal(t)]
+        assert got[d] == (min(g), len(g), d == min(g), hashlib.sha256(normal(t).encode()).hexdigest())
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_exact_duplicates_odd_rows(nothing, spark):
+    assert exact_dedup.exact_duplicates(nothing).count() == 0
+    rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, "c"), (2, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(frame).collect())
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, False), (0, 1, 3, False), (0, 0, 2, True), (0, 0, 2, False), (2, 2, 1, True), (2, 2, 1, True)])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_duplicates(frame).collect()) == [(0, "b"), (1, "a"), (2, "c"), (2, "d")]
+
+
+# ---- repeated passages
+
+
+def test_repeats(docs, texts):
+    got = rows_by_id(substring_dedup.remove_repeats(docs), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.without_repeats(texts)
+
+
+def test_frequent_minimisers_yield(docs, texts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 3)
+    monkeypatch.setattr(substring_dedup, "SHARD", 5000)
+    few = docs.filter("doc_id not in (306, 307)")
+    got = rows_by_id(substring_dedup.remove_repeats(few, with_text=True), "n_words", "n_removed", "kept_sha256", "kept_text")
+    assert {d: x[:3] for d, x in got.items()} == brute.without_repeats([x for x in texts if x[0] not in (306, 307)])
+    assert all(hashlib.sha256(x[3].encode()).hexdigest() == x[2] for x in got.values())
+
+
+def test_repeats_odd_rows(nothing, spark):
+    assert substring_dedup.remove_repeats(nothing).count() == 0
+    t = " ".join(map(str, range(30)))
+    frame = spark.createDataFrame([(5, t), (5, t), (None, t), (9, "x y")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in substring_dedup.remove_repeats(frame).collect()) == [(5, 0), (5, 0), (9, 0), (99, 30)]
+
+
+def test_index_against_search():
+    r = np.random.default_rng(2)
+    segments = [r.integers(1, 4, r.integers(20, 36)) for _ in range(60)]
+    segments += [s.copy() for s in segments[:20]]
+    text = np.concatenate([np.append(s, 0) for s in segments]).astype(np.int64)
+    ends = np.cumsum([len(s) + 1 for s in segments]) - 1
+    got = substring_dedup.FMIndex(text).repeated(text, ends, np.array([len(s) for s in segments]))
+    seen, want = set(), np.zeros(len(text), bool)
+    for end, s in zip(ends, segments):
+        for i in range(len(s) - 19):
+            g = tuple(s[i : i + 20])
+            want[end - len(s) + i] = g in seen
+            seen.add(g)
+    assert (got == want).all()
