@@ -111,7 +111,9 @@ def _cut_out(words: np.ndarray, frequent: np.ndarray, shards: int, chunk: int =
         same = lambda c: c[order] == c[order[head]]
         later = order[again & ~(same(doc) & same(version) & same(start))]
         if len(later):
-            yield _known(bucket[later], doc[later], version[later], start[later], start[later] + size[later])
+            # what is known already needs no shard, so it is dealt evenly
+            anywhere = (_text.mix(doc[later].view(np.uint64) ^ (start[later].view(np.uint64) << _U(40))) % _U(shards)).astype(np.int64)
+            yield _known(anywhere, doc[later], version[later], start[later], start[later] + size[later])
         kept = order[~again]
         kept = kept[np.argsort(bucket[kept], kind="stable")]
         at = np.flatnonzero(np.append(True, bucket[kept][1:] != bucket[kept][:-1]))
