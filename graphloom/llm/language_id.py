@@ -30,7 +30,7 @@ HIDDEN = 16
 #: The bounded sample that is learned from: so many labelled documents, and words of each.
 TRAIN_DOCS, TRAIN_WORDS = 1500, 64
 #: Bytes of text whose equal segments are computed once.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 UNDETERMINED = "und"
 
 
