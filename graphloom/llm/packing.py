@@ -14,6 +14,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from graphloom.llm._shared import cut, partitions
 
 CAPACITY, GRAIN, END_ID = 2048, 16, 1
-#: Ids of so many words are remembered by a worker.
-MEMO = 250_000
+#: Ids of so many words, and of so many pieces of words, are remembered by a worker (60 MB at most, with those before).
+MEMO = 120_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 
 
@@ -39,24 +40,83 @@ def tokenizer_path() -> str:
 
 
 class WordIds:
-    """Little-endian 32-bit ids of texts by a tokenizer that never joins over ASCII white space; words are remembered."""
+    """Little-endian 32-bit ids of texts by the tokenizer of word_bpe_49k.json, with memory of words and their pieces.
+
+    It never joins over ASCII white space, so a text's ids are those of its words. A word of plain
+    Latin letters, digits and signs is lower-cased and split as the tokenizer does it; its pieces
+    are looked up, and unknown ones encoded together, since a piece's last id, and no other, ends a
+    word. All other words are encoded one by one.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.old_words, self.old_pieces = {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # fixed values: the tokenizer's own pattern
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.plain = regex.compile(r"[!-~\u00A1-\u012F\u0131-\u024F]+").fullmatch
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 512):
+            part = pieces[i : i + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.pieces.update((p, raw[a:b]) for p, a, b in zip(part, at, at[1:]))
+            else:
+                self.pieces.update(zip(part, self._encode(part)))
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Words of ASCII letters, with a full stop or comma at most, have known pieces without a search."""
+        found, other = {}, []
+        for w in words:
+            t = w.decode()
+            if t.isascii():
+                if t.isalpha():
+                    found[w] = (t.lower(),)
+                    continue
+                if t[:-1].isalpha() and t[-1] in ",.":
+                    found[w] = (t[:-1].lower(), t[-1])
+                    continue
+            if self.plain(t) and "<|" not in t:
+                found[w] = tuple(self.split(t.lower()))
+            else:
+                other.append((w, t))
+        self.words.update(zip([w for w, _ in other], self._encode([t for _, t in other])))
+        need = set().union(*found.values()).difference(self.pieces) if found else set()
+        if len(self.pieces) + len(need) > MEMO:
+            self.old_pieces, self.pieces = self.pieces, {}
+            need = set().union(*found.values())
+        again = need & self.old_pieces.keys()
+        self.pieces.update((p, self.old_pieces[p]) for p in again)
+        self._learn_pieces(list(need - again))
+        get, words_ = self.pieces.__getitem__, self.words
+        for w, ps in found.items():
+            words_[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
+        """What was met since the last time that the memory was full, and the time before, is remembered."""
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.memo) if split else set()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
+        new = set().union(*split).difference(self.words)
+        if len(self.words) + len(new) > MEMO:
+            self.old_words, self.words = self.words, {}
             new = set().union(*split)
         if new:
-            new = list(new)
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        get = self.memo.__getitem__
+            gc.disable()  # many small objects, and no cycles
+            again = new & self.old_words.keys()
+            self.words.update((w, self.old_words[w]) for w in again)
+            self._learn(new - again)
+            gc.enable()
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
