@@ -9,7 +9,8 @@ that it can reach; what links with it gets the hub's answers (the class), and pa
 are never looked at. What then remains in different classes is paired: first one entry of each
 class, then, with the classes that gives, every pair of a long list that passes the bounds. So no
 link between different classes is lost, and a group of near copies costs as many comparisons as it
-has members, not its square.
+has members, not its square. A list that is dealt over several buckets counts as long in each, however
+few entries its part has, so that entries of different buckets meet where what remains is paired.
 
 A candidate pair's prefixes are compared first, and what may still link is verified exactly, on
 whole sets. Shingles are 64-bit hashes.
@@ -138,13 +139,12 @@ def _listed(k: int, common: np.ndarray, counts: np.ndarray, buckets: int, chunk:
 
         def out() -> pa.RecordBatch:
             e = np.empty(size, _ENTRY)
-            e["token"] = np.concatenate([p[0] for p in parts])
+            deal = np.concatenate([p[0] for p in parts])  # all 64 bits: those of an entry's token don't tell common shingles
+            e["token"] = _short(deal)
             m = [len(p[0]) for p in parts]
             e["sig"] = np.repeat(np.array([p[1] for p in parts], np.uint64), m)
             e["n"] = np.repeat([p[2] for p in parts], m)
             e["pos"] = np.concatenate([np.arange(x) for x in m])
-            deal = e["token"].copy()
-            e["token"] = _short(deal)
             if hot.any():
                 at = np.minimum(np.searchsorted(common, deal), len(common) - 1)
                 is_hot = (common[at] == deal) & hot[at]
@@ -204,10 +204,10 @@ def _by_hubs(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _CANDIDATE = "a long, b long, token long, n int, pos int"
 
 
-def _candidates(exact: bool):
+def _candidates(exact: bool, dealt: np.ndarray):
     """From rows (bucket, entries[, label]): candidate pairs (a, b), and the entries of long lists (a, token, n, pos).
 
-    exact: all pairs of different labels, whatever a list's length.
+    exact: all pairs of different labels, whatever a list's length; dealt: the tokens whose lists lie in several buckets.
     """
 
     def emit(a, b) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _candidates(exact: bool):
         t = e["token"][order]
         same = t[1:] == t[:-1]
         multi = np.append(False, same) | np.append(same, False)
-        at = order[multi]
+        at = order[multi | np.isin(t, dealt)]
         e = e[at]
         label = label[at] if label is not None else e["sig"]
         at = np.lexsort((e["sig"], e["pos"], e["n"], e["token"]))
@@ -233,6 +233,10 @@ def _candidates(exact: bool):
         first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))[: len(e)]
         size = np.diff(np.append(first, len(e)))
         short = np.repeat(size <= SHORT, size)
+
+        def listed(at: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(tok[at].astype(np.int64)), pa.array(n[at].astype(np.int32)), pa.array(p[at].astype(np.int32))], names=["a", "b", "token", "n", "pos"])
+
         a, b = [], []
         idx = np.flatnonzero(short)
         for gap in range(1, SHORT):
@@ -246,6 +250,9 @@ def _candidates(exact: bool):
             b.append(sig[ok + gap])
         if a:
             yield from emit(np.concatenate(a), np.concatenate(b))
+        part = np.flatnonzero(short & np.isin(tok, dealt))
+        if len(part) and not exact:
+            yield listed(part)
         left, right, made = [], [], 0
         for f, m in zip(first[size > SHORT], size[size > SHORT]):
             s = slice(f, f + m)
@@ -265,7 +272,7 @@ def _candidates(exact: bool):
             left.append(sig[s][x])
             right.append(sig[s][y])
             made += len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[s].view(np.int64)), pa.nulls(m, pa.int64()), pa.array(tok[s].astype(np.int64)), pa.array(n[s].astype(np.int32)), pa.array(p[s].astype(np.int32))], names=["a", "b", "token", "n", "pos"])
+            yield listed(np.arange(f, f + m))
         if made:
             yield from emit(np.concatenate(left), np.concatenate(right))
 
@@ -387,7 +394,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), int(total * (100 - SHARE) / 100) // BUCKET)
     lists = docs.select("text").mapInArrow(_listed(k, tokens[order], counts[order], buckets), "bucket long, entries binary")
-    found = cut(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(False), _CANDIDATE))
+    found = cut(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(False, _short(tokens[counts > HOT])), _CANDIDATE))
     sets = _Sets(docs, k, tokens[order], counts[order])
     pairs = cut(found.filter("token is null").select("a", "b").distinct())
     long_lists = found.filter("token is not null").select("a", "token", "n", "pos").distinct()
@@ -403,7 +410,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
         here = split
         if not every:
             here = split.groupBy("token", "label").agg(F.min(F.struct("n", "pos", "a")).alias("e")).select("token", "label", "e.a", "e.n", "e.pos")
-        more = here.select("token", "a", "n", "pos", "label").repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_candidates(True), _CANDIDATE)
+        more = here.select("token", "a", "n", "pos", "label").repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_candidates(True, np.zeros(0, np.uint32)), _CANDIDATE)
         more = cut(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             pairs = cut(pairs.unionByName(more))

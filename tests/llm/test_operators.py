@@ -5,6 +5,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,33 @@ def test_long_lists_by_hubs(docs, texts, monkeypatch):
     assert got == brute.components([x for x in texts if x[0] < 300])
 
 
+def test_hot_lists_are_dealt(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 20)
+    batch = lambda *texts: iter([pa.RecordBatch.from_pydict({"text": texts})])
+    common = next(jaccard_join._sets(batch("a b c d e f g h i j"), 5))[2]
+    (got,) = jaccard_join._listed(5, common, np.full(len(common), 100), 1000)(batch(*[f"a b c d e f g h i j x{i}" for i in range(40)]))
+    buckets = {}
+    for i, x in zip(got["bucket"].to_pylist(), got["entries"].to_pylist()):
+        for e in jaccard_join._entries(x):
+            buckets.setdefault(int(e["token"]), set()).add(i)
+    assert len(buckets[int(jaccard_join._short(common)[0])]) > 1
+
+
+def test_dealt_lists_with_few_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHORT", 24)
+    monkeypatch.setattr(jaccard_join, "HOT", 20)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 5)  # so many buckets that parts of a list seldom share one
+    r, rows = random.Random(5), []
+    text = [f"w{r.randrange(400)}" for _ in range(60)]
+    for i in range(60):  # exact copies: one set, which counts 60 times
+        rows.append((i, " ".join(text)))
+    for i in range(60, 72):  # a few near copies
+        at = r.randrange(len(text))
+        rows.append((i, " ".join([*text[:at], f"x{i}", *text[at + 1 :]])))
+    got = rows_by_id(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == brute.components(rows)
+
+
 def test_near_duplicates_odd_rows(nothing, spark):
     assert jaccard_join.near_duplicates(nothing).count() == 0
     rows = [(None, "a b c d e f"), (4, "A B C D E F"), (4, "a b c d e f"), (None, None)]
