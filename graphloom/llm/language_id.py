@@ -253,7 +253,7 @@ def op7_language_id(spark, sf_dir) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs' rows, all columns, whose language the network can tell; the rows learned from are not those of held-out folds."""
+    """docs' rows, all columns, whose language can be told: those with a letter, whether or not there were labels to learn from."""
     net, names = fit(docs.filter(~held_out(docs, 3, 1)))
     wide = [f.name for f in docs.schema]
     rows = docs.select(F.struct(*[docs[c] for c in wide]).alias("doc"), docs["text"].alias("text"))
@@ -269,7 +269,8 @@ def _flag(net: Network, names: list[str]):
             ids = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
             at = 0
             for got in one(iter([ids])):
-                keep = pc.not_equal(got.column("lang_pred"), UNDETERMINED)
+                text = pc.fill_null(batch.column("text").slice(at, got.num_rows), "")
+                keep = pc.not_equal(got.column("lang_pred"), UNDETERMINED) if names else pc.match_substring_regex(text, r"\p{L}")
                 part = batch.slice(at, got.num_rows)
                 at += got.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), keep], names=["doc", "text", "keep"])

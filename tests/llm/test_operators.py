@@ -300,6 +300,12 @@ def test_languages_of_odd_rows(docs, nothing, spark):
     assert language_id.identify(nothing, net, names).count() == 0
 
 
+def test_rows_with_letters_stay_without_labels(docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = language_id.keep_identified(unlabelled)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()} - {300, 301, 302, 310}
+
+
 # ---- quality classifier
 
 
