@@ -1,0 +1,17 @@
+import pytest
+
+from graphloom.queries import ORACLE, QUERIES
+
+#: What the SQL of a query leaves out, and what it is without that.
+CUTS = {
+    "measurement_triples": [(" WHERE l_orderkey % 4 = 1", "")],
+}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_whole_query_matches_uncut_sql(name, same):
+    sql = ORACLE[name]
+    for cut, whole in CUTS[name]:
+        assert cut in sql
+        sql = sql.replace(cut, whole)
+    same(QUERIES[f"{name}_whole"], sql)
