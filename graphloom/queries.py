@@ -198,14 +198,30 @@ def _vectors(spark, d):
     return e.filter("vec_id >= 20").select(F.concat(F.lit("v"), c("vec_id").cast("string")).alias("name"), "embedding"), e.filter("vec_id < 20").select(c("vec_id").alias("query"), "embedding")
 
 
+def _all_vectors(spark, d):
+    """Every row is an item; those whose id is divisible by 20 are asked, and find themselves too."""
+    e = t(spark, d, "embeddings")["embeddings"]
+    return e.select(F.concat(F.lit("v"), c("vec_id").cast("string")).alias("name"), "embedding"), e.filter("vec_id % 20 = 0").select(c("vec_id").alias("query"), "embedding")
+
+
 @query(f"WITH {_vector_sql('cosine', 0.45)} SELECT query, name, score, CAST(rank AS BIGINT) AS rank FROM near")
-def vector_seeds_cosine(spark, d):
-    return rank.vector_seeds(*_vectors(spark, d), scale="cosine").select("query", "name", "score", c("rank").cast("long").alias("rank"))
+def vector_seeds_cosine(spark, d, vectors=_vectors):
+    return rank.vector_seeds(*vectors(spark, d), scale="cosine").select("query", "name", "score", c("rank").cast("long").alias("rank"))
+
+
+@query()
+def vector_seeds_cosine_whole(spark, d):
+    return vector_seeds_cosine(spark, d, _all_vectors)
 
 
 @query(f"WITH {_vector_sql('normalized', 0.45)} SELECT query, name, score, CAST(rank AS BIGINT) AS rank FROM near")
-def vector_seeds_normalized(spark, d):
-    return rank.vector_seeds(*_vectors(spark, d)).select("query", "name", "score", c("rank").cast("long").alias("rank"))
+def vector_seeds_normalized(spark, d, vectors=_vectors):
+    return rank.vector_seeds(*vectors(spark, d)).select("query", "name", "score", c("rank").cast("long").alias("rank"))
+
+
+@query()
+def vector_seeds_normalized_whole(spark, d):
+    return vector_seeds_normalized(spark, d, _all_vectors)
 
 
 @query(f"""WITH {_vector_sql('cosine', -2.0, 5)}, other AS (SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY name) AS rank FROM near WHERE rank > 2),
@@ -213,12 +229,17 @@ x AS (SELECT query, name, 0 AS l, rank FROM near UNION ALL SELECT query, name, 1
 f AS (SELECT query, name, sum(CASE WHEN l = 0 THEN 1.0::DOUBLE / (60 + rank) END) AS s0, sum(CASE WHEN l = 1 THEN 1.0::DOUBLE / (60 + rank) END) AS s1, min(l * 1000 + rank) AS seen FROM x GROUP BY ALL),
 g AS (SELECT *, coalesce(s0, 0) + coalesce(s1, 0) AS score FROM f)
 SELECT query, name, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, seen, name) AS BIGINT) AS rank FROM g""")
-def rrf_fusion(spark, d):
-    one = rank.vector_seeds(*_vectors(spark, d), limit=5, min_score=-2.0, scale="cosine")
+def rrf_fusion(spark, d, vectors=_vectors):
+    one = rank.vector_seeds(*vectors(spark, d), limit=5, min_score=-2.0, scale="cosine")
     two = one.filter("rank > 2").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("name")))
     return rank.fuse([one, two]).select("query", "name", F.round("score", 9).alias("score"), c("rank").cast("long").alias("rank"))
 
 
+@query()
+def rrf_fusion_whole(spark, d):
+    return rrf_fusion(spark, d, _all_vectors)
+
+
 # ---- the graph lane
 
 SEEDS = "seeds AS (SELECT 1 AS query, 1 AS rank, n_name AS node FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 1, 2, c_name FROM customer WHERE c_custkey = 7 UNION ALL SELECT 2, 1, 'Part#11' UNION ALL SELECT 2, 2, s_name FROM supplier WHERE s_suppkey = 3)"
@@ -302,12 +323,17 @@ def context_assembly(spark, d):
 
 @query(f"""WITH {_vector_sql('cosine', 0.25, 20)}
 SELECT query, CAST(place AS BIGINT) AS place, name AS chunk_id, nullif(CAST(substr(name, 2) AS BIGINT) % 3, 0) AS page_number, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM near) WHERE place <= 5""")
-def chunk_retrieve_top5(spark, d):
-    items, asked = _vectors(spark, d)
+def chunk_retrieve_top5(spark, d, vectors=_vectors):
+    items, asked = vectors(spark, d)
     chunks = items.select(c("name").alias("chunk_id"), c("name").alias("text"), F.lit("s").alias("source"), (F.substring("name", 2, 20).cast("long") % 3).alias("page_number"), "embedding")
     return rank.retrieve_chunks(chunks, asked.withColumn("question", F.lit("")), None).select("query", c("place").cast("long").alias("place"), "chunk_id", "page_number", "score")
 
 
+@query()
+def chunk_retrieve_top5_whole(spark, d):
+    return chunk_retrieve_top5(spark, d, _all_vectors)
+
+
 # ---- text
 
 LINES = "SELECT doc_id AS doc, CAST(pos AS BIGINT) AS pos, line AS text, CASE WHEN pos % 5 = 0 AND doc_id % 2 = 0 THEN 'heading' WHEN pos % 7 = 3 THEN 'table' ELSE 'text' END AS type, CAST(pos // 3 AS BIGINT) AS page, CAST(100 * (pos % 3) + CASE WHEN doc_id % 3 = 0 THEN 30 ELSE 0 END AS DOUBLE) AS y0 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)"
@@ -485,14 +511,19 @@ def communities(spark, d):
   FROM v JOIN embeddings a ON a.vec_id = v.id, embeddings b WHERE b.vec_id < 20 AND (v.cluster % 2 = b.vec_id % 2 OR b.vec_id % 5 = 0 AND v.cluster < 3)),
 f AS (SELECT query, cluster, CASE WHEN count(*) OVER (PARTITION BY query) > 3 THEN score END AS score FROM s)
 SELECT query, cluster, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, cluster) AS BIGINT) AS rank FROM f) WHERE rank <= 3""")
-def community_rank(spark, d):
+def community_rank(spark, d, where="vec_id < 20"):
     e = t(spark, d, "embeddings")["embeddings"]
     vectors = e.groupBy(c("label").alias("cluster")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    asked = e.filter("vec_id < 20").select(c("vec_id").alias("query"), "embedding")
+    asked = e.filter(where).select(c("vec_id").alias("query"), "embedding")
     pairs = asked.select("query").join(F.broadcast(vectors.select("cluster")), (c("cluster") % 2 == c("query") % 2) | ((c("query") % 5 == 0) & (c("cluster") < 3)))
     return community.rank_communities(pairs, vectors, asked).select("query", "cluster", "score", c("rank").cast("long").alias("rank"))
 
 
+@query()
+def community_rank_whole(spark, d):
+    return community_rank(spark, d, "vec_id % 20 = 0")
+
+
 # ---- evaluation
 
 _LANES = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'graph' ELSE 'chunks' END AS lane, CASE WHEN doc_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE quality * 0.5 + 0.25 END AS faithfulness, CAST(toxic AS DOUBLE) AS answer_relevancy, CAST(1 AS DOUBLE) AS context_precision, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 10 AS DOUBLE) / 10 END AS context_recall FROM labels"

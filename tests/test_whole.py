@@ -5,6 +5,8 @@ from graphloom.queries import ORACLE, QUERIES
 #: What the SQL of a query leaves out, and what it is without that.
 CUTS = {
     "measurement_triples": [(" WHERE l_orderkey % 4 = 1", "")],
+    **dict.fromkeys(("vector_seeds_cosine", "vector_seeds_normalized", "rrf_fusion", "chunk_retrieve_top5"), [("b.vec_id < 20 AND a.vec_id >= 20", "b.vec_id % 20 = 0")]),
+    "community_rank": [("b.vec_id < 20 AND", "b.vec_id % 20 = 0 AND")],
 }
 
 
