@@ -170,8 +170,8 @@ NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT p_type
 KEYWORDS = "keyword AS (SELECT query, name, hits, rank FROM (SELECT query, name, hits, row_number() OVER (PARTITION BY query ORDER BY hits DESC, name) AS rank FROM (SELECT query, name, CAST(len(list_filter(words, lambda w: contains(lower(name), w))) AS BIGINT) AS hits FROM asked_words, names) WHERE hits > 0) WHERE rank <= 3)"
 
 
-def _asked(spark, d):
-    return t(spark, d, "part")["part"].filter("p_partkey <= 20").select(c("p_partkey").alias("query"), F.concat(F.lit("What is the "), "p_name", F.lit(" of "), "p_type").alias("question"))
+def _asked(spark, d, where="p_partkey % 20 = 0"):
+    return t(spark, d, "part")["part"].filter(where).select(c("p_partkey").alias("query"), F.concat(F.lit("What is the "), "p_name", F.lit(" of "), "p_type").alias("question"))
 
 
 def _names(spark, d):
@@ -180,8 +180,13 @@ def _names(spark, d):
 
 
 @query(f"WITH {ASKED}, {NAMES}, {KEYWORDS} SELECT query, name, hits, CAST(rank AS BIGINT) AS rank FROM keyword")
-def keyword_seeds(spark, d):
-    return rank.keyword_seeds(_names(spark, d), _asked(spark, d)).select("query", "name", "hits", c("rank").cast("long").alias("rank"))
+def keyword_seeds(spark, d, where="p_partkey <= 20"):
+    return rank.keyword_seeds(_names(spark, d), _asked(spark, d, where)).select("query", "name", "hits", c("rank").cast("long").alias("rank"))
+
+
+@query()
+def keyword_seeds_whole(spark, d):
+    return keyword_seeds(spark, d, "p_partkey % 20 = 0")
 
 
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"

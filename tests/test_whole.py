@@ -7,6 +7,7 @@ CUTS = {
     "measurement_triples": [(" WHERE l_orderkey % 4 = 1", "")],
     **dict.fromkeys(("vector_seeds_cosine", "vector_seeds_normalized", "rrf_fusion", "chunk_retrieve_top5"), [("b.vec_id < 20 AND a.vec_id >= 20", "b.vec_id % 20 = 0")]),
     "community_rank": [("b.vec_id < 20 AND", "b.vec_id % 20 = 0 AND")],
+    "keyword_seeds": [("p_partkey <= 20", "p_partkey % 20 = 0")],
 }
 
 
@@ -17,3 +18,9 @@ def test_whole_query_matches_uncut_sql(name, same):
         assert cut in sql
         sql = sql.replace(cut, whole)
     same(QUERIES[f"{name}_whole"], sql)
+
+
+def test_hybrid_seeds_ask_by_the_rule(spark, sf_dir):
+    asked = {r.query for r in QUERIES["hybrid_seeds"](spark, sf_dir).select("query").distinct().collect()}
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
+    assert asked == {p for p in parts if p % 20 == 0}
