@@ -3,7 +3,7 @@
 Detection is modularity local moving in a fixed order, refined to connected parts; clusters over
 the largest size are split again, so that a node is listed with its coarse and its fine clusters.
 It runs per connected component. Components come from joins; a component over LARGE nodes is
-first cut by rounds of label propagation, so that no task gets an unbounded group.
+first cut by two rounds of label propagation, which around a hub still leaves it whole.
 """
 
 from __future__ import annotations
@@ -120,8 +120,11 @@ def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> Data
     """node, level, cluster (`label/number`) of a simple graph (a, b)."""
     labels = _labels(graph, None)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    if not sizes.filter(F.col("n") > LARGE).isEmpty():
-        labels = _labels(graph, 2)
+    large = sizes.filter(F.col("n") > LARGE).select("label")
+    if not large.isEmpty():
+        # only these are cut, others stay whole; every edge of a large one has both its ends there
+        within = graph.join(labels.join(large, "label", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+        labels = labels.join(large, "label", "left_anti").select("node", "label").unionByName(_labels(within, 2))
     inside = graph.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la = lb").select(F.col("la").alias("label"), "a", "b")
     alone = labels.select("label", F.col("node").alias("a"), F.col("node").alias("b"))
 

@@ -166,6 +166,17 @@ def test_communities(spark):
     assert {frozenset(v) for (level, _), v in sizes.items() if level == 0} == {frozenset(f"n{i:02}" for i in range(8)), frozenset(f"n{i:02}" for i in range(8, 16)), frozenset("xy"), frozenset("z")}
 
 
+def test_small_components_stay_whole_beside_a_large_one(spark, monkeypatch):
+    frame = lambda pairs: spark.createDataFrame(pairs, "a string, b string")
+    small = [(f"p{i:02}", f"p{i + 1:02}") for i in range(11)]
+    large = [(f"q{i:02}", f"q{i + 1:02}") for i in range(29)]
+    alone = {tuple(r) for r in community.communities(frame(small)).collect()}
+    monkeypatch.setattr(community, "LARGE", 20)
+    found = {tuple(r) for r in community.communities(frame(small + large)).collect()}
+    assert {r for r in found if r[0].startswith("p")} == alone
+    assert {r[0] for r in found} == {x for p in small + large for x in p}
+
+
 def test_reduce(spark):
     asked = spark.createDataFrame([(i,) for i in range(4)], "query int")
     partial = spark.createDataFrame([(1, 1, "No information here"), (1, 2, "not available"), (2, 1, "No information"), (2, 2, "assistant: yes"), (3, 1, "a"), (3, 2, None), (3, 3, "b")], "query int, rank int, answer string")
