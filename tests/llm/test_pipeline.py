@@ -1,6 +1,6 @@
 import brute
 import corpus_pipeline
-from test_operators import check_packing, normal
+from test_corpus_operators import check_packing, normal
 
 
 def test_stages(spark, docs, texts, tmp_path):
