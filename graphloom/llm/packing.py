@@ -14,7 +14,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import _text
 from graphloom.llm._shared import cut, partitions
 
 CAPACITY, GRAIN, END_ID = 2048, 16, 1
-#: Ids of so many words, and of so many pieces of words, are remembered by a worker (60 MB at most, with those before).
-MEMO = 120_000
+#: Ids of so many words are remembered by a worker, in about 40 bytes each.
+MEMO = 1_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 
 
@@ -39,21 +39,62 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Little-endian 32-bit ids of texts by the tokenizer of word_bpe_49k.json, with memory of words and their pieces.
+class _Table:
+    """Ids by 64-bit key, in arrays: sorted keys, and where and how long their ids are. New keys wait in a small table."""
+
+    def __init__(self, first_ids: np.ndarray):
+        self.ids, self.used = np.append(first_ids, np.zeros(1 << 16, np.uint32)), len(first_ids)
+        self.main = self.recent = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def __len__(self) -> int:
+        return len(self.main[0]) + len(self.recent[0])
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.recent = self._merged(self.recent, (keys, starts, sizes))
+        if len(self.recent[0]) > 1 << 15:
+            self.main, self.recent = self._merged(self.main, self.recent), tuple(x[:0] for x in self.recent)
+
+    @staticmethod
+    def _merged(x: tuple, y: tuple) -> tuple:
+        both = [np.concatenate(c) for c in zip(x, y)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(c[order] for c in both)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes; a size of -1 for unknown keys."""
+        starts, sizes = np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+        for known, at, n in (self.main, self.recent):
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                starts[hit], sizes[hit] = at[i[hit]], n[i[hit]]
+        return starts, sizes
+
 
-    It never joins over ASCII white space, so a text's ids are those of its words. A word of plain
-    Latin letters, digits and signs is lower-cased and split as the tokenizer does it; its pieces
-    are looked up, and unknown ones encoded together, since a piece's last id, and no other, ends a
-    word. All other words are encoded one by one.
+class WordIds:
+    """Ids of texts by the tokenizer of word_bpe_49k.json, with memory of words.
+
+    It never joins over ASCII white space, so a text's ids are those of its words. A word of ASCII
+    letters, with a full stop or comma at most, is looked up lower-cased and without that; these
+    are pieces of the tokenizer. Another word of plain Latin letters, digits and signs is
+    lower-cased and split as the tokenizer does it. Unknown pieces are encoded together, since a
+    piece's last id, and no other, ends a word. All other words are encoded one by one. Words are
+    known by 64-bit hashes, and handled in arrays; Python sees unknown words of the second and
+    third kind alone.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), {}, {}
-        self.old_words, self.old_pieces = {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.comma, self.stop = self._encode([",", "."])
+        self.table = self._empty()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -61,63 +102,95 @@ class WordIds:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[!-~\u00A1-\u012F\u0131-\u024F]+").fullmatch
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _empty(self) -> _Table:
+        """A table that starts with the ids of a comma and of a full stop."""
+        return _Table(np.concatenate([self.comma, self.stop]))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(pieces), 512):
             part = pieces[i : i + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+            got = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1
             if len(ends) == len(part):
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.pieces.update((p, raw[a:b]) for p, a, b in zip(part, at, at[1:]))
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                self.pieces.update(zip(part, self._encode(part)))
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Words of ASCII letters, with a full stop or comma at most, have known pieces without a search."""
-        found, other = {}, []
-        for w in words:
-            t = w.decode()
-            if t.isascii():
-                if t.isalpha():
-                    found[w] = (t.lower(),)
-                    continue
-                if t[:-1].isalpha() and t[-1] in ",.":
-                    found[w] = (t[:-1].lower(), t[-1])
-                    continue
+                each = self._encode(part)
+                ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, simple: np.ndarray) -> None:
+        """simple: spans that are pieces, once folded."""
+        if simple.any():
+            a, b = starts[simple], ends[simple]
+            size = b - a + 1
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            raw = _text.FOLD[data[np.minimum(at, len(data) - 1)]]
+            raw[np.cumsum(size) - 1] = 32
+            self.table.add(keys[simple], *self._pieces(raw.tobytes().decode().split()))
+        other = np.flatnonzero(~simple)
+        if not len(other):
+            return
+        raw = data.tobytes()
+        plain, odd = [], []
+        for i, a, b in zip(other.tolist(), starts[other].tolist(), ends[other].tolist()):
+            t = raw[a:b].decode()
             if self.plain(t) and "<|" not in t:
-                found[w] = tuple(self.split(t.lower()))
+                plain.append((i, self.split(t.lower())))
             else:
-                other.append((w, t))
-        self.words.update(zip([w for w, _ in other], self._encode([t for _, t in other])))
-        need = set().union(*found.values()).difference(self.pieces) if found else set()
-        if len(self.pieces) + len(need) > MEMO:
-            self.old_pieces, self.pieces = self.pieces, {}
-            need = set().union(*found.values())
-        again = need & self.old_pieces.keys()
-        self.pieces.update((p, self.old_pieces[p]) for p in again)
-        self._learn_pieces(list(need - again))
-        get, words_ = self.pieces.__getitem__, self.words
-        for w, ps in found.items():
-            words_[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """What was met since the last time that the memory was full, and the time before, is remembered."""
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > MEMO:
-            self.old_words, self.words = self.words, {}
-            new = set().union(*split)
-        if new:
-            gc.disable()  # many small objects, and no cycles
-            again = new & self.old_words.keys()
-            self.words.update((w, self.old_words[w]) for w in again)
-            self._learn(new - again)
-            gc.enable()
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+                odd.append((i, t))
+        if plain:
+            ids, sizes = self._pieces([x for _, ps in plain for x in ps])
+            first = np.cumsum([0, *(len(ps) for _, ps in plain)])
+            ends_ = np.append(0, np.cumsum(sizes))
+            self.table.add(keys[[i for i, _ in plain]], ids, np.diff(ends_[first]))
+        if odd:
+            each = self._encode([t for _, t in odd])
+            self.table.add(keys[[i for i, _ in odd]], np.concatenate(each), np.array([len(x) for x in each], np.int64))
+
+    def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts at off in data, and where each text's begin; memory is bounded for data of bounded size."""
+        w = _text.words(data, off)
+        n = len(w.starts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        signs = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(_NO_LETTER[data], out=signs[1:])
+        signs = signs[w.ends] - signs[w.starts]
+        final = data[w.ends - 1]
+        tail = (signs == 1) & ((final == 44) | (final == 46)) & (w.ends - w.starts > 1)
+        simple = (signs == 0) | tail
+        ends = w.ends - tail
+        # words that aren't simple have keys of their own kind
+        keys = np.where(simple, _text.span_hashes(data, w.starts, ends, True), _text.mix(w.hashes + np.uint64(0x9E3779B97F4A7C15)))
+        distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        at, size = self.table.find(distinct)
+        if (size < 0).any():
+            if len(self.table) + len(distinct) > MEMO:
+                self.table, size = self._empty(), np.full(len(distinct), -1)
+            new = first[size < 0]
+            self._learn(data, keys[new], w.starts[new], ends[new], simple[new])
+            at, size = self.table.find(distinct)
+        # items: a word's piece, and its full stop or comma after it
+        place = np.arange(n) + np.cumsum(tail) - tail
+        starts, sizes = np.zeros(n + int(tail.sum()), np.int64), np.zeros(n + int(tail.sum()), np.int64)
+        starts[place], sizes[place] = at[of], size[of]
+        comma = final[tail] == 44
+        starts[place[tail] + 1] = np.where(comma, 0, len(self.comma))
+        sizes[place[tail] + 1] = np.where(comma, len(self.comma), len(self.stop))
+        begin = np.append(0, np.cumsum(sizes))
+        ids = self.table.ids[np.repeat(starts - begin[:-1], sizes) + np.arange(begin[-1])]
+        return ids, begin[np.append(place, len(starts))[w.first]]
+
+
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123)]] = False
 
 
 @lru_cache(1)
@@ -128,27 +201,49 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _cut_up(path: str, capacity: int):
-    end = np.array([END_ID], "<u4").tobytes()
+def token_ids(words: WordIds, column: pa.Array) -> Iterator[tuple[int, bytes]]:
+    """(row, little-endian 32-bit ids with the end id) of every text; a long text is read in stretches that end at white space."""
+    end = np.array([END_ID], np.uint32)
+    for lo, hi, data, off in _text.blocks(column):
+        if hi - lo > 1 or len(data) <= 4 * _text.BLOCK:
+            ids, begin = words.of(data, off)
+            for k in range(hi - lo):
+                yield lo + k, np.append(ids[begin[k] : begin[k + 1]], end).astype("<u4").tobytes()
+            continue
+        parts, a = [], 0
+        while a < len(data):
+            b = min(len(data), a + _text.BLOCK)
+            while b < len(data) and not _text.IS_SPACE[data[b]]:
+                gap = np.flatnonzero(_text.IS_SPACE[data[b : b + _text.BLOCK]])
+                b = b + int(gap[0]) if len(gap) else min(len(data), b + _text.BLOCK)
+            parts.append(words.of(data[a:b], np.array([0, b - a]))[0])
+            a = b
+        yield lo, np.concatenate([*parts, end]).astype("<u4").tobytes()
+
 
+def _cut_up(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _word_ids(path)
+        words = _word_ids(path)
         for batch in batches:
-            column, who, salt = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("salt").to_pylist()
-            for lo in range(0, batch.num_rows, 256):
-                texts = [(x.as_py() or "").encode() for x in column.slice(lo, 256)]
-                rows = []
-                for k, all_ids in enumerate(ids.of(texts)):
-                    all_ids += end
-                    n = len(all_ids) // 4
-                    for at in range(0, n, capacity):
-                        piece = all_ids[4 * at : 4 * (at + capacity)]
-                        rows.append((who[lo + k], at, len(piece) // 4, zlib.crc32(piece), n, salt[lo + k]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+            who, salt, rows = batch.column("doc_id").to_pylist(), batch.column("salt").to_pylist(), []
+            for row, ids in token_ids(words, batch.column("text")):
+                n = len(ids) // 4
+                for at in range(0, n, capacity):
+                    piece = ids[4 * at : 4 * (at + capacity)]
+                    rows.append((who[row], at, len(piece) // 4, zlib.crc32(piece), n, salt[row]))
+                if len(rows) > 1 << 14:
+                    yield _piece_rows(rows)
+                    rows = []
+            if rows:
+                yield _piece_rows(rows)
 
     return run
 
 
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+
+
 def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of items within room: its value, and how often it holds each."""
     best, item = np.zeros(room + 1), np.full(room + 1, -1)
