@@ -4,16 +4,19 @@ Sets are ordered with the corpus' common shingles last; a set of size n is liste
 n - ceil(0.8 n) + 1 shingles, since two sets that link share one of these. An index list is in
 order of (size, position) and is skipped by blocks of one size and position: all entries of a
 block pass or fail the bounds on size and on what can still be shared together. Equal sets are one
-entry. In a long list not all pairs are made. First, a hub is paired with the entries of the blocks
-that it can reach; what links with it gets the hub's answers (the class), and pairs within a class
-are never looked at. What then remains in different classes is paired: first one entry of each
-class, then, with the classes that gives, every pair of a long list that passes the bounds. So no
-link between different classes is lost, and a group of near copies costs as many comparisons as it
-has members, not its square. A list that is dealt over several buckets counts as long in each, however
-few entries its part has, so that entries of different buckets meet where what remains is paired.
-
-A candidate pair's prefixes are compared first, and what may still link is verified exactly, on
-whole sets. Shingles are 64-bit hashes.
+entry. In a list over SHORT not all pairs are made. First, each entry is paired with one hub that it can
+reach, the set with the fewest rarer shingles, and their differences are kept as the entry's answer.
+What links with a hub is in its class, and pairs within a class are never looked at. While lists
+still hold many pairs of different classes, all entries are paired with hubs of the largest
+classes, again and again. Pairs of short lists wait until then. What remains outside of a list's largest class is compared with all
+of the list. There two sets with one hub are skipped if their answers rule a link out, and else
+their overlap is derived from these, by the shingles in which they differ from the hub; the texts
+aren't read again. No link between different classes is lost, and a group of near copies of a text
+costs as many comparisons as it has members, not its square. A list that is dealt over several
+buckets counts as long in each, however few entries its part has, so that entries of different
+buckets meet where what remains is paired.
+
+A candidate pair's prefixes are compared before whole sets. Shingles are 64-bit hashes.
 
 Defined cases: A-Z are folded; with fewer words than a shingle the whole sequence is the one
 shingle; without words the set is empty and the document linked with nothing; repeated rows and
@@ -23,6 +26,7 @@ none; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +44,11 @@ COMMON, COMMON_MIN, LOCAL_MIN = 1 << 16, 64, 4
 #: Entries in one bucket of lists, on average; a list longer than HOT is dealt over several.
 BUCKET, HOT = 400_000, 50_000
 #: All pairs are made of lists up to this length; longer ones go by hubs.
-SHORT = 24
-#: Long lists that are this long on average, weighted by their length, have one entry of each class paired first.
-WIDE = 200
+SHORT = 6
+#: Hubs are paired in further turns while long lists hold more than WIDE pairs of different classes an entry, and these get fewer.
+WIDE, HUBS = 200, 4
+#: Entries of a list, on average, that what remains is compared with in one task.
+PART = 4096
 SALTS = 64
 _ENTRY = np.dtype([("token", "<u4"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 _U = np.uint64
@@ -181,20 +187,39 @@ def _may_link(n1, p1, n2, p2):
     return (5 * n1 >= 4 * n2) & (p1 <= n1 - (8 * n1 + 8) // 9) & (np.minimum(n1 - p1, n2 - p2) >= need)
 
 
-def _by_hubs(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (hub, entry) of one list in order: every entry that some earlier hub can reach is paired with one."""
+def _linkable(n1, p1, n2, p2):
+    """_may_link for sizes in either order."""
+    swap = n1 > n2
+    return _may_link(np.where(swap, n2, n1), np.where(swap, p2, p1), np.where(swap, n1, n2), np.where(swap, p1, p2))
+
+
+def _blocks(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs with one size and position in a list in order."""
     first = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (p[1:] != p[:-1])))
-    count = np.diff(np.append(first, len(n)))
+    return first, np.diff(np.append(first, len(n)))
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of the runs that start at first."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _by_hubs(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (hub, entry) of one list in order: every entry that some earlier hub can reach is paired with one.
+
+    The set with the smallest part of rarer shingles before the list's is the hub: of a text and
+    its variants that is the text, since what a variant has of its own is rarer.
+    """
+    first, count = _blocks(n, p)
     bn, bp, todo = n[first], p[first], np.ones(len(first), bool)
-    left, right = [], []
-    while todo.any():
-        h = int(todo.argmax())
-        end = int(np.searchsorted(bn, 5 * bn[h] // 4, "right"))
-        reach = np.zeros(len(first), bool)
-        reach[h:end] = _may_link(bn[h], bp[h], bn[h:end], bp[h:end]) & todo[h:end]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for h in np.lexsort((bn, bp / bn)):
+        if not todo[h]:
+            continue
+        reach = _linkable(bn[h], bp[h], bn, bp) & todo
+        todo &= ~reach
         todo[h] = False
-        todo[reach] = False
-        at = np.repeat(first[reach], count[reach]) + np.concatenate([np.arange(c) for c in count[reach]]) if reach.any() else np.zeros(0, np.int64)
+        at = _spread(first[reach], count[reach])
         at = at[at != first[h]]
         left.append(np.full(len(at), first[h]))
         right.append(at)
@@ -204,31 +229,30 @@ def _by_hubs(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _CANDIDATE = "a long, b long, token long, n int, pos int"
 
 
-def _candidates(exact: bool, dealt: np.ndarray):
-    """From rows (bucket, entries[, label]): candidate pairs (a, b), and the entries of long lists (a, token, n, pos).
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).view(np.int64)
+
 
-    exact: all pairs of different labels, whatever a list's length; dealt: the tokens whose lists lie in several buckets.
+def _candidates(dealt: np.ndarray):
+    """From rows (bucket, entries): candidate pairs (a, b) with n 1 where one is a hub, and the entries of long lists (a, token, n, pos).
+
+    dealt: the tokens whose lists lie in several buckets; all their entries count as those of long lists.
     """
 
-    def emit(a, b) -> Iterator[pa.RecordBatch]:
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        for i in range(0, len(lo), 1 << 18):
-            pair = np.unique(np.stack([lo[i : i + (1 << 18)], hi[i : i + (1 << 18)]], 1), axis=0).view(np.int64)
+    def emit(a, b, by_hub: bool) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 1 << 18):
+            pair = _pair_rows(a[i : i + (1 << 18)], b[i : i + (1 << 18)])
             m = len(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=["a", "b", "token", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.nulls(m, pa.int64()), pa.array(np.full(m, by_hub, np.int32)), pa.nulls(m, pa.int32())], names=["a", "b", "token", "n", "pos"])
 
-    def lists(e: np.ndarray, label: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def lists(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(e["token"], kind="stable")
         t = e["token"][order]
         same = t[1:] == t[:-1]
         multi = np.append(False, same) | np.append(same, False)
-        at = order[multi | np.isin(t, dealt)]
-        e = e[at]
-        label = label[at] if label is not None else e["sig"]
-        at = np.lexsort((e["sig"], e["pos"], e["n"], e["token"]))
-        e, label = e[at], label[at]
-        fresh = np.append(True, (e["token"][1:] != e["token"][:-1]) | (e["sig"][1:] != e["sig"][:-1]))[: len(e)]
-        e, label = e[fresh], label[fresh]
+        e = e[order[multi | np.isin(t, dealt)]]
+        e = e[np.lexsort((e["sig"], e["pos"], e["n"], e["token"]))]
+        e = e[np.append(True, (e["token"][1:] != e["token"][:-1]) | (e["sig"][1:] != e["sig"][:-1]))[: len(e)]]
         tok, sig, n, p = e["token"], e["sig"], e["n"].astype(np.int64), e["pos"].astype(np.int64)
         first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))[: len(e)]
         size = np.diff(np.append(first, len(e)))
@@ -245,36 +269,23 @@ def _candidates(exact: bool, dealt: np.ndarray):
             idx = idx[tok[idx] == tok[idx + gap]]
             if not len(idx):
                 break
-            ok = idx[_may_link(n[idx], p[idx], n[idx + gap], p[idx + gap]) & (label[idx] != label[idx + gap])]
+            ok = idx[_may_link(n[idx], p[idx], n[idx + gap], p[idx + gap])]
             a.append(sig[ok])
             b.append(sig[ok + gap])
         if a:
-            yield from emit(np.concatenate(a), np.concatenate(b))
+            yield from emit(np.concatenate(a), np.concatenate(b), False)
         part = np.flatnonzero(short & np.isin(tok, dealt))
-        if len(part) and not exact:
+        if len(part):
             yield listed(part)
-        left, right, made = [], [], 0
+        left, right = [], []
         for f, m in zip(first[size > SHORT], size[size > SHORT]):
             s = slice(f, f + m)
-            if exact:
-                for i in range(f, f + m - 1):  # a row of the list at a time; what is past the size bound is skipped
-                    j = np.arange(i + 1, f + int(np.searchsorted(n[s], 5 * n[i] // 4, "right")))
-                    j = j[_may_link(n[i], p[i], n[j], p[j]) & (label[j] != label[i])]
-                    if len(j):
-                        left.append(np.full(len(j), sig[i]))
-                        right.append(sig[j])
-                        made += len(j)
-                    if made > 1 << 18:
-                        yield from emit(np.concatenate(left), np.concatenate(right))
-                        left, right, made = [], [], 0
-                continue
             x, y = _by_hubs(n[s], p[s])
             left.append(sig[s][x])
             right.append(sig[s][y])
-            made += len(x)
             yield listed(np.arange(f, f + m))
-        if made:
-            yield from emit(np.concatenate(left), np.concatenate(right))
+        if left:
+            yield from emit(np.concatenate(left), np.concatenate(right), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -282,41 +293,77 @@ def _candidates(exact: bool, dealt: np.ndarray):
             raw = batch.column("entries")
             for i, x in enumerate(batch.column("bucket").to_pylist()):
                 if x != bucket and held:
-                    yield from lists(np.concatenate(held), None)
+                    yield from lists(np.concatenate(held))
                     held = []
                 bucket = x
                 held.append(_entries(raw[i].as_py()))
         if held:
-            yield from lists(np.concatenate(held), None)
+            yield from lists(np.concatenate(held))
 
-    def run_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    return run
 
-        def whole() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            col = lambda c: t.column(c).to_numpy()
-            e = np.empty(t.num_rows, _ENTRY)
-            e["token"], e["sig"], e["n"], e["pos"] = col("token"), col("a").view(np.uint64), col("n"), col("pos")
-            return lists(e, col("label").view(np.uint64))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = batch.column("token").to_numpy()
-            at = 0
-            if size > 1 << 16:  # enough lists; the last may go on in this batch
-                last = held[-1].column("token")[-1].as_py()
-                at = int(np.searchsorted(tokens, last, "right"))
-                if at < len(tokens):
-                    held.append(batch.slice(0, at))
-                    yield from whole()
-                    held, size = [], 0
-            held.append(batch.slice(at) if at < len(tokens) else batch)
-            size += batch.num_rows
-        if held:
-            yield from whole()
+def _derivable(n1, o1, n2, o2):
+    """Whether sets that share o1 and o2 shingles with one hub can link: at most the lesser of these, and of what lies outside of the hub."""
+    return np.minimum(o1, o2) + np.minimum(n1 - o1, n2 - o2) >= (4 * (n1 + n2) + 8) // 9
+
+
+_REST = "token long, part int, probe boolean, a long, n int, pos int, label long, hub long, o int"
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows _REST, in order of (token, part, probe): pairs of a probe and an entry of its part that may link, of different labels.
+
+    A part's entries are held, its probes are streamed. A probe's bounds are looked at block by block.
+    """
+    fields = [x.split()[0] for x in _REST.split(", ")]
+    key, held, made, size = None, [], [], 0
 
-    return run_labelled if exact else run
+    def index() -> tuple[np.ndarray, ...]:
+        e = {c: np.concatenate([h[c] for h in held]) for c in fields[3:]}
+        e = {c: v[np.lexsort((e["pos"], e["n"]))] for c, v in e.items()}
+        return e, *_blocks(e["n"], e["pos"])
+
+    def out() -> pa.RecordBatch:
+        pair = _pair_rows(*(np.concatenate(x) for x in zip(*made)))
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
+
+    found = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in fields}
+        change = np.zeros(batch.num_rows, bool)
+        for c in fields[:3]:
+            change[1:] |= col[c][1:] != col[c][:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for i, j in zip(starts, starts[1:]):
+            if (now := (int(col["token"][i]), int(col["part"][i]))) != key:
+                key, held, found = now, [], None
+            here = {c: col[c][i:j] if c in ("a", "label", "hub") else col[c][i:j].astype(np.int64) for c in fields[3:]}
+            if not col["probe"][i]:
+                held.append(here)
+                continue
+            if not held:
+                continue
+            e, first, count = found = found or index()
+            bn, bp = e["n"][first], e["pos"][first]
+            for k in range(j - i):
+                q = {c: v[k] for c, v in here.items()}
+                pass_ = _linkable(q["n"], q["pos"], bn, bp)
+                if not pass_.any():
+                    continue
+                at = _spread(first[pass_], count[pass_])
+                at = at[e["label"][at] != q["label"]]
+                at = at[(e["hub"][at] != q["hub"]) | _derivable(q["n"], q["o"], e["n"][at], e["o"][at])]
+                if len(at):
+                    made.append((np.full(len(at), q["a"]).view(np.uint64), e["a"][at].view(np.uint64)))
+                    size += len(at)
+                if size > 1 << 18:
+                    yield out()
+                    made, size = [], 0
+    if made:
+        yield out()
 
 
 def _members(k: int, words: np.ndarray, common: np.ndarray, counts: np.ndarray, prefix_only: bool):
@@ -369,13 +416,47 @@ class _Sets:
         """Pairs whose prefixes share enough: what both prefixes don't show lies behind one of them."""
         shown = F.size(F.array_intersect("t_a", "t_b"))
         hidden = F.greatest(F.col("n_a") - F.size("t_a"), F.col("n_b") - F.size("t_b"))
-        return self.joined(pairs, prefixes).filter((100 + SHARE) * (shown + hidden) >= SHARE * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        return self.joined(pairs, prefixes).filter((100 + SHARE) * (shown + hidden) >= SHARE * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, hub) with n_a, n_b, whether they link, by whole sets, and the shingles that only a or only b has where one is the other's hub."""
+        both = self.joined(pairs, self.of(_both(pairs), False))
+        shared = F.size(F.array_intersect("t_a", "t_b"))
+        linked = (100 + SHARE) * shared >= SHARE * (F.col("n_a") + F.col("n_b"))
+        return both.select("a", "b", "hub", "n_a", "n_b", linked.alias("linked"), F.expr("if(hub is null, null, array_except(t_a, t_b))").alias("only_a"), F.expr("if(hub is null, null, array_except(t_b, t_a))").alias("only_b"))
+
+
+def _with_hubs(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with hub: the one of both that is the other's hub, the set that is compared with most sets, if that is more than the other's own number."""
+    one = lambda x, y: pairs.select(F.col(x).alias("sig"), F.col(y).alias("other"))
+    both = one("a", "b").unionByName(one("b", "a"))
+    degree = cut(both.groupBy("sig").agg(F.count("*").alias("d")))
+    rank = lambda c: F.struct("d", F.negative(c).alias("m"), F.col(c).alias("hub"))
+    best = both.join(degree.withColumnRenamed("sig", "other"), "other").groupBy("sig").agg(F.max(rank("other")).alias("best"))
+    best = best.join(degree, "sig").filter(F.col("best") > rank("sig")).select("sig", F.col("best.hub").alias("hub"))
+    chosen = best.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"), "hub")
+    return pairs.join(chosen, ["a", "b"], "left")
+
+
+def _answers(verified: DataFrame) -> DataFrame:
+    """sig, hub, n, o, gone, extra: of each set that has a hub its answer with it.
+
+    o is what it shares with the hub, gone what the hub alone has, extra what it has beside the hub.
+    """
+    first = F.col("hub") == F.col("b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    found = verified.filter("hub is not null").select(pick("a", "b").alias("sig"), "hub", pick("n_a", "n_b").alias("n"), pick("only_b", "only_a").alias("gone"), pick("only_a", "only_b").alias("extra"))
+    return found.withColumn("o", (F.col("n") - F.size("extra")).cast("int"))
+
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b), by their whole sets."""
-        sets = self.of(_both(pairs), False)
-        shared = F.size(F.array_intersect("t_a", "t_b")).cast("long")
-        return self.joined(pairs, sets).filter((100 + SHARE) * shared >= SHARE * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+def _derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pairs with hub_a, hub_b and, where these agree, whether they link: derived from both sets' answers with the hub, by the shingles that differ."""
+    side = lambda x: answers.select(*[F.col("sig").alias(x) if c == "sig" else F.col(c).alias(f"{c}_{x}") for c in answers.columns])
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    hub = F.col("o_a") + F.size("gone_a")
+    shared = hub - F.size("gone_a") - F.size("gone_b") + F.size(F.array_intersect("gone_a", "gone_b")) + F.size(F.array_intersect("extra_a", "extra_b"))
+    same = F.coalesce(F.col("hub_a") == F.col("hub_b"), F.lit(False))
+    return both.select("a", "b", same.alias("same"), (same & ((100 + SHARE) * shared >= SHARE * (F.col("n_a") + F.col("n_b")))).alias("linked"))
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -394,39 +475,86 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), int(total * (100 - SHARE) / 100) // BUCKET)
     lists = docs.select("text").mapInArrow(_listed(k, tokens[order], counts[order], buckets), "bucket long, entries binary")
-    found = cut(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(False, _short(tokens[counts > HOT])), _CANDIDATE))
+    found = cut(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(_short(tokens[counts > HOT])), _CANDIDATE))
     sets = _Sets(docs, k, tokens[order], counts[order])
-    pairs = cut(found.filter("token is null").select("a", "b").distinct())
+    pairs = cut(found.filter("token is null").groupBy("a", "b").agg(F.max("n").alias("by_hub")))
     long_lists = found.filter("token is not null").select("a", "token", "n", "pos").distinct()
     prefixes = cut(sets.of(_both(pairs).union(long_lists.select("a")).distinct(), True))
-    links = cut(sets.links(cut(sets.possible(pairs, prefixes))))
+    pairs = cut(sets.possible(pairs, prefixes))
+    first = cut(sets.verified(_with_hubs(pairs.filter("by_hub = 1").select("a", "b"))))
+    answers = _answers(first)
+    done, waiting = first.select("a", "b"), pairs.filter("by_hub = 0").select("a", "b")
+    links = first.filter("linked").select("a", "b")
     labels = components(links)
-    for every in (False, True):
-        split = _still_split(long_lists, labels)
-        size = split.groupBy("token").count().agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"), F.sum("count").alias("n")).first()
-        if not size["n"]:
-            break
-        every = every or size["pairs"] <= WIDE * size["n"]
-        here = split
-        if not every:
-            here = split.groupBy("token", "label").agg(F.min(F.struct("n", "pos", "a")).alias("e")).select("token", "label", "e.a", "e.n", "e.pos")
-        more = here.select("token", "a", "n", "pos", "label").repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_candidates(True, np.zeros(0, np.uint32)), _CANDIDATE)
-        more = cut(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    before, last = None, False
+    for turn in itertools.count():
+        split, work, n = _still_split(long_lists, labels)
+        last = work <= WIDE * n or before is not None and work > 0.7 * before
+        before = work
+        more = _all_rest(split, answers).unionByName(_apart(waiting, labels)) if last else _hub_pairs(split, turn)
+        more = cut(more.distinct().join(done, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            pairs = cut(pairs.unionByName(more))
-            links = cut(links.unionByName(sets.links(cut(sets.possible(more, prefixes)))))
+            done = done.unionByName(more)
+            told = cut(_derived(more, answers))
+            untold = cut(sets.possible(told.filter("not same").select("a", "b"), prefixes))
+            links = links.unionByName(told.filter("linked").select("a", "b"))
+            if not untold.isEmpty():
+                links = links.unionByName(cut(sets.verified(untold.withColumn("hub", F.lit(None).cast("long"))).filter("linked").select("a", "b")))
             labels = components(links)
-        if every:
+        if last:
             break
     return _named(rows, labels)
 
 
-def _still_split(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """The entries, with their labels, of lists that hold more than one label."""
-    known = entries.join(labels.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("label", F.coalesce("root", "a")).drop("root")
-    known = cut(known)
-    many = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    return cut(known.join(many, "token", "left_semi"))
+def _still_split(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, int]:
+    """The entries of lists that hold more than one label, with theirs; how many pairs of different labels they have; and their number."""
+    known = cut(_labelled(entries, "a", labels, "label"))
+    sizes = known.groupBy("token", "label").agg(F.count("*").cast("double").alias("c"))
+    sizes = cut(sizes.groupBy("token").agg(F.sum("c").alias("m"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("work"), F.max(F.struct("c", "label"))["label"].alias("top")).filter("work > 0"))
+    total = sizes.agg(F.sum("work").alias("work"), F.sum("m").alias("n")).first()
+    return known.join(sizes.select("token", F.col("m").cast("long").alias("m"), "top"), "token"), total["work"] or 0, total["n"] or 0
+
+
+def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    found = rows.join(labels.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left")
+    return found.withColumn(name, F.coalesce(name, column))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different labels."""
+    return _labelled(_labelled(pairs, "a", labels, "l_a"), "b", labels, "l_b").filter("l_a <> l_b").select("a", "b")
+
+
+def _hub_pairs(split: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the entries of each list with a hub of its largest classes: linear in the entries.
+
+    The classes are dealt over HUBS parts, and the largest of each part has a hub: at first the set with
+    the smallest part of rarer shingles, later others by a hash.
+    """
+    key = (F.col("pos") / F.col("n")) if turn == 0 else F.xxhash64("a", F.lit(turn)).cast("double")
+    part = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(HUBS))
+    classes = split.withColumn("part", part).groupBy("token", "part", "label").agg(F.count("*").alias("c"), F.min(F.struct(key.alias("key"), "a", "n", "pos")).alias("e"))
+    hubs = classes.groupBy("token", "part").agg(F.max(F.struct("c", "label", "e")).alias("best"))
+    hubs = hubs.select("token", F.col("best.label").alias("h_label"), F.col("best.e.a").alias("h"), F.col("best.e.n").alias("h_n"), F.col("best.e.pos").alias("h_pos"))
+    both = split.join(hubs, "token").filter("label <> h_label")
+    small = F.when(F.col("n") <= F.col("h_n"), F.col("pos")).otherwise(F.col("h_pos"))
+    low, high = F.least("n", "h_n"), F.greatest("n", "h_n")
+    both = both.filter((5 * low >= 4 * high) & (small <= low - F.expr("(8 * least(n, h_n) + 8) div 9")) & (F.least(F.col("n") - F.col("pos"), F.col("h_n") - F.col("h_pos")) >= F.expr("(4 * (n + h_n) + 8) div 9")))
+    return both.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
+
+
+def _all_rest(split: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every pair of different labels of each list that the bounds leave: what isn't in a list's largest class, against all.
+
+    A list is dealt over parts of about PART entries; the probes go to each of them.
+    """
+    rows = split.join(answers.select(F.col("sig").alias("a"), "hub", "o"), "a", "left").withColumn("hub", F.coalesce("hub", "a")).withColumn("o", F.coalesce("o", "n"))
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    names = [x.split()[0] for x in _REST.split(", ")]
+    entries = rows.withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).withColumn("probe", F.lit(False))
+    probes = rows.filter("label <> top").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("probe", F.lit(True))
+    dealt = entries.select(*names).unionByName(probes.select(*names))
+    return dealt.repartition(partitions(split.sparkSession), "token", "part").sortWithinPartitions("token", "part", "probe").mapInArrow(_rest, "a long, b long")
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:

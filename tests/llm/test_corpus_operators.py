@@ -184,6 +184,23 @@ def test_packing(docs, texts, spark):
     assert check_packing(packing.pack(frame), few + extra) > 0.9
 
 
+def test_ids_are_the_tokenizers(monkeypatch):
+    """Of words of all kinds, while the memory overflows again and again, and of a text that is read in stretches."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "MEMO", 50)
+    t, r, words = Tokenizer.from_file(packing.tokenizer_path()), random.Random(6), packing.WordIds(packing.tokenizer_path())
+    alphabet = ["a", "B", "z", "'s", "'LL", ".", ",", "...", "é", "É", "İ", "ı", "ß", "Σ", "ς", "1", "½", "<|", "|>", "</w>", "\u00a0", "\u2003", "\u200d", "\u0301", "\u4e2d", "\U0001f600", "\x00", "-", "#"]
+    texts = ["".join(r.choice([*alphabet, " ", "\t", "\n", "the", "of"]) for _ in range(r.randrange(60))) for _ in range(300)]
+    texts += [None, "", " , . ", "." * 40, "a, b. c.. d.,", "<|endoftext|>"]
+    for _ in range(2):
+        got = list(packing.token_ids(words, pa.array(texts)))
+        assert got == [(i, np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, x in enumerate(texts)]
+    monkeypatch.setattr(packing._text, "BLOCK", 64)
+    long = " ".join(x for x in texts if x) + " " + "y" * 300
+    assert list(packing.token_ids(words, pa.array([long]))) == [(0, np.array(t.encode(long, add_special_tokens=False).ids + [1], "<u4").tobytes())]
+
+
 def test_packing_empty_and_repeats(nothing, spark):
     assert packing.pack(nothing).count() == 0
     rows = packing.pack(spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")).collect()
@@ -250,6 +267,47 @@ def test_dealt_lists_with_few_sets(spark, monkeypatch):
     assert got == brute.components(rows)
 
 
+@pytest.mark.parametrize("wide", [0, 10**9])
+def test_what_remains_is_compared(spark, monkeypatch, wide):
+    """Variants without their common text, of several degrees, and two texts that share half: by turns of hubs, or at once."""
+    for name, value in (("SHORT", 3), ("HOT", 15), ("BUCKET", 5), ("COMMON_MIN", 4), ("WIDE", wide), ("PART", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r, rows = random.Random(8), []
+    base = [f"w{r.randrange(500)}" for _ in range(70)]
+    other = base[:35] + [f"v{r.randrange(500)}" for _ in range(35)]
+    for i in range(150):
+        words = list(base if i % 3 else other)
+        for _ in range(r.randrange(1, 4)):
+            words[r.randrange(len(words))] = f"x{r.randrange(12)}"
+        rows.append((i, " ".join(words[r.randrange(3) :])))
+    want = brute.components(rows)
+    assert 5 < len({c for _, c in want.values()}) < 140
+    got = rows_by_id(jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == want
+
+
+def test_answers_are_derived(spark):
+    """Overlaps by the differences from a hub equal those of whole sets."""
+    r = random.Random(4)
+    sets = [sorted(r.sample(range(40), r.randrange(20, 36))) for _ in range(14)]
+    frame = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "sig long, n long, tokens array<long>")
+    known = spark.createDataFrame([(0, i) for i in range(1, 12)] + [(1, 12)], "a long, b long")
+    joined = jaccard_join._Sets.joined(jaccard_join._with_hubs(known), frame).select("a", "b", "hub", "n_a", "n_b", F.array_except("t_a", "t_b").alias("only_a"), F.array_except("t_b", "t_a").alias("only_b"))
+    answers = jaccard_join._answers(joined)
+    hubs = {x["sig"]: x["hub"] for x in answers.collect()}
+    assert hubs == {i: 0 for i in range(1, 12)} | {12: 1}
+    for x in answers.collect():
+        hub, own = set(sets[x["hub"]]), set(sets[x["sig"]])
+        assert (x["n"], x["o"], set(x["gone"]), set(x["extra"])) == (len(own), len(own & hub), hub - own, own - hub)
+    pairs = spark.createDataFrame([(i, j) for i in range(14) for j in range(i)], "a long, b long")
+    told = jaccard_join._derived(pairs, answers).collect()
+    assert sum(x["same"] for x in told) == 11 * 10 // 2
+    for x in told:
+        a, b = set(sets[x["a"]]), set(sets[x["b"]])
+        if x["same"]:
+            assert x["linked"] == (100 * len(a & b) >= 80 * len(a | b))
+
+
 def test_near_duplicates_odd_rows(nothing, spark):
     assert jaccard_join.near_duplicates(nothing).count() == 0
     rows = [(None, "a b c d e f"), (4, "A B C D E F"), (4, "a b c d e f"), (None, None)]
