@@ -7,11 +7,15 @@ counted over the whole corpus first; segments whose minimiser occurs once stay w
 frequent ones yield to any other in the window, so that a line that very many documents share
 doesn't gather their text in one place. Equal segments are one where they are read.
 
-A shard has an FM-index of its segments: the Burrows-Wheeler transform in a wavelet matrix of
-packed bits with rank counts, and marks where neighbouring suffixes share fewer than WINDOW words.
-Segments are streamed through it from their ends: each word is a step of the backward search, and
-past WINDOW words the interval is widened to that depth, which is the matching statistic cut off
-there. A window whose interval holds an earlier position is removed.
+A shard's segments are in order of document and place, and make blocks of about BLOCK words. Each
+block in turn is an FM-index: the Burrows-Wheeler transform in a wavelet matrix of packed bits
+with rank counts, how many symbols neighbouring suffixes share (WINDOW at most), and the earliest
+place of each run of suffixes that share so many. The segments of that block and of all later ones
+are streamed through it from their ends: each word is a step of the backward search; where the
+interval becomes empty, it is widened to the longest shorter match that can go on. That gives each
+place's matching statistic, cut off at WINDOW words. A window that reaches WINDOW in an earlier
+block is removed, and one of the same block if the run's earliest place is before its own. A task
+holds one index at a time, and a shard's distinct segments.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; a null doc_id
 counts as the largest; rows with one doc_id and different texts are ordered by a hash of the text,
@@ -35,8 +39,10 @@ from graphloom.llm._shared import bloom, cut, in_bloom, partitions
 WINDOW, GRAM = 20, 5
 #: Minimisers that occur more often yield to others; so many are known to all workers.
 FREQUENT, FREQUENT_KEPT = 500, 1 << 16
-#: Words in a shard, on average.
-SHARD = 400_000
+#: Words in a shard, on average, and in the part of it that one index is of.
+SHARD, BLOCK = 400_000, 200_000
+#: So many words of a shard are held before copies among its segments are put together.
+HELD = 4_000_000
 _U = np.uint64
 _PLACE = _U((1 << 28) - 1)
 _LAST = (1 << 63) - 1
@@ -98,16 +104,41 @@ def _known(bucket: np.ndarray, doc: np.ndarray, version: np.ndarray, lo: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(n, pa.binary()), *map(pa.array, (doc, version, lo, hi))], names=["bucket", "segments", "doc_id", "version", "lo", "hi"])
 
 
+def _run_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit keys of the runs of words from a to b."""
+    n = len(hashes)
+    p, q = (_text._P, _text._Q) if n <= _text.BLOCK else (_text._powers(_text._BASE, n), _text._powers(_text._INV, n))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * p[:n], out=sums[1:])
+    return _text.mix((sums[b] - sums[a]) * q[a])
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the runs that start at begin."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _copies(key, size, doc, version, start, begin, text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of segments by key, length and place; which of these are copies of the one at head, the earliest, word by word; and head."""
+    order = np.lexsort((start, version, doc, size, key))
+    again = np.append(False, (key[order][1:] == key[order][:-1]) & (size[order][1:] == size[order][:-1]))[: len(order)]
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+    at = np.flatnonzero(again)
+    if len(at):
+        n = size[order[at]]
+        equal = text[_spread(begin[order[at]], n)] == text[_spread(begin[order[head[at]]], n)]
+        again[at] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return order, again, head
+
+
 def _cut_out(words: np.ndarray, frequent: np.ndarray, shards: int, chunk: int = 1 << 20):
     """Rows (bucket, segments) of the runs of windows that may be repeated, and rows (doc_id, version, lo, hi) of those that are for certain."""
 
     def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         bucket, doc, version, start, size, key, text = (np.concatenate(x) for x in zip(*parts))
         begin = np.cumsum(size) - size
-        order = np.lexsort((start, version, doc, size, key))
-        again = np.append(False, (key[order][1:] == key[order][:-1]) & (size[order][1:] == size[order][:-1]))
+        order, again, head = _copies(key, size, doc, version, start, begin, text)
         # an equal place is the same row of a repeated document, which isn't earlier
-        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
         same = lambda c: c[order] == c[order[head]]
         later = order[again & ~(same(doc) & same(version) & same(start))]
         if len(later):
@@ -120,8 +151,7 @@ def _cut_out(words: np.ndarray, frequent: np.ndarray, shards: int, chunk: int =
         blobs = []
         for i, j in zip(at, np.append(at[1:], len(kept))):
             k = kept[i:j]
-            take = np.repeat(begin[k] - (np.cumsum(size[k]) - size[k]), size[k]) + np.arange(size[k].sum())
-            blobs.append(b"".join(x.tobytes() for x in (np.array([len(k)], np.int64), doc[k], version[k], start[k], size[k], text[take])))
+            blobs.append(b"".join(x.tobytes() for x in (np.array([len(k)], np.int64), doc[k], version[k], start[k], size[k], text[_spread(begin[k], size[k])])))
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(bucket[kept][at]), pa.array(blobs, pa.binary()), none, none, none, none], names=["bucket", "segments", "doc_id", "version", "lo", "hi"])
 
@@ -144,14 +174,8 @@ def _cut_out(words: np.ndarray, frequent: np.ndarray, shards: int, chunk: int =
                 new = np.append(True, (at[1:] != at[:-1] + 1) | (late[at][1:] != late[at][:-1]) | (of[1:] != of[:-1]))
                 a, b = at[new], at[np.append(new[1:], True)] + WINDOW
                 of = of[new]
-                n = len(w.hashes)
-                p, q = (_text._P, _text._Q) if n <= _text.BLOCK else (_text._powers(_text._BASE, n), _text._powers(_text._INV, n))
-                sums = np.zeros(n + 1, np.uint64)
-                np.cumsum(w.hashes * p[:n], out=sums[1:])
-                key = _text.mix((sums[b] - sums[a]) * q[a])
-                size = b - a
-                take = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                parts.append(((_text.mix(g[late[a]]) % _U(shards)).astype(np.int64), ids[row + of], versions[row + of], a - w.first[of], size, key, w.hashes[take]))
+                key, size = _run_keys(w.hashes, a, b), b - a
+                parts.append(((_text.mix(g[late[a]]) % _U(shards)).astype(np.int64), ids[row + of], versions[row + of], a - w.first[of], size, key, w.hashes[_spread(a, size)]))
                 held += int(size.sum())
                 if held >= chunk:
                     yield from out(parts)
@@ -162,44 +186,60 @@ def _cut_out(words: np.ndarray, frequent: np.ndarray, shards: int, chunk: int =
     return run
 
 
+class Bits:
+    """Packed bits with the number of ones before every 64th."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.zeros((len(bit) + 64) // 64 * 8, np.uint8)
+        raw = np.packbits(bit, bitorder="little")
+        packed[: len(raw)] = raw
+        self.words = packed.view(np.uint64)
+        self.ones = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.ones[1:])
+
+    def rank(self, end: np.ndarray) -> np.ndarray:
+        """How many ones are before each end."""
+        at = end >> 6
+        return self.ones[at] + np.bitwise_count(self.words[at] & ((_U(1) << (end & 63).astype(np.uint64)) - _U(1)))
+
+
 class WaveletMatrix:
-    """Rank queries over a sequence of small numbers: a row of packed bits a level, with counts of ones by word."""
+    """Rank queries over a sequence of numbers under `symbols`: a row of bits a level."""
 
     def __init__(self, sequence: np.ndarray, symbols: int):
-        self.levels = max(1, int(symbols - 1).bit_length())
-        self.bits, self.ones, self.zeros = [], [], []
-        n, seq = len(sequence), sequence
-        for level in range(self.levels - 1, -1, -1):
+        self.levels, self.zeros = [], []
+        seq = sequence
+        for level in range(max(1, int(symbols - 1).bit_length()) - 1, -1, -1):
             bit = ((seq >> level) & 1).astype(bool)
-            packed = np.zeros((n + 64) // 64 * 8, np.uint8)
-            raw = np.packbits(bit, bitorder="little")
-            packed[: len(raw)] = raw
-            word = packed.view(np.uint64)
-            counts = np.zeros(len(word) + 1, np.int32)
-            np.cumsum(np.bitwise_count(word), out=counts[1:])
-            self.bits.append(word)
-            self.ones.append(counts)
-            self.zeros.append(n - int(counts[-1]))
+            self.levels.append((level, Bits(bit)))
+            self.zeros.append(len(bit) - int(bit.sum()))
             seq = np.concatenate([seq[~bit], seq[bit]])
+        every = np.arange(symbols)
+        self.base = self._walk(every, np.zeros(symbols, np.int64))
+
+    def _walk(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
+        for (level, bits), zeros in zip(self.levels, self.zeros):
+            ones = bits.rank(end)
+            end = np.where((symbol >> level) & 1, zeros + ones, end - ones)
+        return end
 
     def rank(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each end."""
-        lo, hi = np.zeros_like(end), end
-        for i in range(self.levels):
-            bit = ((symbol >> (self.levels - 1 - i)) & 1).astype(bool)
-            one = [self.ones[i][x >> 6] + np.bitwise_count(self.bits[i][x >> 6] & ((_U(1) << (x & 63).astype(np.uint64)) - _U(1))) for x in (lo, hi)]
-            lo, hi = (np.where(bit, self.zeros[i] + c, x - c) for c, x in zip(one, (lo, hi)))
-        return hi - lo
+        return self._walk(symbol, end) - self.base[symbol]
 
 
 class FMIndex:
-    """Of a text of numbers over 0, in which 0 ends each segment; suffixes are in order of their first 32 symbols."""
+    """Of a text of symbols from 1 on, in which 0 ends each segment, for matches of `depth` symbols at most.
+
+    Suffixes are sorted by prefix doubling, as far as is needed to tell `depth` symbols apart; what
+    stays is the wavelet matrix, a byte a suffix for what it shares with the one before, and for each
+    run of suffixes that share `depth` symbols the earliest place.
+    """
 
     def __init__(self, text: np.ndarray, depth: int = WINDOW):
-        n = len(text)
-        ranks, rank = {}, np.unique(text, return_inverse=True)[1].astype(np.int64)
-        ranks[1], width = rank, 1
-        while width < 32:
+        n, self.depth, self.symbols = len(text), depth, int(text.max()) + 1
+        rank, width, order = text, 1, np.argsort(text, kind="stable")
+        while width < depth:
             after = np.zeros(n, np.int64)
             after[: max(0, n - width)] = rank[width:] + 1
             key = rank * (n + 1) + after
@@ -208,86 +248,165 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(step)
             width *= 2
-            ranks[width] = rank
-        self.places = order
-        self.starts = np.searchsorted(np.sort(text), np.arange(int(text.max()) + 2))
-        self.wavelet = WaveletMatrix(text[order - 1], int(text.max()) + 1)
-        # a suffix's first `depth` symbols, by the ranks of powers of two that make up depth
-        key, at = np.zeros(n, np.int64), 0
-        new = np.zeros(n, bool)
-        new[0] = True
-        for width in sorted((1 << b for b in range(6) if depth >> b & 1), reverse=True):
-            part = np.full(n, -1, np.int64)
-            part[: n - at] = ranks[width][at:]
-            new[1:] |= part[order][1:] != part[order][:-1]
-            at += width
-        self.group = np.cumsum(new) - 1
-        self.first = np.flatnonzero(new)
-        self.earliest = np.minimum.reduceat(order, self.first)
-
-    def repeated(self, text: np.ndarray, ends: np.ndarray, sizes: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-        """For every place of text whether the `depth` symbols there also start earlier; segments are streamed from their ends."""
-        out = np.zeros(len(text), bool)
-        row, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
+        self.size = n
+        self.starts = np.append(0, np.cumsum(np.bincount(text, minlength=self.symbols)))
+        self.wavelet = WaveletMatrix(text[order - 1], self.symbols)
+        self.shared = np.zeros(n + 1, np.uint8)
+        same = np.arange(1, n)
+        for k in range(depth):
+            x, y = order[same] + k, order[same - 1] + k
+            same = same[(np.maximum(x, y) < n) & (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)])]
+            self.shared[same] = k + 1
+        self._runs: dict[int, tuple[Bits, np.ndarray]] = {}
+        self.earliest = np.minimum.reduceat(order, self._run(depth)[1][:-1])
+
+    def _run(self, k: int) -> tuple[Bits, np.ndarray]:
+        """Of the runs of suffixes that share k symbols: a bit at each first row, and these rows, with the end behind."""
+        if k not in self._runs:
+            first = self.shared[:-1] < k
+            first[0] = True
+            self._runs[k] = Bits(first), np.append(np.flatnonzero(first), self.size).astype(np.int32)
+        return self._runs[k]
+
+    def _widened(self, lo: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first k symbols of the suffixes at rows lo."""
+        a, b = np.zeros_like(lo), np.full_like(lo, self.size)
+        for depth in np.unique(k[k > 0]):
+            at = np.flatnonzero(k == depth)
+            bits, rows = self._run(int(depth))
+            run = bits.rank(lo[at] + 1) - 1
+            a[at], b[at] = rows[run], rows[run + 1]
+        return a, b
+
+    def _step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo, hi])) + np.tile(self.starts[c], 2)
+        return found[: len(c)], found[len(c) :]
+
+    def statistics(self, query: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every place of query, `depth` at most: how many symbols from there on, in the segment, occur in the text; and the earliest place where `depth` do.
+
+        query has the text's symbols, and 0 for any other; segments of the given sizes stop at ends.
+        """
+        length, place = np.zeros(len(query), np.int64), np.full(len(query), self.size)
+        low, high, depth = np.zeros(len(ends), np.int64), np.full(len(ends), self.size), np.zeros(len(ends), np.int64)
+        live = np.arange(len(ends))
         for step in range(int(sizes.max()) if len(sizes) else 0):
             live = live[sizes[live] > step]
             at = ends[live] - 1 - step
-            c = text[at]
-            row[live] = self.starts[c] + self.wavelet.rank(c, row[live])
-            if step >= depth - 1:
-                group = self.group[row[live]]
-                row[live] = self.first[group]
-                out[at] = self.earliest[group] < at
-        return out
-
-
-def _repeated_spans(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    cols: list[list[np.ndarray]] = [[], [], [], [], []]
-    for blob in blobs:
-        raw = np.frombuffer(blob, np.int64)
-        m = int(raw[0])
-        for k in range(4):
-            cols[k].append(raw[1 + k * m : 1 + (k + 1) * m])
-        cols[4].append(raw[1 + 4 * m :])
-    doc, version, start, size, words = (np.concatenate(c) for c in cols)
-    begin = np.cumsum(size) - size
-    order = np.lexsort((start, version, doc))
-    # a repeated row's segments are at one place, which is listed once
-    same = np.append(False, (doc[order][1:] == doc[order][:-1]) & (version[order][1:] == version[order][:-1]) & (start[order][1:] == start[order][:-1]))
-    order = order[~same]
-    doc, version, start, size, begin = doc[order], version[order], start[order], size[order], begin[order]
-    ids = np.unique(words, return_inverse=True)[1] + 1
+            c = query[at]
+            lo, hi, d = low[live], high[live], depth[live]
+            lo[c == 0], hi[c == 0], d[c == 0] = 0, self.size, 0
+            x, y = lo.copy(), hi.copy()
+            todo = np.flatnonzero(c)
+            while len(todo):
+                x[todo], y[todo] = self._step(c[todo], lo[todo], hi[todo])
+                todo = todo[x[todo] >= y[todo]]
+                d[todo] = np.maximum(self.shared[lo[todo]], self.shared[hi[todo]])
+                lo[todo], hi[todo] = self._widened(lo[todo], d[todo])
+            d[c > 0] += 1
+            over = np.flatnonzero(d >= self.depth)
+            if len(over):
+                d[over] = self.depth
+                bits, rows = self._run(self.depth)
+                run = bits.rank(x[over] + 1) - 1
+                x[over], y[over] = rows[run], rows[run + 1]
+                place[at[over]] = self.earliest[run]
+            length[at] = d
+            low[live], high[live], depth[live] = x, y, d
+        return length, place
+
+
+def _laid_out(words: np.ndarray, begin: np.ndarray, size: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments one after another, each with 0 behind, as numbers from 1 on of the known words, 0 for others; and the segments' ends."""
     ends = np.cumsum(size + 1) - 1
     text = np.zeros(int(ends[-1]) + 1, np.int64)
     inside = np.ones(len(text), bool)
     inside[ends] = False
-    text[inside] = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    hit = np.flatnonzero(FMIndex(text).repeated(text, ends, size))
-    if not len(hit):
-        return
-    of = np.searchsorted(ends, hit, "right")
-    new = np.append(True, (hit[1:] != hit[:-1] + 1) | (of[1:] != of[:-1]))
-    a, b, of = hit[new], hit[np.append(new[1:], True)], of[new]
-    base = ends[of] - size[of]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[of], version[of], start[of] + a - base, start[of] + b - base + WINDOW)], names=["doc_id", "version", "lo", "hi"])
+    w = words[_spread(begin, size)]
+    at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+    text[inside] = np.where(known[at] == w, at + 1, 0)
+    return text, ends
+
+
+class _Shard:
+    """The distinct segments of a shard, with the spans that are known to be copies."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held, self.room = 0, HELD
+
+    def add(self, blob: bytes) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(blob, np.int64)
+        m = int(raw[0])
+        self.parts.append((*(raw[1 + k * m : 1 + (k + 1) * m] for k in range(4)), raw[1 + 4 * m :].view(np.uint64)))
+        self.held += len(raw)
+        if self.held > self.room:
+            yield from self._put_together()
+            self.room = max(HELD, 2 * self.held)
+
+    def _put_together(self) -> Iterator[pa.RecordBatch]:
+        """Segments in order of document and place, once each; later copies come out as spans."""
+        doc, version, start, size, words = (np.concatenate(c) for c in zip(*self.parts))
+        begin = np.cumsum(size) - size
+        order, again, head = _copies(_run_keys(words, begin, begin + size), size, doc, version, start, begin, words)
+        same = lambda c: c[order] == c[order[head]]
+        # a repeated row's segments are at one place, which is listed once
+        later = order[again & ~(same(doc) & same(version) & same(start))]
+        if len(later):
+            yield _spans(doc[later], version[later], start[later], start[later] + size[later])
+        kept = order[~again]
+        kept = kept[np.lexsort((start[kept], version[kept], doc[kept]))]
+        self.parts = [(doc[kept], version[kept], start[kept], size[kept], words[_spread(begin[kept], size[kept])])]
+        self.held = len(self.parts[0][4])
+
+    def spans(self) -> Iterator[pa.RecordBatch]:
+        """The intervals of words that repeated windows cover."""
+        yield from self._put_together()
+        doc, version, start, size, words = self.parts[0]
+        begin = np.cumsum(size) - size
+        cut_at = np.flatnonzero(np.diff(begin // BLOCK, prepend=-1))
+        blocks = [slice(i, j) for i, j in zip(cut_at, [*cut_at[1:], len(size)])]
+        repeated = [np.zeros(int(size[b].sum()) + b.stop - b.start, bool) for b in blocks]
+        for i, b in enumerate(blocks):
+            known = np.unique(words[begin[b.start] : begin[b.stop - 1] + size[b.stop - 1]])
+            text, _ = _laid_out(words, begin[b], size[b], known)
+            index = FMIndex(text)
+            for j in range(i, len(blocks)):
+                query, ends = _laid_out(words, begin[blocks[j]], size[blocks[j]], known)
+                length, place = index.statistics(query, ends, size[blocks[j]])
+                repeated[j] |= (length >= WINDOW) & (place < np.arange(len(query)) if i == j else True)
+        for b, hit in zip(blocks, repeated):
+            at, ends = np.flatnonzero(hit), np.cumsum(size[b] + 1) - 1
+            if not len(at):
+                continue
+            of = np.searchsorted(ends, at, "right")
+            new = np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]))
+            lo, hi, of = at[new], at[np.append(new[1:], True)], of[new]
+            base = ends[of] - size[b][of]
+            yield _spans(doc[b][of], version[b][of], start[b][of] + lo - base, start[b][of] + hi - base + WINDOW)
+
+
+def _spans(doc: np.ndarray, version: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, version, lo, hi)], names=["doc_id", "version", "lo", "hi"])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, shard, held = ["doc_id", "version", "lo", "hi"], None, []
+    bucket, shard = None, None
     for batch in batches:
         known = batch.filter(batch.column("segments").is_null())
         if known.num_rows:
-            yield known.select(names)
+            yield known.select(["doc_id", "version", "lo", "hi"])
         blobs = batch.column("segments")
         for i, x in enumerate(batch.column("bucket").to_pylist()):
-            if x != shard and held:
-                yield from _repeated_spans(held)
-                held = []
-            shard = x
-            if blobs[i].is_valid:
-                held.append(blobs[i].as_py())
-    if held:
-        yield from _repeated_spans(held)
+            if not blobs[i].is_valid:
+                continue
+            if x != bucket and shard is not None:
+                yield from shard.spans()
+                shard = None
+            bucket, shard = x, shard or _Shard()
+            yield from shard.add(blobs[i].as_py())
+    if shard is not None:
+        yield from shard.spans()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
