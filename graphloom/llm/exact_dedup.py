@@ -1,12 +1,12 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
 Every partition sorts its digests into a run and merges equal neighbours. Then runs are exchanged
-in rounds: in round r the FAN runs whose numbers differ in digit r alone deal their entries out
-by digit r of the digest, and each merges the FAN sorted pieces that it gets, retaining the
-smallest identifier and the count of each digest. After log_FAN(runs) rounds every digest is in
-the one run that its digits name. A group of copies of any size is one entry a run and round.
-Equal neighbours are verified by the whole 256-bit digest and the length, not by the 64 bits
-that the exchange reads.
+in rounds: in round r the FAN runs whose numbers differ in digit r alone cut themselves up by digit
+r of the digest, pieces stay sorted, and each run merges the FAN sorted pieces that it gets,
+retaining the smallest identifier and the count of each digest. After log_FAN(runs) rounds every
+digest is in the one run that its digits name. A group of copies of any size is one entry a run and
+round. Equal neighbours are verified by the whole 256-bit digest and the length at every level. Runs
+travel as arrays; a task holds the pieces of its runs, 56 bytes a distinct digest.
 
 Defined cases: a null text counts as empty; texts that differ only in runs of white space are
 equal; a null doc_id counts as the largest; of rows that repeat both doc_id and text exactly one
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,47 +35,110 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges neighbours with the same (run, digest, n_bytes) in sorted rows; the last entry is carried over."""
-    carry = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch] if carry is None else [carry, batch])
-        batch = t.combine_chunks().to_batches()[0]
-        n = batch.num_rows
-        digest = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint64).reshape(n, 4)
-        run, size = (batch.column(c).to_numpy() for c in ("run", "n_bytes"))
-        new = np.ones(n, bool)
-        new[1:] = (run[1:] != run[:-1]) | (size[1:] != size[:-1]) | (digest[1:] != digest[:-1]).any(1)
-        at = np.flatnonzero(new)
-        ids = np.minimum.reduceat(batch.column("keep_id").to_numpy(), at)
-        count = np.add.reduceat(batch.column("group_size").to_numpy(), at)
-        out = batch.take(pa.array(at))
-        out = pa.RecordBatch.from_arrays([out.column("run"), out.column("digest"), out.column("n_bytes"), pa.array(ids), pa.array(count)], schema=batch.schema)
-        carry = out.slice(out.num_rows - 1)
-        yield out.slice(0, out.num_rows - 1)
-    if carry is not None:
-        yield carry
-
-
-_ENTRY = "run int, digest binary, n_bytes long, keep_id long, group_size long"
 _LAST = (1 << 63) - 1  #: stands for a null doc_id
+_WIDTH = 7  #: rows of a run: the digest's four words, n_bytes, keep_id, group_size
+
+
+def merge(pieces: list[np.ndarray]) -> np.ndarray:
+    """One sorted run of sorted pieces (_WIDTH, n); equal digests become one entry.
+
+    The stable sort by the digests' first words finds the pieces' order and merges them; what ties there
+    and isn't equal is put in order by the rest.
+    """
+    e = np.concatenate(pieces, 1)
+    e = e[:, np.argsort(e[0], kind="stable")]
+    tie, differ = e[0, 1:] == e[0, :-1], (e[1:5, 1:] != e[1:5, :-1]).any(0)
+    if (tie & differ).any():
+        e = e[:, np.lexsort(e[4::-1])]
+        tie, differ = e[0, 1:] == e[0, :-1], (e[1:5, 1:] != e[1:5, :-1]).any(0)
+    at = np.flatnonzero(np.append(True, ~tie | differ))[: e.shape[1]]
+    if len(at) < e.shape[1]:
+        ids = np.minimum.reduceat(e[5].view(np.int64), at)
+        counts = np.add.reduceat(e[6], at)
+        e = e[:, at]
+        e[5], e[6] = ids.view(np.uint64), counts
+    return e
+
+
+_RUN = "run int, piece binary"
+
+
+def _dealt(run: int, e: np.ndarray, r: int) -> Iterator[pa.RecordBatch]:
+    """A run's pieces for round r, each under the run that it goes to."""
+    bits = FAN.bit_length() - 1
+    digit = (e[0] >> np.uint64(64 - bits * (r + 1))) & np.uint64(FAN - 1)
+    base = run - run // FAN**r % FAN * FAN**r
+    for d in range(FAN):
+        piece = e[:, digit == d]
+        if piece.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array([base + d * FAN**r], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["run", "piece"])
+
+
+def _first_runs(runs: int, chunk: int = 1 << 17):
+    """Each partition's digests as a sorted run, cut up for the first round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sorted_, fresh, size = [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e = np.empty((_WIDTH, batch.num_rows), np.uint64)
+            e[:4] = np.frombuffer(b"".join(batch.column("digest").to_pylist()), ">u8").reshape(-1, 4).T
+            e[4] = batch.column("n_bytes").to_numpy().view(np.uint64)
+            e[5] = batch.column("keep_id").to_numpy().view(np.uint64)
+            e[6] = 1
+            fresh.append(e)
+            size += batch.num_rows
+            if size > chunk:
+                sorted_.append(merge(fresh))
+                fresh, size = [], 0
+        pieces = [*sorted_, *([merge(fresh)] if fresh else [])]
+        if pieces:
+            yield from _dealt(TaskContext.get().partitionId() % runs, merge(pieces), 0)
+
+    return run
+
+
+def _merge_round(r: int, rounds: int):
+    """Merges the pieces of each run, and cuts the run up for round r, or gives its entries out after the last."""
+
+    def out(run: int, pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+        e = merge([np.frombuffer(x, np.uint64).reshape(_WIDTH, -1) for x in pieces])
+        if r < rounds:
+            yield from _dealt(run, e, r)
+            return
+        for i in range(0, e.shape[1], 1 << 16):
+            part = e[:, i : i + (1 << 16)]
+            raw = part[:4].T.astype(">u8").tobytes()
+            digests = pa.Array.from_buffers(pa.binary(32), part.shape[1], [None, pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in part[4:])], names=["digest", "n_bytes", "keep_id", "group_size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            pieces = batch.column("piece")
+            for i, name in enumerate(batch.column("run").to_pylist()):
+                if name != now and held:
+                    yield from out(now, held)
+                    held = []
+                now = name
+                held.append(pieces[i].as_py())
+        if held:
+            yield from out(now, held)
+
+    return run
 
 
 def tree_merge(digests: DataFrame) -> DataFrame:
     """digest, n_bytes, keep_id, group_size of the distinct digests of rows (doc_id, digest, n_bytes)."""
     n = partitions(digests.sparkSession)
     rounds = max(1, math.ceil(math.log(n, FAN)))
-    digit = lambda r: F.expr(f"cast(conv(substr(hex(digest), {r + 1}, 1), 16, 10) as int) % {FAN}")
-    runs = digests.select(
-        F.pmod(F.spark_partition_id(), F.lit(FAN**rounds)).alias("run"), "digest", "n_bytes", F.coalesce("doc_id", F.lit(_LAST)).alias("keep_id"), F.lit(1).cast("long").alias("group_size")
-    ).sortWithinPartitions("run", "digest", "n_bytes").mapInArrow(_merged, _ENTRY)
-    for r in range(rounds):
-        step = FAN**r
-        to = F.expr(f"run - (cast(floor(run / {step}) as int) % {FAN}) * {step}") + digit(r) * step
-        runs = runs.withColumn("run", to.cast("int")).repartition(n, "run").sortWithinPartitions("run", "digest", "n_bytes").mapInArrow(_merged, _ENTRY)
-    return runs.drop("run")
+    rows = digests.select("digest", "n_bytes", F.coalesce("doc_id", F.lit(_LAST)).alias("keep_id"))
+    runs = rows.mapInArrow(_first_runs(FAN**rounds), _RUN)
+    for r in range(1, rounds + 1):
+        kind = _RUN if r < rounds else "digest binary, n_bytes long, keep_id long, group_size long"
+        runs = runs.repartition(n, "run").sortWithinPartitions("run").mapInArrow(_merge_round(r, rounds), kind)
+    return runs
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
