@@ -1,11 +1,13 @@
 """WARC archives: writing with segmentation and revisit records, and reading with reassembly.
 
-Archives are written by Spark's own text writer with the record separator CRLF CRLF as line end
-(gzip, a bounded number of records a file) and read by its binaryFile reader, so any store that
-Spark reaches will do. A record's HTTP body is in chunked framing. A body over SEGMENT bytes is
-cut: the response record carries segment 1 and continuation records the rest; the reader groups
-these by the origin's record id, orders them by segment number, verifies numbers and total length,
-and only then decodes the chunks.
+Each record is a gzip member of its own, so that an archive can be read from any record on.
+Archives are written by Spark's own text writer, whose line end is an empty gzip member, and read by
+its binaryFile reader, so any store that Spark reaches will do. A record's HTTP body is in chunked
+framing. A body over SEGMENT bytes is cut: the response record carries segment 1 and continuation
+records the rest. So a file's size is bounded by RECORDS_PER_FILE records of about SEGMENT bytes, and
+a reader holds a file as it is stored and one record. It groups continuation records by the origin's
+record id, orders them by segment number, verifies numbers and total length, and only then decodes
+the chunks.
 
 Defined cases: a null html is an empty payload; a null url is `urn:page:<id>`; rows with the same
 page_id (or none) are told apart by their digest and their ordinal among themselves; pages of one
@@ -16,6 +18,7 @@ segment chain raises ValueError; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -27,12 +30,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._shared import cut, shared_folder
 
-SEGMENT = 32 * 1024
+SEGMENT = 8 * 1024
 CHUNK = 4096
 MIN_SHARED = 1000
 RECORDS_PER_FILE = 2048
 SALTS = 64
 _NONE = -(1 << 63)  #: stands for a null page_id in joins
+#: An empty gzip member: what the text writer puts behind each record.
+_NOTHING = gzip.compress(b"", mtime=0).decode("latin-1")
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -69,7 +74,7 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def page_records(page_id, nth: int, url: str | None, payload: bytes, kind: str, refers_to, segment: int = SEGMENT) -> Iterator[bytes]:
-    """A page's records, without the CRLF CRLF that ends each."""
+    """A page's records, without the two line ends behind each."""
     digest = hashlib.sha1(payload)
     sha1 = "sha1:" + base64.b32encode(digest.digest()).decode()
     me = record_id(page_id, digest.hexdigest(), nth)
@@ -98,8 +103,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
             for rec in page_records(get("page_id"), get("nth"), get("url"), (get("html") or "").encode(), get("record_type"), get("refers_to")):
-                out.append(rec)
-                size += len(rec)
+                out.append(gzip.compress(rec + b"\r\n\r\n", 6, mtime=0))
+                size += len(out[-1])
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
                 out, size = [], 0
@@ -127,10 +132,10 @@ def plan_records(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
 
 
 def write_warc(planned: DataFrame, path: str) -> None:
-    """Writes planned pages as gzipped WARC files under path."""
+    """Writes planned pages as WARC files of gzip members under path."""
     rows = planned.select("page_id", "nth", "url", "html", "record_type", "refers_to")
     records = rows.mapInArrow(_encode, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(path)
+    records.write.option("lineSep", _NOTHING).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,6 +155,23 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of gzip members that hold anything, one at a time; plain data is one."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while at < len(data):
+        one, out = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("gzip member without its end")
+            out.append(one.decompress(data[at : at + step]))
+            at += min(step, len(data) - at) - len(one.unused_data)
+        if whole := b"".join(out):
+            yield whole
+
+
 _PARSED = "record_id string, page_id long, record_type string, refers_to long, digest string, segment int, total long, origin string, block binary"
 _PARSED_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("origin", pa.string()), ("block", pa.binary())])
 
@@ -159,9 +181,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cell in batch.column("content"):
             data = cell.as_buffer().to_pybytes()
-            data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
             rows, size = [], 0
-            for h, block in parse_records(data):
+            for h, block in (record for member in members(data) for record in parse_records(member)):
                 me = h["warc-record-id"]
                 rows.append((me, number(h.get("x-page-id")), h["warc-type"], number(h.get("x-refers-to-page-id")), h.get("warc-payload-digest"), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), h.get("warc-segment-origin-id", me), block))
                 size += len(block)
