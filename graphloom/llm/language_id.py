@@ -1,10 +1,11 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network is trained here, in numpy, by backpropagation through time. It reads segments, a word
-with a space on either side (words over SPAN bytes in pieces), in both directions, and labels
-every position with probabilities of the languages; a document's are the mean over all positions
-of its whole text. The state starts anew with each segment, so a segment that occurs many times
-in a stretch of text is computed once and counted as often as it occurs.
+The network is trained here, in numpy, by backpropagation through time. It reads every byte of a
+text in both directions, over words and spaces alike, and labels every position with
+probabilities of the languages; a document's are the mean over all positions of its whole text.
+So that many positions are computed at once, a text is read in windows of BODY bytes. A window's
+states are those of WARM further bytes of the text before it (behind it, in the other direction),
+at which they start from zero, as they do at the text's ends.
 
 Defined cases: text that is null or has no letter is `und` with score 0; a null lang is not
 learned from; with no labelled row every document is `und`; repeated rows agree; an empty table
@@ -21,16 +22,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 from graphloom.llm import _text
 
-SPAN = 30
+BODY, WARM = 256, 24
 HIDDEN = 16
-#: The bounded sample that is learned from: so many labelled documents, and words of each.
-TRAIN_DOCS, TRAIN_WORDS = 1500, 64
-#: Bytes of text whose equal segments are computed once.
-STRETCH = 4 << 20
+#: The bounded sample that is learned from: so many labelled documents, and pieces of PIECE bytes of each, spread over its text.
+TRAIN_DOCS, TRAIN_PIECES, PIECE = 1500, 12, 48
+#: Windows that are read at once.
+WINDOWS = 2048
+#: Documents of which no language has this mean probability are rejected by the pipeline's stage.
+MIN_SCORE = 0.3
 UNDETERMINED = "und"
 
 
@@ -70,16 +73,6 @@ def _scan(net: Network, d: int, bytes_: np.ndarray, on: np.ndarray, keep: list |
     return out
 
 
-def probabilities(net: Network, bytes_: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """(time, batch, languages): every position's label probabilities."""
-    on = np.arange(bytes_.shape[1]) < length[:, None]
-    states = np.concatenate([_scan(net, 0, bytes_, on), _scan(net, 1, bytes_, on)], 2)
-    score = states @ net.w + net.b
-    score -= score.max(2, keepdims=True)
-    np.exp(score, out=score)
-    return score / score.sum(2, keepdims=True)
-
-
 def gradients(net: Network, bytes_: np.ndarray, length: np.ndarray, label: np.ndarray) -> tuple[float, Network]:
     """Mean cross entropy of all positions, and its gradient by backpropagation through time."""
     n, t = bytes_.shape
@@ -117,17 +110,16 @@ def gradients(net: Network, bytes_: np.ndarray, length: np.ndarray, label: np.nd
     return loss, g
 
 
-def train(words: list[bytes], labels: np.ndarray, languages: int, steps: int = 350, batch: int = 512, rate: float = 0.02, seed: int = 7) -> Network:
-    """Adam on batches of words of like length."""
+def train(pieces: list[bytes], labels: np.ndarray, languages: int, steps: int = 180, batch: int = 384, rate: float = 0.02, seed: int = 7) -> Network:
+    """Adam on batches of pieces of text."""
     net, r = start(languages, seed=seed), np.random.default_rng(seed)
     m, v = [np.zeros_like(x) for x in net], [np.zeros_like(x) for x in net]
-    size = np.array([len(x) for x in words])
-    order = np.lexsort((r.random(len(words)), size))
-    groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-    for step in range(1, steps + 1 if groups else 1):
-        at = groups[r.integers(len(groups))]
-        b, n = segments(np.frombuffer(b"".join(words[i] for i in at), np.uint8), np.cumsum([0, *size[at][:-1]]), np.cumsum(size[at]))
-        _, g = gradients(net, b, n, labels[at])
+    size = np.array([len(x) for x in pieces])
+    for step in range(1, steps + 1 if len(pieces) else 1):
+        at = r.integers(len(pieces), size=min(batch, len(pieces)))
+        rows = np.full((len(at), int(size[at].max())), 32, np.uint8)
+        rows[np.arange(rows.shape[1]) < size[at][:, None]] = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8)
+        _, g = gradients(net, rows, size[at], labels[at])
         pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for i, (w, d) in enumerate(zip(net, g)):
             m[i] += 0.1 * (d - m[i])
@@ -136,58 +128,73 @@ def train(words: list[bytes], labels: np.ndarray, languages: int, steps: int = 3
     return net
 
 
-def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte rows of the spans with a space before and behind, and their lengths with these."""
-    size = ends - starts
-    wide = int(size.max()) if len(size) else 0
-    at = starts[:, None] + np.arange(wide)
-    rows = np.full((len(size), wide + 2), 32, np.uint8)
-    inside = np.arange(wide) < size[:, None]
-    rows[:, 1:-1][inside] = data[at[inside]]
-    return rows, size + 2
-
-
-def cut_long(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of SPAN bytes at most, and the span each is of."""
-    pieces = np.maximum(1, -(-(ends - starts) // SPAN))
-    of = np.repeat(np.arange(len(starts)), pieces)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    s = starts[of] + nth * SPAN
-    return s, np.minimum(s + SPAN, ends[of]), of
-
-
-def label_segments(net: Network, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, batch: int = 2048) -> np.ndarray:
-    """Per span the sum over its positions of the label probabilities, and the number of positions."""
-    out = np.zeros((len(starts), net.b.size + 1), np.float32)
-    order = np.argsort(ends - starts, kind="stable")
-    for i in range(0, len(order), batch):
-        at = order[i : i + batch]
-        rows, n = segments(data, starts[at], ends[at])
-        p = probabilities(net, rows, n)
-        p *= (np.arange(rows.shape[1])[:, None] < n)[:, :, None]
-        out[at, :-1], out[at, -1] = p.sum(0), n
-    return out
+def _read(net: Network, d: int, data: np.ndarray, place: np.ndarray, on: np.ndarray, score: np.ndarray) -> None:
+    """Direction d over places (time, windows) of data: adds the last len(score) steps' part of the label scores.
+
+    Where `on` is false the state is zero. Gates' inputs are halved beforehand, as sigmoid(x) is (1 + tanh(x / 2)) / 2.
+    """
+    h, skip = net.u.shape[1], len(place) - len(score)
+    x_gate, x_new = 0.5 * net.x[d][:, : 2 * h], np.ascontiguousarray(net.x[d][:, 2 * h :])
+    u_gate, u_new = 0.5 * net.u[d][:, : 2 * h], np.ascontiguousarray(net.u[d][:, 2 * h :])
+    w = np.ascontiguousarray(net.w[d * h : (d + 1) * h])
+    state = np.zeros((place.shape[1], h), net.x.dtype)
+    gate, new = np.empty((len(state), 2 * h), net.x.dtype), np.empty_like(state)
+    for i in range(len(place)):
+        byte = data[place[i]]
+        np.take(x_gate, byte, axis=0, out=gate, mode="clip")
+        gate += state @ u_gate
+        np.tanh(gate, out=gate)
+        gate += 1
+        gate *= 0.5
+        np.take(x_new, byte, axis=0, out=new, mode="clip")
+        new += gate[:, h:] * (state @ u_new)
+        np.tanh(new, out=new)
+        state -= new
+        state *= gate[:, :h]
+        state += new
+        if not on[i].all():
+            state *= on[i][:, None]
+        if i >= skip:
+            score[i - skip] += state @ w
+
+
+def label_windows(net: Network, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For windows that begin at start, in texts at [lo, hi) of data: the sum of the label probabilities of their BODY or fewer positions."""
+    end = np.minimum(start + BODY, hi)
+    wide, last = int((end - start).max()), len(data) - 1
+    score = np.zeros((wide, len(start), net.b.size), net.x.dtype)
+    lo, hi, start = (x.astype(np.int32) for x in (lo, hi, start))  # within a stretch
+    place = np.arange(-WARM, wide, dtype=np.int32)[:, None] + start
+    _read(net, 0, data, np.clip(place, 0, last), (place >= lo) & (place < hi), score)
+    place = np.arange(wide + WARM - 1, -1, -1, dtype=np.int32)[:, None] + start
+    _read(net, 1, data, np.clip(place, 0, last), place < hi, score[::-1])
+    score += net.b
+    score -= np.maximum.reduce([score[:, :, k] for k in range(net.b.size)])[:, :, None]
+    np.exp(score, out=score)
+    total = sum(score[:, :, k] for k in range(net.b.size))
+    inside = np.arange(wide)[:, None] < end - start
+    weight = np.where(inside, 1 / total, np.float32(0))
+    return np.stack([(score[:, :, k] * weight).sum(0, dtype=np.float64) for k in range(net.b.size)], 1)
 
 
 def pooled(net: Network, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, languages): mean probabilities over all positions; zero rows for texts without words."""
-    n, parts = len(off) - 1, []
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + _text.BLOCK, "right")) - 1)
-        hi = min(hi, n)
-        w = _text.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        parts.append((w.starts + off[lo], w.ends + off[lo], w.hashes, np.repeat(np.arange(lo, hi), np.diff(w.first))))
-        lo = hi
-    if not parts:
-        return np.zeros((0, net.b.size))
-    starts, ends, hashes, owner = (np.concatenate(x) for x in zip(*parts))
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    s, e, of = cut_long(starts[first], ends[first])
-    each = label_segments(net, data, s, e)
-    table = np.stack([np.bincount(of, each[:, k], len(first)) for k in range(each.shape[1])], 1) if len(first) else np.zeros((0, net.b.size + 1))
-    sums = np.stack([np.bincount(owner, table[inverse, k], n) for k in range(table.shape[1])], 1)
-    return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+    """(texts, languages): mean probabilities over all positions; zero rows for empty texts."""
+    size = np.diff(off)
+    count = -(-size // BODY)
+    of = np.repeat(np.arange(len(size)), count)
+    start = off[of] + BODY * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+    out = np.zeros((len(size), net.b.size))
+    order = np.argsort(np.minimum(off[of + 1] - start, BODY), kind="stable")
+    for i in range(0, len(order), WINDOWS):
+        at = order[i : i + WINDOWS]
+        got = label_windows(net, data, off[of[at]], off[of[at] + 1], start[at])
+        for k in range(net.b.size):
+            out[:, k] += np.bincount(of[at], got[:, k], len(size))
+    return out / np.maximum(size, 1)[:, None]
+
+
+#: Bytes of text that are read together.
+STRETCH = 4 << 20
 
 
 def _identify(net: Network, names: list[str]):
@@ -211,29 +218,28 @@ def _identify(net: Network, names: list[str]):
     return run
 
 
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, out_w, out_l = batch.column("lang").to_pylist(), [], []
-        for lo, hi, data, off in _text.blocks(batch.column("text")):
-            w = _text.words(data, off)
-            for k in range(hi - lo):
-                a, b = w.first[k], w.first[k + 1]
-                _, at = np.unique(w.hashes[a:b], return_index=True)
-                for i in at[:TRAIN_WORDS] + a:
-                    out_w.append(data[w.starts[i] : min(w.ends[i], w.starts[i] + SPAN)].tobytes())
-                    out_l.append(langs[lo + k])
-        yield pa.RecordBatch.from_arrays([pa.array(out_w, pa.binary()), pa.array(out_l, pa.string())], names=["word", "lang"])
+        langs, out, labels = batch.column("lang").to_pylist(), [], []
+        off, data = _text.buffers(batch.column("text"))
+        for row, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            n = min(TRAIN_PIECES, -(-(b - a) // PIECE))
+            for k in range(n):
+                at = a + (b - a) * k // n
+                out.append(data[at : min(at + PIECE, b)].tobytes())
+                labels.append(langs[row])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(labels, pa.string())], names=["piece", "lang"])
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Network, list[str]]:
-    """A network from at most train_docs labelled rows (doc_id, text, lang), those with the smallest hashes, and TRAIN_WORDS words of each."""
+    """A network from at most train_docs labelled rows (doc_id, text, lang), those with the smallest hashes, and TRAIN_PIECES pieces of each."""
     key = F.xxhash64("doc_id")
     chosen = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang").orderBy(key, "doc_id").limit(train_docs).select("doc_id")
-    sample = docs.filter("lang is not null").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "lang").mapInArrow(_sample_words, "word binary, lang string").toPandas()
-    sample = sample.sort_values(["lang", "word"]).reset_index(drop=True)
+    sample = docs.filter("lang is not null").join(F.broadcast(chosen.distinct()), "doc_id").select("text", "lang").mapInArrow(_sample_pieces, "piece binary, lang string").toPandas()
+    sample = sample.sort_values(["lang", "piece"]).reset_index(drop=True)
     names = sorted(sample["lang"].unique(), key=lambda x: x.encode())
     labels = np.searchsorted(np.array(names, object), sample["lang"].to_numpy(object)).astype(np.int64) if names else np.zeros(0, np.int64)
-    return train(list(map(bytes, sample["word"])), labels, max(1, len(names))), names
+    return train(list(map(bytes, sample["piece"])), labels, max(1, len(names))), names
 
 
 def identify(docs: DataFrame, net: Network, names: list[str]) -> DataFrame:
@@ -252,16 +258,19 @@ def op7_language_id(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", held_out(found, 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs' rows, all columns, whose language can be told: those with a letter, whether or not there were labels to learn from."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs' rows, all columns, whose language is told with a score of min_score, with that language as lang.
+
+    Where no row has a label nothing can be learned: rows with a letter stay as they are.
+    """
     net, names = fit(docs.filter(~held_out(docs, 3, 1)))
     wide = [f.name for f in docs.schema]
     rows = docs.select(F.struct(*[docs[c] for c in wide]).alias("doc"), docs["text"].alias("text"))
-    kept = rows.mapInArrow(_flag(net, names), StructType([*rows.schema.fields]).add("keep", BooleanType())).filter("keep")
-    return kept.select(*[F.col("doc").getField(c).alias(c) for c in wide])
+    kept = rows.mapInArrow(_flag(net, names, min_score), StructType([*rows.schema.fields]).add("lang_pred", StringType()).add("keep", BooleanType())).filter("keep")
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" and names else F.col("doc").getField(c).alias(c) for c in wide])
 
 
-def _flag(net: Network, names: list[str]):
+def _flag(net: Network, names: list[str], min_score: float):
     one = _identify(net, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +279,9 @@ def _flag(net: Network, names: list[str]):
             at = 0
             for got in one(iter([ids])):
                 text = pc.fill_null(batch.column("text").slice(at, got.num_rows), "")
-                keep = pc.not_equal(got.column("lang_pred"), UNDETERMINED) if names else pc.match_substring_regex(text, r"\p{L}")
+                keep = pc.greater_equal(got.column("score"), max(min_score, 1e-9)) if names else pc.match_substring_regex(text, r"\p{L}")
                 part = batch.slice(at, got.num_rows)
                 at += got.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), keep], names=["doc", "text", "keep"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), got.column("lang_pred"), keep], names=["doc", "text", "lang_pred", "keep"])
 
     return run
