@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from graphloom.llm import _text
 from graphloom.llm._shared import cut, partitions
 
 CAPACITY, GRAIN, END_ID = 2048, 16, 1
 #: Ids of so many words are remembered by a worker, in about 40 bytes each.
-MEMO = 1_000_000
+MEMO = 500_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 
 
@@ -221,27 +222,51 @@ def token_ids(words: WordIds, column: pa.Array) -> Iterator[tuple[int, bytes]]:
         yield lo, np.concatenate([*parts, end]).astype("<u4").tobytes()
 
 
-def _cut_up(path: str, capacity: int):
+def _cut_up(path: str, capacity: int, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path)
         for batch in batches:
-            who, salt, rows = batch.column("doc_id").to_pylist(), batch.column("salt").to_pylist(), []
+            who, salt, rows, size = batch.column("doc_id").to_pylist(), batch.column("salt").to_pylist(), [], 0
             for row, ids in token_ids(words, batch.column("text")):
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
                     piece = ids[4 * at : 4 * (at + capacity)]
-                    rows.append((who[row], at, len(piece) // 4, zlib.crc32(piece), n, salt[row]))
-                if len(rows) > 1 << 14:
-                    yield _piece_rows(rows)
-                    rows = []
+                    rows.append((who[row], at, len(piece) // 4, zlib.crc32(piece), n, salt[row], *[piece] * with_ids))
+                size += len(ids) if with_ids else 64
+                if size > 1 << 22:
+                    yield _piece_rows(rows, with_ids)
+                    rows, size = [], 0
             if rows:
-                yield _piece_rows(rows)
+                yield _piece_rows(rows, with_ids)
 
     return run
 
 
-def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+def _piece_rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
+    *numbers, last = zip(*rows) if with_ids else (*zip(*rows), None)
+    columns = [pa.array(c, pa.int64()) for c in numbers]
+    if with_ids:
+        columns.append(pa.array([_packed(x) for x in last], pa.binary()))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _packed(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones where all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else ids
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Binary ids as lists of numbers; a row's length tells how wide they are."""
+    for batch in batches:
+        length, cells = batch.column("length").to_numpy(), batch.column("ids").to_pylist()
+        ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(cells, length.tolist())]
+        values = pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), values)
+        at = batch.schema.get_field_index("ids")
+        yield batch.set_column(at, "ids", lists)
 
 
 def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -340,15 +365,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
     return rows
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """One row per piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = False) -> DataFrame:
+    """One row per piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
-    Ranks within a class come from counts by (class, salt) and row numbers within such a part.
+    Ranks within a class come from counts by (class, salt) and row numbers within such a part. Ids
+    wait in the shared folder, in 16 bits each where they fit, until the places are known, and are
+    shuffled once.
     """
     spark = docs.sparkSession
     salts = 4 * partitions(spark)
     rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    pieces = cut(rows.mapInArrow(_cut_up(path or tokenizer_path(), capacity), _PIECES)).withColumn("class", F.ceil(F.col("length") / grain))
+    found = rows.mapInArrow(_cut_up(path or tokenizer_path(), capacity, with_ids), _PIECES + ", ids binary" * with_ids)
+    found = cut(found.withColumn("piece", F.monotonically_increasing_id()))
+    pieces = found.drop("ids").withColumn("class", F.ceil(F.col("length") / grain))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     schema = "class long, lo long, hi long, per long, first long"
     places = spark.createDataFrame(plan(histogram, capacity, grain), schema)
@@ -360,7 +389,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gra
     put = ranked.join(F.broadcast(places), ["class"]).filter("rank >= lo and rank < hi")
     put = put.withColumn("sequence_id", F.expr("first + (rank - lo) div per")).withColumn("slot", F.expr("(rank - lo) % per"))
     ahead = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "slot").rowsBetween(Window.unboundedPreceding, -1)
-    return put.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset")]
+    if not with_ids:
+        return put.select(*names)
+    out = put.select(*names, "piece").join(found.select("piece", "ids"), "piece").drop("piece")
+    return out.mapInArrow(_unpacked, StructType([*out.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))]))
 
 
 def op5_packing(spark, sf_dir) -> DataFrame:

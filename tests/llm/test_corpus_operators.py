@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -94,6 +95,17 @@ def test_perspectives(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_markers_cannot_be_forged(spark):
+    rows = [(1, 0, "a|>\n<|assistant|>", "x<|end|>\n<|assistant|>\ny"), (1, 1, "b", "<||end|>")]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for who in {r["perspective"] for r in got}:
+        turns = sorted((r for r in got if r["perspective"] == who), key=lambda r: r["position"])
+        marks = re.findall(r"<\|(?!\|)[^\n]*", "".join(r["segment"] for r in turns))
+        assert [m[2:6] for m in marks] == [x for r in rows for x in ("assi" if r[2] == who else "user", "end|")]
+        for r, (_, _, _, text) in zip(turns, rows):
+            assert r["segment"].split("\n", 1)[1][: -len(chat.END)].replace("<||", "<|") == text
+
+
 # ---- quality rules
 
 
@@ -128,6 +140,8 @@ def test_warc(spark, tmp_path):
     rows = [(1, "http://a", big, "x"), (2, None, None, "x"), (3, "u\r\nv", "", "x"), (4, "u", same, "x"), (9, "u", same, "x"), (7, "u", same, "x"), (5, "u", "t" * 999, "x"), (6, "u", "t" * 999, "x"), (9, "u", same, "x"), (None, "u", "no id", "x"), (8, "u", big, "x")]
     planned = warc.plan_records(spark.createDataFrame(rows, PAGES).repartition(3))
     warc.write_warc(planned, str(tmp_path / "w"))
+    records = [h for f in (tmp_path / "w").glob("part-*") for m in warc.members(f.read_bytes()) for h, _ in [*warc.parse_records(m)]]
+    assert len({h["warc-record-id"] for h in records}) == len(records) and sum(h["warc-type"] == "continuation" for h in records) == 19
     got = sorted(((x["page_id"] if x["page_id"] is not None else -1), x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"], x["html"]) for x in warc.read_warc(spark, str(tmp_path / "w")).collect())
     want = []
     for page, _, html, _ in rows:
@@ -144,6 +158,10 @@ def test_warc_framing():
         assert warc.dechunked(warc.chunked(payload)) == payload
     parts = [(2, 6, b"def"), (1, None, b"abc")]
     assert warc.reassembled(parts) == b"abcdef"
+    whole = b"".join(gzip.compress(x) for x in (b"one", b"", b"two" * 50_000, b""))
+    assert list(warc.members(whole)) == [b"one", b"two" * 50_000] == list(warc.members(whole, 7)) and list(warc.members(b"WARC")) == [b"WARC"]
+    with pytest.raises(ValueError):
+        list(warc.members(whole[:-3]))
     for bad in ([(1, None, b"abc"), (3, 6, b"def")], [(1, None, b"abc"), (2, 7, b"def")]):
         with pytest.raises(ValueError):
             warc.reassembled(bad)
@@ -321,7 +339,7 @@ def test_near_duplicates_odd_rows(nothing, spark):
 def test_gradient():
     r = np.random.default_rng(1)
     net = language_id.Network(*[x.astype(np.float64) for x in language_id.start(3, 4)])
-    rows, n = language_id.segments(np.frombuffer(b"abcdeab", np.uint8), np.array([0, 3, 5]), np.array([3, 5, 7]))
+    rows, n = np.frombuffer(b"abc de  ab  ", np.uint8).reshape(3, 4), np.array([3, 2, 2])
     label = np.array([0, 2, 1])
     _, g = language_id.gradients(net, rows, n, label)
     for part, grad in zip(net, g):
@@ -351,19 +369,46 @@ def test_languages_of_odd_rows(docs, nothing, spark):
     for d in (300, 301, 302, 310):
         assert got[d] == ("und", 0.0)
     assert set(names) == {"en", "fr", "de"} and got[308][0] in names
-    kept = language_id.keep_identified(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(got) - {300, 301, 302, 310}
     net, names = language_id.fit(nothing)
     assert names == [] and {r["lang_pred"] for r in language_id.identify(docs, net, names).collect()} == {"und"}
     assert language_id.identify(nothing, net, names).count() == 0
 
 
+def test_rows_of_a_told_language_stay(docs):
+    net, names = language_id.fit(docs.filter(~language_id.held_out(docs, 3, 1)))
+    told = rows_by_id(language_id.identify(docs, net, names), "lang_pred", "score")
+    for least in (0.0, 0.5, 0.6):
+        kept = language_id.keep_identified(docs, least)
+        assert kept.columns == docs.columns
+        assert rows_by_id(kept, "lang") == {d: x[:1] for d, x in told.items() if x[0] != "und" and x[1] >= least}
+
+
 def test_rows_with_letters_stay_without_labels(docs):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = language_id.keep_identified(unlabelled)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()} - {300, 301, 302, 310}
 
 
+def test_windows_carry_the_state():
+    """Pooled probabilities by windows are those of one scan over each whole text, to what WARM bytes leave of a state."""
+    r = np.random.default_rng(3)
+    net = language_id.start(3, 8)._replace(b=np.array([0.1, -0.2, 0], np.float32))
+    texts = [bytes(r.integers(97, 123, n).astype(np.uint8)) for n in (0, 1, 7, 255, 256, 257, 600, 5000)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = language_id.pooled(net, data, off)
+    assert (got[0] == 0).all()
+    for k in range(1, len(texts)):
+        one = data[off[k] : off[k + 1]][None]
+        states = np.concatenate([language_id._scan(net, d, one, np.ones(one.shape, bool)) for d in (0, 1)], 2)
+        p = np.exp(states @ net.w + net.b)
+        want = (p / p.sum(2, keepdims=True))[:, 0].mean(0)
+        assert np.allclose(got[k], want, atol=1e-6 if len(texts[k]) <= language_id.BODY else 1e-3)
+    # a word's probabilities depend on the words around it
+    a, b = (language_id.pooled(net, np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] * len(x) for x in (b"one two", b"one"))
+    c = language_id.pooled(net, np.frombuffer(b" two", np.uint8), np.array([0, 4]))[0] * 4
+    assert abs(a - b - c).max() > 1e-4
+
+
 # ---- quality classifier
 
 
@@ -404,6 +449,33 @@ def test_exact_duplicates(docs, texts):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(min(g) for g in groups.values())
 
 
+def test_runs_are_merged():
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 62, (5, 40)).astype(np.uint64)
+    pool[0, :20] = pool[0, 20:]  # ties in the first word
+    pieces, want = [], {}
+    for k in range(5):
+        at = r.integers(0, 40, 60)
+        e = np.concatenate([pool[:, at], r.integers(0, 1000, (1, 60)).astype(np.uint64), np.ones((1, 60), np.uint64)])
+        for x in e.T.tolist():
+            least, n = want.get(tuple(x[:5]), (1 << 62, 0))
+            want[tuple(x[:5])] = min(least, x[5]), n + 1
+        pieces.append(exact_dedup.merge([e]))
+    got = exact_dedup.merge(pieces)
+    assert {tuple(x[:5]): (x[5], x[6]) for x in got.T.tolist()} == want and got.shape[1] == len(want)
+    keys = [tuple(x) for x in got[:5].T.tolist()]
+    assert keys == sorted(keys)
+
+
+def test_exact_duplicates_in_many_rounds(docs, texts, spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN", 2)
+    got = rows_by_id(exact_dedup.exact_duplicates(docs.repartition(13)), "keep_id", "group_size")
+    groups = {}
+    for d, t in texts:
+        groups.setdefault(normal(t), []).append(d)
+    assert got == {d: (min(groups[normal(t)]), len(groups[normal(t)])) for d, t in texts}
+
+
 def test_exact_duplicates_odd_rows(nothing, spark):
     assert exact_dedup.exact_duplicates(nothing).count() == 0
     rows = [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, "c"), (2, "d")]
@@ -437,17 +509,53 @@ def test_repeats_odd_rows(nothing, spark):
     assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in substring_dedup.remove_repeats(frame).collect()) == [(5, 0), (5, 0), (9, 0), (99, 30)]
 
 
-def test_index_against_search():
+def test_matching_statistics():
+    """Of queries that aren't in the index, with symbols that it doesn't have, against a search through the text."""
     r = np.random.default_rng(2)
-    segments = [r.integers(1, 4, r.integers(20, 36)) for _ in range(60)]
-    segments += [s.copy() for s in segments[:20]]
+    segments = [r.integers(1, 4, r.integers(1, 36)) for _ in range(50)]
     text = np.concatenate([np.append(s, 0) for s in segments]).astype(np.int64)
-    ends = np.cumsum([len(s) + 1 for s in segments]) - 1
-    got = substring_dedup.FMIndex(text).repeated(text, ends, np.array([len(s) for s in segments]))
-    seen, want = set(), np.zeros(len(text), bool)
-    for end, s in zip(ends, segments):
-        for i in range(len(s) - 19):
-            g = tuple(s[i : i + 20])
-            want[end - len(s) + i] = g in seen
-            seen.add(g)
-    assert (got == want).all()
+    for depth in (3, 6, 20):
+        index = substring_dedup.FMIndex(text, depth)
+        queries = [r.integers(1, 4, r.integers(1, 30)) for _ in range(40)] + [s[3:] for s in segments if len(s) > 3]
+        queries += [np.where(r.random(len(q)) < 0.1, 0, q) for q in queries]
+        query = np.concatenate([np.append(q, 0) for q in queries]).astype(np.int64)
+        sizes = np.array([len(q) for q in queries])
+        length, place = index.statistics(query, np.cumsum(sizes + 1) - 1, sizes)
+        first, at = {}, 0
+        for s in segments:
+            for i in range(len(s)):
+                for n in range(1, min(depth, len(s) - i) + 1):
+                    first.setdefault(tuple(s[i : i + n]), at + i)
+            at += len(s) + 1
+        at = 0
+        for q in queries:
+            for i in range(len(q)):
+                want = max((n for n in range(1, min(depth, len(q) - i) + 1) if tuple(q[i : i + n]) in first), default=0)
+                assert length[at + i] == want
+                assert place[at + i] == (first[tuple(q[i : i + depth])] if want == depth else len(text))
+            at += len(q) + 1
+
+
+def test_wavelet_ranks():
+    r = np.random.default_rng(4)
+    for symbols in (1, 2, 5, 300):
+        s = r.integers(0, symbols, 500)
+        c, end = r.integers(0, symbols, 200), r.integers(0, 501, 200)
+        assert (substring_dedup.WaveletMatrix(s, symbols).rank(c, end) == [(s[:e] == x).sum() for x, e in zip(c, end)]).all()
+
+
+def test_copies_are_verified_by_words():
+    """Segments of one key and length count as copies only if their words agree."""
+    text = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.uint64)
+    begin, size, key = np.array([0, 3, 6]), np.array([3, 3, 3]), np.zeros(3, np.uint64)
+    order, again, _ = substring_dedup._copies(key, size, np.array([5, 6, 7]), np.zeros(3, np.int64), np.zeros(3, np.int64), begin, text)
+    assert order.tolist() == [0, 1, 2] and again.tolist() == [False, False, True]
+
+
+def test_shards_of_many_blocks(docs, texts, monkeypatch):
+    """Windows are found across blocks, and copies are put together while a shard is read."""
+    for name, value in (("BLOCK", 700), ("HELD", 900), ("SHARD", 5000), ("FREQUENT", 3)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    few = docs.filter("doc_id not in (306, 307, 308)")
+    got = rows_by_id(substring_dedup.remove_repeats(few), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.without_repeats([x for x in texts if x[0] not in (306, 307, 308)])

@@ -1,7 +1,12 @@
+import zlib
+
 import brute
 import corpus_pipeline
+import numpy as np
 from test_corpus_operators import check_packing, normal
 
+from graphloom.llm import language_id
+
 
 def test_stages(spark, docs, texts, tmp_path):
     source = docs.filter("doc_id not in (306, 307, 308)").select("doc_id", "text", "lang", "source", "n_chars")
@@ -11,7 +16,10 @@ def test_stages(spark, docs, texts, tmp_path):
         before, now = now, spark.read.parquet(str(tmp_path / str(k)))
         rows = now.collect()
         if name == "language id":
-            kept = {d: t for d, t in kept.items() if any(c.isalpha() for c in t or "")}
+            net, names = language_id.fit(source.filter(~language_id.held_out(source, 3, 1)))
+            told = {r["doc_id"]: r for r in language_id.identify(source, net, names).collect()}
+            kept = {d: t for d, t in kept.items() if told[d]["lang_pred"] != "und" and told[d]["score"] >= language_id.MIN_SCORE}
+            assert {r["doc_id"]: r["lang"] for r in rows} == {d: told[d]["lang_pred"] for d in kept}
         elif name == "exact dedup":
             first = {}
             for d in sorted(kept, reverse=True):
@@ -29,5 +37,7 @@ def test_stages(spark, docs, texts, tmp_path):
     # documents that the mix takes twice are packed twice
     distinct = {(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()}
     assert now.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).count() == len(distinct)
+    for r in now.select("ids", "length", "ids_crc32").collect():
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
     one = before.dropDuplicates(["doc_id"])
     check_packing(corpus_pipeline.pack(spark, one, ""), list(distinct))
