@@ -15,7 +15,7 @@ from graphloom.llm._shared import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, of which no language can be told, go."""
+    """Documents of which no language can be told go; the others have the language that is read from their text."""
     return language_id.keep_identified(docs)
 
 
@@ -33,7 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """The pieces of the training sequences, with their ids."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("language id", language), ("exact dedup", copies), ("near dedup", near_copies), ("mixing", mix), ("packing", pack)]
