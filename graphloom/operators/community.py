@@ -1,25 +1,33 @@
 """Communities of the graph, their summaries, and answers by community.
 
-Detection is modularity local moving in a fixed order, refined to connected parts; clusters over
-the largest size are split again, so that a node is listed with its coarse and its fine clusters.
-It runs per connected component. Components come from joins; a component over LARGE nodes is
-first cut by two rounds of label propagation, which around a hub still leaves it whole.
+Detection is modularity local moving with aggregation, refined to connected parts; clusters over
+the largest size are split again on their inner edges, so that a node is listed with its coarse
+and its fine clusters. In a round, half of the nodes, by a bit of their names' checksum, move at
+once, each to the community with the greatest gain; gains are integers, so that a round's result
+doesn't depend on any order. Groups of up to LARGE links are computed in one task each, larger ones
+by joins over all their links: the same rounds, with the same result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut
 from graphloom.functions.text import is_non_answer, strip_role
 from graphloom.functions.vectors import cosine
+from graphloom.operators.components import components
 from graphloom.settings import DEFAULTS
 
-LARGE = 20_000
-ROUNDS = 12
+#: Links of a group that one task computes; and rounds of moves, of which two in a row without a move end a level.
+LARGE, ROUNDS = 200_000, 12
+#: Nodes in one part of a cluster that moves don't split, on average; each part is cut by name.
+PART = 1000
 
 
 def simple_graph(edges: DataFrame) -> DataFrame:
@@ -28,118 +36,196 @@ def simple_graph(edges: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max_by(F.struct("relationship", "description"), F.struct("seq", "relationship", "description")).alias("e")).select("a", "b", "e.*")
 
 
-def _connected(names: list[str], links: dict[str, set[str]]) -> list[list[str]]:
-    left, out = set(names), []
-    for n in names:
-        if n in left:
-            todo, part = [n], []
-            left.discard(n)
-            while todo:
-                x = todo.pop()
-                part.append(x)
-                for y in links[x] & left:
-                    left.discard(y)
-                    todo.append(y)
-            out.append(sorted(part))
-    return out
-
-
-def local_moving(names: list[str], links: dict[str, set[str]]) -> list[list[str]]:
-    """Connected clusters of an unweighted graph, by moves that raise modularity, nodes in order of name."""
-    total = sum(len(links[n]) for n in names) or 1
-    of = {n: i for i, n in enumerate(names)}
-    degree = {i: len(links[n]) for i, n in enumerate(names)}
-    for _ in range(20):
-        moved = False
-        for n in names:
-            near: dict[int, int] = {}
-            for m in links[n]:
-                if m != n:
-                    near[of[m]] = near.get(of[m], 0) + 1
-            k, here = len(links[n]), of[n]
-            degree[here] -= k
-            gain = lambda c: near.get(c, 0) - k * degree[c] / total  # noqa: B023, E731
-            best = max(sorted({*near, here}), key=lambda c: (round(gain(c), 9), c == here, -c))
-            degree[best] += k
-            if best != here:
-                of[n], moved = best, True
-        if not moved:
+def _is_active(checksum, turn: int):
+    """Whether a node moves in this round: each does in one of two rounds."""
+    return ((checksum >> (turn // 2 % 16)) + turn) % 2 == 0
+
+
+def _moved(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, checksum: np.ndarray) -> np.ndarray:
+    """Communities, as nodes' numbers, after the rounds of one level over links (x, y) in both directions with weights w; k: the nodes' strengths."""
+    n, total, quiet = len(k), int(k.sum()), 0
+    label = np.arange(n)
+    for turn in range(ROUNDS):
+        key, place = np.unique(np.concatenate([x * n + label[y], np.arange(n) * n + label]), return_inverse=True)
+        near = np.zeros(len(key), np.int64)
+        np.add.at(near, place[: len(w)], w)
+        node, to = key // n, key % n
+        strength, size = np.zeros(n, np.int64), np.bincount(label, minlength=n)
+        np.add.at(strength, label, k)
+        own = to == label[node]
+        gain = near * total - k[node] * (strength[to] - np.where(own, k[node], 0))
+        order = np.lexsort((to, ~own, -gain, node))
+        best = order[np.searchsorted(node[order], np.arange(n))]
+        here = np.flatnonzero(own)  # one a node, in order
+        move = _is_active(checksum, turn) & (gain[best] > gain[here]) & ~((size[label] == 1) & (size[to[best]] == 1) & (to[best] > label))
+        label = np.where(move, to[best], label)
+        quiet = 0 if move.any() else quiet + 1
+        if quiet == 2:
             break
+    return label
+
+
+def local_moving(names: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """Connected clusters of an unweighted graph of sorted names and distinct pairs (a < b), in order of their least names."""
+    number = {n: i for i, n in enumerate(names)}
+    a, b = (np.array([number[p[i]] for p in pairs], np.int64) for i in (0, 1))
+    x, y = np.concatenate([a, b]), np.concatenate([b, a])
+    label, low, high, w, k, of = np.arange(len(names)), x, y, np.ones(len(x), np.int64), np.bincount(x, minlength=len(names)), np.arange(len(names))
+    while len(w):
+        moved = _moved(low, high, w, k, np.array([zlib.crc32(names[i].encode()) for i in of]))
+        kept, moved = np.unique(moved, return_inverse=True)
+        if len(kept) == len(of):
+            break
+        label, of = moved[label], of[kept]
+        key, place = np.unique(moved[low] * len(of) + moved[high], return_inverse=True)
+        weight, strength = np.zeros(len(key), np.int64), np.zeros(len(of), np.int64)
+        np.add.at(weight, place, w)
+        np.add.at(strength, moved, k)
+        low, high, w, k = key // len(of), key % len(of), weight, strength
+        inner = low == high
+        low, high, w = low[~inner], high[~inner], w[~inner]
+    # parts of communities that links hold together
+    root, inside = np.arange(len(names)), label[a] == label[b]
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a[inside], root[b[inside]])
+        np.minimum.at(least, b[inside], root[a[inside]])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
     groups: dict[int, list[str]] = {}
-    for n in names:
-        groups.setdefault(of[n], []).append(n)
-    return [p for g in groups.values() for p in _connected(g, {n: links[n] & set(g) for n in g})]
+    for n, r in zip(names, root.tolist()):
+        groups.setdefault(r, []).append(n)
+    return list(groups.values())
+
+
+def _slices(names: list[str], most: int) -> list[list[str]]:
+    """Parts of `most` names or fewer: by checksum in parts of about PART, and by name in these."""
+    parts = -(-len(names) // PART)
+    out = []
+    for p in range(parts):
+        here = [n for n in names if zlib.crc32(n.encode()) % parts == p]
+        out += [here[i : i + most] for i in range(0, len(here), most)]
+    return out
 
 
-def hierarchy(names: list[str], links: dict[str, set[str]], most: int) -> list[tuple[str, int, int]]:
-    """(node, level, cluster) with cluster numbers that are unique over levels; clusters over `most` nodes are split again."""
-    out, number = [], 0
-    todo = [(c, 0) for c in local_moving(names, links)]
+def hierarchy(names: list[str], pairs: list[tuple[str, str]], most: int, level: int = 0) -> list[tuple[str, int, str]]:
+    """(node, level, cluster) of the clusters of a group, named by least node and level; those over `most` nodes are split again.
+
+    level: that of the group's clusters. Over 0 the group is itself a cluster that is too large, and
+    is sliced where moves don't split it.
+    """
+    out, todo = [], [(names, pairs, level)]
     while todo:
-        cluster, level = todo.pop(0)
-        out += [(n, level, number) for n in cluster]
-        number += 1
-        if len(cluster) > most:
-            inner = {n: links[n] & set(cluster) for n in cluster}
-            parts = local_moving(cluster, inner)
-            if len(parts) == 1:  # nothing to gain by modularity: by breadth from the first node
-                order, seen = [cluster[0]], {cluster[0]}
-                for x in order:
-                    for y in sorted(inner[x]):
-                        if y not in seen:
-                            seen.add(y)
-                            order.append(y)
-                order += [n for n in cluster if n not in seen]
-                parts = [sorted(order[i : i + most]) for i in range(0, len(order), most)]
-            todo += [(p, level + 1) for p in parts]
+        names, pairs, level = todo.pop()
+        parts = local_moving(names, pairs)
+        if len(parts) == 1 and level:
+            parts = _slices(names, most)
+        of = {n: i for i, part in enumerate(parts) for n in part}
+        inner: list[list[tuple[str, str]]] = [[] for _ in parts]
+        for a, b in pairs:
+            if of[a] == of[b]:
+                inner[of[a]].append((a, b))
+        for part, links in zip(parts, inner):
+            out += [(n, level, f"{min(part)}/{level}") for n in part]
+            if len(part) > most:
+                todo.append((part, links, level + 1))
     return out
 
 
-def _labels(graph: DataFrame, rounds: int | None) -> DataFrame:
-    """node, label: the least name that reaches it; with rounds, after so many steps (regions of bounded breadth)."""
-    both = graph.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(graph.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    spark = graph.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    both = both.checkpoint()
-    labels = both.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
-    step = 0
-    while rounds is None or step < rounds:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("label").alias("other"))
-        new = labels.join(near, labels["node"] == near["x"], "left").select("node", F.least("label", "other").alias("new"), "label").checkpoint()
-        changed = not new.filter("new <> label").isEmpty()
-        labels, step = new.select("node", F.col("new").alias("label")), step + 1
-        if not changed:
+def _moved_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """g, node, label after the rounds of one level: _moved over links (g, x, y, w) and nodes (g, node, k) of many groups."""
+    totals = nodes.groupBy("g").agg(F.sum("k").alias("total"))
+    labels, quiet = cut(nodes.withColumn("label", F.col("node"))), 0
+    for turn in range(ROUNDS):
+        sizes = labels.groupBy("g", "label").agg(F.sum("k").alias("strength"), F.count("*").alias("size"))
+        near = links.join(labels.select("g", F.col("node").alias("y"), "label"), ["g", "y"]).select("g", F.col("x").alias("node"), F.col("label").alias("to"), "w")
+        near = near.unionByName(labels.select("g", "node", F.col("label").alias("to"), F.lit(0).cast("long").alias("w"))).groupBy("g", "node", "to").agg(F.sum("w").alias("w"))
+        seen = near.join(sizes.withColumnRenamed("label", "to"), ["g", "to"]).join(labels, ["g", "node"]).join(totals, "g")
+        own, wide = F.col("to") == F.col("label"), "decimal(38,0)"
+        gain = F.col("w").cast("decimal(19,0)") * F.col("total").cast("decimal(18,0)") - F.col("k").cast("decimal(19,0)") * (F.col("strength") - F.when(own, F.col("k")).otherwise(0)).cast("decimal(18,0)")
+        seen = seen.withColumn("own", own).withColumn("gain", gain.cast(wide))
+        best = seen.groupBy("g", "node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (~F.col("own")).alias("other"), "to", "size")).alias("best"), F.max(F.when(F.col("own"), F.struct("gain", "size"))).alias("here"), F.max("k").alias("k"), F.max("label").alias("label"))
+        lone = (F.col("here.size") == 1) & (F.col("best.size") == 1) & (F.col("best.to") > F.col("label"))
+        active = F.expr(f"(shiftright(crc32(node), {turn // 2 % 16}) + {turn}) % 2 = 0")
+        move = active & (-F.col("best.loss") > F.col("here.gain")) & ~lone
+        new = cut(best.select("g", "node", "k", F.when(move, F.col("best.to")).otherwise(F.col("label")).alias("label"), move.alias("move")))
+        quiet = quiet + 1 if new.filter("move").isEmpty() else 0
+        labels = new.drop("move")
+        if quiet == 2:
             break
     return labels
 
 
+def _split_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, part (its least node) of groups' nodes (g, node), as local_moving splits each by its links (g, a, b)."""
+    both = cut(links.select("g", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select("g", F.col("b").alias("x"), F.col("a").alias("y"))).withColumn("w", F.lit(1).cast("long")))
+    strength = both.groupBy("g", F.col("x").alias("node")).agg(F.sum("w").alias("k"))
+    now, edges = cut(nodes.select("g", "node").join(strength, ["g", "node"], "left").fillna(0, ["k"])), both
+    of = now.select("g", "node", F.col("node").alias("label"))
+    count = now.count()
+    while True:
+        moved = _moved_by_joins(edges, now)
+        fewer = cut(moved.groupBy("g", "label").agg(F.sum("k").alias("k")).withColumnRenamed("label", "node"))
+        if (left := fewer.count()) == count:
+            break
+        step = moved.select("g", F.col("node").alias("label"), F.col("label").alias("next"))
+        of = cut(of.join(step, ["g", "label"]).select("g", "node", F.col("next").alias("label")))
+        to = moved.select("g", F.col("node").alias("x"), F.col("label").alias("u"))
+        edges = edges.join(to, ["g", "x"]).join(to.select("g", F.col("x").alias("y"), F.col("u").alias("v")), ["g", "y"]).filter("u <> v")
+        edges = cut(edges.groupBy("g", F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("w")))
+        now, count = fewer, left
+    label = of.select("g", F.col("node").alias("a"), F.col("label").alias("la"))
+    inside = links.join(label, ["g", "a"]).join(label.select("g", F.col("a").alias("b"), F.col("la").alias("lb")), ["g", "b"]).filter("la = lb").select("a", "b")
+    return cut(nodes.select("g", "node").join(components(inside), "node", "left").select("g", "node", F.coalesce("root", "node").alias("part")))
+
+
 def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> DataFrame:
-    """node, level, cluster (`label/number`) of a simple graph (a, b)."""
-    labels = _labels(graph, None)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > LARGE).select("label")
-    if not large.isEmpty():
-        # only these are cut, others stay whole; every edge of a large one has both its ends there
-        within = graph.join(labels.join(large, "label", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
-        labels = labels.join(large, "label", "left_anti").select("node", "label").unionByName(_labels(within, 2))
-    inside = graph.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la = lb").select(F.col("la").alias("label"), "a", "b")
-    alone = labels.select("label", F.col("node").alias("a"), F.col("node").alias("b"))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        links: dict[str, set[str]] = {}
-        for a, b in zip(rows["a"], rows["b"]):
-            links.setdefault(a, set())
-            links.setdefault(b, set())
-            if a != b:
-                links[a].add(b)
-                links[b].add(a)
-        label = rows["label"].iloc[0]
-        return pd.DataFrame([(n, lv, f"{label}/{c}") for n, lv, c in hierarchy(sorted(links), links, most)], columns=["node", "level", "cluster"])
-
-    return inside.unionByName(alone).groupBy("label").applyInPandas(one, "node string, level int, cluster string")
+    """node, level, cluster (`least node/level`) of a simple graph (a, b)."""
+    every = cut(graph.select("a", "b").distinct())
+    ends = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = every.filter("a <> b")
+    nodes = cut(ends.join(components(links), "node", "left").select(F.coalesce("root", "node").alias("g"), "node"))
+    links = cut(links.join(nodes.select("g", F.col("node").alias("a")), "a").select("g", "a", "b"))
+    out, level = None, 0
+
+    def whole(at: int):
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            alone = rows["b"].isna()
+            pairs = list(zip(rows["a"][~alone], rows["b"][~alone]))
+            return pd.DataFrame(hierarchy(sorted(rows["a"][alone]), pairs, most, at), columns=["node", "level", "cluster"])
+
+        return one
+
+    while True:
+        large = cut(links.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("g"))
+        rows = links.join(large, "g", "left_anti").unionByName(nodes.join(large, "g", "left_anti").select("g", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")))
+        found = rows.groupBy("g").applyInPandas(whole(level), "node string, level int, cluster string")
+        out = found if out is None else out.unionByName(found)
+        if large.isEmpty():
+            return out
+        nodes, links = nodes.join(large, "g", "left_semi"), links.join(large, "g", "left_semi")
+        parts = _split_by_joins(links, nodes)
+        if level:
+            parts = cut(_sliced(parts, most))
+        out = out.unionByName(parts.select("node", F.lit(level).alias("level"), F.concat("part", F.lit(f"/{level}")).alias("cluster")))
+        over = parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("part")
+        nodes = cut(parts.join(over, "part", "left_semi").select(F.col("part").alias("g"), "node"))
+        side = lambda x, name: nodes.select(F.col("g").alias(name), F.col("node").alias(x))
+        links = cut(links.drop("g").join(side("a", "g"), "a").join(side("b", "h"), "b").filter("g = h").select("g", "a", "b"))
+        level += 1
+
+
+def _sliced(parts: DataFrame, most: int) -> DataFrame:
+    """g, node, part where groups that weren't split are cut as _slices does it."""
+    counts = parts.groupBy("g").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x = y").select("g", F.ceil(F.col("n") / PART).alias("parts"))
+    marked = parts.join(counts, "g", "left")
+    whole = marked.filter("parts is null").select("g", "node", "part")
+    cells = marked.filter("parts is not null").withColumn("p", F.expr("crc32(node) % parts"))
+    cells = cells.withColumn("s", F.floor((F.row_number().over(Window.partitionBy("g", "p").orderBy("node")) - 1) / most))
+    least = cells.groupBy("g", "p", "s").agg(F.min("node").alias("least"))
+    return whole.unionByName(cells.join(least, ["g", "p", "s"]).select("g", "node", F.col("least").alias("part")))
 
 
 def entity_communities(members: DataFrame) -> DataFrame:
@@ -160,7 +246,7 @@ def summaries(details: DataFrame, summarise: Callable[[Column], Column] = lambda
     return details.groupBy("cluster").agg(F.concat(lines, F.lit(".")).alias("text")).select("cluster", strip_role(summarise(F.col("text"))).alias("summary"))
 
 
-#: Name -> relation -> name, one a line.
+# fixed value: name -> relation -> name, one a line
 PATH = r"(?im)^([\p{L}\p{N}_\-'&.]+(?:\s+[\p{L}\p{N}_\-'&.]+)*)\s*->\s*([a-z\s]+?)\s*->\s*([\p{L}\p{N}_\-'&.]+(?:\s+[\p{L}\p{N}_\-'&.]+)*)$"
 
 
@@ -179,7 +265,7 @@ def rank_communities(candidates: DataFrame, vectors: DataFrame, questions: DataF
 
     vectors: cluster, embedding; questions: query, embedding.
     """
-    found = candidates.join(vectors, "cluster").join(F.broadcast(questions.select("query", F.col("embedding").alias("q"))), "query")
+    found = candidates.join(vectors, "cluster").join(questions.select("query", F.col("embedding").alias("q")), "query")
     found = found.withColumn("_n", F.count("*").over(Window.partitionBy("query")))
     score = F.when(F.col("_n") > k, F.round(cosine(F.col("embedding"), F.col("q"), 1e-8), 6))
     found = found.select("query", "cluster", score.alias("score"))
