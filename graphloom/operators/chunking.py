@@ -45,10 +45,11 @@ def islands(elements: DataFrame) -> DataFrame:
 def chunks(elements: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
     """doc, island, start, type, text, page_number, bbox, section, in order of (doc, island, start); no blank ones."""
     runs = islands(elements)
-    parts = F.sort_array(F.collect_list(F.struct("pos", "text", "page_number", "bbox")))
+    ahead = Window.partitionBy("doc", "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("offset", F.coalesce(F.sum(F.length("text").cast("long") + 1).over(ahead), F.lit(0).cast("long")))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "text", "page_number", "bbox", "offset")))
     whole = runs.groupBy("doc", "island", "kind").agg(parts.alias("parts"), F.max(F.struct("pos", "section"))["section"].alias("section"))
-    offsets = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice("parts", 1, i - 1), F.lit(0).cast("long"), lambda n, p: n + F.length(p["text"]) + 1))
-    whole = whole.withColumn("offsets", offsets).withColumn("joined", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
+    whole = whole.withColumn("offsets", F.transform("parts", lambda p: p["offset"])).withColumn("joined", F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))
     text = F.col("joined")
     cut = F.when(F.col("kind") == "text", windows(text, size, overlap)).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.when(F.col("kind") == "heading", strip(text)).otherwise(text).alias("piece"))))
     each = whole.select("doc", "island", "kind", "section", "parts", "offsets", F.inline(cut))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_fragment, is_placeholder
+from graphloom.protocols import ENTITY_TYPES, RICH_PROMPT, TRIPLES_PROMPT, TextModel, apply_model, prompted
 from graphloom.schemas import RICH_JSON, TRIPLES_JSON
+from graphloom.settings import DEFAULTS, Settings
 
 # fixed values: pattern, subject, relationship, text before and after the value, subject type, object type
 MEASUREMENTS = (
@@ -52,8 +56,8 @@ def parse_triples(raw: DataFrame) -> DataFrame:
     return model.withColumn("origin", F.lit("model")).unionByName(rules.withColumn("origin", F.lit("rule")))
 
 
-def parse_rich(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of model output (chunk_id, response): from the first { to the last }.
+def parse_rich(raw: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of model output (chunk_id, response): from the first { to the last }; of a chunk `most` relationships, the first.
 
     Any entity without one of its keys voids the chunk; such a relationship voids the
     relationships and leaves the entities.
@@ -63,10 +67,29 @@ def parse_rich(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     e_keys, r_keys = ("entity_name", "entity_type", "entity_description"), ("source_entity", "target_entity", "relation", "relationship_description")
     good = got.filter(full("_p.entities", e_keys))
     entities = good.select("chunk_id", F.inline("_p.entities"))
-    relationships = good.filter(full("_p.relationships", r_keys)).select("chunk_id", F.inline("_p.relationships"))
+    told = F.col("_p.relationships") if most is None else F.slice("_p.relationships", 1, most)
+    relationships = good.filter(full("_p.relationships", r_keys)).select("chunk_id", F.inline(told))
     return entities, relationships
 
 
+def extract_triples(chunks: DataFrame, model: Callable[[], TextModel], s: Settings = DEFAULTS) -> DataFrame:
+    """Triples, with provenance and `origin`, of chunks (chunk_id, text, source, page_number, bbox, section).
+
+    As many calls are under way as the settings allow; a chunk whose call fails gives nothing.
+    """
+    asked = chunks.withColumn("_asked", prompted(TRIPLES_PROMPT, types=", ".join(ENTITY_TYPES), text=F.col("text")))
+    told = apply_model(asked, "_asked", "response", model, workers=s.max_concurrent_extractions).drop("_asked")
+    found = parse_triples(told.select("chunk_id", "response", "text"))
+    return found.join(chunks.select("chunk_id", "source", "page_number", "bbox", "section"), "chunk_id")
+
+
+def extract_rich(chunks: DataFrame, model: Callable[[], TextModel], s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) with descriptions of chunks (chunk_id, text), a bounded number of relationships each."""
+    asked = chunks.select("chunk_id", prompted(RICH_PROMPT, most=str(s.max_triplets_per_chunk), text=F.col("text")).alias("_asked"))
+    told = apply_model(asked, "_asked", "response", model, workers=s.extraction_workers)
+    return parse_rich(told.select("chunk_id", "response"), s.max_triplets_per_chunk)
+
+
 def stamp(triples: DataFrame, source: Column, page: Column | None = None, bbox: Column | None = None, section: Column | None = None) -> DataFrame:
     """With provenance; values that the triple has stay where the given one is null."""
     out = triples

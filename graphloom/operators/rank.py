@@ -1,7 +1,8 @@
 """Seed search, rank fusion, re-ranking and citations, each for a whole batch of questions.
 
-Every ordering has a total tie-break. Questions are a stated, broadcast set against all rows;
-top-k windows keep k rows a question in each task before the shuffle.
+Every ordering has a total tie-break. Questions are a stated set against all rows, and no side has a
+broadcast hint: the optimizer goes by size. Top-k windows keep k rows a question in each task
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ def _top(rows: DataFrame, per: str, k: int, *order: Column) -> DataFrame:
 def keyword_seeds(names: DataFrame, questions: DataFrame, limit: int = DEFAULTS.seed_limit) -> DataFrame:
     """query, name, hits, rank: names (name) that hold most of the question's words (query, question).
 
-    A word that the question repeats counts as often; punctuation belongs to words.
+    A word that the question repeats counts as often; punctuation belongs to words. Each name is
+    looked through once for each distinct word of all questions.
     """
-    asked = questions.select("query", query_words(F.col("question")).alias("words"))
+    asked = questions.select("query", F.explode(query_words(F.col("question"))).alias("word")).groupBy("query", "word").agg(F.count("*").alias("times"))
     low = names.select("name", F.lower("name").alias("low")).distinct()
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))).cast("long")
-    found = low.join(F.broadcast(asked), F.exists("words", lambda w: F.contains(F.col("low"), w))).select("query", "name", hits.alias("hits"))
+    held = low.join(asked.select("word").distinct(), F.contains(F.col("low"), F.col("word"))).select("name", "word")
+    found = held.join(asked, "word").groupBy("query", "name").agg(F.sum("times").alias("hits"))
     return _top(found, "query", limit, F.desc("hits"), F.asc("name"))
 
 
@@ -43,7 +45,7 @@ def vector_seeds(items: DataFrame, questions: DataFrame, limit: int = DEFAULTS.s
     asked = questions.select("query", F.col("embedding").alias("q"))
     score = cosine(F.col("embedding"), F.col("q"))
     score = F.round(score if scale == "cosine" else (1 + score) / 2, 6)
-    found = items.filter("embedding is not null").join(F.broadcast(asked)).select("query", "name", score.alias("score")).filter("score is not null")
+    found = items.filter("embedding is not null").crossJoin(asked).select("query", "name", score.alias("score")).filter("score is not null")
     return _top(found, "query", limit, F.desc("score"), F.asc("name")).filter(F.col("score") >= min_score)
 
 
@@ -65,7 +67,7 @@ def preranked(facts: DataFrame, questions: DataFrame) -> DataFrame:
     """facts with hits and place: by distinct words of the question in the fact, then by seed and names."""
     asked = questions.select("query", F.array_distinct(words(F.lower("question"))).alias("words"))
     hits = F.size(F.filter("words", lambda w: F.contains(F.lower("fact_text"), w))).cast("long")
-    found = facts.join(F.broadcast(asked), "query").withColumn("hits", hits).drop("words")
+    found = facts.join(asked, "query").withColumn("hits", hits).drop("words")
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hits"), "rank", "subject", "relationship", "object")))
 
 
@@ -77,9 +79,11 @@ def gated_rerank(ranked: DataFrame, questions: DataFrame, scorer: Scorer | None
 
     A question with more than `above` facts has its first `pool` scored and ordered anew; others
     keep their order. scorer: (question, text) -> column, a pandas UDF say; None keeps the order.
+    The first places alone are gathered, which each task keeps before the shuffle.
     """
-    every = ranked.withColumn("_n", F.count("*").over(Window.partitionBy("query"))).filter((F.col("_n") <= above) | (F.col("place") <= pool))
-    found = every.join(F.broadcast(questions.select("query", "question")), "query")
+    first = ranked.filter(F.col("place") <= max(pool, above + 1))
+    every = first.withColumn("_n", F.count("*").over(Window.partitionBy("query"))).filter((F.col("_n") <= above) | (F.col("place") <= pool))
+    found = every.join(questions.select("query", "question"), "query")
     score = F.lit(None).cast("double") if scorer is None else F.when(F.col("_n") > above, F.round(scorer(F.col("question"), F.col("fact_text")), 6))
     found = found.withColumn("score", score).drop("question", "_n")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), "place"))
@@ -116,7 +120,7 @@ def retrieve_chunks(chunks: DataFrame, questions: DataFrame, scorer: Scorer | No
     and there is a scorer, they are ordered by it and those above 0 stay; of these the first top_k.
     """
     asked = questions.select("query", "question", F.col("embedding").alias("q"))
-    near = chunks.filter("embedding is not null").join(F.broadcast(asked)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("q")), 6)).filter("score is not null").drop("q", "embedding")
+    near = chunks.filter("embedding is not null").crossJoin(asked).withColumn("score", F.round(cosine(F.col("embedding"), F.col("q")), 6)).filter("score is not null").drop("q", "embedding")
     near = _top(near, "query", candidates, F.desc("score"), F.asc("chunk_id")).filter(F.col("score") >= min_score)
     if scorer is not None:
         near = near.withColumn("_n", F.count("*").over(Window.partitionBy("query"))).withColumn("_s", F.round(scorer(F.col("question"), F.col("text")), 6))

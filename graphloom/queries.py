@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.functions.vectors import overlap
-from graphloom.operators import chunking, community, evaluation, extract, graph, rank, triples
+from graphloom.operators import chunking, community, evaluation, extract, graph, rank, triples, vector_index
 from graphloom.plans import lanes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,15 +163,15 @@ def self_join_chain(spark, d):
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 ASKED = f"""
-asked AS (SELECT p_partkey AS query, 'What is the ' || p_name || ' of ' || p_type AS question FROM part WHERE p_partkey <= 20),
+asked AS (SELECT p_partkey AS query, 'What is the ' || p_name || ' of ' || p_type AS question FROM part WHERE p_partkey % 20 = 0),
 asked_words AS (SELECT query, question, CASE WHEN len(w) = 0 THEN [lower(question)] ELSE w END AS words FROM (
   SELECT query, question, list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS w FROM asked))"""
 NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT p_type FROM part UNION SELECT n_name FROM nation)"
 KEYWORDS = "keyword AS (SELECT query, name, hits, rank FROM (SELECT query, name, hits, row_number() OVER (PARTITION BY query ORDER BY hits DESC, name) AS rank FROM (SELECT query, name, CAST(len(list_filter(words, lambda w: contains(lower(name), w))) AS BIGINT) AS hits FROM asked_words, names) WHERE hits > 0) WHERE rank <= 3)"
 
 
-def _asked(spark, d, where="p_partkey % 20 = 0"):
-    return t(spark, d, "part")["part"].filter(where).select(c("p_partkey").alias("query"), F.concat(F.lit("What is the "), "p_name", F.lit(" of "), "p_type").alias("question"))
+def _asked(spark, d):
+    return t(spark, d, "part")["part"].filter("p_partkey % 20 = 0").select(c("p_partkey").alias("query"), F.concat(F.lit("What is the "), "p_name", F.lit(" of "), "p_type").alias("question"))
 
 
 def _names(spark, d):
@@ -180,13 +180,8 @@ def _names(spark, d):
 
 
 @query(f"WITH {ASKED}, {NAMES}, {KEYWORDS} SELECT query, name, hits, CAST(rank AS BIGINT) AS rank FROM keyword")
-def keyword_seeds(spark, d, where="p_partkey <= 20"):
-    return rank.keyword_seeds(_names(spark, d), _asked(spark, d, where)).select("query", "name", "hits", c("rank").cast("long").alias("rank"))
-
-
-@query()
-def keyword_seeds_whole(spark, d):
-    return keyword_seeds(spark, d, "p_partkey % 20 = 0")
+def keyword_seeds(spark, d):
+    return rank.keyword_seeds(_names(spark, d), _asked(spark, d)).select("query", "name", "hits", c("rank").cast("long").alias("rank"))
 
 
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
@@ -195,38 +190,31 @@ _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUB
 def _vector_sql(scale: str, least: float, k: int = 3) -> str:
     score = _COS if scale == "cosine" else f"(1 + {_COS}) / 2"
     return f"""near AS (SELECT query, name, score, rank FROM (SELECT query, name, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM (
-      SELECT b.vec_id AS query, 'v' || a.vec_id AS name, round({score}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.vec_id >= 20)) WHERE rank <= {k} AND score >= {least})"""
+      SELECT b.vec_id AS query, 'v' || a.vec_id AS name, round({score}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE rank <= {k} AND score >= {least})"""
 
 
 def _vectors(spark, d):
-    e = t(spark, d, "embeddings")["embeddings"]
-    return e.filter("vec_id >= 20").select(F.concat(F.lit("v"), c("vec_id").cast("string")).alias("name"), "embedding"), e.filter("vec_id < 20").select(c("vec_id").alias("query"), "embedding")
-
-
-def _all_vectors(spark, d):
     """Every row is an item; those whose id is divisible by 20 are asked, and find themselves too."""
     e = t(spark, d, "embeddings")["embeddings"]
     return e.select(F.concat(F.lit("v"), c("vec_id").cast("string")).alias("name"), "embedding"), e.filter("vec_id % 20 = 0").select(c("vec_id").alias("query"), "embedding")
 
 
 @query(f"WITH {_vector_sql('cosine', 0.45)} SELECT query, name, score, CAST(rank AS BIGINT) AS rank FROM near")
-def vector_seeds_cosine(spark, d, vectors=_vectors):
-    return rank.vector_seeds(*vectors(spark, d), scale="cosine").select("query", "name", "score", c("rank").cast("long").alias("rank"))
-
-
-@query()
-def vector_seeds_cosine_whole(spark, d):
-    return vector_seeds_cosine(spark, d, _all_vectors)
+def vector_seeds_cosine(spark, d):
+    return rank.vector_seeds(*_vectors(spark, d), scale="cosine").select("query", "name", "score", c("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_vector_sql('normalized', 0.45)} SELECT query, name, score, CAST(rank AS BIGINT) AS rank FROM near")
-def vector_seeds_normalized(spark, d, vectors=_vectors):
-    return rank.vector_seeds(*vectors(spark, d)).select("query", "name", "score", c("rank").cast("long").alias("rank"))
+def vector_seeds_normalized(spark, d):
+    return rank.vector_seeds(*_vectors(spark, d)).select("query", "name", "score", c("rank").cast("long").alias("rank"))
 
 
 @query()
-def vector_seeds_normalized_whole(spark, d):
-    return vector_seeds_normalized(spark, d, _all_vectors)
+def vector_index_top5(spark, d):
+    """The five nearest by the index, which reads a part of the lists; tests hold its recall against all rows."""
+    items, asked = _vectors(spark, d)
+    centres = vector_index.fit(items)
+    return vector_index.search(vector_index.assign(items, centres), centres, asked, 5).select("query", "name", "score", c("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_vector_sql('cosine', -2.0, 5)}, other AS (SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY name) AS rank FROM near WHERE rank > 2),
@@ -234,20 +222,16 @@ x AS (SELECT query, name, 0 AS l, rank FROM near UNION ALL SELECT query, name, 1
 f AS (SELECT query, name, sum(CASE WHEN l = 0 THEN 1.0::DOUBLE / (60 + rank) END) AS s0, sum(CASE WHEN l = 1 THEN 1.0::DOUBLE / (60 + rank) END) AS s1, min(l * 1000 + rank) AS seen FROM x GROUP BY ALL),
 g AS (SELECT *, coalesce(s0, 0) + coalesce(s1, 0) AS score FROM f)
 SELECT query, name, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, seen, name) AS BIGINT) AS rank FROM g""")
-def rrf_fusion(spark, d, vectors=_vectors):
-    one = rank.vector_seeds(*vectors(spark, d), limit=5, min_score=-2.0, scale="cosine")
+def rrf_fusion(spark, d):
+    one = rank.vector_seeds(*_vectors(spark, d), limit=5, min_score=-2.0, scale="cosine")
     two = one.filter("rank > 2").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("name")))
     return rank.fuse([one, two]).select("query", "name", F.round("score", 9).alias("score"), c("rank").cast("long").alias("rank"))
 
 
-@query()
-def rrf_fusion_whole(spark, d):
-    return rrf_fusion(spark, d, _all_vectors)
-
-
 # ---- the graph lane
 
-SEEDS = "seeds AS (SELECT 1 AS query, 1 AS rank, n_name AS node FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 1, 2, c_name FROM customer WHERE c_custkey = 7 UNION ALL SELECT 2, 1, 'Part#11' UNION ALL SELECT 2, 2, s_name FROM supplier WHERE s_suppkey = 3)"
+SEEDS = "seeds AS (SELECT s_suppkey AS query, 1 AS rank, s_name AS node FROM supplier WHERE s_suppkey % 20 = 0 UNION ALL SELECT s_suppkey, 2, 'Part#' || s_suppkey FROM supplier WHERE s_suppkey % 20 = 0)"
+SUPPLIERS = "seeds AS (SELECT s_suppkey AS query, 1 AS rank, s_name AS node FROM supplier WHERE s_suppkey % 20 = 0)"
 BOTH = "both_ways AS (SELECT subject AS a, object AS b FROM edges UNION SELECT object, subject FROM edges)"
 HOP1 = "hit AS (SELECT DISTINCT s.query, s.rank, e.subject, e.relationship, e.object, e.source FROM seeds s JOIN edges e ON e.subject = s.node OR e.object = s.node)"
 HOP2 = f"{BOTH}, near AS (SELECT * FROM seeds UNION SELECT s.query, s.rank, b.b FROM seeds s JOIN both_ways b ON s.node = b.a), hit AS (SELECT DISTINCT s.query, s.rank, e.subject, e.relationship, e.object, e.source FROM near s JOIN (SELECT *, subject AS node FROM edges UNION ALL SELECT *, object FROM edges WHERE subject <> object) e ON e.node = s.node)"
@@ -259,10 +243,10 @@ def _edges(spark, d):
 
 
 def _seeds(spark, d):
-    x = t(spark, d, "nation", "customer", "supplier")
-    one = lambda df, q, r: df.select(F.lit(q).alias("query"), F.lit(r).alias("rank"), "node")
-    s = one(x["nation"].filter("n_nationkey = 3").select(c("n_name").alias("node")), 1, 1).unionByName(one(x["customer"].filter("c_custkey = 7").select(c("c_name").alias("node")), 1, 2))
-    return s.unionByName(spark.range(1).select(F.lit(2).alias("query"), F.lit(1).alias("rank"), F.lit("Part#11").alias("node"))).unionByName(one(x["supplier"].filter("s_suppkey = 3").select(c("s_name").alias("node")), 2, 2))
+    """A question for every supplier whose key is divisible by 20: from it, and from the part with its key."""
+    asked = t(spark, d, "supplier")["supplier"].filter("s_suppkey % 20 = 0")
+    part = F.concat(F.lit("Part#"), c("s_suppkey").cast("string"))
+    return asked.select(c("s_suppkey").alias("query"), F.posexplode(F.array("s_name", part)).alias("rank", "node")).withColumn("rank", c("rank") + 1)
 
 
 _FACT = ("query", "rank", "subject", "relationship", "object", "source", "fact_text")
@@ -273,9 +257,9 @@ def hop1_facts(spark, d):
     return graph.facts(_edges(spark, d), _seeds(spark, d), 1).select(*_FACT)
 
 
-@query(f"WITH {RAW}, {EDGES}, {SEEDS}, {HOP2}, {FACTS} SELECT query, rank, subject, relationship, object, source, fact_text FROM facts")
+@query(f"WITH {RAW}, {EDGES}, {SUPPLIERS}, {HOP2}, {FACTS} SELECT query, rank, subject, relationship, object, source, fact_text FROM facts")
 def hop2_facts(spark, d):
-    return graph.facts(_edges(spark, d), _seeds(spark, d), 2).select(*_FACT)
+    return graph.facts(_edges(spark, d), _seeds(spark, d).filter("rank = 1"), 2).select(*_FACT)
 
 
 @query(f"WITH {RAW}, {EDGES}, {SEEDS}, {HOP1}, {FACTS} SELECT query, string_agg(fact_text, chr(10) ORDER BY fact_text) AS facts FROM (SELECT DISTINCT query, fact_text FROM facts) GROUP BY query")
@@ -283,15 +267,14 @@ def facts_text_sorted(spark, d):
     return graph.facts_text(_edges(spark, d), _seeds(spark, d), 1).select("query", F.array_join("facts", "\n").alias("facts"))
 
 
-ASKS = "asks AS (SELECT 1 AS query, 'which customer purchased part#1 or part#12' AS question UNION ALL SELECT 2, 'who sold part#11 and for what price')"
-_ASKS = [(1, "which customer purchased part#1 or part#12"), (2, "who sold part#11 and for what price")]
+ASKS = "asks AS (SELECT s_suppkey AS query, 'which customer purchased part#1 or who sold part#' || s_suppkey AS question FROM supplier WHERE s_suppkey % 20 = 0)"
 PRE = f"{ASKS}, pre AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, rank, subject, relationship, object) AS place FROM (SELECT f.*, question, CAST(len(list_filter(list_distinct(regexp_split_to_array(lower(question), '\\s+')), lambda w: contains(lower(fact_text), w))) AS BIGINT) AS hits, len(list_distinct(regexp_split_to_array(lower(question), '\\s+'))) AS nw FROM facts f JOIN asks USING (query)))"
 GATED = "gated AS (SELECT * EXCLUDE (place), CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, place) AS BIGINT) AS place FROM (SELECT *, CASE WHEN n > 20 THEN round(2.0::DOUBLE * hits / nw - 1.0, 6) END AS score FROM (SELECT *, count(*) OVER (PARTITION BY query) AS n FROM pre) WHERE n <= 20 OR place <= 40))"
 CHAIN = f"WITH {RAW}, {EDGES}, {SEEDS}, {HOP1}, {FACTS}, {PRE}"
 
 
 def _pre(spark, d):
-    q = spark.createDataFrame(_ASKS, "query int, question string")
+    q = t(spark, d, "supplier")["supplier"].filter("s_suppkey % 20 = 0").select(c("s_suppkey").alias("query"), F.concat(F.lit("which customer purchased part#1 or who sold part#"), c("s_suppkey").cast("string")).alias("question"))
     return rank.preranked(graph.facts(_edges(spark, d), _seeds(spark, d), 1), q), q
 
 
@@ -328,17 +311,12 @@ def context_assembly(spark, d):
 
 @query(f"""WITH {_vector_sql('cosine', 0.25, 20)}
 SELECT query, CAST(place AS BIGINT) AS place, name AS chunk_id, nullif(CAST(substr(name, 2) AS BIGINT) % 3, 0) AS page_number, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM near) WHERE place <= 5""")
-def chunk_retrieve_top5(spark, d, vectors=_vectors):
-    items, asked = vectors(spark, d)
+def chunk_retrieve_top5(spark, d):
+    items, asked = _vectors(spark, d)
     chunks = items.select(c("name").alias("chunk_id"), c("name").alias("text"), F.lit("s").alias("source"), (F.substring("name", 2, 20).cast("long") % 3).alias("page_number"), "embedding")
     return rank.retrieve_chunks(chunks, asked.withColumn("question", F.lit("")), None).select("query", c("place").cast("long").alias("place"), "chunk_id", "page_number", "score")
 
 
-@query()
-def chunk_retrieve_top5_whole(spark, d):
-    return chunk_retrieve_top5(spark, d, _all_vectors)
-
-
 # ---- text
 
 LINES = "SELECT doc_id AS doc, CAST(pos AS BIGINT) AS pos, line AS text, CASE WHEN pos % 5 = 0 AND doc_id % 2 = 0 THEN 'heading' WHEN pos % 7 = 3 THEN 'table' ELSE 'text' END AS type, CAST(pos // 3 AS BIGINT) AS page, CAST(100 * (pos % 3) + CASE WHEN doc_id % 3 = 0 THEN 30 ELSE 0 END AS DOUBLE) AS y0 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)"
@@ -401,18 +379,12 @@ def _measure_sql(i: int) -> str:
     return f"SELECT id, '{s}' AS subject, '{r}' AS relationship, '{b}' || replace(unnest(regexp_extract_all(text, '(?i){p}', 1)), ',', '') || '{e}' AS object, '{st}' AS subject_type, '{ot}' AS object_type FROM read"
 
 
-@query(f"WITH read AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_READINGS} AS text FROM lineitem WHERE l_orderkey % 4 = 1) " + " UNION ".join(_measure_sql(i) for i in range(6)))
-def measurement_triples(spark, d, where="l_orderkey % 4 = 1"):
-    rows = t(spark, d, "lineitem")["lineitem"].filter(where).select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.expr(_READINGS.replace("''", "\\'")).alias("text"))
+@query(f"WITH read AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_READINGS} AS text FROM lineitem) " + " UNION ".join(_measure_sql(i) for i in range(6)))
+def measurement_triples(spark, d):
+    rows = t(spark, d, "lineitem")["lineitem"].select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.expr(_READINGS.replace("''", "\\'")).alias("text"))
     return rows.select("id", F.inline(extract.measurements(c("text")))).distinct()
 
 
-@query()
-def measurement_triples_whole(spark, d):
-    """Of every row of lineitem; the SQL above reads a quarter of them."""
-    return measurement_triples(spark, d, "true")
-
-
 _PHRASE = "CASE p_partkey % 6 WHEN 0 THEN ' The Author ' WHEN 1 THEN p_name || ' of a very long kind of part' WHEN 2 THEN 'Sales team''s ' || p_brand WHEN 3 THEN 'continue to ' || p_brand ELSE p_type END"
 
 
@@ -513,22 +485,17 @@ def communities(spark, d):
 
 
 @query(f"""WITH v AS (SELECT label AS cluster, list(vec_id ORDER BY vec_id) AS ids, min(vec_id) AS id FROM embeddings GROUP BY label), s AS (SELECT v.cluster, b.vec_id AS query, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-8), 6) AS score
-  FROM v JOIN embeddings a ON a.vec_id = v.id, embeddings b WHERE b.vec_id < 20 AND (v.cluster % 2 = b.vec_id % 2 OR b.vec_id % 5 = 0 AND v.cluster < 3)),
+  FROM v JOIN embeddings a ON a.vec_id = v.id, embeddings b WHERE b.vec_id % 20 = 0 AND (v.cluster % 2 = b.vec_id % 2 OR b.vec_id % 5 = 0 AND v.cluster < 3)),
 f AS (SELECT query, cluster, CASE WHEN count(*) OVER (PARTITION BY query) > 3 THEN score END AS score FROM s)
 SELECT query, cluster, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, cluster) AS BIGINT) AS rank FROM f) WHERE rank <= 3""")
-def community_rank(spark, d, where="vec_id < 20"):
+def community_rank(spark, d):
     e = t(spark, d, "embeddings")["embeddings"]
     vectors = e.groupBy(c("label").alias("cluster")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    asked = e.filter(where).select(c("vec_id").alias("query"), "embedding")
-    pairs = asked.select("query").join(F.broadcast(vectors.select("cluster")), (c("cluster") % 2 == c("query") % 2) | ((c("query") % 5 == 0) & (c("cluster") < 3)))
+    asked = e.filter("vec_id % 20 = 0").select(c("vec_id").alias("query"), "embedding")
+    pairs = asked.select("query").join(vectors.select("cluster"), (c("cluster") % 2 == c("query") % 2) | ((c("query") % 5 == 0) & (c("cluster") < 3)))
     return community.rank_communities(pairs, vectors, asked).select("query", "cluster", "score", c("rank").cast("long").alias("rank"))
 
 
-@query()
-def community_rank_whole(spark, d):
-    return community_rank(spark, d, "vec_id % 20 = 0")
-
-
 # ---- evaluation
 
 _LANES = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'graph' ELSE 'chunks' END AS lane, CASE WHEN doc_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE quality * 0.5 + 0.25 END AS faithfulness, CAST(toxic AS DOUBLE) AS answer_relevancy, CAST(1 AS DOUBLE) AS context_precision, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 10 AS DOUBLE) / 10 END AS context_recall FROM labels"

@@ -1,8 +1,10 @@
-"""Settings with the defaults of the retrieval lanes."""
+"""Settings with the defaults of the retrieval lanes; the environment may override them."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -29,4 +31,20 @@ class Settings:
     answer_temperature: float = 0.1
 
 
-DEFAULTS = Settings()
+#: What comes before a setting's upper-case name in the environment.
+PREFIX = "GRAPHLOOM_"
+
+
+def from_environment(given: Mapping[str, str] | None = None) -> Settings:
+    """The defaults, with what the environment has under PREFIX; ValueError on a value that is no number."""
+    given, found = os.environ if given is None else given, {}
+    for f in fields(Settings):
+        if (text := given.get(PREFIX + f.name.upper())) is not None:
+            try:
+                found[f.name] = type(f.default)(text)
+            except ValueError:
+                raise ValueError(f"{PREFIX}{f.name.upper()} is {text!r}") from None
+    return Settings(**found)
+
+
+DEFAULTS = from_environment()

@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import protocols
+from graphloom import checkpoints, protocols, settings
 from graphloom.functions import text as tx
-from graphloom.operators import chunking, community, evaluation, extract, graph, rank, triples
+from graphloom.functions import vectors
+from graphloom.operators import chunking, community, evaluation, extract, graph, rank, triples, vector_index
 from graphloom.plans import api, lanes
 from graphloom.schemas import BUSINESS
 from graphloom.sources import readers
@@ -86,6 +87,143 @@ def test_layout(spark):
     assert got == [("a", 0, "heading", "Hi", 2, [1.0, 2.0, 3.0, 4.0]), ("a", 1, "text", "in", None, None), ("a", 2, "heading", "x", None, None), ("d", 0, "text", "y", None, None)]
 
 
+def test_layout_with_bad_fields(spark):
+    """A bad value voids its own field alone."""
+    raw = [{"content": "a", "bbox": [1, None, 3, 4]}, {"content": "b", "bbox": ["1", "x", 3, 4], "page number": 0, "page": 3}, {"content": 5, "bbox": ["1", 2, 3, 4], "kids": "none"}, {"content": "c", "type": 7, "bbox": {"x": 1}, "page": [1]}, None, "text"]
+    docs = spark.createDataFrame([("a", json.dumps(raw)), ("b", json.dumps({"kids": 3})), ("c", "7")], "doc string, layout string")
+    got = [(r.pos, r.text, r.page_number, r.bbox) for r in readers.layout_elements(docs).orderBy("pos").collect()]
+    assert got == [(0, "a", None, None), (1, "b", 3, None), (2, "5", None, [1.0, 2.0, 3.0, 4.0]), (3, "c", None, None)]
+
+
+def test_polygons_and_tables(spark):
+    rows = spark.createDataFrame([([[1.0, 5.0], [3.0, 2.0], [0.5, 4.0]], [["a", None], ["b", "c"]])], "points array<array<double>>, cells array<array<string>>")
+    got = rows.select(chunking.bounding_box("points").alias("box"), chunking.table_text("cells").alias("text")).first()
+    assert got.box == [0.5, 2.0, 3.0, 5.0] and got.text == "a | \nb | c"
+
+
+def test_csv_folder(spark, tmp_path):
+    assert [x.count() for x in readers.read_csv_folder(spark, str(tmp_path), "id long, name string")] == [0, 0]
+    (tmp_path / "b.csv").write_text("id,name\n1,x\nbad,y\n")
+    (tmp_path / "a.csv").write_text("id,name\n2,z\n")
+    (tmp_path / "c.txt").write_text("id,name\n3,no\n")
+    rows, failed = readers.read_csv_folder(spark, str(tmp_path), "id long, name string")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "x", "b.csv"), (2, "z", "a.csv")]
+    assert [tuple(r) for r in failed.collect()] == [("b.csv", "bad,y")]
+
+
+def test_chunk_and_result_files(spark, tmp_path):
+    rows = spark.createDataFrame([("t", "s", None), (" ", "s", 1), ("u", None, 2)], "text string, source string, page_number long")
+    for _ in range(2):  # the second replaces the first
+        readers.write_chunks(rows, str(tmp_path / "chunks"))
+    got = spark.read.parquet(str(tmp_path / "chunks")).collect()
+    assert {(r.text, r.page_number) for r in got} == {("t", 0), ("u", 2)} and len({r.chunk_id for r in got}) == 2
+    out = spark.createDataFrame([(1, ["a", "b"])], "query int, contexts array<string>")
+    readers.write_results(out, str(tmp_path / "json"))
+    readers.write_results(out, str(tmp_path / "csv"), "csv")
+    assert spark.read.json(str(tmp_path / "json")).first().contexts == ["a", "b"]
+    assert spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "csv")).first().contexts == '["a","b"]'
+    (tmp_path / "keys.txt").write_text("k1\n\n k2 \n")
+    assert readers.read_keys(spark, str(tmp_path / "keys.txt")) == ["k1", "k2"]
+
+
+def test_settings_from_the_environment():
+    got = settings.from_environment({"GRAPHLOOM_HOPS": "3", "GRAPHLOOM_SEED_MIN_SCORE": "0.5", "HOPS": "9"})
+    assert (got.hops, got.seed_min_score, got.seed_limit) == (3, 0.5, 3)
+    with pytest.raises(ValueError):
+        settings.from_environment({"GRAPHLOOM_HOPS": "many"})
+
+
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://x:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        checkpoints.shared_folder(Session())
+
+
+def test_default_embedding(spark):
+    import hashlib
+
+    texts = ["The lamp the", "", "Ünï x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", vectors.hashed_embedding(F.col("t")).alias("e")).orderBy("i").collect()
+    for text, row in zip(texts, got):
+        want = [0.0] * 64
+        for w in text.lower().split():
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:2], 16) % 64] += 1 if h[2] < "8" else -1
+        size = sum(x * x for x in want) ** 0.5 or 1
+        assert row.e == pytest.approx([x / size for x in want])
+
+
+def test_vector_index_recall(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").cast("string").alias("name"), "embedding")
+    asked = e.filter("cast(name as int) % 20 = 0").select(F.col("name").alias("query"), "embedding")
+    vector_index.write_vectors(e, str(tmp_path / "v"), 16)
+    index = vector_index.read_vectors(spark, str(tmp_path / "v"))
+    assert index.count() == e.count()
+    found = {(r.query, r["name"]) for r in vector_index.search(index, vector_index.read_centres(spark, str(tmp_path / "v")), asked, 5).collect()}
+    exact = {(r.query, r["name"]) for r in rank.vector_seeds(e, asked, 5, -2.0, "cosine").collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    none = e.filter("false")
+    assert vector_index.search(vector_index.assign(none, vector_index.fit(none)), vector_index.fit(none), asked, 5).count() == 0
+
+
+def test_extraction_with_a_model(spark):
+    class Model:
+        def __call__(self, prompts):
+            if any("broken" in p for p in prompts):
+                raise RuntimeError
+            assert all("UPPER_SNAKE" in p and '{"triples"' in p for p in prompts)
+            return [json.dumps({"triples": [{"subject": "Ann", "relationship": "RUNS", "object": p.rsplit("Text:\n", 1)[1], "subject_type": "Person", "object_type": "Topic"}]}) for p in prompts]
+
+    class Rich:
+        def __call__(self, prompts):
+            one = {"source_entity": "a", "target_entity": "b", "relation": "r", "relationship_description": "d"}
+            return ["Sure: " + json.dumps({"entities": [], "relationships": [one | {"target_entity": str(i)} for i in range(9)]})] * len(prompts)
+
+    chunks = spark.createDataFrame([("c1", "R-20 {x}", "s", 4, None, "H"), ("c2", "broken", "s", 5, None, None)], "chunk_id string, text string, source string, page_number long, bbox array<double>, section string")
+    got = extract.extract_triples(chunks, Model, settings.Settings(max_concurrent_extractions=2)).collect()
+    assert sorted((r.object, r.origin, r.page_number, r.section) for r in got) == [("R-20", "rule", 4, "H"), ("R-20 {x}", "model", 4, "H")]
+    entities, relationships = extract.extract_rich(chunks, Rich)
+    assert entities.count() == 0 and sorted(r.target_entity for r in relationships.filter("chunk_id = 'c1'").collect()) == ["0", "1", "2", "3", "4"]
+    rows = spark.createDataFrame([(1, "q?", "", "none"), (2, "q?", "c", "x")], "query int, question string, context string, answer string")
+
+    class Answerer:
+        def __call__(self, prompts):
+            return [p.splitlines()[0] + "|" + p.splitlines()[-1] for p in prompts]
+
+    assert {r.query: r.answer for r in lanes.model_answers(rows, Answerer).collect()} == {1: "none", 2: "Answer from the facts alone.|Question: q?"}
+
+
+def test_provenance_stamps(spark):
+    t = spark.createDataFrame([("a", None), ("b", "own")], "subject string, source string")
+    got = extract.stamp(t, F.lit("given"), F.lit(3).cast("long")).collect()
+    assert [(r.source, r.page_number) for r in got] == [("given", 3), ("given", 3)]
+    assert [r.source for r in extract.stamp(t, F.lit(None).cast("string")).collect()] == [None, "own"]
+
+
+def test_community_lane(spark, tmp_path):
+    pairs = [("Ann", "Acme", "RUNS", "since 1999"), ("Bob", "Acme", "WORKS_AT", ""), ("Cy", "Dee", "KNOWS", "well")]
+    g = community.simple_graph(spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "src string, dst string, relationship string, description string, seq int"))
+    members = community.communities(g)
+    paths = spark.createDataFrame([("Ann -> runs -> Acme",), ("Cy -> knows -> Dee",)], "text string")
+    asked = spark.createDataFrame([(1, "Ann runs"), (2, "Dee knows")], "query long, question string")
+    stored = str(tmp_path / "told")
+    got = {r.query: r.answer for r in lanes.community_lane(members, g, paths, asked, stored=stored).collect()}
+    assert "Ann" in got[1] and "Dee" in got[2]
+    told = spark.read.parquet(stored)
+    assert told.count() == members.select("cluster").distinct().count()
+    again = lanes.community_summaries(members.filter("false"), g, stored)  # read, not made again
+    assert again.count() == told.count()
+
+
 def test_measurements(spark):
     t = "10.1: 2,321 CFM's, R-20 r20 R20x 12 kPa; 35°C and 120 degrees F, 5 achievements, 2,321 cfm"
     got = spark.createDataFrame([(t,)], "t string").select(F.inline(extract.measurements(F.col("t")))).collect()
@@ -166,15 +304,61 @@ def test_communities(spark):
     assert {frozenset(v) for (level, _), v in sizes.items() if level == 0} == {frozenset(f"n{i:02}" for i in range(8)), frozenset(f"n{i:02}" for i in range(8, 16)), frozenset("xy"), frozenset("z")}
 
 
-def test_small_components_stay_whole_beside_a_large_one(spark, monkeypatch):
-    frame = lambda pairs: spark.createDataFrame(pairs, "a string, b string")
-    small = [(f"p{i:02}", f"p{i + 1:02}") for i in range(11)]
-    large = [(f"q{i:02}", f"q{i + 1:02}") for i in range(29)]
-    alone = {tuple(r) for r in community.communities(frame(small)).collect()}
+def _random_graph(seed, groups=5, size=14):
+    import random
+
+    r, pairs = random.Random(seed), set()
+    for g in range(groups):
+        for i in range(size):
+            for j in range(i):
+                if r.random() < 0.5:
+                    pairs.add((f"g{g}n{j:02}", f"g{g}n{i:02}"))
+        pairs.add((f"g{g}n00", f"g{(g + 1) % groups}n05") if g < groups - 1 else ("g0n01", f"g{g}n01"))
+    pairs |= {("hub", f"leaf{i:02}") for i in range(17)} | {("p", "q"), ("z", "z")}
+    return sorted({(min(p), max(p)) for p in pairs})
+
+
+def test_joins_find_the_communities_of_one_task(spark, monkeypatch):
+    """The constant decides where a group is computed, not what comes out."""
+    pairs = _random_graph(3, 3, 9)
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    monkeypatch.setattr(community, "PART", 6)
+    monkeypatch.setattr(community, "ROUNDS", 3)
+    alone = sorted(tuple(r) for r in community.communities(frame).collect())
+    assert {r[0] for r in alone} == {n for p in pairs for n in p}
     monkeypatch.setattr(community, "LARGE", 20)
-    found = {tuple(r) for r in community.communities(frame(small + large)).collect()}
-    assert {r for r in found if r[0].startswith("p")} == alone
-    assert {r[0] for r in found} == {x for p in small + large for x in p}
+    assert sorted(tuple(r) for r in community.communities(frame).collect()) == alone
+
+
+def test_modularity_is_near_that_of_plain_moving():
+    def modularity(pairs, parts):
+        of, m = {n: i for i, part in enumerate(parts) for n in part}, len(pairs)
+        degree = {}
+        for a, b in pairs:
+            for n in (a, b):
+                degree[of[n]] = degree.get(of[n], 0) + 1
+        return sum(of[a] == of[b] for a, b in pairs) / m - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+    def plain(names, pairs):
+        of, moved = {n: i for i, n in enumerate(names)}, True
+        near = {n: [b if a == n else a for a, b in pairs if n in (a, b)] for n in names}
+        while moved:
+            moved = False
+            for n in names:
+                def value(c):
+                    return sum(of[m] == c for m in near[n]) - len(near[n]) * sum(len(near[m]) for m in names if of[m] == c and m != n) / (2 * len(pairs))
+
+                best = max(sorted({of[m] for m in near[n]} | {of[n]}), key=lambda c: (value(c), c == of[n]))
+                if best != of[n]:
+                    of[n], moved = best, True
+        return [[n for n in names if of[n] == c] for c in set(of.values())]
+
+    for seed in range(4):
+        pairs = [p for p in _random_graph(seed) if p[0] != p[1]]
+        names = sorted({n for p in pairs for n in p})
+        ours = community.local_moving(names, pairs)
+        assert sorted(n for part in ours for n in part) == names
+        assert modularity(pairs, ours) >= 0.97 * modularity(pairs, plain(names, pairs))
 
 
 def test_reduce(spark):
@@ -198,36 +382,61 @@ def test_contexts(spark):
 
 def test_merge_keeps_the_first_provenance(spark, business, tmp_path):
     root = str(tmp_path / "g")
-    every = triples.business_triples(business)
+    every = triples.business_triples(business).persist()
+    assert merge.read_graph(spark, root) is None
     merge.merge_batch(spark, every.filter("relationship = 'IS_A'").withColumn("source", F.lit("first")), root)
     merge.merge_batch(spark, every.withColumn("source", F.lit("second")), root)
-    edges = spark.read.parquet(f"{root}/edges")
+    nodes, edges = merge.read_graph(spark, root)
     assert {(r.relationship == "IS_A", r.source) for r in edges.collect()} == {(True, "first"), (False, "second")}
     assert edges.count() == every.count()
-    nodes = spark.read.parquet(f"{root}/nodes")
     assert nodes.count() == graph.nodes(every).count() == nodes.select("id").distinct().count()
 
 
+def test_merge_survives_a_crash_and_a_replay(spark, business, tmp_path, monkeypatch):
+    root = str(tmp_path / "g")
+    rows = triples.unpivot(business["regions"], [triples.Rule(F.col("name"), "IS_A", F.lit("Region"))], F.monotonically_increasing_id())
+    merge.merge_batch(spark, rows, root, batch=0)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(merge.graph, "edges", crash)
+        with pytest.raises(RuntimeError):
+            merge.merge_batch(spark, rows, root, batch=1)
+    assert [r.n for r in merge.read_graph(spark, root)[1].collect()] == [1]
+    for _ in range(3):
+        merge.merge_batch(spark, rows, root, batch=1)
+    assert [r.n for r in merge.read_graph(spark, root)[1].collect()] == [2]
+    merge.merge_batch(spark, rows, root, batch=2)
+    assert [r.n for r in merge.read_graph(spark, root)[1].collect()] == [3]
+    assert len(list((tmp_path / "g" / "nodes").iterdir())) == 2 and merge.clear_graph(spark, root) == ["nodes", "edges"]
+    assert merge.read_graph(spark, root) is None
+
+
 def test_merge_stream(spark, business, tmp_path):
     every = triples.business_triples(business)
     every.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(every.schema).parquet(str(tmp_path / "in"))
     merge.merge_stream(stream, str(tmp_path / "g"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "g/edges")).count() == every.count()
+    assert merge.read_graph(spark, str(tmp_path / "g"))[1].count() == spark.read.parquet(str(tmp_path / "in")).count()
 
 
 def test_service(spark, business, tmp_path):
     root = str(tmp_path / "s")
-    every = triples.business_triples(business)
-    graph.nodes(every).write.parquet(f"{root}/nodes")
-    graph.edges(every).write.parquet(f"{root}/edges")
-    readers.write_chunks(triples.linearise(business["products"], "products").select("text", F.lit("products").alias("source"), F.lit(None).cast("long").alias("page_number")), f"{root}/chunks")
-    s = api.Service(spark, root)
-    got = s.ask("who did bob report to", 1)
-    assert "Bob REPORTS TO Ann" in got["answer"] or got["citations"]
-    assert set(s.ask_both("lamp")) == {"query", "graph", "chunks"}
     with pytest.raises(api.BadRequest):
-        s.ask("  ")
+        api.Service(spark, root).ask("who")
+    merge.merge_batch(spark, triples.business_triples(business), root)
+    readers.write_chunks(triples.linearise(business["products"], "products").select("text", F.lit("products").alias("source"), F.lit(None).cast("long").alias("page_number")), f"{root}/chunks")
+    s = api.Service(spark, root, count_tokens=len)
+    s.store_vectors()
+    with s:
+        got = s.ask("who did bob report to", 1)
+        assert "Bob REPORTS TO Ann" in got["answer"] or got["citations"]
+        assert set(got["latency"]) == {"embed_ms", "seeds_ms", "facts_ms", "answer_ms", "total_ms"} and got["tokens"]["answer"] == len(got["answer"])
+        assert set(s.ask_both("lamp", 1)) == {"query", "graph", "chunks"}
+        with pytest.raises(api.BadRequest):
+            s.ask("  ")
     assert s.delete_graph() == {"deleted": ["nodes", "edges"]} and s.health() == {"status": "ok"}
 
 
