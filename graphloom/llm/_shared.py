@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut, shared_folder
+
 #: Words are maximal runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints and written tables.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (single-machine tests)
-    a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,3 +52,6 @@ def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     top = np.uint64(len(words) - 1)
     one = lambda x: (words[((x >> np.uint64(6)) & top).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
     return (one(h) & one((h >> np.uint64(17)) ^ (h << np.uint64(23)))).astype(bool)
+
+
+__all__ = ["SPACE", "WORD", "bloom", "cut", "in_bloom", "partitions", "shared_folder", "table"]
