@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(run):
+    """run, after whose last batch a worker gives freed memory back to the system; workers live on from stage to stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,4 +71,4 @@ def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (one(h) & one((h >> np.uint64(17)) ^ (h << np.uint64(23)))).astype(bool)
 
 
-__all__ = ["SPACE", "WORD", "bloom", "cut", "in_bloom", "partitions", "shared_folder", "table"]
+__all__ = ["SPACE", "WORD", "bloom", "cut", "in_bloom", "partitions", "shared_folder", "table", "trimmed"]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text
-from graphloom.llm._shared import bloom, cut, in_bloom, partitions
+from graphloom.llm._shared import bloom, cut, in_bloom, partitions, trimmed
 from graphloom.operators.components import components
 
 WORDS, SHARE = 5, 80
@@ -405,7 +405,7 @@ class _Sets:
     def of(self, sigs: DataFrame, prefix_only: bool) -> DataFrame:
         """sig, n, tokens of the sets with one of sigs (s), and of a few more."""
         kind = "int" if prefix_only else "long"
-        return self.docs.mapInArrow(_members(self.k, bloom(sigs, "s"), *self.args, prefix_only), f"sig long, n long, tokens array<{kind}>").dropDuplicates(["sig"])
+        return self.docs.mapInArrow(trimmed(_members(self.k, bloom(sigs, "s"), *self.args, prefix_only)), f"sig long, n long, tokens array<{kind}>").dropDuplicates(["sig"])
 
     @staticmethod
     def joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -467,15 +467,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """One row per document of docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    census = cut(docs.mapInArrow(_census(k), "doc_id long, n long, sig long, token long, count long"))
+    census = cut(docs.mapInArrow(trimmed(_census(k)), "doc_id long, n long, sig long, token long, count long"))
     rows = census.filter("n is not null").select("doc_id", "n", "sig")
     often = census.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(f"count >= {COMMON_MIN}").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
     order = np.argsort(tokens)
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), int(total * (100 - SHARE) / 100) // BUCKET)
-    lists = docs.select("text").mapInArrow(_listed(k, tokens[order], counts[order], buckets), "bucket long, entries binary")
-    found = cut(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(_short(tokens[counts > HOT])), _CANDIDATE))
+    lists = docs.select("text").mapInArrow(trimmed(_listed(k, tokens[order], counts[order], buckets)), "bucket long, entries binary")
+    found = cut(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_candidates(_short(tokens[counts > HOT]))), _CANDIDATE))
     sets = _Sets(docs, k, tokens[order], counts[order])
     pairs = cut(found.filter("token is null").groupBy("a", "b").agg(F.max("n").alias("by_hub")))
     long_lists = found.filter("token is not null").select("a", "token", "n", "pos").distinct()

@@ -22,9 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
+from pyspark.sql.types import StringType, StructType
 
 from graphloom.llm import _text
+from graphloom.llm._shared import trimmed
 
 BODY, WARM = 256, 24
 HIDDEN = 16
@@ -244,7 +245,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Network, list[st
 
 def identify(docs: DataFrame, net: Network, names: list[str]) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_identify(net, names), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(_identify(net, names)), "doc_id long, lang_pred string, score double")
 
 
 def held_out(docs: DataFrame, mod: int, rest: int):
@@ -265,8 +266,8 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """
     net, names = fit(docs.filter(~held_out(docs, 3, 1)))
     wide = [f.name for f in docs.schema]
-    rows = docs.select(F.struct(*[docs[c] for c in wide]).alias("doc"), docs["text"].alias("text"))
-    kept = rows.mapInArrow(_flag(net, names, min_score), StructType([*rows.schema.fields]).add("lang_pred", StringType()).add("keep", BooleanType())).filter("keep")
+    rows = docs.select(F.struct(*[docs[c] for c in wide]).alias("doc"))
+    kept = rows.mapInArrow(trimmed(_flag(net, names, min_score)), StructType([*rows.schema.fields]).add("lang_pred", StringType()))
     return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" and names else F.col("doc").getField(c).alias(c) for c in wide])
 
 
@@ -275,13 +276,15 @@ def _flag(net: Network, names: list[str], min_score: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
+            docs = batch.column("doc")
+            texts = docs.field("text")
+            ids = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), texts], names=["doc_id", "text"])
             at = 0
             for got in one(iter([ids])):
-                text = pc.fill_null(batch.column("text").slice(at, got.num_rows), "")
+                text = pc.fill_null(texts.slice(at, got.num_rows), "")
                 keep = pc.greater_equal(got.column("score"), max(min_score, 1e-9)) if names else pc.match_substring_regex(text, r"\p{L}")
-                part = batch.slice(at, got.num_rows)
+                part = pa.RecordBatch.from_arrays([docs.slice(at, got.num_rows), got.column("lang_pred")], names=["doc", "lang_pred"])
                 at += got.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text"), got.column("lang_pred"), keep], names=["doc", "text", "lang_pred", "keep"])
+                yield part.filter(keep)
 
     return run

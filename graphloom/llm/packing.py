@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from graphloom.llm import _text
-from graphloom.llm._shared import cut, partitions
+from graphloom.llm._shared import cut, partitions, trimmed
 
 CAPACITY, GRAIN, END_ID = 2048, 16, 1
 #: Ids of so many words are remembered by a worker, in about 40 bytes each.
@@ -260,11 +260,10 @@ def _packed(ids: bytes) -> bytes:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Binary ids as lists of numbers; a row's length tells how wide they are."""
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         length, cells = batch.column("length").to_numpy(), batch.column("ids").to_pylist()
         ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(cells, length.tolist())]
-        values = pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), values)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(np.concatenate(ids)))
         at = batch.schema.get_field_index("ids")
         yield batch.set_column(at, "ids", lists)
 
@@ -375,7 +374,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gra
     spark = docs.sparkSession
     salts = 4 * partitions(spark)
     rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    found = rows.mapInArrow(_cut_up(path or tokenizer_path(), capacity, with_ids), _PIECES + ", ids binary" * with_ids)
+    found = rows.mapInArrow(trimmed(_cut_up(path or tokenizer_path(), capacity, with_ids)), _PIECES + ", ids binary" * with_ids)
     found = cut(found.withColumn("piece", F.monotonically_increasing_id()))
     pieces = found.drop("ids").withColumn("class", F.ceil(F.col("length") / grain))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
@@ -393,7 +392,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gra
     if not with_ids:
         return put.select(*names)
     out = put.select(*names, "piece").join(found.select("piece", "ids"), "piece").drop("piece")
-    return out.mapInArrow(_unpacked, StructType([*out.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))]))
+    return out.mapInArrow(trimmed(_unpacked), StructType([*out.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))]))
 
 
 def op5_packing(spark, sf_dir) -> DataFrame:
