@@ -413,6 +413,11 @@ def rich_json_parse(spark, d):
     return extract.parse_rich(t(spark, d, "part")["part"].select(c("p_partkey").alias("chunk_id"), F.expr(_RICH).alias("response")))[1]
 
 
+@query("SELECT p_partkey AS chunk_id, p_name AS entity_name, 'Part' AS entity_type, 'a part' AS entity_description FROM part WHERE p_partkey % 3 <> 0")
+def rich_entities(spark, d):
+    return extract.parse_rich(t(spark, d, "part")["part"].select(c("p_partkey").alias("chunk_id"), F.expr(_RICH).alias("response")))[0]
+
+
 _PATHS = "p_name || ' -> made of -> ' || p_brand || chr(10) || p_brand || ' -> WORKS_AT -> ' || p_type || chr(10) || p_type || ' -> kind -> ' || p_name"
 
 
@@ -560,25 +565,32 @@ def _lane_questions(spark):
     return spark.createDataFrame([(1, "who sold Part#11"), (2, "what is the price of Part#3"), (3, "zzz qqq")], "query long, question string")
 
 
-@query()
+@query(f"""WITH {ASKED}, {NAMES}, {KEYWORDS},
+texts AS (SELECT 'q' AS kind, CAST(query AS VARCHAR) AS id, question AS text FROM asked UNION ALL SELECT 'n', name, name FROM names),
+digests AS (SELECT kind, id, md5(unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS h FROM texts),
+cells AS (SELECT kind, id, place, sum(sign) AS v FROM (SELECT kind, id, CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64 AS place, CASE WHEN substr(h, 3, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM digests) GROUP BY ALL),
+norms AS (SELECT kind, id, sqrt(sum(v * v)) AS n FROM cells GROUP BY ALL HAVING sum(v * v) > 0),
+dots AS (SELECT a.id AS query, b.id AS name, sum(a.v * b.v) AS d FROM cells a JOIN cells b ON a.place = b.place AND a.kind = 'q' AND b.kind = 'n' GROUP BY ALL),
+scored AS (SELECT CAST(a.id AS BIGINT) AS query, b.id AS name, round((1 + coalesce(d, 0) / (a.n * b.n)) / 2, 6) AS score FROM norms a JOIN norms b ON a.kind = 'q' AND b.kind = 'n' LEFT JOIN dots ON dots.query = a.id AND dots.name = b.id),
+vec AS (SELECT query, name, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM scored) WHERE rank <= 3 AND score >= 0.45),
+x AS (SELECT query, name, 0 AS l, rank FROM keyword UNION ALL SELECT query, name, 1, rank FROM vec),
+f AS (SELECT query, name, sum(CASE WHEN l = 0 THEN 1.0::DOUBLE / (60 + rank) END) AS s0, sum(CASE WHEN l = 1 THEN 1.0::DOUBLE / (60 + rank) END) AS s1, min(l * 1000 + rank) AS seen FROM x GROUP BY ALL)
+SELECT query, name, rank FROM (SELECT query, name, CAST(row_number() OVER (PARTITION BY query ORDER BY coalesce(s0, 0) + coalesce(s1, 0) DESC, seen, name) AS BIGINT) AS rank FROM f) WHERE rank <= 3""")
 def hybrid_seeds(spark, d):
     asked = lanes.with_embedding(_asked(spark, d), "question")
-    return lanes.seeds(lanes.with_embedding(_names(spark, d), "name"), asked)
+    return lanes.seeds(lanes.with_embedding(_names(spark, d), "name"), asked).withColumn("rank", c("rank").cast("long"))
 
 
 @query()
 def graph_lane_answers(spark, d):
-    every = star(spark, d, "part", "customer")
+    every = star(spark, d)
     found = lanes.graph_lane(graph.edges(every, "name"), graph.nodes(every, "name"), _lane_questions(spark))
     return found.select("query", "context", "answer", F.to_json("citations").alias("citations"), F.array_join("sources", ",").alias("sources"))
 
 
 @query()
 def chunk_lane_answers(spark, d):
-    x = t(spark, d, "part")["part"]
-    rows = triples.linearise(x.select("p_partkey", "p_name", "p_type", "p_retailprice"), "part", None, "p_partkey")
-    chunks = rows.select(c("row_key").cast("string").alias("chunk_id"), "text", F.lit("part").alias("source"), F.lit(0).cast("long").alias("page_number"))
-    return lanes.chunk_lane(chunks, _lane_questions(spark)).select("query", "context", "answer", F.to_json("citations").alias("citations"))
+    return lanes.chunk_lane(_part_chunks(spark, d), _lane_questions(spark)).select("query", "context", "answer", F.to_json("citations").alias("citations"))
 
 
 @query()
@@ -588,4 +600,26 @@ def strategy_sweep(spark, d):
     return found.select("strategy", "query", F.array_join("seeds", ",").alias("seeds"), F.size("contexts").alias("contexts"))
 
 
+def _part_chunks(spark, d):
+    x = t(spark, d, "part")["part"]
+    rows = triples.linearise(x.select("p_partkey", "p_name", "p_type", "p_retailprice"), "part", None, "p_partkey")
+    return rows.select(c("row_key").cast("string").alias("chunk_id"), "text", F.lit("part").alias("source"), F.lit(0).cast("long").alias("page_number"))
+
+
+@query()
+def both_lanes_answers(spark, d):
+    every, asked = star(spark, d), _lane_questions(spark)
+    both = lanes.both_lanes(lanes.graph_lane(graph.edges(every, "name"), graph.nodes(every, "name"), asked, hops=1), lanes.chunk_lane(_part_chunks(spark, d), asked))
+    return both.select("query", c("graph.answer").alias("graph_answer"), c("chunks.answer").alias("chunk_answer"))
+
+
+@query()
+def community_lane_answers(spark, d):
+    """A question for each nation whose key is divisible by 20."""
+    g = _simple(spark, d)
+    paths = g.select(F.concat_ws(" -> ", "a", F.lower(F.replace(c("relationship"), F.lit("_"), F.lit(" "))), "b").alias("text"))
+    asked = t(spark, d, "nation")["nation"].filter("n_nationkey % 20 = 0").select(c("n_nationkey").cast("long").alias("query"), F.concat(F.lit("customers located in "), "n_name").alias("question"))
+    return lanes.community_lane(community.communities(g), g, paths, asked)
+
+
 __all__ = ["ORACLE", "QUERIES"]
