@@ -75,6 +75,12 @@ def test_training_order(docs, spark):
     assert m == {d: c[0] * (2 if d < 20 else 1) for d, c in peers.items() if c[0]}
 
 
+def test_empty_tables(nothing, spark):
+    assert mixing.mix_sources(nothing).count() == 0 and mixing.training_order(nothing).count() == 0
+    assert exact_dedup.drop_duplicates(nothing).count() == jaccard_join.keep_first(nothing).count() == language_id.keep_identified(nothing).count() == 0
+    assert packing.pack(nothing, with_ids=True).count() == 0 and warc.plan_records(spark.createDataFrame([], PAGES)).count() == 0
+
+
 # ---- chat
 
 
@@ -122,6 +128,28 @@ def test_quality_rules(docs, texts, spark):
     assert got == again
 
 
+def test_likelihood_ratio_by_hand(spark, monkeypatch):
+    """Scores, threshold and verdicts from plain counts of words and pairs, where no two n-grams share a bucket."""
+    import collections
+    import math
+
+    monkeypatch.setattr(quality_rules, "BUCKETS", 1 << 22)
+    r = random.Random(9)
+    rows = [(i, " ".join(f"{'g' if i % 2 else 'b'}{r.randrange(6)}" if r.random() < 0.7 else f"c{r.randrange(6)}" for _ in range(r.randrange(40, 90)))) for i in range(60)] + [(60, None), (61, "g1")]
+    trusted = {i for i in range(60) if i % 2 and i < 40}
+    grams = {d: [*w, *zip(w, w[1:])] for d, t in rows for w in [brute.words(t)]}
+    raw, target = (collections.Counter(g for d in grams if keep(d) for g in grams[d]) for keep in (lambda d: True, trusted.__contains__))
+    p = lambda c, g: math.log((c[g] + 1) / (sum(c.values()) + (1 << 22)))
+    score = {d: round(1e6 * sum(p(target, g) - p(raw, g) for g in gs) / max(len(gs), 1)) for d, gs in grams.items()}
+    mean = sum(score[d] for d in trusted) / len(trusted)
+    sd = (sum(score[d] ** 2 for d in trusted) / len(trusted) - mean * mean) ** 0.5
+    got = rows_by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(d,) for d in trusted], "doc_id long"), 1.0), "score", "threshold", "base_failed", "kept")
+    for d, (s, threshold, failed, kept) in got.items():
+        assert abs(1e6 * s - score[d]) <= 1 and abs(1e6 * threshold - (mean - sd)) <= 3
+        assert kept == (not failed and s >= threshold)
+    assert {x[3] for x in got.values()} == {True, False}
+
+
 def test_quality_rules_without_target(docs, nothing, spark):
     none = spark.createDataFrame([], "doc_id long")
     assert {r["score"] for r in quality_rules.quality_rules(docs, none).collect()} == {0.0}
@@ -421,6 +449,48 @@ def test_held_out_quality(spark):
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_word_vectors_and_pooling_by_hand(spark):
+    """Vectors are the signed index vectors of all neighbours, added up; pooling is their mean and spread."""
+    texts = ["a b c a", "b", None, "c a b b a", "d"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    vectors = quality_classifier.word_vectors(frame)
+    hashes = {}
+    for _, _, data, off in quality_classifier._text.blocks(pa.array(["a b c d"])):
+        hashes = dict(zip("abcd", quality_classifier._text.words(data, off).hashes))
+    row = {x: int(quality_classifier._row(np.array([h]))[0]) for x, h in hashes.items()}
+    assert len(set(row.values())) == 4
+    want = {x: np.zeros(quality_classifier.DIMENSIONS) for x in "abcd"}
+    for t in texts:
+        w = (t or "").split()
+        for one, two in zip(w, w[1:]):
+            for me, other in ((one, two), (two, one)):
+                for place, sign in quality_classifier._index(np.array([hashes[other]])):
+                    want[me][place[0]] += sign[0]
+    for x in "abcd":
+        assert np.allclose(vectors[row[x]], want[x] / max(np.linalg.norm(want[x]), 1e-9), atol=1e-6)
+    assert not np.delete(vectors, list(row.values()), 0).any()
+    _, _, data, off = next(quality_classifier._text.blocks(pa.array(["a b c a", ""])))
+    x = quality_classifier.features(vectors, data, off)
+    v = np.array([vectors[row[w]] for w in "abca"])
+    assert np.allclose(x[0], [*v.mean(0), *v.std(0), np.linalg.norm(v.mean(0)), np.log(5)], atol=1e-5) and not x[1].any()
+
+
+def test_temperature_is_calibrated():
+    """Of the grid's temperatures the one chosen has the least cross entropy on the rows that weren't trained on."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((600, 5))
+    y = (r.random(600) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    model = quality_classifier.train(x, y, epochs=60)
+    held = np.arange(600) % 5 == 0
+
+    def loss(temperature):
+        p = model._replace(temperature=temperature).score(x[held])
+        return -(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)).mean()
+
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
+    assert loss(model.temperature) == pytest.approx(min(map(loss, grid))) and model.temperature > 1
+
+
 def test_quality_of_odd_rows(docs, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
