@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import label
 from graphloom.functions.text import relationship as clean_relationship
+from graphloom.operators.triples import first_of
 
 PROVENANCE = ("source", "page_number", "bbox", "section")
 
@@ -33,7 +34,7 @@ def nodes(triples: DataFrame, key: str = "name_type", existing: DataFrame | None
     if key == "name_type":
         found = ends.select("name", "type").distinct()
     else:
-        found = ends.groupBy("name").agg(F.min(F.struct("seq", "type"))["type"].alias("type"))
+        found = first_of(ends.groupBy("name", "type").agg(F.min("seq").alias("seq")), ("name",), "seq", "type")
     found = found.select(node_id(F.col("name"), F.col("type"), key).alias("id"), "name", "type")
     return found if existing is None else existing.unionByName(found.join(existing.select("id"), "id", "left_anti"))
 
@@ -46,8 +47,9 @@ def edges(triples: DataFrame, key: str = "name_type", existing: DataFrame | None
     t = triples.select(
         node_id(F.col("subject"), label(F.coalesce("subject_type", F.lit("Entity"))), key).alias("src"), clean_relationship(F.col("relationship")).alias("relationship"), node_id(F.col("object"), label(F.coalesce("object_type", F.lit("Entity"))), key).alias("dst"), "subject", "object", *PROVENANCE, "seq"
     )
+    # the hash leads the sort of this aggregate, so that texts are compared only where it is equal
     first = F.min_by(F.struct("subject", "object", *PROVENANCE), F.struct("seq", "source")).alias("p")
-    new = t.groupBy("src", "relationship", "dst").agg(first, F.count("*").alias("n")).select("src", "relationship", "dst", "p.*", "n")
+    new = t.groupBy(F.xxhash64("src", "relationship", "dst"), "src", "relationship", "dst").agg(first, F.count("*").alias("n")).select("src", "relationship", "dst", "p.*", "n")
     if existing is None:
         return new
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

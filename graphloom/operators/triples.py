@@ -1,7 +1,8 @@
 """Rows of tables as triples with provenance, and the resolution of keys to names.
 
 A triple's `seq` (section, row key, rule) is its place in the order in which the tables are read;
-it decides which of equal triples stays, whatever the partitioning.
+it decides which of equal triples stays, whatever the partitioning. Where row keys are whole numbers
+the three are packed in one long, of which the least is found in a hash aggregate; else they are a struct.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import money, strip
 
 SOURCE = "structured_csv"
+#: Rules of a section, and whole row keys, lie below these.
+RULES, ROWS = 10, 10**16
 
 
 class Rule:
@@ -22,15 +25,18 @@ class Rule:
 
 
 def unpivot(rows: DataFrame, rules: list[Rule], key: Column, section: int = 0, source: str | Column = SOURCE) -> DataFrame:
-    """All triples of the rules in one pass over rows."""
+    """All triples of the rules in one pass over rows. A whole key is at least 0 and below ROWS; a null one comes first."""
     src = F.lit(source) if isinstance(source, str) else source
-    cells = []
+    whole, cells = rows.select(key).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint"), []
+    if whole and len(rules) > RULES:
+        raise ValueError(f"a section has at most {RULES} rules")
     for i, r in enumerate(rules):
+        seq = F.lit(section * RULES * ROWS + i) + (F.coalesce(key.cast("long"), F.lit(0)) * RULES) if whole else F.struct(F.lit(section).alias("section"), key.cast("string").alias("row"), F.lit(i).alias("rule"))
         obj = strip(r.obj.cast("string"))
         cells.append(
             F.struct(
                 strip(r.subject.cast("string")).alias("subject"), F.lit(r.relationship).alias("relationship"), (obj if r.when is None else F.when(r.when, obj)).alias("object"), F.lit(r.types[0]).alias("subject_type"), F.lit(r.types[1]).alias("object_type"),
-                src.alias("source"), F.lit(None).cast("long").alias("page_number"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("string").alias("section"), F.struct(F.lit(section).alias("section"), key.cast("string").alias("row"), F.lit(i).alias("rule")).alias("seq"),
+                src.alias("source"), F.lit(None).cast("long").alias("page_number"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("string").alias("section"), seq.alias("seq"),
             )
         )
     return rows.select(F.inline(F.array(*cells))).filter("subject <> '' and object <> ''")
@@ -44,8 +50,13 @@ def lookup(rows: DataFrame, key: str, names: DataFrame, out: str) -> DataFrame:
 
 def distinct_triples(triples: DataFrame) -> DataFrame:
     """One row per (subject, relationship, object), the first by seq."""
-    first = Window.partitionBy("subject", "relationship", "object").orderBy("seq", "source")
-    return triples.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return first_of(triples, ("subject", "relationship", "object"), "seq", "source")
+
+
+def first_of(rows: DataFrame, key: tuple[str, ...], *order: str) -> DataFrame:
+    """One row per key, the first by order. A hash of the key leads the sort, so that texts are compared only where it is equal."""
+    first = Window.partitionBy("_hash", *key).orderBy(*order)
+    return rows.withColumn("_hash", F.xxhash64(*key)).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_hash", "_n")
 
 
 def business_triples(t: dict[str, DataFrame]) -> DataFrame:
@@ -117,15 +128,15 @@ def star_triples(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     part = F.concat(F.lit("Part#"), c("p_partkey").cast("string"))
     customers = lookup(t["customer"], "c_nationkey", nations, "nation")
     out = {
-        "customer": unpivot(customers, [Rule(c("c_name"), "IS_A", F.lit("Customer"), "Organization", "Concept"), Rule(c("c_name"), "IN_SEGMENT", c("c_mktsegment"), "Organization", "Concept"), Rule(c("c_name"), "LOCATED_IN", c("nation"), "Organization", "Location")], F.lpad(c("c_custkey").cast("string"), 12, "0"), 0, "customer"),
-        "part": unpivot(t["part"], [Rule(part, "IS_A", c("p_type"), "Topic", "Concept"), Rule(part, "NAMED", c("p_name"), "Topic", "Concept"), Rule(part, "PRICED_AT", money(c("p_retailprice")), "Topic", "Measurement")], F.lpad(c("p_partkey").cast("string"), 12, "0"), 1, "part"),
+        "customer": unpivot(customers, [Rule(c("c_name"), "IS_A", F.lit("Customer"), "Organization", "Concept"), Rule(c("c_name"), "IN_SEGMENT", c("c_mktsegment"), "Organization", "Concept"), Rule(c("c_name"), "LOCATED_IN", c("nation"), "Organization", "Location")], c("c_custkey"), 0, "customer"),
+        "part": unpivot(t["part"], [Rule(part, "IS_A", c("p_type"), "Topic", "Concept"), Rule(part, "NAMED", c("p_name"), "Topic", "Concept"), Rule(part, "PRICED_AT", money(c("p_retailprice")), "Topic", "Measurement")], c("p_partkey"), 1, "part"),
     }
     clients = t["customer"].select(c("c_custkey").alias("id"), c("c_name").alias("name"))
     orders = lookup(t["orders"].select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", clients, "customer")
-    out["orders"] = unpivot(orders, [Rule(c("customer"), "ORDER_WORTH", money(c("o_totalprice")), "Organization", "Measurement")], F.lpad(c("o_orderkey").cast("string"), 12, "0"), 2, "orders")
+    out["orders"] = unpivot(orders, [Rule(c("customer"), "ORDER_WORTH", money(c("o_totalprice")), "Organization", "Measurement")], c("o_orderkey"), 2, "orders")
     sellers = t["supplier"].select(c("s_suppkey").alias("id"), c("s_name").alias("name"))
     items = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").join(orders.select(c("o_orderkey").alias("l_orderkey"), "customer"), "l_orderkey")
     items = lookup(items, "l_suppkey", sellers, "seller").join(t["part"].select(c("p_partkey").alias("l_partkey"), part.alias("product")), "l_partkey")
-    key = F.concat(F.lpad(c("l_orderkey").cast("string"), 12, "0"), F.lpad(c("l_linenumber").cast("string"), 4, "0"))
+    key = c("l_orderkey") * 10000 + c("l_linenumber")
     out["lineitem"] = unpivot(items, [Rule(c("customer"), "PURCHASED", c("product"), "Organization", "Topic"), Rule(c("seller"), "SOLD", c("product"), "Person", "Topic"), Rule(c("product"), "ORDERED_QTY", c("l_quantity").cast("long"), "Topic", "Measurement", c("l_quantity") > 1)], key, 3, "lineitem")
     return out
