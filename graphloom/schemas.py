@@ -16,6 +16,7 @@ BUSINESS = {
 }
 QUESTIONS = "id long, category string, question string, ground_truth string, source string"
 ELEMENT = "pos long, type string, text string, page_number long, bbox array<double>"
+#: With seq as one long where row keys are whole numbers.
 TRIPLE = "subject string, relationship string, object string, subject_type string, object_type string, source string, page_number long, bbox array<double>, section string, seq struct<section:int,row:string,rule:int>"
 #: The language model's triple output and the richer one with descriptions.
 TRIPLES_JSON = "struct<triples:array<struct<subject:string,relationship:string,object:string,subject_type:string,object_type:string>>>"

@@ -42,6 +42,20 @@ def test_business_triples(business):
     }
 
 
+def test_places_of_whole_and_text_keys_agree(spark):
+    rows = [(2, "a", "x"), (10, "a", "x"), (None, "a", "x"), (7, "b", "x"), (7, "b", ""), (7, None, "x")]
+    for kind, key in (("long", F.col("k")), ("string", F.lpad("k", 3, "0"))):
+        t = spark.createDataFrame([(k if kind == "long" or k is None else str(k), s, o) for k, s, o in rows], f"k {kind}, s string, o string")
+        rules = [triples.Rule(F.col("s"), "IS", F.col("o"), "A", "B"), triples.Rule(F.col("o"), "IS", F.col("s"), "C", "D")]
+        every = triples.unpivot(t, rules, key, 0, F.coalesce(F.concat(F.lit("row"), F.col("k").cast("string")), F.lit("none"))).unionByName(triples.unpivot(t.filter("k = 7"), rules, key, 1, "late"))
+        first = {(r.subject, r.object): r.source for r in triples.distinct_triples(every).collect()}
+        assert first == {("a", "x"): "none", ("x", "a"): "none", ("b", "x"): "row7", ("x", "b"): "row7"}
+        assert {r.name: r.type for r in graph.nodes(every, "name").collect()} == {"a": "A", "x": "B", "b": "A"}
+        assert {(r.src, r.dst): (r.source, r.n) for r in graph.edges(every, "name").collect()} == {("a", "x"): ("none", 3), ("x", "a"): ("none", 3), ("b", "x"): ("row7", 2), ("x", "b"): ("row7", 2)}
+    with pytest.raises(ValueError):
+        triples.unpivot(spark.range(1), [triples.Rule(F.lit("a"), "IS", F.lit("b"))] * 11, F.col("id"))
+
+
 def test_csv_tables_and_missing_files(spark, tmp_path):
     (tmp_path / "company.csv").write_text('id,name,industry,founded_year\nc1,"Acme, Inc",Retail,1999\n')
     got = readers.read_business(spark, str(tmp_path))
