@@ -16,7 +16,10 @@ costs as many comparisons as it has members, not its square. A list that is deal
 buckets counts as long in each, however few entries its part has, so that entries of different
 buckets meet where what remains is paired.
 
-A candidate pair's prefixes are compared before whole sets. Shingles are 64-bit hashes.
+A candidate pair's prefixes are compared before whole sets. Shingles are 64-bit hashes, and a whole set is
+known by a 64-bit signature, which is verified by its size and another. A list is dealt over several buckets if
+its shingle is one of the COMMON most frequent, as counted where some chunk has LOCAL_MIN of it; rarer
+shingles' lists lie whole in one bucket each. Where pairs meet their sets, adaptive execution splits a hub's.
 
 Defined cases: A-Z are folded; with fewer words than a shingle the whole sequence is the one
 shingle; without words the set is empty and the document linked with nothing; repeated rows and
@@ -55,7 +58,10 @@ _U = np.uint64
 
 
 def _short(tokens: np.ndarray) -> np.ndarray:
-    """32 bits of shingles: within a bucket, which other bits choose, two of them seldom agree, and then only add a candidate."""
+    """32 bits of shingles: within a bucket, which other bits choose, two of them seldom agree, and then only add a candidate.
+
+    Where a prefix has two that agree, what it hides counts as one more.
+    """
     return (_text.mix(tokens) >> _U(32)).astype(np.uint32)
 
 
@@ -68,8 +74,8 @@ def _entries(blob: bytes) -> np.ndarray:
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, int]]:
-    """(batch, row, distinct sorted shingles, signature) of every text; the signature is of the whole set."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, int]]:
+    """(batch, row, distinct sorted shingles, signature) of every text; the signature is of the whole set, by the seed."""
     for batch in batches:
         for lo, hi, data, off in _text.blocks(batch.column("text")):
             w = _text.words(data, off, fold=True)
@@ -83,15 +89,21 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
                 else:
                     yield batch, lo + i, np.zeros(0, np.uint64), 0
                     continue
-                yield batch, lo + i, s, signature(s)
+                yield batch, lo + i, s, signature(s, seed)
+
 
+def signature(s: np.ndarray, seed: int = 0) -> int:
+    with np.errstate(over="ignore"):
+        salt = _U(0x5851F42D4C957F2D) + _U(seed) * _U(0xDA942042E4DD58B5)
+    return int(_text.mix(np.array([_text.mix(s + salt).sum(dtype=np.uint64) ^ _U(len(s))], np.uint64))[0])
 
-def signature(s: np.ndarray) -> int:
-    return int(_text.mix(np.array([_text.mix(s + _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ _U(len(s))], np.uint64))[0])
 
+#: The seed of the second signature, by which equal ones are verified; no run takes it for its first.
+CHECK = 1 << 20
 
-def _census(k: int, chunk: int = 1 << 21):
-    """Rows (doc_id, n, sig) of every text, and (token, count) of shingles that are frequent where they are read."""
+
+def _census(k: int, seed: int, chunk: int = 1 << 21):
+    """Rows (doc_id, n, sig, check) of every text, and (token, count) of shingles that are frequent where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -99,19 +111,20 @@ def _census(k: int, chunk: int = 1 << 21):
         size = 0
 
         def out(tokens: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            ids, n, sig = zip(*rows) if rows else ((), (), ())
+            ids, n, sig, check = zip(*rows) if rows else ((), (), (), ())
             none = lambda m: pa.nulls(m, pa.int64())
             m, t = len(rows), len(tokens)
-            cols = [pa.concat_arrays([pa.array(ids, pa.int64()), none(t)]), pa.concat_arrays([pa.array(n, pa.int64()), none(t)]), pa.concat_arrays([pa.array(np.array(sig, np.uint64).view(np.int64)), none(t)]), pa.concat_arrays([none(m), pa.array(tokens.view(np.int64))]), pa.concat_arrays([none(m), pa.array(counts)])]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig", "token", "count"])
+            told = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sig, check))]
+            cols = [*(pa.concat_arrays([x, none(t)]) for x in told), pa.concat_arrays([none(m), pa.array(tokens.view(np.int64))]), pa.concat_arrays([none(m), pa.array(counts)])]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig", "check", "token", "count"])
 
         def counted() -> tuple[np.ndarray, np.ndarray]:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = counts >= LOCAL_MIN
             return tokens[often], counts[often]
 
-        for batch, row, s, sig in _sets(batches, k):
-            rows.append((batch.column("doc_id")[row].as_py(), len(s), sig))
+        for batch, row, s, sig in _sets(batches, k, seed):
+            rows.append((batch.column("doc_id")[row].as_py(), len(s), sig, signature(s, CHECK)))
             held.append(s)
             size += len(s)
             if size >= chunk:
@@ -134,7 +147,7 @@ def _ordered(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~hit], late[np.argsort(rank[at[hit]], kind="stable")]])
 
 
-def _listed(k: int, common: np.ndarray, counts: np.ndarray, buckets: int, chunk: int = 1 << 19):
+def _listed(k: int, seed: int, common: np.ndarray, counts: np.ndarray, buckets: int, chunk: int = 1 << 19):
     """Rows (bucket, entries): the prefix entries of each distinct set, dealt by token."""
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable")
     hot = counts > HOT
@@ -164,7 +177,7 @@ def _listed(k: int, common: np.ndarray, counts: np.ndarray, buckets: int, chunk:
             cells = [b"".join(e[c][i:j].tobytes() for c in _ENTRY.names) for i, j in zip(at, np.append(at[1:], len(e)))]
             return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(cells, pa.binary())], names=["bucket", "entries"])
 
-        for _, _, s, sig in _sets(batches, k):
+        for _, _, s, sig in _sets(batches, k, seed):
             n = len(s)
             if not n or (sig, n) in seen:
                 continue
@@ -366,7 +379,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _members(k: int, words: np.ndarray, common: np.ndarray, counts: np.ndarray, prefix_only: bool):
+def _members(k: int, seed: int, words: np.ndarray, common: np.ndarray, counts: np.ndarray, prefix_only: bool):
     """Rows (sig, n, tokens) of the distinct sets that the filter may hold: whole, or the 32-bit shingles of their prefixes."""
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable")
     kind = np.int32 if prefix_only else np.int64
@@ -379,12 +392,12 @@ def _members(k: int, words: np.ndarray, common: np.ndarray, counts: np.ndarray,
             cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for _, _, s in kept]).view(kind)))
             return pa.RecordBatch.from_arrays([pa.array(np.array([g for g, _, _ in kept], np.uint64).view(np.int64)), pa.array([n for _, n, _ in kept], pa.int64()), cells], names=["sig", "n", "tokens"])
 
-        for _, _, s, sig in _sets(batches, k):
+        for _, _, s, sig in _sets(batches, k, seed):
             n = len(s)
             if not n or sig in seen or not in_bloom(words, np.array([sig], np.uint64))[0]:
                 continue
             seen.add(sig)
-            s = _short(_ordered(s, common, rank)[: n - (SHARE * n + 99) // 100 + 1]) if prefix_only else s
+            s = np.unique(_short(_ordered(s, common, rank)[: n - (SHARE * n + 99) // 100 + 1])) if prefix_only else s
             kept.append((sig, n, s))
             size += len(s)
             if size > 1 << 19:
@@ -399,13 +412,13 @@ def _members(k: int, words: np.ndarray, common: np.ndarray, counts: np.ndarray,
 class _Sets:
     """What verification reads of the documents' sets, by signature."""
 
-    def __init__(self, docs: DataFrame, k: int, common: np.ndarray, counts: np.ndarray):
-        self.docs, self.args, self.k = docs.select("text"), (common, counts), k
+    def __init__(self, docs: DataFrame, k: int, seed: int, common: np.ndarray, counts: np.ndarray):
+        self.docs, self.args, self.of_sets = docs.select("text"), (common, counts), (k, seed)
 
     def of(self, sigs: DataFrame, prefix_only: bool) -> DataFrame:
         """sig, n, tokens of the sets with one of sigs (s), and of a few more."""
         kind = "int" if prefix_only else "long"
-        return self.docs.mapInArrow(trimmed(_members(self.k, bloom(sigs, "s"), *self.args, prefix_only)), f"sig long, n long, tokens array<{kind}>").dropDuplicates(["sig"])
+        return self.docs.mapInArrow(trimmed(_members(*self.of_sets, bloom(sigs, "s"), *self.args, prefix_only)), f"sig long, n long, tokens array<{kind}>").dropDuplicates(["sig"])
 
     @staticmethod
     def joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -413,7 +426,7 @@ class _Sets:
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def possible(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """Pairs whose prefixes share enough: what both prefixes don't show lies behind one of them."""
+        """Pairs whose prefixes share enough: what both prefixes don't show lies behind one of them, or agrees with another shingle of it in 32 bits."""
         shown = F.size(F.array_intersect("t_a", "t_b"))
         hidden = F.greatest(F.col("n_a") - F.size("t_a"), F.col("n_b") - F.size("t_b"))
         return self.joined(pairs, prefixes).filter((100 + SHARE) * (shown + hidden) >= SHARE * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns)
@@ -463,20 +476,31 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """One row per document of docs (doc_id, text): doc_id, n_shingles, component_id."""
+#: Partitions of the lists at most; a partition takes its buckets one after the other.
+MOST = 20_000
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame:
+    """One row per document of docs (doc_id, text): doc_id, n_shingles, component_id.
+
+    Sets with one signature by the seed are one set if their sizes and second signatures agree as well;
+    where some don't, all begins anew by the next seed.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    census = cut(docs.mapInArrow(trimmed(_census(k)), "doc_id long, n long, sig long, token long, count long"))
+    census = cut(docs.mapInArrow(trimmed(_census(k, seed)), "doc_id long, n long, sig long, check long, token long, count long"))
+    unlike = census.filter("n is not null").groupBy("sig").agg(*(f("check").alias(a) for f, a in ((F.min, "a"), (F.max, "b"))), *(f("n").alias(a) for f, a in ((F.min, "c"), (F.max, "d"))))
+    if not unlike.filter("a <> b or c <> d").isEmpty():
+        return near_duplicates(docs, k, seed + 1)
     rows = census.filter("n is not null").select("doc_id", "n", "sig")
     often = census.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(f"count >= {COMMON_MIN}").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
     order = np.argsort(tokens)
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), int(total * (100 - SHARE) / 100) // BUCKET)
-    lists = docs.select("text").mapInArrow(trimmed(_listed(k, tokens[order], counts[order], buckets)), "bucket long, entries binary")
-    found = cut(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_candidates(_short(tokens[counts > HOT]))), _CANDIDATE))
-    sets = _Sets(docs, k, tokens[order], counts[order])
+    lists = docs.select("text").mapInArrow(trimmed(_listed(k, seed, tokens[order], counts[order], buckets)), "bucket long, entries binary")
+    found = cut(lists.repartition(min(buckets, MOST), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_candidates(_short(tokens[counts > HOT]))), _CANDIDATE))
+    sets = _Sets(docs, k, seed, tokens[order], counts[order])
     pairs = cut(found.filter("token is null").groupBy("a", "b").agg(F.max("n").alias("by_hub")))
     long_lists = found.filter("token is not null").select("a", "token", "n", "pos").distinct()
     prefixes = cut(sets.of(_both(pairs).union(long_lists.select("a")).distinct(), True))
@@ -569,7 +593,11 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """docs' rows, all columns, of which in each component the one with the smallest doc_id stays."""
+    """docs' rows, all columns, of which in each component the one with the smallest doc_id stays.
+
+    Rows that share that doc_id stay together, as does each row of an id that heads one component
+    and lies in another as well.
+    """
     kept = near_duplicates(docs, k).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("k_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]), "left_semi")
 

@@ -289,8 +289,8 @@ def test_long_lists_by_hubs(docs, texts, monkeypatch):
 def test_hot_lists_are_dealt(monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT", 20)
     batch = lambda *texts: iter([pa.RecordBatch.from_pydict({"text": texts})])
-    common = next(jaccard_join._sets(batch("a b c d e f g h i j"), 5))[2]
-    (got,) = jaccard_join._listed(5, common, np.full(len(common), 100), 1000)(batch(*[f"a b c d e f g h i j x{i}" for i in range(40)]))
+    common = next(jaccard_join._sets(batch("a b c d e f g h i j"), 5, 0))[2]
+    (got,) = jaccard_join._listed(5, 0, common, np.full(len(common), 100), 1000)(batch(*[f"a b c d e f g h i j x{i}" for i in range(40)]))
     buckets = {}
     for i, x in zip(got["bucket"].to_pylist(), got["entries"].to_pylist()):
         for e in jaccard_join._entries(x):
@@ -629,3 +629,45 @@ def test_shards_of_many_blocks(docs, texts, monkeypatch):
     few = docs.filter("doc_id not in (306, 307, 308)")
     got = rows_by_id(substring_dedup.remove_repeats(few), "n_words", "n_removed", "kept_sha256")
     assert got == brute.without_repeats([x for x in texts if x[0] not in (306, 307, 308)])
+
+
+@pytest.mark.parametrize("bits", [8, 64])
+def test_links_survive_agreeing_short_shingles(docs, texts, monkeypatch, bits):
+    """Shingles of one prefix that agree in the bits that prefixes keep lose no link."""
+    whole = jaccard_join._short
+    monkeypatch.setattr(jaccard_join, "_short", lambda tokens: whole(tokens) & np.uint32((1 << bits) - 1 if bits < 32 else 0xFFFFFFFF))
+    some = [(d, t) for d, t in texts if d not in (306, 307, 308)]
+    assert rows_by_id(jaccard_join.near_duplicates(docs.filter("doc_id not in (306, 307, 308)")), "n_shingles", "component_id") == brute.components(some)
+
+
+def test_the_bound_holds_where_prefixes_agree():
+    """Of sets that just link, whose differences all lie in the prefix, with a prefix whose short shingles agree."""
+    n, common = 27, 24
+    shared, a, b = [f"s{i}" for i in range(common)], [f"a{i}" for i in range(n - common)], [f"b{i}" for i in range(n - common)]
+    prefix = n - (80 * n + 99) // 100 + 1
+    for agree in range(prefix):
+        short = lambda x: "s0" if x in shared[:agree] else x  # noqa: E731, B023
+        pa_, pb = ({short(x) for x in (own + shared)[:prefix]} for own in (a, b))
+        shown, hidden = len(pa_ & pb), max(n - len(pa_), n - len(pb))
+        assert shown + hidden >= common
+
+
+def test_unlike_sets_with_one_signature(docs, texts, monkeypatch):
+    """Where a seed gives unlike sets one signature, another is taken."""
+    real, begun, seen = jaccard_join._sets, jaccard_join._census, []
+    monkeypatch.setattr(jaccard_join, "_sets", lambda batches, k, seed: ((*x[:3], x[3] & 3 if seed == 0 else x[3]) for x in real(batches, k, seed)))
+    monkeypatch.setattr(jaccard_join, "_census", lambda k, seed: seen.append(seed) or begun(k, seed))
+    some = [(d, t) for d, t in texts if d < 200]
+    assert rows_by_id(jaccard_join.near_duplicates(docs.filter("doc_id < 200")), "n_shingles", "component_id") == brute.components(some)
+    assert seen == [0, 1]
+
+
+def test_the_first_of_near_copies_stays(docs, texts, messy):
+    """With names that clash with the operator's own, and with ids that several rows have."""
+    rows = docs.filter("doc_id < 200").withColumns({c: F.lit("!") for c in ("component_id", "n_shingles", "sig", "check", "root", "node")})
+    twice = rows.unionByName(rows.filter("doc_id in (3, 120)"))
+    got = jaccard_join.keep_first(twice)
+    assert got.columns == twice.columns
+    named = brute.components([(d, t) for d, t in texts if d < 200])
+    want = [d for d, (_, c) in named.items() if d == c]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want + [d for d in (3, 120) if d in want])
