@@ -1,8 +1,10 @@
 """Communities of the graph, their summaries, and answers by community.
 
-Detection is modularity local moving with aggregation, refined to connected parts; clusters over
-the largest size are split again on their inner edges, so that a node is listed with its coarse
-and its fine clusters. In a round, half of the nodes, by a bit of their names' checksum, move at
+Detection is Leiden's: nodes move between communities by modularity; a community is refined into parts,
+which grow from single nodes by moves inside it alone and are connected; and the parts are the nodes of
+the next, coarser graph, where they begin in the community that they came from. Clusters over the
+largest size are split again on their inner edges, so that a node is listed with its coarse and its
+fine clusters; what moves don't split stays whole. In a round, half of the nodes, by a bit of their names' checksum, move at
 once, each to the community with the greatest gain; gains are integers, so that a round's result
 doesn't depend on any order. Groups of up to LARGE links are computed in one task each, larger ones
 by joins over all their links: the same rounds, with the same result.
@@ -24,10 +26,8 @@ from graphloom.functions.vectors import cosine
 from graphloom.operators.components import components
 from graphloom.settings import DEFAULTS
 
-#: Links of a group that one task computes; and rounds of moves, of which two in a row without a move end a level.
+#: Links of a group that one task computes; and rounds of moves at most, in pairs in which each node may move once; one without a move ends a level.
 LARGE, ROUNDS = 200_000, 12
-#: Nodes in one part of a cluster that moves don't split, on average; each part is cut by name.
-PART = 1000
 
 
 def simple_graph(edges: DataFrame) -> DataFrame:
@@ -41,10 +41,9 @@ def _is_active(checksum, turn: int):
     return ((checksum >> (turn // 2 % 16)) + turn) % 2 == 0
 
 
-def _moved(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, checksum: np.ndarray) -> np.ndarray:
-    """Communities, as nodes' numbers, after the rounds of one level over links (x, y) in both directions with weights w; k: the nodes' strengths."""
+def _moved(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, checksum: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Communities, as nodes' numbers, after the rounds of one level over links (x, y) in both directions with weights w, from label on; k: the nodes' strengths."""
     n, total, quiet = len(k), int(k.sum()), 0
-    label = np.arange(n)
     for turn in range(ROUNDS):
         key, place = np.unique(np.concatenate([x * n + label[y], np.arange(n) * n + label]), return_inverse=True)
         near = np.zeros(len(key), np.int64)
@@ -60,68 +59,77 @@ def _moved(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, checksum:
         move = _is_active(checksum, turn) & (gain[best] > gain[here]) & ~((size[label] == 1) & (size[to[best]] == 1) & (to[best] > label))
         label = np.where(move, to[best], label)
         quiet = 0 if move.any() else quiet + 1
-        if quiet == 2:
+        if turn % 2 and quiet > 1:
             break
     return label
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n nodes the least that links (a, b) connect each with."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _refined(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, checksum: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Connected parts of the communities of label, by their least node: nodes begin alone, and move along links inside their community."""
+    inside = label[x] == label[y]
+    x, y, w = x[inside], y[inside], w[inside]
+    part = _moved(x, y, w, k, checksum, np.arange(len(k)))
+    same = part[x] == part[y]
+    return _joined(len(k), x[same], y[same])
+
+
 def local_moving(names: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
     """Connected clusters of an unweighted graph of sorted names and distinct pairs (a < b), in order of their least names."""
     number = {n: i for i, n in enumerate(names)}
     a, b = (np.array([number[p[i]] for p in pairs], np.int64) for i in (0, 1))
     x, y = np.concatenate([a, b]), np.concatenate([b, a])
-    label, low, high, w, k, of = np.arange(len(names)), x, y, np.ones(len(x), np.int64), np.bincount(x, minlength=len(names)), np.arange(len(names))
+    at, low, high, w, k, of = np.arange(len(names)), x, y, np.ones(len(x), np.int64), np.bincount(x, minlength=len(names)), np.arange(len(names))
+    label = start = at
     while len(w):
-        moved = _moved(low, high, w, k, np.array([zlib.crc32(names[i].encode()) for i in of]))
-        kept, moved = np.unique(moved, return_inverse=True)
+        checksum = np.array([zlib.crc32(names[i].encode()) for i in of])
+        moved = _moved(low, high, w, k, checksum, start)
+        label = moved[at]
+        kept, part = np.unique(_refined(low, high, w, k, checksum, moved), return_inverse=True)
         if len(kept) == len(of):
             break
-        label, of = moved[label], of[kept]
-        key, place = np.unique(moved[low] * len(of) + moved[high], return_inverse=True)
+        _, first, community = np.unique(moved[kept], return_index=True, return_inverse=True)
+        start, at, of = first[community], part[at], of[kept]
+        key, place = np.unique(part[low] * len(of) + part[high], return_inverse=True)
         weight, strength = np.zeros(len(key), np.int64), np.zeros(len(of), np.int64)
         np.add.at(weight, place, w)
-        np.add.at(strength, moved, k)
+        np.add.at(strength, part, k)
         low, high, w, k = key // len(of), key % len(of), weight, strength
         inner = low == high
         low, high, w = low[~inner], high[~inner], w[~inner]
     # parts of communities that links hold together
-    root, inside = np.arange(len(names)), label[a] == label[b]
-    while True:
-        least = root.copy()
-        np.minimum.at(least, a[inside], root[b[inside]])
-        np.minimum.at(least, b[inside], root[a[inside]])
-        least = least[least]
-        if (least == root).all():
-            break
-        root = least
+    inside = label[a] == label[b]
+    root = _joined(len(names), a[inside], b[inside])
     groups: dict[int, list[str]] = {}
     for n, r in zip(names, root.tolist()):
         groups.setdefault(r, []).append(n)
     return list(groups.values())
 
 
-def _slices(names: list[str], most: int) -> list[list[str]]:
-    """Parts of `most` names or fewer: by checksum in parts of about PART, and by name in these."""
-    parts = -(-len(names) // PART)
-    out = []
-    for p in range(parts):
-        here = [n for n in names if zlib.crc32(n.encode()) % parts == p]
-        out += [here[i : i + most] for i in range(0, len(here), most)]
-    return out
-
-
 def hierarchy(names: list[str], pairs: list[tuple[str, str]], most: int, level: int = 0) -> list[tuple[str, int, str]]:
     """(node, level, cluster) of the clusters of a group, named by least node and level; those over `most` nodes are split again.
 
     level: that of the group's clusters. Over 0 the group is itself a cluster that is too large, and
-    is sliced where moves don't split it.
+    has no finer ones where moves don't split it.
     """
     out, todo = [], [(names, pairs, level)]
     while todo:
         names, pairs, level = todo.pop()
         parts = local_moving(names, pairs)
         if len(parts) == 1 and level:
-            parts = _slices(names, most)
+            continue
         of = {n: i for i, part in enumerate(parts) for n in part}
         inner: list[list[tuple[str, str]]] = [[] for _ in parts]
         for a, b in pairs:
@@ -135,9 +143,9 @@ def hierarchy(names: list[str], pairs: list[tuple[str, str]], most: int, level:
 
 
 def _moved_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """g, node, label after the rounds of one level: _moved over links (g, x, y, w) and nodes (g, node, k) of many groups."""
+    """g, node, k, label after the rounds of one level: _moved over links (g, x, y, w) and nodes (g, node, k, label) of many groups."""
     totals = nodes.groupBy("g").agg(F.sum("k").alias("total"))
-    labels, quiet = cut(nodes.withColumn("label", F.col("node"))), 0
+    labels, quiet = cut(nodes.select("g", "node", "k", "label")), 0
     for turn in range(ROUNDS):
         sizes = labels.groupBy("g", "label").agg(F.sum("k").alias("strength"), F.count("*").alias("size"))
         near = links.join(labels.select("g", F.col("node").alias("y"), "label"), ["g", "y"]).select("g", F.col("x").alias("node"), F.col("label").alias("to"), "w")
@@ -153,7 +161,7 @@ def _moved_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
         new = cut(best.select("g", "node", "k", F.when(move, F.col("best.to")).otherwise(F.col("label")).alias("label"), move.alias("move")))
         quiet = quiet + 1 if new.filter("move").isEmpty() else 0
         labels = new.drop("move")
-        if quiet == 2:
+        if turn % 2 and quiet > 1:
             break
     return labels
 
@@ -162,21 +170,35 @@ def _split_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, part (its least node) of groups' nodes (g, node), as local_moving splits each by its links (g, a, b)."""
     both = cut(links.select("g", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select("g", F.col("b").alias("x"), F.col("a").alias("y"))).withColumn("w", F.lit(1).cast("long")))
     strength = both.groupBy("g", F.col("x").alias("node")).agg(F.sum("w").alias("k"))
-    now, edges = cut(nodes.select("g", "node").join(strength, ["g", "node"], "left").fillna(0, ["k"])), both
-    of = now.select("g", "node", F.col("node").alias("label"))
-    count = now.count()
+    now = cut(nodes.select("g", "node", F.col("node").alias("label")).join(strength, ["g", "node"], "left").fillna(0, ["k"]))
+    edges, of, done = both, now.select("g", "node", F.col("node").alias("at")), None
+
+    def within(rows: DataFrame, by: DataFrame) -> DataFrame:
+        """The links whose ends have one label."""
+        x, y = (by.select("g", F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("x", "y"))
+        return rows.join(x, ["g", "x"]).join(y, ["g", "y"]).filter("lx = ly").select("g", "x", "y", "w")
+
     while True:
         moved = _moved_by_joins(edges, now)
-        fewer = cut(moved.groupBy("g", "label").agg(F.sum("k").alias("k")).withColumnRenamed("label", "node"))
-        if (left := fewer.count()) == count:
+        placed = of.join(moved.select("g", F.col("node").alias("at"), "label"), ["g", "at"])
+        inner = cut(within(edges, moved))
+        refined = _moved_by_joins(inner, moved.withColumn("label", F.col("node")))
+        roots = components(within(inner, refined).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        parts = cut(moved.join(roots, "node", "left").select("g", "node", "k", "label", F.coalesce("root", "node").alias("part")))
+        going = cut(parts.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("part").alias("m")).filter("m < n").select("g"))
+        ended = cut(placed.join(going, "g", "left_anti").select("g", "node", "label"))
+        done = ended if done is None else done.unionByName(ended)
+        if going.isEmpty():
             break
-        step = moved.select("g", F.col("node").alias("label"), F.col("label").alias("next"))
-        of = cut(of.join(step, ["g", "label"]).select("g", "node", F.col("next").alias("label")))
-        to = moved.select("g", F.col("node").alias("x"), F.col("label").alias("u"))
+        parts = parts.join(going, "g", "left_semi")
+        fewer = parts.groupBy("g", F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.min("label").alias("was"))
+        start = fewer.groupBy("g", "was").agg(F.min("node").alias("label"))
+        now = cut(fewer.join(start, ["g", "was"]).select("g", "node", "k", "label"))
+        of = cut(of.join(parts.select("g", F.col("node").alias("at"), "part"), ["g", "at"]).select("g", "node", F.col("part").alias("at")))
+        to = parts.select("g", F.col("node").alias("x"), F.col("part").alias("u"))
         edges = edges.join(to, ["g", "x"]).join(to.select("g", F.col("x").alias("y"), F.col("u").alias("v")), ["g", "y"]).filter("u <> v")
         edges = cut(edges.groupBy("g", F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("w")))
-        now, count = fewer, left
-    label = of.select("g", F.col("node").alias("a"), F.col("label").alias("la"))
+    label = done.select("g", F.col("node").alias("a"), F.col("label").alias("la"))
     inside = links.join(label, ["g", "a"]).join(label.select("g", F.col("a").alias("b"), F.col("la").alias("lb")), ["g", "b"]).filter("la = lb").select("a", "b")
     return cut(nodes.select("g", "node").join(components(inside), "node", "left").select("g", "node", F.coalesce("root", "node").alias("part")))
 
@@ -207,8 +229,9 @@ def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> Data
             return out
         nodes, links = nodes.join(large, "g", "left_semi"), links.join(large, "g", "left_semi")
         parts = _split_by_joins(links, nodes)
-        if level:
-            parts = cut(_sliced(parts, most))
+        if level:  # what isn't split has no finer clusters
+            split = parts.groupBy("g").agg(F.count_distinct("part").alias("n")).filter("n > 1").select("g")
+            parts = cut(parts.join(split, "g", "left_semi"))
         out = out.unionByName(parts.select("node", F.lit(level).alias("level"), F.concat("part", F.lit(f"/{level}")).alias("cluster")))
         over = parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("part")
         nodes = cut(parts.join(over, "part", "left_semi").select(F.col("part").alias("g"), "node"))
@@ -217,17 +240,6 @@ def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> Data
         level += 1
 
 
-def _sliced(parts: DataFrame, most: int) -> DataFrame:
-    """g, node, part where groups that weren't split are cut as _slices does it."""
-    counts = parts.groupBy("g").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x = y").select("g", F.ceil(F.col("n") / PART).alias("parts"))
-    marked = parts.join(counts, "g", "left")
-    whole = marked.filter("parts is null").select("g", "node", "part")
-    cells = marked.filter("parts is not null").withColumn("p", F.expr("crc32(node) % parts"))
-    cells = cells.withColumn("s", F.floor((F.row_number().over(Window.partitionBy("g", "p").orderBy("node")) - 1) / most))
-    least = cells.groupBy("g", "p", "s").agg(F.min("node").alias("least"))
-    return whole.unionByName(cells.join(least, ["g", "p", "s"]).select("g", "node", F.col("least").alias("part")))
-
-
 def entity_communities(members: DataFrame) -> DataFrame:
     """node, clusters: those of all levels."""
     return members.groupBy("node").agg(F.sort_array(F.collect_set("cluster")).alias("clusters"))
@@ -240,10 +252,20 @@ def community_details(members: DataFrame, graph: DataFrame) -> DataFrame:
     return members.select("cluster", "node").distinct().join(both, "node").select("cluster", "node", "neighbour", detail.alias("detail"))
 
 
-def summaries(details: DataFrame, summarise: Callable[[Column], Column] = lambda text: text) -> DataFrame:
-    """cluster, summary of the details' lines and a full stop; the default summariser is the text itself."""
+def texts(details: DataFrame) -> DataFrame:
+    """cluster, text: the details' lines and a full stop."""
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "neighbour", "detail"))), lambda x: x["detail"]), "\n")
-    return details.groupBy("cluster").agg(F.concat(lines, F.lit(".")).alias("text")).select("cluster", strip_role(summarise(F.col("text"))).alias("summary"))
+    return details.groupBy("cluster").agg(F.concat(lines, F.lit(".")).alias("text"))
+
+
+def summarised(rows: DataFrame, summarise: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """rows with a summary in place of their text; the default summariser is the text itself."""
+    return rows.withColumn("summary", strip_role(summarise(F.col("text")))).drop("text")
+
+
+def summaries(details: DataFrame, summarise: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """cluster, summary."""
+    return summarised(texts(details), summarise)
 
 
 # fixed value: name -> relation -> name, one a line

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import is_fragment, is_placeholder
-from graphloom.protocols import ENTITY_TYPES, RICH_PROMPT, TRIPLES_PROMPT, TextModel, apply_model, prompted
+from graphloom.protocols import ENTITY_TYPES, RICH_PROMPT, TRIPLES_PROMPT, TextModel, ask_once, prompted
 from graphloom.schemas import RICH_JSON, TRIPLES_JSON
 from graphloom.settings import DEFAULTS, Settings
 
@@ -72,21 +72,22 @@ def parse_rich(raw: DataFrame, most: int | None = None) -> tuple[DataFrame, Data
     return entities, relationships
 
 
-def extract_triples(chunks: DataFrame, model: Callable[[], TextModel], s: Settings = DEFAULTS) -> DataFrame:
+def extract_triples(chunks: DataFrame, model: Callable[[], TextModel], s: Settings = DEFAULTS, ledger: str | None = None) -> DataFrame:
     """Triples, with provenance and `origin`, of chunks (chunk_id, text, source, page_number, bbox, section).
 
-    As many calls are under way as the settings allow; a chunk whose call fails gives nothing.
+    As many calls are under way as the settings allow; a chunk whose call fails gives nothing. Each
+    prompt is asked once; ledger: where answers are kept from run to run.
     """
-    asked = chunks.withColumn("_asked", prompted(TRIPLES_PROMPT, types=", ".join(ENTITY_TYPES), text=F.col("text")))
-    told = apply_model(asked, "_asked", "response", model, workers=s.max_concurrent_extractions).drop("_asked")
+    asked = chunks.select("chunk_id", "text", prompted(TRIPLES_PROMPT, types=", ".join(ENTITY_TYPES), text=F.col("text")).alias("_asked"))
+    told = ask_once(asked, "_asked", "response", model, ledger, workers=s.max_concurrent_extractions)
     found = parse_triples(told.select("chunk_id", "response", "text"))
     return found.join(chunks.select("chunk_id", "source", "page_number", "bbox", "section"), "chunk_id")
 
 
-def extract_rich(chunks: DataFrame, model: Callable[[], TextModel], s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) with descriptions of chunks (chunk_id, text), a bounded number of relationships each."""
+def extract_rich(chunks: DataFrame, model: Callable[[], TextModel], s: Settings = DEFAULTS, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) with descriptions of chunks (chunk_id, text), a bounded number of relationships each; each prompt is asked once for both."""
     asked = chunks.select("chunk_id", prompted(RICH_PROMPT, most=str(s.max_triplets_per_chunk), text=F.col("text")).alias("_asked"))
-    told = apply_model(asked, "_asked", "response", model, workers=s.extraction_workers)
+    told = ask_once(asked, "_asked", "response", model, ledger, workers=s.extraction_workers)
     return parse_rich(told.select("chunk_id", "response"), s.max_triplets_per_chunk)
 
 

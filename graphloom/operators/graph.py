@@ -50,39 +50,61 @@ def edges(triples: DataFrame, key: str = "name_type", existing: DataFrame | None
     # the hash leads the sort of this aggregate, so that texts are compared only where it is equal
     first = F.min_by(F.struct("subject", "object", *PROVENANCE), F.struct("seq", "source")).alias("p")
     new = t.groupBy(F.xxhash64("src", "relationship", "dst"), "src", "relationship", "dst").agg(first, F.count("*").alias("n")).select("src", "relationship", "dst", "p.*", "n")
-    if existing is None:
-        return new
+    return new if existing is None else merged_edges(existing, new)
+
+
+def merged_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges of both, one a key: those of `existing` keep their provenance, and counts add up."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     keep = F.min_by(F.struct("subject", "object", *PROVENANCE), "_new").alias("p")
     return both.groupBy("src", "relationship", "dst").agg(keep, F.sum("n").alias("n")).select("src", "relationship", "dst", "p.*", "n")
 
 
+def _frontier(edges_: DataFrame, near: DataFrame, hops: int, keep) -> DataFrame:
+    """near (query, rank, node) with all nodes within hops - 1 edges; keep reduces the rows of each level."""
+    if hops < 1:
+        raise ValueError("hops is at least 1")
+    near = keep(near)
+    for _ in range(hops - 1):
+        out = near.join(edges_.select("src", "dst"), F.col("node") == F.col("src")).select("query", "rank", F.col("dst").alias("node"))
+        back = near.join(edges_.select("src", "dst"), F.col("node") == F.col("dst")).select("query", "rank", F.col("src").alias("node"))
+        near = keep(near.unionByName(out).unionByName(back))
+    return near
+
+
+def _touched(edges_: DataFrame, near: DataFrame) -> DataFrame:
+    """query, rank and the edge's own columns of the edges with an end in near; those with both ends there come twice."""
+    out = near.join(edges_, F.col("node") == F.col("src")).drop("node")
+    return out.unionByName(near.join(edges_.filter("src <> dst"), F.col("node") == F.col("dst")).drop("node"))
+
+
 def expand(edges_: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """Facts within `hops` of each seed: seeds' columns query, rank and the edge's own.
 
     seeds: query, rank, node (an edge end's id). An edge lies on a path of up to `hops` edges that
     starts at a node exactly if one of its ends is at most hops - 1 edges away; so the frontier
     is widened node by node, distinct at every level, and paths are never enumerated. Edges keep
-    their direction in the result, whichever way they were walked.
+    their direction in the result, whichever way they were walked. The edges are joined by either
+    end as they are: a small frontier is sent to them, and where both sides are shuffled, a hub's
+    edges are split by adaptive execution.
     """
-    if hops < 1:
-        raise ValueError("hops is at least 1")
-    both = edges_.select(F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges_.select(F.col("dst").alias("at"), F.col("src").alias("to"))).distinct()
-    near = seeds.select("query", "rank", "node").distinct()
-    for _ in range(hops - 1):
-        further = near.join(both, near["node"] == both["at"]).select("query", "rank", F.col("to").alias("node"))
-        near = near.unionByName(further).distinct()
-    ends = edges_.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), "*")
-    return near.join(ends, "node").drop("node").dropDuplicates(["query", "rank", "src", "relationship", "dst"])
+    near = _frontier(edges_, seeds.select("query", "rank", "node"), hops, lambda rows: rows.distinct())
+    return _touched(edges_, near).dropDuplicates(["query", "rank", "src", "relationship", "dst"])
 
 
 def fact_text(e: DataFrame) -> DataFrame:
     return e.withColumn("fact_text", F.concat_ws(" ", "subject", F.replace(F.col("relationship"), F.lit("_"), F.lit(" ")), "object"))
 
 
+def _reached(edges_: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """As expand, but an edge comes with the least rank of the seeds that reach either end, once for each such end."""
+    least = lambda rows: rows.groupBy("query", "node").agg(F.min("rank").alias("rank"))
+    return _touched(edges_, _frontier(edges_, seeds.select("query", "rank", "node"), hops, least))
+
+
 def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """query, rank, subject, relationship, object, provenance, fact_text: once per query, of the first seed that reaches it."""
-    found = expand(edges_, seeds, hops)
+    found = _reached(edges_, seeds, hops)
     order = F.struct("rank", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("page_number", F.lit(-1)).alias("p"), "src", "dst")
     one = found.groupBy("query", "subject", "relationship", "object").agg(F.min_by(F.struct("rank", *PROVENANCE), order).alias("p")).select("query", "subject", "relationship", "object", "p.*")
     return fact_text(one)
@@ -90,5 +112,5 @@ def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
 
 def facts_text(edges_: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """query, facts: the sorted distinct texts of what seeds reach."""
-    found = fact_text(expand(edges_, seeds, hops)).select("query", "fact_text").distinct()
+    found = fact_text(_reached(edges_, seeds, hops)).select("query", "fact_text").distinct()
     return found.groupBy("query").agg(F.sort_array(F.collect_list("fact_text")).alias("facts"))

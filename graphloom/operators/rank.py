@@ -1,8 +1,8 @@
 """Seed search, rank fusion, re-ranking and citations, each for a whole batch of questions.
 
-Every ordering has a total tie-break. Questions are a stated set against all rows, and no side has a
-broadcast hint: the optimizer goes by size. Top-k windows keep k rows a question in each task
-before the shuffle.
+Every ordering has a total tie-break. Questions are a stated set against all rows, found by an index of
+the names' runs of characters or of the vectors, and no side has a broadcast hint: the optimizer goes by
+size. Top-k windows keep k rows a question in each task before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import join_facts, query_words, words
-from graphloom.functions.vectors import cosine, overlap
+from graphloom.functions.vectors import overlap
+from graphloom.operators import vector_index
 from graphloom.settings import DEFAULTS
 
 
@@ -21,32 +22,49 @@ def _top(rows: DataFrame, per: str, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def keyword_seeds(names: DataFrame, questions: DataFrame, limit: int = DEFAULTS.seed_limit) -> DataFrame:
+#: Length of the character runs that names are found by.
+GRAM = 3
+
+
+def _runs(text: Column, n: int) -> Column:
+    """The text's runs of n characters; none if it is shorter."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
+def postings(names: DataFrame) -> DataFrame:
+    """gram, name, low: each distinct name (name) under each run of up to GRAM characters of it in lower case, and under the empty one."""
+    low = names.filter("name is not null").select("name", F.lower("name").alias("low")).distinct()
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *(_runs(F.col("low"), n) for n in range(1, GRAM + 1))))
+    return low.select(F.explode(grams).alias("gram"), "name", "low")
+
+
+def keyword_seeds(names: DataFrame, questions: DataFrame, limit: int = DEFAULTS.seed_limit, index: DataFrame | None = None) -> DataFrame:
     """query, name, hits, rank: names (name) that hold most of the question's words (query, question).
 
-    A word that the question repeats counts as often; punctuation belongs to words. Each name is
-    looked through once for each distinct word of all questions.
+    A word that the question repeats counts as often; punctuation belongs to words, and a word may lie
+    anywhere in a name. A word is looked up under the rarest of its runs of characters, and what
+    is found there is verified. index: stored postings of the names, in place of those made here.
     """
     asked = questions.select("query", F.explode(query_words(F.col("question"))).alias("word")).groupBy("query", "word").agg(F.count("*").alias("times"))
-    low = names.select("name", F.lower("name").alias("low")).distinct()
-    held = low.join(asked.select("word").distinct(), F.contains(F.col("low"), F.col("word"))).select("name", "word")
-    found = held.join(asked, "word").groupBy("query", "name").agg(F.sum("times").alias("hits"))
+    word = F.col("word")
+    of = asked.select("word").distinct().select("word", F.explode(F.array_distinct(F.when(F.length(word) < GRAM, F.array(word)).otherwise(_runs(word, GRAM)))).alias("gram"))
+    held = (postings(names) if index is None else index).join(of.select("gram").distinct(), "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of.join(often, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hit = held.join(rarest, "gram").filter(F.contains("low", "word")).select("name", "word")
+    found = hit.join(asked, "word").groupBy("query", "name").agg(F.sum("times").alias("hits"))
     return _top(found, "query", limit, F.desc("hits"), F.asc("name"))
 
 
-def vector_seeds(items: DataFrame, questions: DataFrame, limit: int = DEFAULTS.seed_limit, min_score: float = DEFAULTS.seed_min_score, scale: str = "normalized") -> DataFrame:
-    """query, name, score, rank of the nearest items (name, embedding) to questions (query, embedding).
+def vector_seeds(items: DataFrame, questions: DataFrame, limit: int = DEFAULTS.seed_limit, min_score: float = DEFAULTS.seed_min_score, scale: str = "normalized", index: vector_index.Index | None = None) -> DataFrame:
+    """query, name, score, rank of the nearest items (name, embedding) to questions (query, embedding), of all items.
 
     The limit comes first and the least score after it. scale: `cosine`, or `normalized`, which is
-    (1 + cosine) / 2.
+    (1 + cosine) / 2. index: a stored index of the items, in place of one made here.
     """
-    if scale not in ("cosine", "normalized"):
-        raise ValueError("scale is cosine or normalized")
-    asked = questions.select("query", F.col("embedding").alias("q"))
-    score = cosine(F.col("embedding"), F.col("q"))
-    score = F.round(score if scale == "cosine" else (1 + score) / 2, 6)
-    found = items.filter("embedding is not null").crossJoin(asked).select("query", "name", score.alias("score")).filter("score is not null")
-    return _top(found, "query", limit, F.desc("score"), F.asc("name")).filter(F.col("score") >= min_score)
+    held = vector_index.build(items.select("name", "embedding")) if index is None else index
+    return vector_index.nearest(held, questions, limit, scale).filter(F.col("score") >= min_score).select("query", "name", "score", "rank")
 
 
 def fuse(lists: list[DataFrame], k: int = DEFAULTS.rrf_k, limit: int | None = None) -> DataFrame:
@@ -112,16 +130,18 @@ def context(facts: DataFrame) -> DataFrame:
     return facts.groupBy("query").agg(join_facts(F.transform(F.sort_array(F.collect_list(F.struct("place", "fact_text"))), lambda x: x["fact_text"])).alias("context"))
 
 
-def retrieve_chunks(chunks: DataFrame, questions: DataFrame, scorer: Scorer | None = overlap, top_k: int = DEFAULTS.top_k_chunks, candidates: int = DEFAULTS.chunk_candidates, min_score: float = DEFAULTS.chunk_min_score) -> DataFrame:
+def retrieve_chunks(chunks: DataFrame, questions: DataFrame, scorer: Scorer | None = overlap, top_k: int = DEFAULTS.top_k_chunks, candidates: int = DEFAULTS.chunk_candidates, min_score: float = DEFAULTS.chunk_min_score, index: vector_index.Index | None = None) -> DataFrame:
     """query, place, chunk_id, text, source, page_number, score.
 
-    chunks: chunk_id, text, source, page_number, embedding; questions: query, question, embedding.
-    The nearest `candidates` by cosine, of these those of min_score; where more than one is left
-    and there is a scorer, they are ordered by it and those above 0 stay; of these the first top_k.
+    chunks: chunk_id (a key), text, source, page_number, and embedding unless there is an index, whose
+    names are the chunks' ids; questions: query, question, embedding. The nearest `candidates` by
+    cosine, of these those of min_score; where more than one is left and there is a scorer, they
+    are ordered by it and those above 0 stay; of these the first top_k.
     """
-    asked = questions.select("query", "question", F.col("embedding").alias("q"))
-    near = chunks.filter("embedding is not null").crossJoin(asked).withColumn("score", F.round(cosine(F.col("embedding"), F.col("q")), 6)).filter("score is not null").drop("q", "embedding")
-    near = _top(near, "query", candidates, F.desc("score"), F.asc("chunk_id")).filter(F.col("score") >= min_score)
+    held = vector_index.build(chunks.select(F.col("chunk_id").cast("string").alias("name"), "embedding")) if index is None else index
+    near = vector_index.nearest(held, questions, candidates).filter(F.col("score") >= min_score)
+    rows = chunks.select(F.col("chunk_id").cast("string").alias("name"), "chunk_id", "text", "source", "page_number")
+    near = near.join(rows, "name").join(questions.select("query", "question"), "query")
     if scorer is not None:
         near = near.withColumn("_n", F.count("*").over(Window.partitionBy("query"))).withColumn("_s", F.round(scorer(F.col("question"), F.col("text")), 6))
         near = near.filter((F.col("_n") == 1) | (F.col("_s") > 0)).withColumn("score", F.when(F.col("_n") > 1, F.col("_s")).otherwise(F.col("score"))).drop("_n", "_s")

@@ -6,9 +6,10 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.operators import vector_index
-from graphloom.plans import lanes
+from graphloom.operators import rank, vector_index
+from graphloom.plans import embeddings, lanes
 from graphloom.protocols import Embedder, default_embedder
 from graphloom.settings import DEFAULTS, Settings
 from graphloom.sources import readers
@@ -22,14 +23,16 @@ class BadRequest(ValueError):
 
 
 class Service:
-    """Answers questions over a stored graph, its entity vectors and a chunk table under `root`.
+    """Answers questions over a stored graph, the index of its entity vectors, the postings of their names, and a chunk table with its index, all under `root`.
 
-    Tables are opened on first use, or by preload, and dropped by close; it is a context manager.
+    Tables are opened on first use, or by preload, and dropped by close; it is a context manager. What
+    isn't stored is made on first use: store_vectors, store_chunks and store_postings save that.
     """
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, embed: Embedder = default_embedder, count_tokens: Callable[[str], int] = lambda text: len(text.split())):
         self.spark, self.root, self.settings, self.embed, self.count_tokens = spark, root, settings, embed, count_tokens
         self._open: dict[str, DataFrame] = {}
+        self._indexes: dict[str, vector_index.Index] = {}
 
     def __enter__(self) -> Service:
         return self.preload()
@@ -40,14 +43,16 @@ class Service:
     def preload(self) -> Service:
         """Opens all tables that are there, and keeps the entity vectors in the executors' storage."""
         self.graph()
-        self._open["vectors"] = self.vectors().persist()
+        index = self.index()
+        self._open["vectors"] = index.rows.persist()
         self._open["vectors"].count()
+        self._indexes["vectors"] = index._replace(rows=self._open["vectors"])
         return self
 
     def close(self) -> None:
         for table in self._open.values():
             table.unpersist()
-        self._open = {}
+        self._open, self._indexes = {}, {}
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         if "nodes" not in self._open:
@@ -59,15 +64,44 @@ class Service:
 
     def vectors(self) -> DataFrame:
         """name, embedding of the entities: as stored, or else computed."""
-        if "vectors" not in self._open:
-            there = readers.exists(self.spark, f"{self.root}/vectors/_SUCCESS")
-            self._open["vectors"] = vector_index.read_vectors(self.spark, f"{self.root}/vectors") if there else lanes.entity_vectors(self.graph()[0], self.embed)
-        return self._open["vectors"]
+        return self.index().rows.select("name", "embedding")
+
+    def _index(self, name: str, made: Callable[[], DataFrame]) -> vector_index.Index:
+        if name not in self._indexes:
+            path = f"{self.root}/{name}"
+            there = readers.exists(self.spark, f"{path}_centres/_SUCCESS")
+            self._indexes[name] = vector_index.read_index(self.spark, path) if there else vector_index.build(made())
+        return self._indexes[name]
+
+    def index(self) -> vector_index.Index:
+        """That of the entities' vectors."""
+        return self._index("vectors", lambda: lanes.entity_vectors(self.graph()[0], self.embed))
+
+    def stores(self) -> lanes.Stores:
+        path = f"{self.root}/postings"
+        return lanes.Stores(self.index(), self.spark.read.parquet(path) if readers.exists(self.spark, f"{path}/_SUCCESS") else None)
+
+    def chunks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/chunks")
+
+    def chunk_index(self) -> vector_index.Index:
+        """That of the chunks' vectors, by chunk_id: each distinct text is embedded once, and those of the embedding store not at all."""
+        return self._index("chunk_vectors", lambda: embeddings.embedded(self.chunks().select(F.col("chunk_id").alias("name"), "text"), f"{self.root}/embeddings", self.embed))
 
     def store_vectors(self) -> None:
         """Writes each distinct entity name's embedding, once, with its list of the index."""
         vector_index.write_vectors(lanes.entity_vectors(self.graph()[0], self.embed), f"{self.root}/vectors")
-        self._open.pop("vectors", None)
+        self._indexes.pop("vectors", None)
+
+    def store_chunks(self) -> None:
+        """Writes the index of the chunks' vectors; only texts that the embedding store lacks are embedded, and it forgets those that no chunk has."""
+        rows = embeddings.embedded(self.chunks().select(F.col("chunk_id").alias("name"), "text"), f"{self.root}/embeddings", self.embed)
+        vector_index.write_vectors(rows.select("name", "embedding"), f"{self.root}/chunk_vectors")
+        self._indexes.pop("chunk_vectors", None)
+
+    def store_postings(self) -> None:
+        """Writes the entity names under their runs of characters."""
+        rank.postings(self.graph()[0]).repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.root}/postings")
 
     def _asked(self, question: str) -> DataFrame:
         if not question or not question.strip():
@@ -87,7 +121,7 @@ class Service:
         asked, began = self._asked(question), time.perf_counter()
         nodes, edges = self.graph()
         embedded = stage("embed", lanes.with_embedding(asked, "question", self.embed))
-        found = stage("seeds", lanes.seeds(self.vectors(), embedded, s=s))
+        found = stage("seeds", lanes.seeds(nodes, embedded, s=s, stores=self.stores()))
         facts = stage("facts", lanes.graph_facts(edges, nodes, found, asked, hops=s.hops if hops is None else hops, s=s))
         row = stage("answer", lanes.answered(facts, asked, s=s)).first().asDict(recursive=True)
         clock["total_ms"] = round(1000 * (time.perf_counter() - began))
@@ -96,8 +130,8 @@ class Service:
     def ask_both(self, question: str, hops: int | None = None) -> dict:
         asked, s = self._asked(question), self.settings
         nodes, edges = self.graph()
-        a = lanes.graph_lane(edges, nodes, asked, self.embed, hops=s.hops if hops is None else hops, s=s)
-        return lanes.both_lanes(a, lanes.chunk_lane(self.spark.read.parquet(f"{self.root}/chunks"), asked, self.embed, s=s)).first().asDict(recursive=True)
+        a = lanes.graph_lane(edges, nodes, asked, self.embed, hops=s.hops if hops is None else hops, s=s, stores=self.stores())
+        return lanes.both_lanes(a, lanes.chunk_lane(self.chunks(), asked, self.embed, s=s, index=self.chunk_index())).first().asDict(recursive=True)
 
     def delete_graph(self) -> dict:
         self.close()

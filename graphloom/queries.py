@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut
 from graphloom.functions import text as tx
 from graphloom.functions.vectors import overlap
 from graphloom.operators import chunking, community, evaluation, extract, graph, rank, triples, vector_index
@@ -117,10 +119,20 @@ def graph_edges_merge(spark, d):
     return graph.edges(star(spark, d), "name").select("subject", "relationship", "object", "source", "n")
 
 
-@query(f"WITH {RAW}, {EDGES.replace('FROM raw', 'FROM raw WHERE sec < 3')}, later AS ({EDGES[EDGES.index('(') + 1 : -1].replace('FROM raw', 'FROM raw WHERE sec = 3')}) SELECT subject, relationship, object, source, n FROM edges UNION ALL SELECT subject, relationship, object, source, n FROM later")
+_INNER = EDGES[EDGES.index("(") + 1 : -1]
+_PARITY = "CAST(substr(rk, 12, 1) AS INT) % 3"
+
+
+@query(f"""WITH {RAW}, one AS ({_INNER.replace("FROM raw", f"FROM raw WHERE {_PARITY} <> 2")}), two AS ({_INNER.replace("FROM raw", f"FROM raw WHERE {_PARITY} <> 0")})
+SELECT subject, relationship, object, coalesce(one.source || ' 1', two.source || ' 2') AS source, coalesce(one.n, 0) + coalesce(two.n, 0) AS n FROM one FULL JOIN two USING (subject, relationship, object)""")
 def graph_edges_incremental(spark, d):
-    first = graph.edges(star(spark, d, "customer", "part", "orders"), "name")
-    return graph.edges(star(spark, d, "lineitem"), "name", first).select("subject", "relationship", "object", "source", "n")
+    """Two batches of which either has rows of its own and a third is in both: an edge keeps the provenance of the first."""
+    # the last digit of a row key of twelve digits, as the SQL has it
+    key = F.expr(f"seq div {triples.RULES} % {triples.ROWS}")
+    digit = F.when(c("source") == "lineitem", F.expr(f"seq div {triples.RULES} % {triples.ROWS} div 10000")).otherwise(key) % 10
+    every = star(spark, d).withColumn("part", digit % 3)
+    one, two = (every.filter(f"part <> {k}").withColumn("source", F.concat("source", F.lit(f" {i}"))).drop("part") for k, i in ((2, 1), (0, 2)))
+    return graph.edges(two, "name", graph.edges(one, "name")).select("subject", "relationship", "object", "source", "n")
 
 
 _MESSY = "replace(p_type, ' ', ' - ') || ' é½ (' || p_size || ')'"
@@ -162,10 +174,9 @@ def self_join_chain(spark, d):
 # ---- seeds
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
-ASKED = f"""
-asked AS (SELECT p_partkey AS query, 'What is the ' || p_name || ' of ' || p_type AS question FROM part WHERE p_partkey % 20 = 0),
-asked_words AS (SELECT query, question, CASE WHEN len(w) = 0 THEN [lower(question)] ELSE w END AS words FROM (
+WORDS = f"""asked_words AS (SELECT query, question, CASE WHEN len(w) = 0 THEN [lower(question)] ELSE w END AS words FROM (
   SELECT query, question, list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS w FROM asked))"""
+ASKED = f"asked AS (SELECT p_partkey AS query, 'What is the ' || p_name || ' of ' || p_type AS question FROM part WHERE p_partkey % 20 = 0), {WORDS}"
 NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT p_type FROM part UNION SELECT n_name FROM nation)"
 KEYWORDS = "keyword AS (SELECT query, name, hits, rank FROM (SELECT query, name, hits, row_number() OVER (PARTITION BY query ORDER BY hits DESC, name) AS rank FROM (SELECT query, name, CAST(len(list_filter(words, lambda w: contains(lower(name), w))) AS BIGINT) AS hits FROM asked_words, names) WHERE hits > 0) WHERE rank <= 3)"
 
@@ -231,7 +242,6 @@ def rrf_fusion(spark, d):
 # ---- the graph lane
 
 SEEDS = "seeds AS (SELECT s_suppkey AS query, 1 AS rank, s_name AS node FROM supplier WHERE s_suppkey % 20 = 0 UNION ALL SELECT s_suppkey, 2, 'Part#' || s_suppkey FROM supplier WHERE s_suppkey % 20 = 0)"
-SUPPLIERS = "seeds AS (SELECT s_suppkey AS query, 1 AS rank, s_name AS node FROM supplier WHERE s_suppkey % 20 = 0)"
 BOTH = "both_ways AS (SELECT subject AS a, object AS b FROM edges UNION SELECT object, subject FROM edges)"
 HOP1 = "hit AS (SELECT DISTINCT s.query, s.rank, e.subject, e.relationship, e.object, e.source FROM seeds s JOIN edges e ON e.subject = s.node OR e.object = s.node)"
 HOP2 = f"{BOTH}, near AS (SELECT * FROM seeds UNION SELECT s.query, s.rank, b.b FROM seeds s JOIN both_ways b ON s.node = b.a), hit AS (SELECT DISTINCT s.query, s.rank, e.subject, e.relationship, e.object, e.source FROM near s JOIN (SELECT *, subject AS node FROM edges UNION ALL SELECT *, object FROM edges WHERE subject <> object) e ON e.node = s.node)"
@@ -239,7 +249,8 @@ FACTS = "facts AS (SELECT *, subject || ' ' || replace(relationship, '_', ' ') |
 
 
 def _edges(spark, d):
-    return graph.edges(star(spark, d), "name")
+    """The star schema's edges, made once: an expansion reads them several times."""
+    return cut(graph.edges(star(spark, d), "name"))
 
 
 def _seeds(spark, d):
@@ -257,9 +268,9 @@ def hop1_facts(spark, d):
     return graph.facts(_edges(spark, d), _seeds(spark, d), 1).select(*_FACT)
 
 
-@query(f"WITH {RAW}, {EDGES}, {SUPPLIERS}, {HOP2}, {FACTS} SELECT query, rank, subject, relationship, object, source, fact_text FROM facts")
+@query(f"WITH {RAW}, {EDGES}, {SEEDS}, {HOP2}, {FACTS} SELECT query, rank, subject, relationship, object, source, fact_text FROM facts")
 def hop2_facts(spark, d):
-    return graph.facts(_edges(spark, d), _seeds(spark, d).filter("rank = 1"), 2).select(*_FACT)
+    return graph.facts(_edges(spark, d), _seeds(spark, d), 2).select(*_FACT)
 
 
 @query(f"WITH {RAW}, {EDGES}, {SEEDS}, {HOP1}, {FACTS} SELECT query, string_agg(fact_text, chr(10) ORDER BY fact_text) AS facts FROM (SELECT DISTINCT query, fact_text FROM facts) GROUP BY query")
@@ -273,8 +284,12 @@ GATED = "gated AS (SELECT * EXCLUDE (place), CAST(row_number() OVER (PARTITION B
 CHAIN = f"WITH {RAW}, {EDGES}, {SEEDS}, {HOP1}, {FACTS}, {PRE}"
 
 
+def _supplier_questions(spark, d):
+    return t(spark, d, "supplier")["supplier"].filter("s_suppkey % 20 = 0").select(c("s_suppkey").alias("query"), F.concat(F.lit("which customer purchased part#1 or who sold part#"), c("s_suppkey").cast("string")).alias("question"))
+
+
 def _pre(spark, d):
-    q = t(spark, d, "supplier")["supplier"].filter("s_suppkey % 20 = 0").select(c("s_suppkey").alias("query"), F.concat(F.lit("which customer purchased part#1 or who sold part#"), c("s_suppkey").cast("string")).alias("question"))
+    q = _supplier_questions(spark, d)
     return rank.preranked(graph.facts(_edges(spark, d), _seeds(spark, d), 1), q), q
 
 
@@ -376,13 +391,14 @@ _READINGS = "'Airflow ' || CAST(l_quantity AS BIGINT) || ' CFM''s and 2,' || CAS
 
 def _measure_sql(i: int) -> str:
     p, s, r, b, e, st, ot = extract.MEASUREMENTS[i]
-    return f"SELECT id, '{s}' AS subject, '{r}' AS relationship, '{b}' || replace(unnest(regexp_extract_all(text, '(?i){p}', 1)), ',', '') || '{e}' AS object, '{st}' AS subject_type, '{ot}' AS object_type FROM read"
+    return f"SELECT nth, id, '{s}' AS subject, '{r}' AS relationship, '{b}' || replace(unnest(regexp_extract_all(text, '(?i){p}', 1)), ',', '') || '{e}' AS object, '{st}' AS subject_type, '{ot}' AS object_type FROM read"
 
 
-@query(f"WITH read AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_READINGS} AS text FROM lineitem) " + " UNION ".join(_measure_sql(i) for i in range(6)))
+@query(f"WITH read AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_READINGS} AS text, row_number() OVER () AS nth FROM lineitem), found AS (" + " UNION ".join(_measure_sql(i) for i in range(6)) + ") SELECT * EXCLUDE (nth) FROM found")
 def measurement_triples(spark, d):
+    """Every reading's own measurements, each once a text; readings with one id stay apart."""
     rows = t(spark, d, "lineitem")["lineitem"].select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.expr(_READINGS.replace("''", "\\'")).alias("text"))
-    return rows.select("id", F.inline(extract.measurements(c("text")))).distinct()
+    return rows.select("id", F.inline(extract.measurements(c("text"))))
 
 
 _PHRASE = "CASE p_partkey % 6 WHEN 0 THEN ' The Author ' WHEN 1 THEN p_name || ' of a very long kind of part' WHEN 2 THEN 'Sales team''s ' || p_brand WHEN 3 THEN 'continue to ' || p_brand ELSE p_type END"
@@ -533,10 +549,10 @@ def latency_percentiles(spark, d):
     return evaluation.latency(t(spark, d, "events")["events"].select(c("event_type").alias("backend"), c("value").alias("latency_ms")))
 
 
-@query("SELECT o_orderstatus AS backend, CAST(count(*) AS BIGINT) AS total_requests, round(count(*) / 60.0::DOUBLE, 2) AS throughput_rps FROM orders GROUP BY 1")
+@query("SELECT event_type AS backend, CAST(count(*) AS BIGINT) AS total_requests, round(count(*) / 60.0::DOUBLE, 2) AS throughput_rps, round(avg(cpu), 1) AS cpu_avg, max(cpu) AS cpu_max, round(avg(value), 1) AS memory_avg, max(value) AS memory_max FROM (SELECT *, CAST(user_id % 100 AS DOUBLE) + 0.5 AS cpu FROM events) GROUP BY 1")
 def throughput(spark, d):
-    rows = t(spark, d, "orders")["orders"].select(c("o_orderstatus").alias("backend"), F.lit(1.0).alias("cpu_pct"), F.lit(1.0).alias("memory_mb"))
-    return evaluation.throughput(rows, F.lit(60.0)).select("backend", "total_requests", "throughput_rps")
+    rows = t(spark, d, "events")["events"].select(c("event_type").alias("backend"), ((c("user_id") % 100).cast("double") + 0.5).alias("cpu_pct"), c("value").alias("memory_mb"))
+    return evaluation.throughput(rows, F.lit(60.0))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS triples, CAST(count(*) FILTER (n = 0) AS BIGINT) AS failed FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_orderkey % 9 END AS n FROM orders)")
@@ -561,42 +577,69 @@ def heading_spans(spark, d):
 # ---- whole lanes, with the default embedder and scorer
 
 
-def _lane_questions(spark):
-    return spark.createDataFrame([(1, "who sold Part#11"), (2, "what is the price of Part#3"), (3, "zzz qqq")], "query long, question string")
-
-
-@query(f"""WITH {ASKED}, {NAMES}, {KEYWORDS},
-texts AS (SELECT 'q' AS kind, CAST(query AS VARCHAR) AS id, question AS text FROM asked UNION ALL SELECT 'n', name, name FROM names),
+HYBRID = """texts AS (SELECT 'q' AS kind, CAST(query AS VARCHAR) AS id, question AS text FROM asked UNION ALL SELECT 'n', name, name FROM names),
 digests AS (SELECT kind, id, md5(unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS h FROM texts),
 cells AS (SELECT kind, id, place, sum(sign) AS v FROM (SELECT kind, id, CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64 AS place, CASE WHEN substr(h, 3, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM digests) GROUP BY ALL),
 norms AS (SELECT kind, id, sqrt(sum(v * v)) AS n FROM cells GROUP BY ALL HAVING sum(v * v) > 0),
 dots AS (SELECT a.id AS query, b.id AS name, sum(a.v * b.v) AS d FROM cells a JOIN cells b ON a.place = b.place AND a.kind = 'q' AND b.kind = 'n' GROUP BY ALL),
-scored AS (SELECT CAST(a.id AS BIGINT) AS query, b.id AS name, round((1 + coalesce(d, 0) / (a.n * b.n)) / 2, 6) AS score FROM norms a JOIN norms b ON a.kind = 'q' AND b.kind = 'n' LEFT JOIN dots ON dots.query = a.id AND dots.name = b.id),
-vec AS (SELECT query, name, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM scored) WHERE rank <= 3 AND score >= 0.45),
+cosines AS (SELECT CAST(a.id AS BIGINT) AS query, b.id AS name, coalesce(d, 0) / (a.n * b.n) AS cos FROM norms a JOIN norms b ON a.kind = 'q' AND b.kind = 'n' LEFT JOIN dots ON dots.query = a.id AND dots.name = b.id),
+vec AS (SELECT query, name, rank FROM (SELECT query, name, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM (SELECT query, name, round((1 + cos) / 2, 6) AS score FROM cosines)) WHERE rank <= 3 AND score >= 0.45),
 x AS (SELECT query, name, 0 AS l, rank FROM keyword UNION ALL SELECT query, name, 1, rank FROM vec),
-f AS (SELECT query, name, sum(CASE WHEN l = 0 THEN 1.0::DOUBLE / (60 + rank) END) AS s0, sum(CASE WHEN l = 1 THEN 1.0::DOUBLE / (60 + rank) END) AS s1, min(l * 1000 + rank) AS seen FROM x GROUP BY ALL)
-SELECT query, name, rank FROM (SELECT query, name, CAST(row_number() OVER (PARTITION BY query ORDER BY coalesce(s0, 0) + coalesce(s1, 0) DESC, seen, name) AS BIGINT) AS rank FROM f) WHERE rank <= 3""")
+f AS (SELECT query, name, sum(CASE WHEN l = 0 THEN 1.0::DOUBLE / (60 + rank) END) AS s0, sum(CASE WHEN l = 1 THEN 1.0::DOUBLE / (60 + rank) END) AS s1, min(l * 1000 + rank) AS seen FROM x GROUP BY ALL),
+hybrid AS (SELECT query, name, rank FROM (SELECT query, name, CAST(row_number() OVER (PARTITION BY query ORDER BY coalesce(s0, 0) + coalesce(s1, 0) DESC, seen, name) AS BIGINT) AS rank FROM f) WHERE rank <= 3)"""
+
+
+@query(f"WITH {ASKED}, {NAMES}, {KEYWORDS}, {HYBRID} SELECT query, name, rank FROM hybrid")
 def hybrid_seeds(spark, d):
     asked = lanes.with_embedding(_asked(spark, d), "question")
     return lanes.seeds(lanes.with_embedding(_names(spark, d), "name"), asked).withColumn("rank", c("rank").cast("long"))
 
 
-@query()
-def graph_lane_answers(spark, d):
+LANE = f"WITH {RAW}, {EDGES}, {ENDS}, names AS (SELECT DISTINCT name FROM ends), {ASKS}, asked AS (SELECT * FROM asks), {WORDS}, {KEYWORDS}, {HYBRID}"
+_NODES = "seeds AS (SELECT query, rank, name AS node FROM hybrid)"
+_PLACED = f"{PRE.removeprefix(ASKS + ', ')}, {GATED}, placed AS (SELECT * FROM gated WHERE place <= 20)"
+_TOLD = """contexts AS (SELECT query, string_agg('- ' || fact_text, chr(10) ORDER BY place) AS context, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, arg_min(fact_text || ' [' || source || ']', place) AS citations FROM placed GROUP BY query),
+graph_lane AS (SELECT a.query, coalesce(context, '') AS context, CASE WHEN coalesce(context, '') = '' THEN 'No relevant information found.' ELSE regexp_replace(string_split(context, chr(10))[1], '^- ', '') END AS answer, citations, sources FROM asked a LEFT JOIN contexts USING (query))"""
+
+
+def _graph(spark, d):
     every = star(spark, d)
-    found = lanes.graph_lane(graph.edges(every, "name"), graph.nodes(every, "name"), _lane_questions(spark))
-    return found.select("query", "context", "answer", F.to_json("citations").alias("citations"), F.array_join("sources", ",").alias("sources"))
+    return cut(graph.edges(every, "name")), cut(graph.nodes(every, "name"))
 
 
-@query()
+@query(f"{LANE}, {_NODES}, {HOP2}, {FACTS}, {_PLACED}, {_TOLD} SELECT * FROM graph_lane")
+def graph_lane_answers(spark, d):
+    """A question for every supplier whose key is divisible by 20, two hops over the whole star schema's graph."""
+    found = lanes.graph_lane(*_graph(spark, d), _supplier_questions(spark, d))
+    cited = F.transform("citations", lambda x: F.concat(x["fact_text"], F.lit(" ["), x["source"], F.lit("]")))
+    return found.select("query", "context", "answer", F.array_join(cited, "; ").alias("citations"), F.array_join("sources", ",").alias("sources"))
+
+
+CHUNKS = "chunks AS (SELECT CAST(p_partkey AS VARCHAR) AS name, 'part: p_partkey=' || p_partkey || ' | p_name=' || p_name || ' | p_type=' || p_type || ' | p_retailprice=' || regexp_replace(format('{:.6f}', p_retailprice), '\\.?0+$', '') AS text FROM part)"
+CHUNK_LANE = f"""{CHUNKS}, {HYBRID[: HYBRID.index("vec AS")].rstrip().rstrip(",").replace("SELECT 'n', name, name FROM names", "SELECT 'n', name, text FROM chunks")},
+close AS (SELECT * FROM (SELECT query, name, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM (SELECT query, name, round(cos, 6) AS score FROM cosines)) WHERE rank <= 20 AND score >= 0.25),
+asked_list AS (SELECT query, list_distinct(regexp_split_to_array(lower(question), '\\s+')) AS words FROM asked),
+judged AS (SELECT c.query, c.name, c.rank, c.score, text, count(*) OVER (PARTITION BY c.query) AS n, round(2.0::DOUBLE * len(list_filter(words, lambda w: contains(lower(text), w))) / len(words) - 1.0, 6) AS s FROM close c JOIN chunks USING (name) JOIN asked_list USING (query)),
+best AS (SELECT * FROM (SELECT query, text, round(CASE WHEN n > 1 THEN s ELSE score END, 3) AS score, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN n > 1 THEN s ELSE score END DESC, rank) AS place FROM judged WHERE n = 1 OR s > 0) WHERE place <= 5),
+read AS (SELECT query, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context, string_agg(CAST(score AS VARCHAR), ',' ORDER BY place) AS scores FROM best GROUP BY query),
+chunk_lane AS (SELECT a.query, coalesce(context, '') AS context, CASE WHEN coalesce(context, '') = '' THEN 'No relevant information found.' ELSE regexp_replace(string_split(context, chr(10))[1], '^- ', '') END AS answer, scores FROM asked a LEFT JOIN read USING (query))"""
+
+
+@query(f"WITH {ASKED}, {CHUNK_LANE} SELECT * FROM chunk_lane")
 def chunk_lane_answers(spark, d):
-    return lanes.chunk_lane(_part_chunks(spark, d), _lane_questions(spark)).select("query", "context", "answer", F.to_json("citations").alias("citations"))
+    """A question for every part whose key is divisible by 20, over the texts of all parts."""
+    found = lanes.chunk_lane(_part_chunks(spark, d), _asked(spark, d))
+    return found.select("query", "context", "answer", F.array_join(F.transform("citations", lambda x: x["score"].cast("string")), ",").alias("scores"))
 
 
-@query()
+_SWEEP = """seeds AS (SELECT query * 3 AS query, rank, name AS node FROM keyword UNION ALL SELECT query * 3 + 1, rank, name FROM vec UNION ALL SELECT query * 3 + 2, rank, name FROM hybrid)"""
+
+
+@query(f"""{LANE}, {_SWEEP}, {HOP1}, {FACTS}, told AS (SELECT query, count(DISTINCT fact_text) AS contexts FROM facts GROUP BY query), named AS (SELECT query, string_agg(node, ',' ORDER BY rank) AS seeds FROM seeds GROUP BY query),
+runs AS (SELECT query, unnest(['word_only', 'semantic_only', 'always_both']) AS strategy, query * 3 + unnest([0, 1, 2]) AS run FROM asked)
+SELECT strategy, runs.query, coalesce(seeds, '') AS seeds, CAST(coalesce(contexts, 0) AS INT) AS contexts FROM runs LEFT JOIN named ON named.query = run LEFT JOIN told ON told.query = run""")
 def strategy_sweep(spark, d):
-    every = star(spark, d, "part")
-    found = lanes.strategy_sweep(graph.edges(every, "name"), graph.nodes(every, "name"), _lane_questions(spark), hops=1)
+    found = lanes.strategy_sweep(*_graph(spark, d), _supplier_questions(spark, d), hops=1)
     return found.select("strategy", "query", F.array_join("seeds", ",").alias("seeds"), F.size("contexts").alias("contexts"))
 
 
@@ -606,10 +649,15 @@ def _part_chunks(spark, d):
     return rows.select(c("row_key").cast("string").alias("chunk_id"), "text", F.lit("part").alias("source"), F.lit(0).cast("long").alias("page_number"))
 
 
-@query()
+_BOTH_CHUNKS = CHUNK_LANE
+for _name in ("texts", "digests", "cells", "norms", "dots", "cosines"):
+    _BOTH_CHUNKS = re.sub(rf"\b{_name}\b", f"chunk_{_name}", _BOTH_CHUNKS)
+
+
+@query(f"{LANE}, {_NODES}, {HOP1}, {FACTS}, {_PLACED}, {_TOLD}, {_BOTH_CHUNKS} SELECT query, g.answer AS graph_answer, c.answer AS chunk_answer FROM graph_lane g FULL JOIN chunk_lane c USING (query)")
 def both_lanes_answers(spark, d):
-    every, asked = star(spark, d), _lane_questions(spark)
-    both = lanes.both_lanes(lanes.graph_lane(graph.edges(every, "name"), graph.nodes(every, "name"), asked, hops=1), lanes.chunk_lane(_part_chunks(spark, d), asked))
+    asked = _supplier_questions(spark, d)
+    both = lanes.both_lanes(lanes.graph_lane(*_graph(spark, d), asked, hops=1), lanes.chunk_lane(_part_chunks(spark, d), asked))
     return both.select("query", c("graph.answer").alias("graph_answer"), c("chunks.answer").alias("chunk_answer"))
 
 

@@ -1,0 +1,273 @@
+"""Indexes, ledgers and versioned tables: the same results as without them, and nothing made twice."""
+
+import random
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.operators import extract, graph, rank, vector_index
+from graphloom.plans import api, embeddings, lanes
+from graphloom.protocols import ask_once, default_embedder
+from graphloom.sources import readers, versions
+from graphloom.streaming import merge
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame([(n, [float(x) for x in v] if v is not None else None) for n, v in rows], "name string, embedding array<double>")
+
+
+def _exact(items, questions, k, scale):
+    out = {}
+    for q, v in questions:
+        if v is None or not np.linalg.norm(v):
+            continue
+        found = []
+        for n, x in items:
+            if x is None or not np.linalg.norm(x):
+                continue
+            s = float(np.dot(x, v) / (np.linalg.norm(x) * np.linalg.norm(v)))
+            found.append((-round(s if scale == "cosine" else (1 + s) / 2, 6), n))
+        out |= {(q, n): (-s, i + 1) for i, (s, n) in enumerate(sorted(found)[:k])}
+    return out
+
+
+@pytest.mark.parametrize(("scale", "k", "dealt"), [("cosine", 5, False), ("normalized", 3, True), ("cosine", 400, True)])
+def test_index_search_is_exact(spark, monkeypatch, scale, k, dealt):
+    if dealt:
+        monkeypatch.setattr(vector_index, "ITEMS", 15)
+        monkeypatch.setattr(vector_index, "ASKED", 4)
+        monkeypatch.setattr(vector_index, "CELLS", 40)
+    r = np.random.default_rng(k)
+    centres = r.normal(size=(6, 8))
+    rows = [(f"v{i:03}", centres[i % 6] * 3 + r.normal(size=8) * 0.4) for i in range(240)]
+    rows += [("zero", np.zeros(8)), ("none", None), ("copy", rows[3][1]), ("double", rows[3][1] * 2)]
+    asked = [(i, v) for i, (_, v) in enumerate(rows[:40:3])] + [(900, np.zeros(8)), (901, None), (902, -rows[0][1])]
+    index = vector_index.build(_vectors(spark, rows), 12)
+    questions = spark.createDataFrame([(q, None if v is None else [float(x) for x in v]) for q, v in asked], "query long, embedding array<double>")
+    found = vector_index.nearest(index, questions, k, scale).collect()
+    assert {(x.query, x["name"]): (x.score, x["rank"]) for x in found} == _exact(rows, asked, k, scale)
+    if k == 5:  # lists that can't hold one of the nearest aren't read
+        assert np.mean([x.read for x in found]) < 0.5 * 12
+
+
+def test_a_stored_index_is_pruned_and_exact(spark, tmp_path):
+    r = np.random.default_rng(1)
+    rows = [(f"v{i}", r.normal(size=6)) for i in range(150)]
+    frame = _vectors(spark, rows).withColumn("seq", F.monotonically_increasing_id())
+    again = frame.withColumn("embedding", F.transform("embedding", lambda x: -x)).withColumn("seq", F.col("seq") + F.lit(1 << 40))
+    vector_index.write_vectors(again.unionByName(frame), str(tmp_path / "v"), 5)  # the first of each name by seq
+    index = vector_index.read_index(spark, str(tmp_path / "v"))
+    assert sum(index.sizes) == 150 and index.rows.count() == 150
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, (_, v) in enumerate(rows[:7])], "query long, embedding array<double>")
+    found = rank.vector_seeds(frame.filter("false"), asked, 4, -2.0, "cosine", index).collect()
+    assert {(x.query, x["name"]): (x.score, x["rank"]) for x in found} == _exact(rows, list(enumerate(v for _, v in rows[:7])), 4, "cosine")
+
+
+def test_an_index_of_nothing(spark):
+    none = _vectors(spark, [])
+    asked = spark.createDataFrame([(1, [1.0, 2.0])], "query long, embedding array<double>")
+    assert vector_index.nearest(vector_index.build(none), asked, 3).count() == 0
+    assert vector_index.nearest(vector_index.build(_vectors(spark, [("a", [1.0, 0.0])])), asked.filter("false"), 3).count() == 0
+
+
+def test_keyword_seeds_by_postings(spark, tmp_path):
+    r = random.Random(9)
+    names = ["".join(r.choice("abAB #é") for _ in range(r.randrange(1, 9))) for _ in range(150)] + ["x", "", "Über alles"]
+    asked = [(i, " ".join("".join(r.choice("abé#") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(1, 4)))) for i in range(40)] + [(100, ""), (101, "b"), (102, "zz über"), (103, "aba aba")]
+    frame, questions = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(asked, "query long, question string")
+    rows = {x.query: x.w for x in questions.select("query", rank.query_words(F.col("question")).alias("w")).collect()}
+    want = {}
+    for q, words in rows.items():
+        hits = sorted((-sum(w in n.lower() for w in words), n) for n in set(names))
+        want |= {(q, n): (-h, i + 1) for i, (h, n) in enumerate(x for x in hits if x[0] < 0) if i < 3}
+    found = rank.keyword_seeds(frame, questions, 3)
+    assert {(x.query, x["name"]): (x.hits, x["rank"]) for x in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    rank.postings(frame).write.parquet(str(tmp_path / "p"))
+    again = rank.keyword_seeds(frame.filter("false"), questions, 3, spark.read.parquet(str(tmp_path / "p"))).collect()
+    assert {(x.query, x["name"]): (x.hits, x["rank"]) for x in again} == want
+
+
+# ---- models
+
+
+def _counting(folder, fails=0):
+    class Model:
+        def __call__(self, prompts):
+            import uuid
+
+            Path(folder).mkdir(exist_ok=True)
+            Path(folder, uuid.uuid4().hex).write_text("\x00".join(prompts))
+            if any("fail" in p for p in prompts):
+                raise RuntimeError
+            return [f"told {p}" for p in prompts]
+
+    return Model
+
+
+def _calls(folder):
+    return sorted(p for f in Path(folder).glob("*") for p in f.read_text().split("\x00"))
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"p{i % 7}") for i in range(30)] + [(99, None)], "id int, p string")
+    calls, ledger = str(tmp_path / "calls"), str(tmp_path / "ledger")
+    got = ask_once(rows, "p", "out", _counting(calls), batch=1)
+    one, two = got.filter("id < 10"), got.filter("id >= 10")  # two branches of one plan
+    assert {x.id: x.out for x in one.union(two).collect()} == {i: f"told p{i % 7}" for i in range(30)} | {99: None}
+    assert _calls(calls) == [f"p{i}" for i in range(7)]
+    ask_once(rows.filter("id < 3"), "p", "out", _counting(calls), ledger, batch=1)
+    assert len(_calls(calls)) == 10
+    for _ in range(2):  # the second run asks nothing
+        assert ask_once(rows, "p", "out", _counting(calls), ledger, batch=1).filter("out is not null").count() == 30
+    assert len(_calls(calls)) == 14
+
+
+def test_failed_prompts_are_asked_again(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "fine"), (1, "fail")], "id int, p string")
+    calls, ledger = str(tmp_path / "calls"), str(tmp_path / "ledger")
+    for n in (1, 2):
+        got = ask_once(rows, "p", "out", _counting(calls), ledger, batch=1, retries=2, pause=0.01)
+        assert {x.id: x.out for x in got.collect()} == {0: "told fine", 1: None}
+        assert _calls(calls) == ["fail"] * 3 * n + ["fine"]
+
+
+def test_a_ledger_goes_on_after_a_crash(spark, tmp_path):
+    calls, ledger = str(tmp_path / "calls"), str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(f"p{i}",) for i in range(40)], "p string")
+
+    def crash():
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        ask_once(rows.withColumn("p", F.when(F.col("p") == "p7", F.raise_error(F.lit("lost"))).otherwise(F.col("p"))), "p", "out", _counting(calls), ledger)
+    got = ask_once(rows.filter("p <> 'p1'"), "p", "out", _counting(calls), ledger)
+    assert got.filter("out is null").isEmpty() and len(_calls(calls)) == len(set(_calls(calls))) == 39
+
+
+def test_extraction_asks_each_chunk_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    model = _counting(calls)
+    chunks = spark.createDataFrame([("c1", "R-20", "s", 4), ("c2", "R-20", "s", 5)], "chunk_id string, text string, source string, page_number long").withColumn("bbox", F.lit(None).cast("array<double>")).withColumn("section", F.lit("H"))
+    extract.extract_triples(chunks, model).collect()
+    assert len(_calls(calls)) == 1  # equal texts make one prompt
+    entities, relationships = extract.extract_rich(chunks, model)
+    assert entities.count() == relationships.count() == 0 and len(_calls(calls)) == 2
+
+
+# ---- stored tables
+
+
+def _embedder(acc):
+    @F.pandas_udf("array<double>")
+    def told(x):
+        acc.add(len(x))
+        return x.map(lambda t: [float(len(t)), 1.0])
+
+    return told
+
+
+def test_only_new_texts_are_embedded(spark, tmp_path):
+    path, acc = str(tmp_path / "e"), spark.sparkContext.accumulator(0)
+    texts = lambda *x: spark.createDataFrame([(i, t) for i, t in enumerate(x)], "id int, text string")
+    got = embeddings.embedded(texts("a", "bb", "a", None), path, _embedder(acc)).orderBy("id").collect()
+    assert [x.embedding for x in got] == [[1.0, 1.0], [2.0, 1.0], [1.0, 1.0], [0.0, 1.0]] and acc.value == 3
+    embeddings.embedded(texts("a", "bb", None), path, _embedder(acc)).count()
+    assert acc.value == 3 and versions.last(spark, path) == 0
+    embeddings.embedded(texts("a", "ccc"), path, _embedder(acc)).count()
+    assert acc.value == 4 and versions.read(spark, path).count() == 2  # vanished texts are dropped
+
+
+def test_one_edge_changes_one_summary(spark, tmp_path):
+    path, acc = str(tmp_path / "s"), spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def told(x):
+        acc.add(len(x))
+        return "sum: " + x
+
+    members = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c2", "x"), ("c2", "y"), ("c3", "m"), ("c3", "n")], "cluster string, node string")
+    edges = [("a", "b", "R", ""), ("x", "y", "R", ""), ("m", "n", "R", "")]
+    g = lambda rows: spark.createDataFrame(rows, "a string, b string, relationship string, description string")
+    first = {x.cluster: x.summary for x in lanes.community_summaries(members, g(edges), path, told).collect()}
+    assert acc.value == 3 and set(first) == {"c1", "c2", "c3"}
+    second = {x.cluster: x.summary for x in lanes.community_summaries(members, g([*edges[:2], ("m", "n", "S", "")]), path, told).collect()}
+    assert acc.value == 4 and second["c1"] == first["c1"] and "S" in second["c3"]
+    third = lanes.community_summaries(members.filter("cluster <> 'c2'"), g(edges), path, told)
+    assert {x.cluster for x in third.collect()} == {"c1", "c3"} and acc.value == 5  # a vanished cluster goes
+
+
+def _triples(spark, rows):
+    return spark.createDataFrame([(s, r, o, "T", "T", src, i) for i, (s, r, o, src) in enumerate(rows)], "subject string, relationship string, object string, subject_type string, object_type string, source string, seq long").withColumn("page_number", F.lit(None).cast("long")).withColumn("bbox", F.lit(None).cast("array<double>")).withColumn("section", F.lit(None).cast("string"))
+
+
+def test_a_batch_writes_its_own_buckets(spark, tmp_path):
+    root = str(tmp_path / "g")
+    many = [(f"s{i}", "R", f"o{i}", "one") for i in range(200)]
+    assert merge.merge_batch(spark, _triples(spark, many), root, buckets=16) == {"nodes": 16, "edges": 16}
+    few = [("s3", "R", "o3", "two"), ("s3", "R", "new", "two")]
+    done = merge.merge_batch(spark, _triples(spark, few), root)
+    assert done["nodes"] == 1 and done["edges"] <= 2
+    nodes, edges = merge.read_graph(spark, root)
+    want = graph.edges(_triples(spark, few), "name_type", graph.edges(_triples(spark, many)))
+    key = lambda x: sorted((r.src, r.relationship, r.dst, r.source, r.n) for r in x.collect())
+    assert key(edges) == key(want) and nodes.count() == 401
+    paths = [str(p) for p in (tmp_path / "g" / "edges" / "1").glob("bucket=*")]
+    assert len(paths) == done["edges"]
+    assert merge.compact(spark, root, 5) == 5
+    assert key(merge.read_graph(spark, root)[1]) == key(want)
+    assert merge.merge_batch(spark, _triples(spark, few), root) == {"nodes": 0, "edges": done["edges"]} or merge.last_version(spark, root).buckets == 5
+    for i in range(3):  # what no version needs any more goes
+        merge.merge_batch(spark, _triples(spark, [(f"t{i}", "R", "u", "x")]), root)
+    assert len(merge._markers(spark, root)) == 2
+    held = {p for m in merge._markers(spark, root) for t in merge.KEYS for p in merge._version(spark, root, *m).paths(root, t)}
+    assert held == {str(p) for p in Path(root).glob("*/*/bucket=*")}
+
+
+@pytest.mark.parametrize("at", ["_write", "mark"])
+def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch, at):
+    root = str(tmp_path / "g")
+    merge.merge_batch(spark, _triples(spark, [("a", "R", "b", "one")]), root, batch=0)
+    before, calls = merge.read_graph(spark, root)[1].collect(), []
+    real = getattr(merge, at)
+
+    def crash(*args):
+        calls.append(1)
+        if len(calls) > (at == "_write"):
+            raise RuntimeError("lost")
+        return real(*args)
+
+    two = _triples(spark, [("a", "R", "b", "two"), ("c", "R", "d", "two")])
+    with monkeypatch.context() as m:
+        m.setattr(merge, at, crash)
+        with pytest.raises(RuntimeError, match="lost"):
+            merge.merge_batch(spark, two, root, batch=1)
+    assert merge.read_graph(spark, root)[1].collect() == before
+    for _ in range(2):  # the replay of a merged batch does nothing
+        merge.merge_batch(spark, two, root, batch=1)
+    assert sorted((r.subject, r.source, r.n) for r in merge.read_graph(spark, root)[1].collect()) == [("a", "one", 2), ("c", "two", 1)]
+
+
+def test_the_service_embeds_the_question_alone(spark, tmp_path):
+    root, acc = str(tmp_path / "s"), spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def seen(x):
+        acc.add(len(x))
+        return x
+
+    merge.merge_batch(spark, _triples(spark, [("lamp", "SOLD_TO", "ann", "t"), ("desk", "SOLD_TO", "bob", "t")]), root)
+    readers.write_chunks(spark.createDataFrame([("a lamp for ann", "s", 1), ("a desk", "s", 2)], "text string, source string, page_number long"), f"{root}/chunks")
+    s = api.Service(spark, root, embed=lambda c: default_embedder(seen(c)))
+    s.store_vectors()
+    s.store_chunks()
+    s.store_postings()
+    assert acc.value == 4 + 2
+    got = s.ask_both("who bought the lamp", 1)
+    assert "lamp" in got["graph"]["context"] and "lamp" in got["chunks"]["context"] and 7 <= acc.value <= 8  # once a lane
+    before = acc.value
+    s.store_chunks()
+    assert acc.value == before
