@@ -33,6 +33,8 @@ from graphloom.llm._shared import partitions, table
 
 #: Microseconds between clicks of different sessions, at least; and of a slot.
 GAP, SLOT = 600_000_000, 3_600_000_000
+#: Microseconds of the spans that a client's clicks are first joined in.
+DAY = 86_400_000_000
 #: A client with over this share of all sales, and over LEAST, is dealt to several shards.
 SHARES, LEAST = 1000, 2000
 #: Rows of both sides that a shard holds, about.
@@ -60,15 +62,19 @@ def sessions(clicks: DataFrame, gap: int = GAP) -> DataFrame:
     """client_id, first, last (microseconds), open: a click over `gap` after the client's one before begins another.
 
     Clicks of one bucket of the gap's length always share a session, so a client has one row a bucket from
-    then on, and `last` carries in its lowest bit whether a purchase is at that time.
+    then on, and `last` carries in its lowest bit whether a purchase is at that time. What a day's
+    buckets join to is joined again by client.
     """
     seen = clicks.filter("client_id is not null and ts is not null").select(F.col("client_id").cast("long").alias("client_id"), micros(clicks, "ts").alias("us"), F.coalesce(F.col("kind") == "purchase", F.lit(False)).cast("long").alias("bought"))
     seen = seen.groupBy("client_id", floored(F.col("us"), gap).alias("bucket")).agg(F.min("us").alias("first"), F.max(F.col("us") * 2 + F.col("bought")).alias("last"))
-    by_client = Window.partitionBy("client_id").orderBy("bucket")
-    near = F.col("first") - F.shiftright(F.lag("last").over(by_client), 1) <= gap
-    found = seen.withColumn("begins", F.when(near, 0).otherwise(1)).withColumn("session", F.sum("begins").over(by_client.rowsBetween(Window.unboundedPreceding, 0)))
-    found = found.groupBy("client_id", "session").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return found.select("client_id", "first", F.shiftright("last", 1).alias("last"), (F.col("last") % 2 != 0).alias("open"))
+    seen = seen.withColumn("day", floored(F.col("first"), DAY))
+    # runs within a day first, so that a client's window holds what is left of its days, not its buckets
+    for key in (("client_id", "day"), ("client_id",)):
+        by_time = Window.partitionBy(*key).orderBy("first")
+        near = F.col("first") - F.shiftright(F.lag("last").over(by_time), 1) <= gap
+        seen = seen.withColumn("begins", F.when(near, 0).otherwise(1)).withColumn("session", F.sum("begins").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+        seen = seen.groupBy(*key, "session").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return seen.select("client_id", "first", F.shiftright("last", 1).alias("last"), (F.col("last") % 2 != 0).alias("open"))
 
 
 def sale_intervals(sales: DataFrame, lines: DataFrame) -> DataFrame:
