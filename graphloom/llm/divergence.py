@@ -30,7 +30,7 @@ from graphloom.llm._shared import cut, table, trimmed
 LEAST, TOP, SMOOTHING = 30, 50, 5
 UNIT = 1_000_000_000
 #: Cells of a block's matrix, and of what is broadcast at once.
-CELLS, TEMPORARY = 1 << 20, 1 << 21
+CELLS, TEMPORARY = 1 << 16, 1 << 21
 #: Entries that a task counts before it hands them on, and bytes of a text that are split at once.
 ENTRIES, PIECE = 300_000, 1 << 22
 _LETTER = bytes(32 if i <= 64 or 91 <= i <= 96 or 123 <= i <= 127 else i + 32 if i < 91 else i for i in range(256))
