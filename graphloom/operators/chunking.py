@@ -7,6 +7,10 @@ their own. A window's page and box are those of the element that holds its first
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,102 @@ def chunks(elements: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int =
     return out.filter(strip(F.col("text")) != "")
 
 
+#: A sentence ends at a full stop, question or exclamation mark before white space; a paragraph at a blank line.
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n\s*\n\s*")
+
+
+def words_as_tokens() -> Callable[[list[str]], list[int]]:
+    """The default counter: white-space words."""
+    return lambda texts: [len(x.split()) for x in texts]
+
+
+def packed(lengths: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of whole pieces with these lengths, each of `budget` at most unless one piece alone is longer.
+
+    A run takes pieces as long as they fit. The next begins with as many of the last pieces as `overlap`
+    allows and leave room for a new one.
+    """
+    out, first, end, used = [], 0, 0, 0
+    while end < len(lengths):
+        while end < len(lengths) and (end == first or used + lengths[end] <= budget):
+            used += lengths[end]
+            end += 1
+        out.append((first, end))
+        if end == len(lengths):
+            break
+        kept, again = 0, end
+        while again > first + 1 and kept + lengths[again - 1] <= overlap and kept + lengths[again - 1] + lengths[end] <= budget:
+            again -= 1
+            kept += lengths[again]
+        first, used = again, kept
+    return out
+
+
+def sentences(text: str, count: Callable[[list[str]], list[int]], budget: int) -> tuple[list[str], list[int]]:
+    """The text's sentences and their lengths in tokens; one over the budget falls into runs of words, and such a word into halves."""
+    out: list[str] = []
+    lengths: list[int] = []
+    for one in (x for x in SENTENCE.split(text) if x and not x.isspace()):
+        todo = [one.strip()]
+        (n,) = count(todo)
+        if n > budget:
+            words = todo[0].split()
+            parts = packed(count(words), budget, 0)
+            todo = [" ".join(words[i:j]) for i, j in parts]
+        while todo:
+            piece = todo.pop(0)
+            (n,) = count([piece])
+            if n > budget and len(piece) > 1:
+                middle = len(piece) // 2
+                space = piece.rfind(" ", 0, middle)
+                at = space if space > 0 else middle
+                todo[:0] = [x for x in (piece[:at].strip(), piece[at:].strip()) if x]
+                continue
+            out.append(piece)
+            lengths.append(n)
+    return out, lengths
+
+
+def sentence_chunks(docs: DataFrame, tokens: Callable[[], Callable[[list[str]], list[int]]], budget: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap) -> DataFrame:
+    """doc, place, text, tokens: docs (doc, text) in chunks of whole sentences within a budget of tokens, joined by spaces, with an overlap by whole sentences.
+
+    tokens: makes, once a worker, what counts the tokens of texts. A sentence over the budget is cut
+    between words, a word over it between characters. A chunk's tokens are those of its text, which
+    may be fewer; where joining makes more, it is halved. A null or blank text has no chunks.
+    """
+    if not 0 <= overlap < budget:
+        raise ValueError(f"chunks of {budget} can't overlap by {overlap}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = tokens()
+        for batch in batches:
+            docs_, texts = batch.column("doc"), batch.column("text")
+            rows: list[tuple[int, int, str, int]] = []
+            for i in range(batch.num_rows):
+                parts, lengths = sentences(texts[i].as_py() or "", count, budget)
+                place, first, end = 0, 0, 0
+                for first, end in packed(lengths, budget, overlap):
+                    for text in _within(parts[first:end], count, budget):
+                        rows.append((i, place, *text))
+                        place += 1
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([docs_.take(at), *(pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.int64())))], names=["doc", "place", "text", "tokens"])
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, place long, text string, tokens long")
+
+
+def _within(parts: list[str], count: Callable[[list[str]], list[int]], budget: int) -> Iterator[tuple[str, int]]:
+    """The parts joined by spaces, halved where joining takes them over the budget."""
+    text = " ".join(parts)
+    (n,) = count([text])
+    if n <= budget or len(parts) == 1:
+        yield text, n
+    else:
+        yield from _within(parts[: len(parts) // 2], count, budget)
+        yield from _within(parts[len(parts) // 2 :], count, budget)
+
+
 def heading_spans(spans: DataFrame) -> DataFrame:
     """Text blocks (doc, page, block, text, size, bold) with is_heading, judged by size against the page's median, or by bold.
 

@@ -36,6 +36,11 @@ def simple_graph(edges: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max_by(F.struct("relationship", "description"), F.struct("seq", "relationship", "description")).alias("e")).select("a", "b", "e.*")
 
 
+def graph_of(triplets: DataFrame) -> DataFrame:
+    """The simple graph of a stored graph's triplets, by names; the description of an edge is its section."""
+    return simple_graph(triplets.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "relationship", F.coalesce("section", F.lit("")).alias("description"), F.struct("src", "dst").alias("seq")))
+
+
 def _is_active(checksum, turn: int):
     """Whether a node moves in this round: each does in one of two rounds."""
     return ((checksum >> (turn // 2 % 16)) + turn) % 2 == 0

@@ -5,6 +5,8 @@ A node's id is its name, or name and type; edges hold the ids of both ends with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,57 +62,86 @@ def merged_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("src", "relationship", "dst").agg(keep, F.sum("n").alias("n")).select("src", "relationship", "dst", "p.*", "n")
 
 
-def _frontier(edges_: DataFrame, near: DataFrame, hops: int, keep) -> DataFrame:
+def triplets(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
+    """src, src_name, src_type, relationship, dst, dst_name, dst_type and provenance of every stored edge whose ends are nodes."""
+    end = lambda x: nodes_.select(F.col("id").alias(x), F.col("name").alias(f"{x}_name"), F.col("type").alias(f"{x}_type"))
+    found = edges_.select("src", "relationship", "dst", *PROVENANCE).join(end("src"), "src").join(end("dst"), "dst")
+    return found.select("src", "src_name", "src_type", "relationship", "dst", "dst_name", "dst_type", *PROVENANCE)
+
+
+#: An end with more edges than this is a hub, whose edges lie in several parts.
+HUB = 100_000
+
+
+def hubs(edges_: DataFrame, most: int = HUB) -> DataFrame:
+    """node, parts of the nodes with over `most` edges: a small table, to be stored beside the edges."""
+    ends = edges_.select(F.explode(F.array("src", "dst")).alias("node"))
+    return ends.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("node", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def _meet(near: DataFrame, edges_: DataFrame, end: str, other: str, hubs_: DataFrame | None) -> DataFrame:
+    """near (query, rank, node) with the edges whose `end` is the node; a hub's edges are dealt by their other end over its parts, to each of which its rows of near go."""
+    if hubs_ is None:
+        return near.join(edges_, F.col("node") == F.col(end)).drop("node")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = edges_.join(hubs_.withColumnRenamed("node", end), end, "left").withColumn("_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    asked = near.join(hubs_, "node", "left").withColumn("_of", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return asked.join(dealt, (F.col("node") == F.col(end)) & (F.col("_of") == F.col("_part"))).drop("node", "_of", "_part")
+
+
+def _frontier(edges_: DataFrame, near: DataFrame, hops: int, keep, hubs_: DataFrame | None) -> DataFrame:
     """near (query, rank, node) with all nodes within hops - 1 edges; keep reduces the rows of each level."""
     if hops < 1:
         raise ValueError("hops is at least 1")
-    near = keep(near)
+    near, links = keep(near), edges_.select("src", "dst")
     for _ in range(hops - 1):
-        out = near.join(edges_.select("src", "dst"), F.col("node") == F.col("src")).select("query", "rank", F.col("dst").alias("node"))
-        back = near.join(edges_.select("src", "dst"), F.col("node") == F.col("dst")).select("query", "rank", F.col("src").alias("node"))
-        near = keep(near.unionByName(out).unionByName(back))
+        out = _meet(near, links, "src", "dst", hubs_).select("query", "rank", F.col("dst").alias("node"))
+        back = _meet(near, links, "dst", "src", hubs_).select("query", "rank", F.col("src").alias("node"))
+        near = keep(near.select("query", "rank", "node").unionByName(out).unionByName(back))
     return near
 
 
-def _touched(edges_: DataFrame, near: DataFrame) -> DataFrame:
+def _touched(edges_: DataFrame, near: DataFrame, hubs_: DataFrame | None) -> DataFrame:
     """query, rank and the edge's own columns of the edges with an end in near; those with both ends there come twice."""
-    out = near.join(edges_, F.col("node") == F.col("src")).drop("node")
-    return out.unionByName(near.join(edges_.filter("src <> dst"), F.col("node") == F.col("dst")).drop("node"))
+    return _meet(near, edges_, "src", "dst", hubs_).unionByName(_meet(near, edges_.filter("src <> dst"), "dst", "src", hubs_))
 
 
-def expand(edges_: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+def expand(edges_: DataFrame, seeds: DataFrame, hops: int = 2, hubs_: DataFrame | None = None) -> DataFrame:
     """Facts within `hops` of each seed: seeds' columns query, rank and the edge's own.
 
     seeds: query, rank, node (an edge end's id). An edge lies on a path of up to `hops` edges that
     starts at a node exactly if one of its ends is at most hops - 1 edges away; so the frontier
     is widened node by node, distinct at every level, and paths are never enumerated. Edges keep
-    their direction in the result, whichever way they were walked. The edges are joined by either
-    end as they are: a small frontier is sent to them, and where both sides are shuffled, a hub's
-    edges are split by adaptive execution.
+    their direction in the result, whichever way they were walked. A small frontier is sent to the
+    edges as they are. Where both sides are shuffled, hubs_, the stored table of the hubs, deals
+    a hub's edges over several tasks; without it that is left to adaptive execution.
     """
-    near = _frontier(edges_, seeds.select("query", "rank", "node"), hops, lambda rows: rows.distinct())
-    return _touched(edges_, near).dropDuplicates(["query", "rank", "src", "relationship", "dst"])
+    near = _frontier(edges_, seeds.select("query", "rank", "node"), hops, lambda rows: rows.distinct(), hubs_)
+    return _touched(edges_, near, hubs_).dropDuplicates(["query", "rank", "src", "relationship", "dst"])
 
 
 def fact_text(e: DataFrame) -> DataFrame:
     return e.withColumn("fact_text", F.concat_ws(" ", "subject", F.replace(F.col("relationship"), F.lit("_"), F.lit(" ")), "object"))
 
 
-def _reached(edges_: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def _reached(edges_: DataFrame, seeds: DataFrame, hops: int, hubs_: DataFrame | None) -> DataFrame:
     """As expand, but an edge comes with the least rank of the seeds that reach either end, once for each such end."""
     least = lambda rows: rows.groupBy("query", "node").agg(F.min("rank").alias("rank"))
-    return _touched(edges_, _frontier(edges_, seeds.select("query", "rank", "node"), hops, least))
+    return _touched(edges_, _frontier(edges_, seeds.select("query", "rank", "node"), hops, least, hubs_), hubs_)
 
 
-def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """query, rank, subject, relationship, object, provenance, fact_text: once per query, of the first seed that reaches it."""
-    found = _reached(edges_, seeds, hops)
+def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2, hubs_: DataFrame | None = None, first: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """query, rank, subject, relationship, object, provenance, fact_text: once per query, of the first seed that reaches it.
+
+    first: leaves out rows of facts that won't be asked for, before equal facts meet.
+    """
+    found = first(fact_text(_reached(edges_, seeds, hops, hubs_)))
     order = F.struct("rank", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("page_number", F.lit(-1)).alias("p"), "src", "dst")
     one = found.groupBy("query", "subject", "relationship", "object").agg(F.min_by(F.struct("rank", *PROVENANCE), order).alias("p")).select("query", "subject", "relationship", "object", "p.*")
     return fact_text(one)
 
 
-def facts_text(edges_: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+def facts_text(edges_: DataFrame, seeds: DataFrame, hops: int = 2, hubs_: DataFrame | None = None) -> DataFrame:
     """query, facts: the sorted distinct texts of what seeds reach."""
-    found = fact_text(_reached(edges_, seeds, hops)).select("query", "fact_text").distinct()
+    found = fact_text(_reached(edges_, seeds, hops, hubs_)).select("query", "fact_text").distinct()
     return found.groupBy("query").agg(F.sort_array(F.collect_list("fact_text")).alias("facts"))

@@ -81,11 +81,26 @@ def fuse(lists: list[DataFrame], k: int = DEFAULTS.rrf_k, limit: int | None = No
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def preranked(facts: DataFrame, questions: DataFrame) -> DataFrame:
-    """facts with hits and place: by distinct words of the question in the fact, then by seed and names."""
+def _with_hits(facts: DataFrame, questions: DataFrame) -> DataFrame:
+    """facts with hits, the number of distinct words of the question in the fact."""
     asked = questions.select("query", F.array_distinct(words(F.lower("question"))).alias("words"))
     hits = F.size(F.filter("words", lambda w: F.contains(F.lower("fact_text"), w))).cast("long")
-    found = facts.join(asked, "query").withColumn("hits", hits).drop("words")
+    return facts.join(asked, "query").withColumn("hits", hits).drop("words")
+
+
+def first_facts(facts: DataFrame, questions: DataFrame, k: int, ranks: int) -> DataFrame:
+    """Of rows of facts (query, rank, ..., fact_text), not yet once a fact, those that can be of the first k by preranked.
+
+    A fact may come with each of `ranks` ranks, so that k facts have at most k times as many different
+    rows; equal ones share a place. Each task drops the rest before the shuffle.
+    """
+    place = F.dense_rank().over(Window.partitionBy("query").orderBy(F.desc("hits"), "rank", "subject", "relationship", "object"))
+    return _with_hits(facts, questions).withColumn("_d", place).filter(F.col("_d") <= k * ranks).drop("_d", "hits")
+
+
+def preranked(facts: DataFrame, questions: DataFrame) -> DataFrame:
+    """facts with hits and place: by distinct words of the question in the fact, then by seed and names."""
+    found = _with_hits(facts, questions)
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hits"), "rank", "subject", "relationship", "object")))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import words
 from graphloom.operators import rank, vector_index
+from graphloom.operators.graph import HUB, hubs
 from graphloom.plans import embeddings, lanes
 from graphloom.protocols import Embedder, default_embedder
 from graphloom.settings import DEFAULTS, Settings
@@ -78,8 +80,8 @@ class Service:
         return self._index("vectors", lambda: lanes.entity_vectors(self.graph()[0], self.embed))
 
     def stores(self) -> lanes.Stores:
-        path = f"{self.root}/postings"
-        return lanes.Stores(self.index(), self.spark.read.parquet(path) if readers.exists(self.spark, f"{path}/_SUCCESS") else None)
+        held = (f"{self.root}/{x}" for x in ("postings", "hubs"))
+        return lanes.Stores(self.index(), *(self.spark.read.parquet(x) if readers.exists(self.spark, f"{x}/_SUCCESS") else None for x in held))
 
     def chunks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/chunks")
@@ -103,6 +105,10 @@ class Service:
         """Writes the entity names under their runs of characters."""
         rank.postings(self.graph()[0]).repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.root}/postings")
 
+    def store_hubs(self, most: int = HUB) -> None:
+        """Writes which nodes' edges are to be dealt over several tasks."""
+        hubs(self.graph()[1], most).write.mode("overwrite").parquet(f"{self.root}/hubs")
+
     def _asked(self, question: str) -> DataFrame:
         if not question or not question.strip():
             raise BadRequest("the question is empty")
@@ -122,7 +128,7 @@ class Service:
         nodes, edges = self.graph()
         embedded = stage("embed", lanes.with_embedding(asked, "question", self.embed))
         found = stage("seeds", lanes.seeds(nodes, embedded, s=s, stores=self.stores()))
-        facts = stage("facts", lanes.graph_facts(edges, nodes, found, asked, hops=s.hops if hops is None else hops, s=s))
+        facts = stage("facts", lanes.graph_facts(edges, nodes, found, asked, hops=s.hops if hops is None else hops, s=s, stores=self.stores()))
         row = stage("answer", lanes.answered(facts, asked, s=s)).first().asDict(recursive=True)
         clock["total_ms"] = round(1000 * (time.perf_counter() - began))
         return {k: row[k] for k in ("answer", "citations", "sources")} | {"latency": clock, "tokens": {"context": self.count_tokens(row["context"]), "answer": self.count_tokens(row["answer"])}}
@@ -133,6 +139,18 @@ class Service:
         a = lanes.graph_lane(edges, nodes, asked, self.embed, hops=s.hops if hops is None else hops, s=s, stores=self.stores())
         return lanes.both_lanes(a, lanes.chunk_lane(self.chunks(), asked, self.embed, s=s, index=self.chunk_index())).first().asDict(recursive=True)
 
+    def ask_many(self, questions: DataFrame, path: str, hops: int | None = None) -> dict:
+        """Writes the graph lane's rows for a batch (query, question) to path; how many questions, how many without facts, and the tokens of contexts and answers.
+
+        The figures are observed by the job that writes: no row comes to the driver and nothing runs twice.
+        Tokens are white-space words.
+        """
+        s, (nodes, edges), seen = self.settings, self.graph(), Observation("answers")
+        told = lanes.graph_lane(edges, nodes, questions, self.embed, hops=s.hops if hops is None else hops, s=s, stores=self.stores())
+        tokens = lambda c: F.coalesce(F.sum(F.size(words(F.col(c)))), F.lit(0)).cast("long")
+        told.observe(seen, F.count(F.lit(1)).alias("questions"), F.count_if(F.col("context") == "").alias("without_facts"), tokens("context").alias("context_tokens"), tokens("answer").alias("answer_tokens")).write.mode("overwrite").parquet(path)
+        return dict(seen.get)
+
     def delete_graph(self) -> dict:
         self.close()
         return {"deleted": merge.clear_graph(self.spark, self.root)}

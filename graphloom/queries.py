@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.checkpoints import cut
+from graphloom.checkpoints import cut, shared_folder
 from graphloom.functions import text as tx
 from graphloom.functions.vectors import overlap
 from graphloom.operators import chunking, community, evaluation, extract, graph, rank, triples, vector_index
-from graphloom.plans import lanes
+from graphloom.plans import evaluate, lanes
+from graphloom.streaming import merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,12 +129,34 @@ _PARITY = "CAST(substr(rk, 12, 1) AS INT) % 3"
 SELECT subject, relationship, object, coalesce(one.source || ' 1', two.source || ' 2') AS source, coalesce(one.n, 0) + coalesce(two.n, 0) AS n FROM one FULL JOIN two USING (subject, relationship, object)""")
 def graph_edges_incremental(spark, d):
     """Two batches of which either has rows of its own and a third is in both: an edge keeps the provenance of the first."""
-    # the last digit of a row key of twelve digits, as the SQL has it
+    one, two = _batches(spark, d)
+    return graph.edges(two, "name", graph.edges(one, "name")).select("subject", "relationship", "object", "source", "n")
+
+
+def _batches(spark, d):
+    """The star schema's triples in two batches, of which either has rows of its own and a third is in both; the source tells the batch."""
     key = F.expr(f"seq div {triples.RULES} % {triples.ROWS}")
     digit = F.when(c("source") == "lineitem", F.expr(f"seq div {triples.RULES} % {triples.ROWS} div 10000")).otherwise(key) % 10
     every = star(spark, d).withColumn("part", digit % 3)
-    one, two = (every.filter(f"part <> {k}").withColumn("source", F.concat("source", F.lit(f" {i}"))).drop("part") for k, i in ((2, 1), (0, 2)))
-    return graph.edges(two, "name", graph.edges(one, "name")).select("subject", "relationship", "object", "source", "n")
+    return [every.filter(f"part <> {k}").withColumn("source", F.concat("source", F.lit(f" {i}"))).drop("part") for k, i in ((2, 1), (0, 2))]
+
+
+@query(ORACLE["graph_edges_incremental"])
+def graph_merge_batches(spark, d):
+    """As graph_edges_incremental, by two merges into a stored graph, whose second rewrites the buckets that it touches."""
+    root = f"{shared_folder(spark)}/graph-{uuid.uuid4()}"
+    for k, batch in enumerate(_batches(spark, d)):
+        merge.merge_batch(spark, batch, root, "name", k)
+    found = cut(merge.read_graph(spark, root)[1].select("subject", "relationship", "object", "source", "n"))
+    merge.clear_graph(spark, root)
+    return found
+
+
+@query(f"WITH {RAW}, {ENDS}, n AS (SELECT name, type FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sec, rk, ri, type) AS k FROM ends) WHERE k = 1), {EDGES} SELECT subject, s.type AS subject_type, relationship, object, o.type AS object_type, source FROM edges JOIN n s ON s.name = subject JOIN n o ON o.name = object")
+def triplet_scan(spark, d):
+    every = star(spark, d)
+    found = graph.triplets(graph.nodes(every, "name"), graph.edges(every, "name"))
+    return found.select(c("src_name").alias("subject"), c("src_type").alias("subject_type"), "relationship", c("dst_name").alias("object"), c("dst_type").alias("object_type"), "source")
 
 
 _MESSY = "replace(p_type, ' ', ' - ') || ' é½ (' || p_size || ')'"
@@ -386,6 +410,13 @@ def token_windows(spark, d):
     return t(spark, d, "documents")["documents"].filter("text is not null").select("doc_id", F.explode(tx.token_windows(c("text"), 200, 30)).alias("piece"))
 
 
+@query()
+def sentence_chunks(spark, d):
+    """Every document in chunks of whole sentences, of 200 words at most; tests hold them against a plain version."""
+    docs = t(spark, d, "documents")["documents"].select(c("doc_id").alias("doc"), "text")
+    return chunking.sentence_chunks(docs, chunking.words_as_tokens, 200, 30)
+
+
 _READINGS = "'Airflow ' || CAST(l_quantity AS BIGINT) || ' CFM''s and 2,' || CAST(CAST(l_quantity AS BIGINT) + 100 AS VARCHAR(20)) || ' cfm at ' || l_linenumber || ' kPa; R-' || l_linenumber || ', ' || CAST(l_quantity AS BIGINT) || ' ACH, 35°C, 12,000 BTU'"
 
 
@@ -538,6 +569,25 @@ def metric_winner(spark, d):
     return evaluation.winners(evaluation.lane_means(_lanes(spark, d)), "graph", "chunks")
 
 
+def _told(of: str, within: str) -> str:
+    """SQL of the share of the distinct words of one text that another holds."""
+    words = f"list_distinct(list_filter(string_split(lower({of}), ' '), lambda w: w <> ''))"
+    return f"CASE WHEN len({words}) = 0 THEN 0 ELSE len(list_filter({words}, lambda w: contains(lower({within}), w))) / len({words}) END"
+
+
+_JUDGED = "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'graph' ELSE 'chunks' END AS lane, 'what type is ' || p_name AS question, CASE WHEN p_partkey % 5 = 0 THEN 'it is unknown' ELSE p_name || ' is ' || p_type END AS answer, p_name || ' IS A ' || p_type AS one, p_brand || ' of ' || p_name AS two, p_type AS ground_truth FROM part"
+
+
+@query(f"""WITH r AS ({_JUDGED}), s AS (SELECT lane, {_told("answer", "one || ' ' || two")} AS faithfulness, {_told("question", "answer")} AS answer_relevancy,
+  (CASE WHEN {_told("ground_truth", "one")} >= 0.5 THEN 1 ELSE 0 END + CASE WHEN {_told("ground_truth", "two")} >= 0.5 THEN 1 ELSE 0 END) / 2 AS context_precision, {_told("ground_truth", "one || ' ' || two")} AS context_recall FROM r)
+SELECT lane, {", ".join(f"round(avg({m}), 3) AS {m}" for m in evaluation.METRICS)} FROM s GROUP BY lane""")
+def judge_means(spark, d):
+    """The lanes' means of a deterministic judge's scores, which run on the workers as any judge's do."""
+    t(spark, d, "part")["part"].createOrReplaceTempView("graphloom_part")
+    rows = spark.sql(_JUDGED.replace("FROM part", "FROM graphloom_part")).withColumn("contexts", F.array("one", "two"))
+    return evaluation.lane_means(evaluate.score(rows, workers=None, batch=64))
+
+
 @query("SELECT CASE WHEN conv_id % 2 = 0 THEN 'word_only' ELSE 'always_both' END AS strategy, CAST(count(*) AS BIGINT) AS questions, CAST(count(*) FILTER (n IS NULL) AS BIGINT) AS zero_context, round(count(*) FILTER (n IS NULL) / count(*), 3) AS rate FROM (SELECT conv_id, max(CASE WHEN role = 'system' THEN 1 END) AS n FROM conversations GROUP BY conv_id) GROUP BY 1")
 def zero_context_rate(spark, d):
     rows = t(spark, d, "conversations")["conversations"].groupBy("conv_id").agg(F.collect_list(F.when(c("role") == "system", c("text"))).alias("contexts"))

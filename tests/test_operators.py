@@ -370,6 +370,38 @@ def test_modularity_is_near_that_of_plain_moving():
         assert modularity(pairs, ours) >= 0.97 * modularity(pairs, plain(names, pairs))
 
 
+def test_refined_communities_are_connected_and_merge_inside():
+    import numpy as np
+
+    for seed in range(5):
+        pairs = [p for p in _random_graph(seed) if p[0] != p[1]]
+        names = sorted({n for p in pairs for n in p})
+        number = {n: i for i, n in enumerate(names)}
+        a, b = (np.array([number[p[i]] for p in pairs]) for i in (0, 1))
+        x, y = np.concatenate([a, b]), np.concatenate([b, a])
+        checks, k = np.arange(len(names)) * 7919, np.bincount(x, minlength=len(names))
+        moved = community._moved(x, y, np.ones(len(x), np.int64), k, checks, np.arange(len(names)))
+        part = community._refined(x, y, np.ones(len(x), np.int64), k, checks, moved)
+        for p in set(part.tolist()):
+            nodes = set(np.flatnonzero(part == p).tolist())
+            assert len({moved[n] for n in nodes}) == 1 and min(nodes) == p
+            seen, todo = set(), [p]
+            while todo:
+                if (n := todo.pop()) not in seen:
+                    seen.add(n)
+                    todo += [int(m) for m in y[x == n] if int(m) in nodes]
+            assert seen == nodes
+        for part_ in community.local_moving(names, pairs):
+            inner = [p for p in pairs if p[0] in part_ and p[1] in part_]
+            assert len(part_) == 1 or {n for p in inner for n in p} == set(part_)
+
+
+def test_what_moves_do_not_split_stays_whole():
+    star = [("hub", f"leaf{i:02}") for i in range(12)]
+    names = sorted({n for p in star for n in p})
+    assert community.hierarchy(names, star, 5) == [(n, 0, "hub/0") for n in names]
+
+
 def test_reduce(spark):
     asked = spark.createDataFrame([(i,) for i in range(4)], "query int")
     partial = spark.createDataFrame([(1, 1, "No information here"), (1, 2, "not available"), (2, 1, "No information"), (2, 2, "assistant: yes"), (3, 1, "a"), (3, 2, None), (3, 3, "b")], "query int, rank int, answer string")

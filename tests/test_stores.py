@@ -265,9 +265,32 @@ def test_the_service_embeds_the_question_alone(spark, tmp_path):
     s.store_vectors()
     s.store_chunks()
     s.store_postings()
+    s.store_hubs(1)
     assert acc.value == 4 + 2
     got = s.ask_both("who bought the lamp", 1)
     assert "lamp" in got["graph"]["context"] and "lamp" in got["chunks"]["context"] and 7 <= acc.value <= 8  # once a lane
     before = acc.value
     s.store_chunks()
     assert acc.value == before
+    many = spark.createDataFrame([(1, "who bought the lamp"), (2, "zzz")], "query long, question string")
+    told = s.ask_many(many, str(tmp_path / "told"), 1)
+    rows = spark.read.parquet(str(tmp_path / "told")).collect()
+    assert told == {"questions": 2, "without_facts": sum(r.context == "" for r in rows), "context_tokens": sum(len(r.context.split()) for r in rows), "answer_tokens": sum(len(r.answer.split()) for r in rows)}
+
+
+def test_hubs_are_dealt_and_nothing_is_lost(spark):
+    r = random.Random(8)
+    pairs = sorted({(r.choice(["hub", "hub", f"n{r.randrange(40)}"]), f"n{r.randrange(60)}") for _ in range(300)} | {("hub", "hub"), ("far", "n1")})
+    rows = _triples(spark, [(a, f"R{i % 2}", b, "s") for i, (a, b) in enumerate(pairs)])
+    edges = graph.edges(rows, "name").persist()
+    hubs = graph.hubs(edges, 20)
+    assert {x.node: x.parts for x in hubs.collect()}["hub"] >= 2
+    seeds = spark.createDataFrame([(1, 1, "n1"), (1, 2, "hub"), (2, 1, "far"), (3, 1, "nowhere")], "query long, rank int, node string")
+    rows_of = lambda x: sorted(map(repr, x.select("query", "rank", "subject", "relationship", "object").collect()))
+    for hops in (1, 2, 3):
+        assert rows_of(graph.expand(edges, seeds, hops, hubs)) == rows_of(graph.expand(edges, seeds, hops))
+        assert rows_of(graph.facts(edges, seeds, hops, hubs)) == rows_of(graph.facts(edges, seeds, hops))
+        asked = spark.createDataFrame([(1, "hub R1 n5"), (2, "far"), (3, "x")], "query long, question string")
+        every = rank.preranked(graph.facts(edges, seeds, hops), asked).filter("place <= 7")
+        first = rank.preranked(graph.facts(edges, seeds, hops, hubs, lambda x: rank.first_facts(x, asked, 7, 2)), asked).filter("place <= 7")
+        assert sorted(map(repr, every.select("query", "place", "rank", "hits", "fact_text").collect())) == sorted(map(repr, first.select("query", "place", "rank", "hits", "fact_text").collect()))
