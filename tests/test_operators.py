@@ -330,9 +330,9 @@ def _random_graph(seed, groups=5, size=14):
 
 def test_joins_find_the_communities_of_one_task(spark, monkeypatch):
     """The constant decides where a group is computed, not what comes out."""
-    pairs = _random_graph(3, 3, 9)
+    pairs = _random_graph(3, 2, 6)
     frame = spark.createDataFrame(pairs, "a string, b string")
-    monkeypatch.setattr(community, "ROUNDS", 4)
+    monkeypatch.setattr(community, "ROUNDS", 2)
     alone = sorted(tuple(r) for r in community.communities(frame).collect())
     assert {r[0] for r in alone} == {n for p in pairs for n in p}
     monkeypatch.setattr(community, "LARGE", 20)
