@@ -3,6 +3,7 @@ import zlib
 import brute
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from test_corpus_operators import check_packing, normal
 
 from graphloom.llm import language_id
@@ -41,3 +42,27 @@ def test_stages(spark, docs, texts, tmp_path):
         assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
     one = before.dropDuplicates(["doc_id"])
     check_packing(corpus_pipeline.pack(spark, one, ""), list(distinct))
+
+
+def test_stages_of_long_texts_and_clashing_names(spark, docs, texts, tmp_path):
+    """Very long texts go through every stage whole, with a null id, and with further columns of the operators' own names."""
+    some = docs.filter("doc_id in (306, 307, 308) or doc_id < 20").withColumns({c: F.lit("!") for c in ("component_id", "keep_id", "lang_pred", "score", "sequence_id", "positions")})
+    now = some.unionByName(some.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("some words of a text without an id that nothing else has")))
+    kept = {d: t for d, t in texts if d in (306, 307, 308) or d < 20}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        columns = now.columns
+        stage(spark, now, "").write.parquet(str(tmp_path / str(k)))
+        now = spark.read.parquet(str(tmp_path / str(k)))
+        assert now.columns == columns
+    rows = {r["doc_id"]: r["text"] for r in now.select("doc_id", "text").collect()}
+    assert all(kept[d] == t for d, t in rows.items() if d is not None)
+    packed = corpus_pipeline.pack(spark, now.dropDuplicates(["doc_id"]), "")
+    check_packing(packed, list(rows.items()))
+
+
+def test_stages_of_an_empty_table(spark, nothing, tmp_path):
+    now = nothing
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, "").write.parquet(str(tmp_path / str(k)))
+        now = spark.read.parquet(str(tmp_path / str(k)))
+        assert now.count() == 0
