@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: a null text counts as empty, and goes with the texts without a letter in the first
+stage; a null doc_id is an id like any other, but yields to others as the one that stays; of equal
+or near rows one stays, and rows that share its doc_id and text stay with it where the operator says
+so; very long texts are read whole; an empty table stays empty; further columns, whatever their
+names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -20,10 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose texts are equal but for white space the one with the smallest doc_id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near copies link (five words, 0.8) the one with the smallest doc_id stays."""
     return jaccard_join.keep_first(docs)
 
 
