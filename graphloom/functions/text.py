@@ -40,12 +40,12 @@ def words(c: Column) -> Column:
 def label(c: Column) -> Column:
     """Letters, digits and underscores only; Entity if none are left."""
     kept = F.regexp_replace(c, r"[^\p{L}\p{N}_]", "")
-    return F.when(kept == "", "Entity").otherwise(kept)
+    return F.when(c.rlike(r"^[A-Za-z0-9_]+\z"), c).when(kept == "", "Entity").otherwise(kept)
 
 
 def relationship(c: Column) -> Column:
     kept = F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}_]", ""))
-    return F.when(kept == "", "RELATED_TO").otherwise(kept)
+    return F.when(c.rlike(r"^[A-Z0-9_]+\z"), c).when(kept == "", "RELATED_TO").otherwise(kept)
 
 
 def money(c: Column) -> Column:

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut
 from graphloom.functions.text import label
 from graphloom.functions.text import relationship as clean_relationship
 from graphloom.operators.triples import first_of
@@ -49,9 +50,12 @@ def edges(triples: DataFrame, key: str = "name_type", existing: DataFrame | None
     t = triples.select(
         node_id(F.col("subject"), label(F.coalesce("subject_type", F.lit("Entity"))), key).alias("src"), clean_relationship(F.col("relationship")).alias("relationship"), node_id(F.col("object"), label(F.coalesce("object_type", F.lit("Entity"))), key).alias("dst"), "subject", "object", *PROVENANCE, "seq"
     )
-    # the hash leads the sort of this aggregate, so that texts are compared only where it is equal
-    first = F.min_by(F.struct("subject", "object", *PROVENANCE), F.struct("seq", "source")).alias("p")
-    new = t.groupBy(F.xxhash64("src", "relationship", "dst"), "src", "relationship", "dst").agg(first, F.count("*").alias("n")).select("src", "relationship", "dst", "p.*", "n")
+    # the hash leads the sort of this aggregate, so that texts are compared only where it is equal; where ids are names, they aren't carried twice
+    carried = PROVENANCE if key == "name" else ("subject", "object", *PROVENANCE)
+    first = F.min_by(F.struct(*carried), F.struct("seq", "source")).alias("p")
+    found = t.groupBy(F.xxhash64("src", "relationship", "dst"), "src", "relationship", "dst").agg(first, F.count("*").alias("n"))
+    ends = [F.col("src").alias("subject"), F.col("dst").alias("object")] if key == "name" else []
+    new = found.select("src", "relationship", "dst", *ends, "p.*", "n")
     return new if existing is None else merged_edges(existing, new)
 
 
@@ -71,6 +75,8 @@ def triplets(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
 
 #: An end with more edges than this is a hub, whose edges lie in several parts.
 HUB = 100_000
+#: Edges of one fact, which differ in their ends' types alone, are fewer.
+PLACES = 1 << 32
 
 
 def hubs(edges_: DataFrame, most: int = HUB) -> DataFrame:
@@ -130,11 +136,30 @@ def _reached(edges_: DataFrame, seeds: DataFrame, hops: int, hubs_: DataFrame |
     return _touched(edges_, _frontier(edges_, seeds.select("query", "rank", "node"), hops, least, hubs_), hubs_)
 
 
-def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2, hubs_: DataFrame | None = None, first: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def _numbered(edges_: DataFrame) -> DataFrame:
+    """edges_ with f1 and f2, two hashes of subject, relationship and object, and _at, the edge's place among those of one fact."""
+    names = ("subject", "relationship", "object")
+    marked = [x for name in names for x in (F.col(name), F.isnull(name))]  # a null alone leaves a hash as it was
+    order = (F.coalesce("source", F.lit("")), F.coalesce("page_number", F.lit(-1)), "src", "dst")
+    place = F.row_number().over(Window.partitionBy("f1", "f2", *names).orderBy(*order))
+    return edges_.withColumn("f1", F.xxhash64(*marked)).withColumn("f2", F.xxhash64(F.lit(1), *marked)).withColumn("_at", place.cast("long"))
+
+
+def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2, hubs_: DataFrame | None = None, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query, rank, subject, relationship, object, provenance, fact_text: once per query, of the first seed that reaches it.
 
-    first: leaves out rows of facts that won't be asked for, before equal facts meet.
+    first: leaves out rows of facts that won't be asked for, before equal facts meet. Without it equal
+    facts meet as numbers, a rank and an edge's place in one long, and the texts are joined to what
+    stays. Ranks are whole numbers from 0.
     """
+    if first is None:
+        numbered = cut(_numbered(edges_))
+        # dealt by the fact alone, which serves the aggregate and the join, and no fact has more rows than questions have ends
+        found = _reached(numbered.select("src", "dst", "f1", "f2", "_at"), seeds, hops, hubs_).repartition("f1", "f2")
+        best = F.min(F.col("rank").cast("long") * PLACES + F.col("_at")).alias("_best")
+        one = found.groupBy("query", "f1", "f2").agg(best).join(numbered, ["f1", "f2"]).filter(F.col("_at") == F.col("_best") % PLACES)
+        rank = F.expr(f"_best div {PLACES}").cast(dict(seeds.dtypes)["rank"]).alias("rank")
+        return fact_text(one.select("query", "subject", "relationship", "object", rank, *PROVENANCE))
     found = first(fact_text(_reached(edges_, seeds, hops, hubs_)))
     order = F.struct("rank", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("page_number", F.lit(-1)).alias("p"), "src", "dst")
     one = found.groupBy("query", "subject", "relationship", "object").agg(F.min_by(F.struct("rank", *PROVENANCE), order).alias("p")).select("query", "subject", "relationship", "object", "p.*")

@@ -42,9 +42,13 @@ def unpivot(rows: DataFrame, rules: list[Rule], key: Column, section: int = 0, s
     return rows.select(F.inline(F.array(*cells))).filter("subject <> '' and object <> ''")
 
 
-def lookup(rows: DataFrame, key: str, names: DataFrame, out: str) -> DataFrame:
-    """rows with `out`: the name that names (id, name) has for rows' key; an unknown or null key gives ''."""
-    one = names.groupBy(F.col("id").alias("_id")).agg(F.max("name").alias("_name"))
+def lookup(rows: DataFrame, key: str, names: DataFrame, out: str, unique: bool = False) -> DataFrame:
+    """rows with `out`: the name that names (id, name) has for rows' key; an unknown or null key gives ''.
+
+    Of several names of an id the largest is taken. unique: the caller knows that ids don't repeat,
+    so that names aren't shuffled to find out.
+    """
+    one = names.select(F.col("id").alias("_id"), F.col("name").alias("_name")) if unique else names.groupBy(F.col("id").alias("_id")).agg(F.max("name").alias("_name"))
     return rows.join(one, rows[key] == one["_id"], "left").withColumn(out, F.coalesce("_name", F.lit(""))).drop("_id", "_name")
 
 
@@ -122,21 +126,21 @@ def linearise(rows: DataFrame, table: str, names: DataFrame | None = None, order
 
 
 def star_triples(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The same rules over a star schema of customers, parts, suppliers, orders and line items, by section; not yet distinct."""
+    """The same rules over a star schema of customers, parts, suppliers, orders and line items, by section; not yet distinct. Keys of customers, nations and suppliers are unique."""
     c = F.col
     nations = t["nation"].select(c("n_nationkey").alias("id"), c("n_name").alias("name"))
     part = F.concat(F.lit("Part#"), c("p_partkey").cast("string"))
-    customers = lookup(t["customer"], "c_nationkey", nations, "nation")
+    customers = lookup(t["customer"], "c_nationkey", nations, "nation", True)
     out = {
         "customer": unpivot(customers, [Rule(c("c_name"), "IS_A", F.lit("Customer"), "Organization", "Concept"), Rule(c("c_name"), "IN_SEGMENT", c("c_mktsegment"), "Organization", "Concept"), Rule(c("c_name"), "LOCATED_IN", c("nation"), "Organization", "Location")], c("c_custkey"), 0, "customer"),
         "part": unpivot(t["part"], [Rule(part, "IS_A", c("p_type"), "Topic", "Concept"), Rule(part, "NAMED", c("p_name"), "Topic", "Concept"), Rule(part, "PRICED_AT", money(c("p_retailprice")), "Topic", "Measurement")], c("p_partkey"), 1, "part"),
     }
     clients = t["customer"].select(c("c_custkey").alias("id"), c("c_name").alias("name"))
-    orders = lookup(t["orders"].select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", clients, "customer")
+    orders = lookup(t["orders"].select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", clients, "customer", True)
     out["orders"] = unpivot(orders, [Rule(c("customer"), "ORDER_WORTH", money(c("o_totalprice")), "Organization", "Measurement")], c("o_orderkey"), 2, "orders")
     sellers = t["supplier"].select(c("s_suppkey").alias("id"), c("s_name").alias("name"))
     items = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").join(orders.select(c("o_orderkey").alias("l_orderkey"), "customer"), "l_orderkey")
-    items = lookup(items, "l_suppkey", sellers, "seller").join(t["part"].select(c("p_partkey").alias("l_partkey"), part.alias("product")), "l_partkey")
+    items = lookup(items, "l_suppkey", sellers, "seller", True).join(t["part"].select(c("p_partkey").alias("l_partkey"), part.alias("product")), "l_partkey")
     key = c("l_orderkey") * 10000 + c("l_linenumber")
     out["lineitem"] = unpivot(items, [Rule(c("customer"), "PURCHASED", c("product"), "Organization", "Topic"), Rule(c("seller"), "SOLD", c("product"), "Person", "Topic"), Rule(c("product"), "ORDERED_QTY", c("l_quantity").cast("long"), "Topic", "Measurement", c("l_quantity") > 1)], key, 3, "lineitem")
     return out

@@ -481,6 +481,41 @@ def test_service(spark, business, tmp_path):
     assert s.delete_graph() == {"deleted": ["nodes", "edges"]} and s.health() == {"status": "ok"}
 
 
+def test_facts_met_as_numbers_equal_facts_met_as_rows(spark):
+    """Edges of one fact that differ in their ends' types, nulls in several places, ties of provenance, several ranks, a struct as query."""
+    import random
+
+    r, rows = random.Random(11), []
+    for i in range(160):
+        a, b = (r.choice(["a", "b", "c", None]) for _ in range(2))
+        rows.append((f"{a}/{r.randrange(3)}", r.choice(["R", "S_T"]), f"{b}/{r.randrange(3)}", a, b, r.choice(["x", "y", None]), r.choice([None, 0, 3]), None, r.choice([None, "z"])))
+    rows = list({x[:3]: x for x in rows}.values())
+    rows += [("n/0", "R", "m/0", None, "m", "x", None, [1.0], None), ("m/0", "R", "n/0", "m", None, "x", None, None, None)]
+    edges = spark.createDataFrame(rows, "src string, relationship string, dst string, subject string, object string, source string, page_number long, bbox array<double>, section string")
+    seeds = spark.createDataFrame([(q, k, n) for q in (1, 2, None) for k, n in ((0, "a/0"), (3, "b/1"), (1, "n/0"), (2, "a/0"))], "query long, rank int, node string").withColumn("query", F.struct(F.lit("s").alias("s"), "query"))
+    for hops in (1, 2):
+        got, want = graph.facts(edges, seeds, hops), graph.facts(edges, seeds, hops, first=lambda rows: rows)
+        assert got.schema["rank"].dataType == seeds.schema["rank"].dataType
+        columns = ["query", "rank", "subject", "relationship", "object", "source", "page_number", "bbox", "section", "fact_text"]
+        listed = lambda df: sorted(map(repr, df.select(*columns).collect()))
+        assert listed(got) == listed(want) and got.count() > 20
+    assert graph.facts(edges.limit(0), seeds, 2).count() == 0 == graph.facts(edges, seeds.limit(0), 2).count()
+
+
+def test_lookup_of_ids_known_to_be_unique(spark):
+    rows = spark.createDataFrame([(1, 7), (2, None), (3, 9)], "n int, k int")
+    names = spark.createDataFrame([(7, "seven"), (8, None), (None, "none")], "id int, name string")
+    found = [sorted((x.n, x.out) for x in triples.lookup(rows, "k", names, "out", unique).collect()) for unique in (False, True)]
+    assert found[0] == found[1] == [(1, "seven"), (2, ""), (3, "")]
+
+
+def test_edges_by_name_carry_their_ends(spark):
+    every = spark.createDataFrame([("a", "is a", "b", "s2", 2), ("a", "IS_A\n", "b", "s1", 1), ("a", "ISA", "b", "s0", 3), (" é", "--", "b", "s", 4)], "subject string, relationship string, object string, source string, seq long")
+    every = every.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("subject_type", "string"), ("object_type", "string"), ("page_number", "long"), ("bbox", "array<double>"), ("section", "string"))])
+    got = sorted((x.src, x.relationship, x.dst, x.subject, x.object, x.source, x.n) for x in graph.edges(every, "name").collect())
+    assert got == [(" é", "RELATED_TO", "b", " é", "b", "s", 1), ("a", "ISA", "b", "a", "b", "s2", 2), ("a", "IS_A", "b", "a", "b", "s1", 1)]
+
+
 def test_lane_without_facts(spark, business):
     every = triples.business_triples(business)
     asked = spark.createDataFrame([(1, "qqqq")], "query long, question string")
