@@ -148,11 +148,12 @@ def _numbered(edges_: DataFrame) -> DataFrame:
 def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2, hubs_: DataFrame | None = None, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query, rank, subject, relationship, object, provenance, fact_text: once per query, of the first seed that reaches it.
 
-    first: leaves out rows of facts that won't be asked for, before equal facts meet. Without it equal
-    facts meet as numbers, a rank and an edge's place in one long, and the texts are joined to what
-    stays. Ranks are whole numbers from 0.
+    first: leaves out rows of facts that won't be asked for, before equal facts meet. Without it, and
+    beyond one hop, where questions reach most edges, equal facts meet as numbers, a rank and an
+    edge's place in one long, and the texts are joined to what stays: that numbers all edges once,
+    which the few facts within one hop aren't worth. Ranks are whole numbers from 0.
     """
-    if first is None:
+    if first is None and hops > 1:
         numbered = cut(_numbered(edges_))
         # dealt by the fact alone, which serves the aggregate and the join, and no fact has more rows than questions have ends
         found = _reached(numbered.select("src", "dst", "f1", "f2", "_at"), seeds, hops, hubs_).repartition("f1", "f2")
@@ -160,7 +161,8 @@ def facts(edges_: DataFrame, seeds: DataFrame, hops: int = 2, hubs_: DataFrame |
         one = found.groupBy("query", "f1", "f2").agg(best).join(numbered, ["f1", "f2"]).filter(F.col("_at") == F.col("_best") % PLACES)
         rank = F.expr(f"_best div {PLACES}").cast(dict(seeds.dtypes)["rank"]).alias("rank")
         return fact_text(one.select("query", "subject", "relationship", "object", rank, *PROVENANCE))
-    found = first(fact_text(_reached(edges_, seeds, hops, hubs_)))
+    found = fact_text(_reached(edges_, seeds, hops, hubs_))
+    found = found if first is None else first(found)
     order = F.struct("rank", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("page_number", F.lit(-1)).alias("p"), "src", "dst")
     one = found.groupBy("query", "subject", "relationship", "object").agg(F.min_by(F.struct("rank", *PROVENANCE), order).alias("p")).select("query", "subject", "relationship", "object", "p.*")
     return fact_text(one)
