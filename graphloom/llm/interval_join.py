@@ -231,10 +231,11 @@ def related(sales: DataFrame, held: DataFrame, rows: int) -> DataFrame:
     entries = held.groupBy("client_id", "start", "stop").agg(F.count("*").alias("n"), F.sum(F.crc32(F.col("first").cast("string").cast("binary"))).alias("crc"))
     per = sales.groupBy("client_id").agg(F.count("*").alias("n"))
     share = max(LEAST, (per.agg(F.sum("n").alias("n")).first()["n"] or 0) // SHARES)
-    hot = [(r["client_id"], -(-r["n"] // share)) for r in per.filter(F.col("n") > share).collect()]  # SHARES rows at most
-    ways = F.broadcast(spark.createDataFrame(hot, "client_id long, ways long"))
     shards = max(4 * partitions(spark), rows // ROWS)
-    shard = F.pmod(F.xxhash64("client_id", "way"), F.lit(shards)).cast("int").alias("shard")
+    hot = [(r["client_id"], min(shards, -(-r["n"] // share))) for r in per.filter(F.col("n") > share).collect()]  # SHARES rows at most
+    ways = F.broadcast(spark.createDataFrame(hot, "client_id long, ways long"))
+    # a client's ways are shards side by side: two ways in one shard would meet all its entries twice
+    shard = F.pmod(F.pmod(F.xxhash64("client_id"), F.lit(shards)) + F.col("way"), F.lit(shards)).cast("int").alias("shard")
     left = sales.join(ways, "client_id", "left").withColumn("way", F.pmod(F.xxhash64("sale_id", "start", "stop"), F.coalesce("ways", F.lit(1))).cast("long"))
     right = entries.join(ways, "client_id", "left").withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1)) - 1)))
     left, right = left.select(shard, "sale_id", "client_id", "start", "stop", "times"), right.select(shard, "client_id", "start", "stop", "n", "crc")

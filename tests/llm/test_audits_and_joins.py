@@ -85,6 +85,14 @@ def test_interval_join_is_brute_force(spark, monkeypatch, seed):
     assert joined(spark, sales, clicks, lines) == pairs(sales, clicks, lines)
 
 
+def test_a_client_dealt_to_more_ways_than_shards_meets_each_session_once(spark, monkeypatch):
+    monkeypatch.setattr(interval_join, "LEAST", 1)  # a way a sale, of which there are more than shards
+    clicks = [(k * HOUR // 2, 1 + k % 2, "click") for k in range(60)]
+    sales = [(i, 1 + i % 2, i * 60_000_000) for i in range(400)]
+    lines = [(i, (i + i % 90) * 60_000_000) for i in range(400)]
+    assert joined(spark, sales, clicks, lines) == pairs(sales, clicks, lines)
+
+
 def test_nested_lists_of_any_depth_and_with_overlaps():
     r = np.random.default_rng(5)
     for case in range(60):
