@@ -235,6 +235,15 @@ def test_community_lane(spark, tmp_path):
     assert versions.read(spark, stored).count() == members.select("cluster").distinct().count()
 
 
+@pytest.mark.parametrize("sent", [0, 100])
+def test_measured_readings_of_one_id_meet(spark, monkeypatch, sent):
+    """By joins of either kind: what two readings of an id share comes once, and so does a repeated reading."""
+    monkeypatch.setattr(extract, "TEXTS", sent)
+    rows = spark.createDataFrame([(1, "R-5 and 7 ACH"), (1, "R-5"), (1, "R-5"), (2, "r-5"), (3, None), (3, "none"), (None, "R-5"), (None, "R-5, R-6")], "id long, text string")
+    got = sorted(((r.id, r.object) for r in extract.measured(rows).collect()), key=repr)
+    assert got == [(1, "7 ACH50"), (1, "R-5"), (2, "R-5"), (None, "R-5"), (None, "R-6")]
+
+
 def test_measurements(spark):
     t = "10.1: 2,321 CFM's, R-20 r20 R20x 12 kPa; 35°C and 120 degrees F, 5 achievements, 2,321 cfm"
     got = spark.createDataFrame([(t,)], "t string").select(F.inline(extract.measurements(F.col("t")))).collect()
