@@ -235,6 +235,19 @@ def test_community_lane(spark, tmp_path):
     assert versions.read(spark, stored).count() == members.select("cluster").distinct().count()
 
 
+@pytest.mark.parametrize(("sent", "key"), [(0, "name"), (100, "name"), (100, "name_type")])
+def test_edges_of_touched_nodes_are_the_whole_graphs(spark, monkeypatch, sent, key):
+    """By joins of either kind: an end's edges have the count and provenance that they have in the whole graph, and others aren't there."""
+    monkeypatch.setattr(graph, "SENT", sent)
+    rows = [(f"n{i % 7}", "R", f"n{i * i % 11}", "T", "T" if i % 2 else "U", f"s{i % 3}", None, None, None, 100 - i) for i in range(60)]
+    every = spark.createDataFrame(rows, "subject string, relationship string, object string, subject_type string, object_type string, source string, page_number long, bbox array<double>, section string, seq long")
+    ids = {"n1", "n9", "none"} if key == "name" else {"n1\x1fT", "n9\x1fU"}
+    near = spark.createDataFrame([(i,) for i in ids for _ in range(2)] + [(None,)], "node string")
+    got = graph.edges(graph.touching(every, near, key), key).collect()
+    want = [r for r in graph.edges(every, key).collect() if r.src in ids or r.dst in ids]
+    assert got and sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("sent", [0, 100])
 def test_measured_readings_of_one_id_meet(spark, monkeypatch, sent):
     """By joins of either kind: what two readings of an id share comes once, and so does a repeated reading."""
