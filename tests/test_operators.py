@@ -235,6 +235,17 @@ def test_community_lane(spark, tmp_path):
     assert versions.read(spark, stored).count() == members.select("cluster").distinct().count()
 
 
+def test_edges_and_first_rows_are_dealt_before_they_are_sorted(spark):
+    """No sort of whole rows in the tasks that make them; and of equal places the least source and page stay, whatever the order of rows."""
+    rows = [("a", "R", "b", "T", "T", "x", p, None, None, 1) for p in (3, 2)]
+    kinds = "subject string, relationship string, object string, subject_type string, object_type string, source string, page_number long, bbox array<double>, section string, seq long"
+    for order in (rows, rows[::-1]):
+        every = spark.createDataFrame(order, kinds).coalesce(1)
+        assert [(r.subject, r.object, r.source, r.page_number, r.n) for r in graph.edges(every).collect()] == [("a", "b", "x", 2, 2)]
+    for found in (graph.edges(every, "name"), triples.distinct_triples(every)):
+        assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("sent", "key"), [(0, "name"), (100, "name"), (100, "name_type")])
 def test_edges_of_touched_nodes_are_the_whole_graphs(spark, monkeypatch, sent, key):
     """By joins of either kind: an end's edges have the count and provenance that they have in the whole graph, and others aren't there."""
