@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from graphloom import protocols
-from graphloom.operators import chunking, community, evaluation, graph
+from graphloom.operators import chunking, community, evaluation, graph, rank
 from graphloom.plans import evaluate, ingest, lanes
 from graphloom.settings import Settings
 from graphloom.sources import readers
@@ -178,3 +178,26 @@ def test_lanes_take_stored_graphs(spark, folder, tmp_path):
     nodes, edges = merge.read_graph(spark, str(tmp_path / "g"))
     asked = spark.createDataFrame([(1, "where is Cy located")], "query long, question string")
     assert "Cy LOCATED IN North" in lanes.graph_lane(edges, nodes, asked).first().context
+
+
+def test_equal_questions_and_alike_names_meet_once(spark, monkeypatch):
+    """Equal questions are embedded once; of names with one vector the first alone are indexed; results are those of all."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embed(text):
+        calls.add(1)
+        return [1.0, float(len(text) % 3)]
+
+    questions = spark.range(40).select(F.col("id").alias("query"), F.concat(F.lit("what about zz"), (F.col("id") % 2).cast("string")).alias("question"))
+    asked = lanes.embedded(questions, embed)
+    assert asked.count() == 40 and asked.filter("embedding is null").isEmpty() and calls.value == 2
+    items = spark.range(90).select(F.format_string("zz1 n%02d", "id").alias("name"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("embedding"))
+    sizes, build = [], rank.vector_index.build
+    monkeypatch.setattr(rank.vector_index, "build", lambda *a, **k: sizes.append(a[0].count()) or build(*a, **k))
+    found = rank.vector_seeds(items, asked, 2, -2.0, "cosine").collect()
+    assert sizes == [6]  # three vectors, two names each
+    near = len("what about zz0") % 3
+    assert {(r.query, r["name"], r.score, r["rank"]) for r in found} == {(q, f"zz1 n{near + 3 * i:02}", 1.0, i + 1) for q in range(40) for i in range(2)}
+    words = rank.keyword_seeds(items, asked, 2).collect()
+    assert {(r.query, r["name"], r.hits, r["rank"]) for r in words} == {(q, f"zz1 n{i:02}", 1, i + 1) for q in range(1, 40, 2) for i in range(2)}
