@@ -62,6 +62,8 @@ def chunks(elements: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int =
     return out.filter(strip(F.col("text")) != "")
 
 
+#: Characters of chunks that a worker holds before it hands them over.
+HELD = 1 << 20
 #: A sentence ends at a full stop, question or exclamation mark before white space; a paragraph at a blank line.
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n\s*\n\s*")
 
@@ -133,20 +135,28 @@ def sentence_chunks(docs: DataFrame, tokens: Callable[[], Callable[[list[str]],
         for batch in batches:
             docs_, texts = batch.column("doc"), batch.column("text")
             rows: list[tuple[int, int, str, int]] = []
+            held = 0
             for i in range(batch.num_rows):
                 parts, lengths = sentences(texts[i].as_py() or "", count, budget)
                 place, first, end = 0, 0, 0
                 for first, end in packed(lengths, budget, overlap):
                     for text in _within(parts[first:end], count, budget):
                         rows.append((i, place, *text))
-                        place += 1
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([docs_.take(at), *(pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.int64())))], names=["doc", "place", "text", "tokens"])
+                        place, held = place + 1, held + len(text[0])
+                        if held >= HELD:
+                            yield _told(docs_, rows)
+                            rows, held = [], 0
+            yield _told(docs_, rows)
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, place long, text string, tokens long")
 
 
+def _told(docs: pa.Array, rows: list[tuple[int, int, str, int]]) -> pa.RecordBatch:
+    at = pa.array([r[0] for r in rows], pa.int64())
+    return pa.RecordBatch.from_arrays([docs.take(at), *(pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.int64())))], names=["doc", "place", "text", "tokens"])
+
+
 def _within(parts: list[str], count: Callable[[list[str]], list[int]], budget: int) -> Iterator[tuple[str, int]]:
     """The parts joined by spaces, halved where joining takes them over the budget."""
     text = " ".join(parts)
