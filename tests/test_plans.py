@@ -201,3 +201,27 @@ def test_equal_questions_and_alike_names_meet_once(spark, monkeypatch):
     assert {(r.query, r["name"], r.score, r["rank"]) for r in found} == {(q, f"zz1 n{near + 3 * i:02}", 1.0, i + 1) for q in range(40) for i in range(2)}
     words = rank.keyword_seeds(items, asked, 2).collect()
     assert {(r.query, r["name"], r.hits, r["rank"]) for r in words} == {(q, f"zz1 n{i:02}", 1, i + 1) for q in range(1, 40, 2) for i in range(2)}
+
+
+def test_typed_edges_are_the_triplets(spark):
+    """The types of nodes that are met with several, and of those with one, without a join of edges with all nodes."""
+    rows = [("a", "R", "b", "X", "Y", 3), ("a", "R", "b", "Z", "Y", 1), ("b", "S", "c", "Q", None, 2), ("c", "S", "a", "W", "V", 5), ("d", "r s", "e", "X", "Y", 4), ("d", "r s", "d", "X", "X", 9)]
+    t = spark.createDataFrame([(*r[:5], f"s{r[5]}", None, None, None, r[5]) for r in rows], "subject string, relationship string, object string, subject_type string, object_type string, source string, page_number long, bbox array<double>, section string, seq long")
+    want = graph.triplets(graph.nodes(t, "name"), graph.edges(t, "name"))
+    found = graph.typed_edges(t)
+    assert found.columns == want.columns and sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_chunks_are_handed_over_in_parts(spark, monkeypatch):
+    """A worker doesn't hold all chunks of an Arrow batch."""
+    monkeypatch.setattr(chunking, "HELD", 20)
+    made, told = [], chunking._told
+    monkeypatch.setattr(chunking, "_told", lambda docs, rows: made.append(len(rows)) or told(docs, rows))
+    docs = spark.createDataFrame([(i, "one two. three four. five six.") for i in range(9)] + [(9, None)], "doc long, text string")
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f))
+    chunking.sentence_chunks(docs, chunking.words_as_tokens, 2, 0)
+    import pyarrow as pa
+
+    out = pa.Table.from_batches(run[0](iter(pa.Table.from_pandas(docs.toPandas()).to_batches())))
+    assert max(made) <= 3 and [tuple(r.values()) for r in out.to_pylist()] == [(d, p, x, 2) for d in range(9) for p, x in enumerate(("one two.", "three four.", "five six."))]
