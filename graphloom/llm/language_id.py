@@ -136,27 +136,30 @@ def _read(net: Network, d: int, data: np.ndarray, place: np.ndarray, on: np.ndar
     """
     h, skip = net.u.shape[1], len(place) - len(score)
     x_gate, x_new = 0.5 * net.x[d][:, : 2 * h], np.ascontiguousarray(net.x[d][:, 2 * h :])
-    u_gate, u_new = 0.5 * net.u[d][:, : 2 * h], np.ascontiguousarray(net.u[d][:, 2 * h :])
-    w = np.ascontiguousarray(net.w[d * h : (d + 1) * h])
+    # one product a step: the gates' and new state's parts, and the labels' of the step before
+    u = np.ascontiguousarray(np.concatenate([0.5 * net.u[d][:, : 2 * h], net.u[d][:, 2 * h :], net.w[d * h : (d + 1) * h]], 1))
     state = np.zeros((place.shape[1], h), net.x.dtype)
-    gate, new = np.empty((len(state), 2 * h), net.x.dtype), np.empty_like(state)
+    gate, new, all_ = np.empty((len(state), 2 * h), net.x.dtype), np.empty_like(state), np.empty((len(state), u.shape[1]), net.x.dtype)
     for i in range(len(place)):
         byte = data[place[i]]
+        np.matmul(state, u, out=all_)
+        if i > skip:
+            score[i - 1 - skip] += all_[:, 3 * h :]
         np.take(x_gate, byte, axis=0, out=gate, mode="clip")
-        gate += state @ u_gate
+        gate += all_[:, : 2 * h]
         np.tanh(gate, out=gate)
         gate += 1
         gate *= 0.5
         np.take(x_new, byte, axis=0, out=new, mode="clip")
-        new += gate[:, h:] * (state @ u_new)
+        new += gate[:, h:] * all_[:, 2 * h : 3 * h]
         np.tanh(new, out=new)
         state -= new
         state *= gate[:, :h]
         state += new
         if not on[i].all():
             state *= on[i][:, None]
-        if i >= skip:
-            score[i - skip] += state @ w
+    if len(score):
+        score[-1] += state @ u[:, 3 * h :]
 
 
 def label_windows(net: Network, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) -> np.ndarray:
