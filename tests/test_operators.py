@@ -577,3 +577,22 @@ def test_models_and_keys(spark):
         protocols.KeyRotation(["k1"]).call(client)
     with pytest.raises(ValueError):
         readers.load_keys(" \n")
+
+
+def test_types_are_made_labels_after_ends_meet(spark):
+    """By name the plan's regular expression lies in or over the aggregate of the ends, and types that give one label are one node."""
+    rows = [("a", "R", "b", "My Type", None, 2), ("b", "R", "a", "Entity", "My-Type", 1), ("a", "R", "c", "MyType", "x", 3)]
+    t = spark.createDataFrame(rows, "subject string, relationship string, object string, subject_type string, object_type string, seq long")
+    found = graph.nodes(t, "name_type")
+    assert sorted((r["name"], r["type"]) for r in found.collect()) == [("a", "MyType"), ("b", "Entity"), ("c", "x")]
+    by_name = graph.nodes(t, "name")
+    plan = by_name._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "RLIKE" not in plan[plan.rindex("+- Generate") :]
+    assert sorted((r["name"], r["type"]) for r in by_name.collect()) == [("a", "MyType"), ("b", "Entity"), ("c", "x")]
+
+
+def test_strip_at_seen_and_unseen_ends(spark):
+    cases = ["", " ", "a", " a", "a ", "a b", " é ", "é", "é ", "\ta\x0b", "~", "\x7f", "!", "a　", "\x1ca\x1c"]
+    got = [r["x"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "i int, v string").sort("i").select(tx.strip(F.col("v")).alias("x")).collect()]
+    blank = " \t\n\x0b\f\r  　"
+    assert got == [v.strip(blank) for v in cases]
