@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import checkpoints
 from graphloom.operators import extract, graph, rank, vector_index
 from graphloom.plans import api, embeddings, lanes
 from graphloom.protocols import ask_once, default_embedder
@@ -294,3 +295,18 @@ def test_hubs_are_dealt_and_nothing_is_lost(spark):
         every = rank.preranked(graph.facts(edges, seeds, hops), asked).filter("place <= 7")
         first = rank.preranked(graph.facts(edges, seeds, hops, hubs, lambda x: rank.first_facts(x, asked, 7, 2)), asked).filter("place <= 7")
         assert sorted(map(repr, every.select("query", "place", "rank", "hits", "fact_text").collect())) == sorted(map(repr, first.select("query", "place", "rank", "hits", "fact_text").collect()))
+
+
+@pytest.mark.parametrize("probe", [0, 1000])
+def test_edges_are_written_as_they_are_merged(spark, tmp_path, monkeypatch, probe):
+    """No table of edges is cut; and whether the first rows or all tell the touched buckets, the graph is the same."""
+    monkeypatch.setattr(merge, "PROBE", probe)
+    monkeypatch.setattr(merge, "cut", lambda rows: checkpoints.cut(rows) if "relationship" not in rows.columns else pytest.fail("edges are cut"))
+    root = str(tmp_path / "g")
+    one, two = ([(f"s{i}", "R", f"o{i % 9}", name) for i in range(a, b)] for name, a, b in (("one", 0, 60), ("two", 30, 90)))
+    assert merge.merge_batch(spark, _triples(spark, one), root, "name", buckets=4) == {"nodes": 4, "edges": 4}
+    assert merge.merge_batch(spark, _triples(spark, two), root, "name")["edges"] == 4
+    key = lambda x: sorted((r.src, r.relationship, r.dst, r.source, r.n) for r in x.collect())
+    assert key(merge.read_graph(spark, root)[1]) == key(graph.edges(_triples(spark, two), "name", graph.edges(_triples(spark, one), "name")))
+    few = [("s1", "R", "o1", "three")]
+    assert merge.merge_batch(spark, _triples(spark, few), root, "name") == {"nodes": 0, "edges": 1}
