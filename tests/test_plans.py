@@ -225,3 +225,15 @@ def test_chunks_are_handed_over_in_parts(spark, monkeypatch):
 
     out = pa.Table.from_batches(run[0](iter(pa.Table.from_pandas(docs.toPandas()).to_batches())))
     assert max(made) <= 3 and [tuple(r.values()) for r in out.to_pylist()] == [(d, p, x, 2) for d in range(9) for p, x in enumerate(("one two.", "three four.", "five six."))]
+
+
+def test_one_hop_lanes_merge_the_seeds_edges_alone(spark, sf_dir, monkeypatch):
+    """The queries of one hop hand all triples of the star schema to no merge of edges, but those that touch a seed."""
+    from graphloom import queries
+
+    seen, real = [], queries.graph.touching
+    monkeypatch.setattr(queries.graph, "touching", lambda *a: seen.append(1) or real(*a))
+    queries.both_lanes_answers(spark, sf_dir)
+    assert seen == [1]
+    with pytest.raises(ValueError, match="one hop"):
+        lanes._edges_of(lambda starts: starts, None, 2)
