@@ -535,6 +535,28 @@ def test_facts_met_as_numbers_equal_facts_met_as_rows(spark):
     assert graph.facts(edges.limit(0), seeds, 2).count() == 0 == graph.facts(edges, seeds.limit(0), 2).count()
 
 
+def test_starts_keep_what_any_question_has_among_its_first(spark):
+    """Questions share a hub that they reach with several ranks; the first facts are those of all rows, and few rows meet the questions."""
+    import random
+
+    r, rows, k = random.Random(5), {}, 6
+    for i in range(400):
+        a, b = (f"{r.choice(['lamp', 'desk', 'mat'])} {r.randrange(60)}" for _ in range(2))
+        for s, o, rel in ((a, b, r.choice(["MADE_OF", "NEAR"])), ("hub", a, "HAS"), ("hub", b, "HAS")):
+            rows[s, rel, o] = (s, rel, o, s, o, r.choice(["x", None]), r.choice([None, 1]), None, None)
+    edges = spark.createDataFrame(list(rows.values()), "src string, relationship string, dst string, subject string, object string, source string, page_number long, bbox array<double>, section string")
+    questions = spark.createDataFrame([(q, r.choice(["which Lamp is near", "made of desk", "hub has mat", "", None, "lamp lamp desk"])) for q in range(30)], "query int, question string")
+    seeds = spark.createDataFrame([(q, i + 1, n) for q in range(30) for i, n in enumerate(r.sample(["hub", "lamp 1", "desk 2", "mat 3", "nobody", None], 3))], "query int, rank int, node string")
+    held = rank.with_held(edges, questions)
+    for hops in (1, 2):
+        first = lambda rows: rank.first_facts(rows, questions, k, 3)
+        want, got = (rank.preranked(f, questions).filter(F.col("place") <= k).drop("bbox") for f in (graph.facts(edges, seeds, hops, None, first), graph.facts(held, seeds, hops, None, first, rank.first_of_starts(k))))
+        listed = lambda df: sorted(map(repr, df.select(sorted(want.columns)).collect()))
+        assert listed(got) == listed(want) and got.count() > 100
+    met = graph._from_starts(held, seeds, 2, None, rank.first_of_starts(k)).groupBy("query").count().agg(F.max("count")).first()[0]
+    assert met * 2 < graph._reached(edges, seeds, 2, None).groupBy("query").count().agg(F.max("count")).first()[0]
+
+
 def test_lookup_of_ids_known_to_be_unique(spark):
     rows = spark.createDataFrame([(1, 7), (2, None), (3, 9)], "n int, k int")
     names = spark.createDataFrame([(7, "seven"), (8, None), (None, "none")], "id int, name string")
