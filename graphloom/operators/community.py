@@ -141,7 +141,8 @@ def hierarchy(names: list[str], pairs: list[tuple[str, str]], most: int, level:
             if of[a] == of[b]:
                 inner[of[a]].append((a, b))
         for part, links in zip(parts, inner):
-            out += [(n, level, f"{min(part)}/{level}") for n in part]
+            name = f"{min(part)}/{level}"  # once a part: for each node it would be quadratic
+            out += [(n, level, name) for n in part]
             if len(part) > most:
                 todo.append((part, links, level + 1))
     return out

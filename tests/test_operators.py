@@ -435,6 +435,23 @@ def test_what_moves_do_not_split_stays_whole():
     assert community.hierarchy(names, star, 5) == [(n, 0, "hub/0") for n in names]
 
 
+def test_a_large_cluster_is_named_once():
+    """Names are compared in proportion to the nodes; they count their comparisons."""
+
+    class Name(str):
+        compared = 0
+
+        def __lt__(self, other):
+            Name.compared += 1
+            return str.__lt__(self, other)
+
+        __hash__ = str.__hash__
+
+    names = [Name(f"leaf{i:04}") for i in range(1200)] + [Name("tub")]
+    found = community.hierarchy(names, [(n, names[-1]) for n in names[:-1]], 5)
+    assert sorted(found) == [(n, 0, "leaf0000/0") for n in names] and Name.compared < 20 * len(names)
+
+
 def test_reduce(spark):
     asked = spark.createDataFrame([(i,) for i in range(4)], "query int")
     partial = spark.createDataFrame([(1, 1, "No information here"), (1, 2, "not available"), (2, 1, "No information"), (2, 2, "assistant: yes"), (3, 1, "a"), (3, 2, None), (3, 3, "b")], "query int, rank int, answer string")
