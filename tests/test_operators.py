@@ -235,6 +235,17 @@ def test_community_lane(spark, tmp_path):
     assert versions.read(spark, stored).count() == members.select("cluster").distinct().count()
 
 
+def test_summaries_that_nobody_asks_for_are_not_made(spark, monkeypatch):
+    pairs = [("Ann", "Acme", "RUNS", "since 1999"), ("Cy", "Dee", "KNOWS", "well"), ("Eve", "Fay", "KNOWS", "")]
+    g = community.simple_graph(spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "src string, dst string, relationship string, description string, seq int"))
+    members, told, make = community.communities(g), [], lanes.community_summaries
+    monkeypatch.setattr(lanes, "community_summaries", lambda m, *rest: told.append(make(m, *rest)) or told[-1])
+    paths = spark.createDataFrame([("Ann -> runs -> Acme",)], "text string")
+    asked = spark.createDataFrame([(1, "Ann runs")], "query long, question string")
+    assert "since 1999" in lanes.community_lane(members, g, paths, asked).first().answer
+    assert [r.cluster for r in told[0].collect()] == ["Acme/0"]
+
+
 def test_edges_and_first_rows_are_dealt_before_they_are_sorted(spark):
     """No sort of whole rows in the tasks that make them; and of equal places the least source and page stay, whatever the order of rows."""
     rows = [("a", "R", "b", "T", "T", "x", p, None, None, 1) for p in (3, 2)]
