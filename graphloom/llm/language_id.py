@@ -31,8 +31,8 @@ BODY, WARM = 256, 24
 HIDDEN = 16
 #: The bounded sample that is learned from: so many labelled documents, and pieces of PIECE bytes of each, spread over its text.
 TRAIN_DOCS, TRAIN_PIECES, PIECE = 1500, 12, 48
-#: Windows that are read at once.
-WINDOWS = 2048
+#: Windows that are read at once: what a step holds of so many lies in a core's cache.
+WINDOWS = 512
 #: Documents of which no language has this mean probability are rejected by the pipeline's stage.
 MIN_SCORE = 0.3
 UNDETERMINED = "und"
@@ -130,55 +130,58 @@ def train(pieces: list[bytes], labels: np.ndarray, languages: int, steps: int =
 
 
 def _read(net: Network, d: int, data: np.ndarray, place: np.ndarray, on: np.ndarray, score: np.ndarray) -> None:
-    """Direction d over places (time, windows) of data: adds the last len(score) steps' part of the label scores.
+    """Direction d over places (time, windows) of data: adds the last steps' part of the label scores (time, languages, windows).
 
-    Where `on` is false the state is zero. Gates' inputs are halved beforehand, as sigmoid(x) is (1 + tanh(x / 2)) / 2.
+    Where `on` is false the state is zero. Windows lie side by side, so that every gate is one run of memory. Gates' inputs are
+    halved beforehand, as sigmoid(x) is (1 + tanh(x / 2)) / 2, and so is what the second gate is multiplied with.
     """
     h, skip = net.u.shape[1], len(place) - len(score)
-    x_gate, x_new = 0.5 * net.x[d][:, : 2 * h], np.ascontiguousarray(net.x[d][:, 2 * h :])
+    x_all = np.concatenate([0.5 * net.x[d][:, : 2 * h], net.x[d][:, 2 * h :]], 1)
     # one product a step: the gates' and new state's parts, and the labels' of the step before
-    u = np.ascontiguousarray(np.concatenate([0.5 * net.u[d][:, : 2 * h], net.u[d][:, 2 * h :], net.w[d * h : (d + 1) * h]], 1))
-    state = np.zeros((place.shape[1], h), net.x.dtype)
-    gate, new, all_ = np.empty((len(state), 2 * h), net.x.dtype), np.empty_like(state), np.empty((len(state), u.shape[1]), net.x.dtype)
+    u = np.ascontiguousarray(np.concatenate([0.5 * net.u[d], net.w[d * h : (d + 1) * h]], 1).T)
+    state = np.zeros((h, place.shape[1]), net.x.dtype)
+    all_, byte_x = np.empty((len(u), state.shape[1]), net.x.dtype), np.empty((state.shape[1], 3 * h), net.x.dtype)
+    x = np.empty((3 * h, state.shape[1]), net.x.dtype)
+    z, r, gates, new = x[:h], x[h : 2 * h], x[: 2 * h], x[2 * h :]
     for i in range(len(place)):
-        byte = data[place[i]]
-        np.matmul(state, u, out=all_)
+        np.matmul(u, state, out=all_)
         if i > skip:
-            score[i - 1 - skip] += all_[:, 3 * h :]
-        np.take(x_gate, byte, axis=0, out=gate, mode="clip")
-        gate += all_[:, : 2 * h]
-        np.tanh(gate, out=gate)
-        gate += 1
-        gate *= 0.5
-        np.take(x_new, byte, axis=0, out=new, mode="clip")
-        new += gate[:, h:] * all_[:, 2 * h : 3 * h]
+            score[i - 1 - skip] += all_[3 * h :]
+        np.take(x_all, data[place[i]], axis=0, out=byte_x, mode="clip")
+        x[:] = byte_x.T
+        gates += all_[: 2 * h]
+        np.tanh(gates, out=gates)
+        gates += 1
+        r *= all_[2 * h : 3 * h]
+        new += r
         np.tanh(new, out=new)
         state -= new
-        state *= gate[:, :h]
+        state *= z
+        state *= 0.5
         state += new
         if not on[i].all():
-            state *= on[i][:, None]
+            state *= on[i]
     if len(score):
-        score[-1] += state @ u[:, 3 * h :]
+        score[-1] += u[3 * h :] @ state
 
 
 def label_windows(net: Network, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) -> np.ndarray:
     """For windows that begin at start, in texts at [lo, hi) of data: the sum of the label probabilities of their BODY or fewer positions."""
     end = np.minimum(start + BODY, hi)
     wide, last = int((end - start).max()), len(data) - 1
-    score = np.zeros((wide, len(start), net.b.size), net.x.dtype)
+    score = np.zeros((wide, net.b.size, len(start)), net.x.dtype)
     lo, hi, start = (x.astype(np.int32) for x in (lo, hi, start))  # within a stretch
     place = np.arange(-WARM, wide, dtype=np.int32)[:, None] + start
     _read(net, 0, data, np.clip(place, 0, last), (place >= lo) & (place < hi), score)
     place = np.arange(wide + WARM - 1, -1, -1, dtype=np.int32)[:, None] + start
     _read(net, 1, data, np.clip(place, 0, last), place < hi, score[::-1])
-    score += net.b
-    score -= np.maximum.reduce([score[:, :, k] for k in range(net.b.size)])[:, :, None]
+    score += net.b[:, None]
+    score -= score.max(1, keepdims=True)
     np.exp(score, out=score)
-    total = sum(score[:, :, k] for k in range(net.b.size))
+    total = score.sum(1)
     inside = np.arange(wide)[:, None] < end - start
     weight = np.where(inside, 1 / total, np.float32(0))
-    return np.stack([(score[:, :, k] * weight).sum(0, dtype=np.float64) for k in range(net.b.size)], 1)
+    return np.stack([(score[:, k] * weight).sum(0, dtype=np.float64) for k in range(net.b.size)], 1)
 
 
 def pooled(net: Network, data: np.ndarray, off: np.ndarray) -> np.ndarray:
