@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder: packed by columns, unlike a checkpoint's rows, and read in parts by size, however many tasks wrote it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: A Bloom filter has at most this many 64-bit words (16 MB); past it more rows get through, none is lost.
 BLOOM_WORDS = 1 << 21
 
@@ -71,4 +80,4 @@ def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (one(h) & one((h >> np.uint64(17)) ^ (h << np.uint64(23)))).astype(bool)
 
 
-__all__ = ["SPACE", "WORD", "bloom", "cut", "in_bloom", "partitions", "shared_folder", "table", "trimmed"]
+__all__ = ["SPACE", "WORD", "bloom", "cut", "in_bloom", "partitions", "shared_folder", "table", "trimmed", "written"]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text
-from graphloom.llm._shared import bloom, cut, in_bloom, partitions, trimmed
+from graphloom.llm._shared import bloom, in_bloom, partitions, trimmed, written
 from graphloom.operators.components import components
 
 WORDS, SHARE = 5, 80
@@ -443,7 +443,7 @@ def _with_hubs(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) with hub: the one of both that is the other's hub, the set that is compared with most sets, if that is more than the other's own number."""
     one = lambda x, y: pairs.select(F.col(x).alias("sig"), F.col(y).alias("other"))
     both = one("a", "b").unionByName(one("b", "a"))
-    degree = cut(both.groupBy("sig").agg(F.count("*").alias("d")))
+    degree = written(both.groupBy("sig").agg(F.count("*").alias("d")))
     rank = lambda c: F.struct("d", F.negative(c).alias("m"), F.col(c).alias("hub"))
     best = both.join(degree.withColumnRenamed("sig", "other"), "other").groupBy("sig").agg(F.max(rank("other")).alias("best"))
     best = best.join(degree, "sig").filter(F.col("best") > rank("sig")).select("sig", F.col("best.hub").alias("hub"))
@@ -488,7 +488,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    census = cut(docs.mapInArrow(trimmed(_census(k, seed)), "doc_id long, n long, sig long, check long, token long, count long"))
+    census = written(docs.mapInArrow(trimmed(_census(k, seed)), "doc_id long, n long, sig long, check long, token long, count long"))
     unlike = census.filter("n is not null").groupBy("sig").agg(*(f("check").alias(a) for f, a in ((F.min, "a"), (F.max, "b"))), *(f("n").alias(a) for f, a in ((F.min, "c"), (F.max, "d"))))
     if not unlike.filter("a <> b or c <> d").isEmpty():
         return near_duplicates(docs, k, seed + 1)
@@ -499,13 +499,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), int(total * (100 - SHARE) / 100) // BUCKET)
     lists = docs.select("text").mapInArrow(trimmed(_listed(k, seed, tokens[order], counts[order], buckets)), "bucket long, entries binary")
-    found = cut(lists.repartition(min(buckets, MOST), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_candidates(_short(tokens[counts > HOT]))), _CANDIDATE))
+    found = written(lists.repartition(min(buckets, MOST), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_candidates(_short(tokens[counts > HOT]))), _CANDIDATE))
     sets = _Sets(docs, k, seed, tokens[order], counts[order])
-    pairs = cut(found.filter("token is null").groupBy("a", "b").agg(F.max("n").alias("by_hub")))
+    pairs = written(found.filter("token is null").groupBy("a", "b").agg(F.max("n").alias("by_hub")))
     long_lists = found.filter("token is not null").select("a", "token", "n", "pos").distinct()
-    prefixes = cut(sets.of(_both(pairs).union(long_lists.select("a")).distinct(), True))
-    pairs = cut(sets.possible(pairs, prefixes))
-    first = cut(sets.verified(_with_hubs(pairs.filter("by_hub = 1").select("a", "b"))))
+    prefixes = written(sets.of(_both(pairs).union(long_lists.select("a")).distinct(), True))
+    pairs = written(sets.possible(pairs, prefixes))
+    first = written(sets.verified(_with_hubs(pairs.filter("by_hub = 1").select("a", "b"))))
     answers = _answers(first)
     done, waiting = first.select("a", "b"), pairs.filter("by_hub = 0").select("a", "b")
     links = first.filter("linked").select("a", "b")
@@ -516,14 +516,14 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame
         last = work <= WIDE * n or before is not None and work > 0.7 * before
         before = work
         more = _all_rest(split, answers).unionByName(_apart(waiting, labels)) if last else _hub_pairs(split, turn)
-        more = cut(more.distinct().join(done, ["a", "b"], "left_anti"))
+        more = written(more.distinct().join(done, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             done = done.unionByName(more)
-            told = cut(_derived(more, answers))
-            untold = cut(sets.possible(told.filter("not same").select("a", "b"), prefixes))
+            told = written(_derived(more, answers))
+            untold = written(sets.possible(told.filter("not same").select("a", "b"), prefixes))
             links = links.unionByName(told.filter("linked").select("a", "b"))
             if not untold.isEmpty():
-                links = links.unionByName(cut(sets.verified(untold.withColumn("hub", F.lit(None).cast("long"))).filter("linked").select("a", "b")))
+                links = links.unionByName(written(sets.verified(untold.withColumn("hub", F.lit(None).cast("long"))).filter("linked").select("a", "b")))
             labels = components(links)
         if last:
             break
@@ -532,9 +532,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame
 
 def _still_split(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, int]:
     """The entries of lists that hold more than one label, with theirs; how many pairs of different labels they have; and their number."""
-    known = cut(_labelled(entries, "a", labels, "label"))
+    known = written(_labelled(entries, "a", labels, "label"))
     sizes = known.groupBy("token", "label").agg(F.count("*").cast("double").alias("c"))
-    sizes = cut(sizes.groupBy("token").agg(F.sum("c").alias("m"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("work"), F.max(F.struct("c", "label"))["label"].alias("top")).filter("work > 0"))
+    sizes = written(sizes.groupBy("token").agg(F.sum("c").alias("m"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("work"), F.max(F.struct("c", "label"))["label"].alias("top")).filter("work > 0"))
     total = sizes.agg(F.sum("work").alias("work"), F.sum("m").alias("n")).first()
     return known.join(sizes.select("token", F.col("m").cast("long").alias("m"), "top"), "token"), total["work"] or 0, total["n"] or 0
 
@@ -585,7 +585,7 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; a set's result goes back to its documents in SALTS parts."""
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     parts = rows.filter("n > 0").groupBy("sig", "salt").agg(F.min("doc_id").alias("least"))
-    parts = cut(parts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    parts = written(parts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     names = parts.groupBy("root").agg(F.min("least").alias("component_id"))
     parts = parts.join(names, "root").select("sig", "salt", "component_id")
     out = rows.join(parts, ["sig", "salt"], "left")

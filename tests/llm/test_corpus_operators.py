@@ -671,3 +671,14 @@ def test_the_first_of_near_copies_stays(docs, texts, messy):
     named = brute.components([(d, t) for d, t in texts if d < 200])
     want = [d for d, (_, c) in named.items() if d == c]
     assert sorted(r.doc_id for r in got.collect()) == sorted(want + [d for d in (3, 120) if d in want])
+
+
+def test_what_many_tasks_wrote_is_read_in_few_parts(spark):
+    """A cut keeps rows, nulls, lists and an empty table, and its small files are read together, so that the next shuffle has few of its own."""
+    from graphloom.llm._shared import cut, written
+
+    rows = spark.range(0, 20_000, 1, 200).selectExpr("if(id % 7 = 0, null, xxhash64(id)) AS a", "cast(id % 5 AS int) AS n", "if(id = 3, array(id, id + 1), null) AS s")
+    got = written(rows)
+    assert got.dtypes == rows.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
+    assert got.rdd.getNumPartitions() < 50 < cut(rows).rdd.getNumPartitions()
+    assert written(rows.filter("n > 9")).count() == 0 and written(rows.limit(0)).isEmpty()
