@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.checkpoints import cut, shared_folder
+from graphloom.checkpoints import cut, shared_folder, written
 
 #: Words are maximal runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,14 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder: packed by columns, unlike a checkpoint's rows, and read in parts by size, however many tasks wrote it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A Bloom filter has at most this many 64-bit words (16 MB); past it more rows get through, none is lost.
 BLOOM_WORDS = 1 << 21
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.checkpoints import cut
+from graphloom.checkpoints import written
 from graphloom.functions.text import is_non_answer, strip_role
 from graphloom.functions.vectors import cosine
 from graphloom.operators.components import components
@@ -148,23 +148,37 @@ def hierarchy(names: list[str], pairs: list[tuple[str, str]], most: int, level:
     return out
 
 
+#: Sums of links up to here have products that a long holds.
+EXACT = 3_000_000_000
+
+
+def _by(rows: DataFrame) -> DataFrame:
+    """Rows a node, which are shuffled and never sent whole: their files are far smaller than they are in the driver's memory."""
+    return rows.hint("merge")
+
+
 def _moved_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """g, node, k, label after the rounds of one level: _moved over links (g, x, y, w) and nodes (g, node, k, label) of many groups."""
-    totals = nodes.groupBy("g").agg(F.sum("k").alias("total"))
-    labels, quiet = cut(nodes.select("g", "node", "k", "label")), 0
+    """nodes (g, node, k, label, crc, total) with their labels after the rounds of one level: _moved over links (x, y, w) of many groups.
+
+    Nodes are numbers in order of their names, of which crc is the checksum; total: the sum of a group's k.
+    """
+    # a long's product is several times as fast as a decimal's
+    wide = "decimal(38,0)" if (nodes.agg(F.max("total")).first()[0] or 0) >= EXACT else "long"
+    one, two = ("decimal(19,0)", "decimal(18,0)") if wide != "long" else ("long", "long")
+    labels, quiet = nodes, 0
     for turn in range(ROUNDS):
-        sizes = labels.groupBy("g", "label").agg(F.sum("k").alias("strength"), F.count("*").alias("size"))
-        near = links.join(labels.select("g", F.col("node").alias("y"), "label"), ["g", "y"]).select("g", F.col("x").alias("node"), F.col("label").alias("to"), "w")
-        near = near.unionByName(labels.select("g", "node", F.col("label").alias("to"), F.lit(0).cast("long").alias("w"))).groupBy("g", "node", "to").agg(F.sum("w").alias("w"))
-        seen = near.join(sizes.withColumnRenamed("label", "to"), ["g", "to"]).join(labels, ["g", "node"]).join(totals, "g")
-        own, wide = F.col("to") == F.col("label"), "decimal(38,0)"
-        gain = F.col("w").cast("decimal(19,0)") * F.col("total").cast("decimal(18,0)") - F.col("k").cast("decimal(19,0)") * (F.col("strength") - F.when(own, F.col("k")).otherwise(0)).cast("decimal(18,0)")
+        sizes = labels.groupBy("label").agg(F.sum("k").alias("strength"), F.count("*").alias("size"))
+        near = links.join(_by(labels.select(F.col("node").alias("y"), "label")), "y").select(F.col("x").alias("node"), F.col("label").alias("to"), "w")
+        near = near.unionByName(labels.select("node", F.col("label").alias("to"), F.lit(0).cast("long").alias("w"))).groupBy("node", "to").agg(F.sum("w").alias("w"))
+        seen = near.join(_by(sizes.withColumnRenamed("label", "to")), "to").join(_by(labels), "node")
+        own = F.col("to") == F.col("label")
+        gain = F.col("w").cast(one) * F.col("total").cast(two) - F.col("k").cast(one) * (F.col("strength") - F.when(own, F.col("k")).otherwise(0)).cast(two)
         seen = seen.withColumn("own", own).withColumn("gain", gain.cast(wide))
-        best = seen.groupBy("g", "node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (~F.col("own")).alias("other"), "to", "size")).alias("best"), F.max(F.when(F.col("own"), F.struct("gain", "size"))).alias("here"), F.max("k").alias("k"), F.max("label").alias("label"))
+        best = seen.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (~F.col("own")).alias("other"), "to", "size")).alias("best"), F.max(F.when(F.col("own"), F.struct("gain", "size"))).alias("here"), *(F.max(x).alias(x) for x in ("g", "k", "label", "crc", "total")))
         lone = (F.col("here.size") == 1) & (F.col("best.size") == 1) & (F.col("best.to") > F.col("label"))
-        active = F.expr(f"(shiftright(crc32(node), {turn // 2 % 16}) + {turn}) % 2 = 0")
+        active = F.expr(f"(shiftright(crc, {turn // 2 % 16}) + {turn}) % 2 = 0")
         move = active & (-F.col("best.loss") > F.col("here.gain")) & ~lone
-        new = cut(best.select("g", "node", "k", F.when(move, F.col("best.to")).otherwise(F.col("label")).alias("label"), move.alias("move")))
+        new = written(best.select("g", "node", "k", F.when(move, F.col("best.to")).otherwise(F.col("label")).alias("label"), "crc", "total", move.alias("move")))
         quiet = quiet + 1 if new.filter("move").isEmpty() else 0
         labels = new.drop("move")
         if turn % 2 and quiet > 1:
@@ -173,50 +187,60 @@ def _moved_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _split_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, part (its least node) of groups' nodes (g, node), as local_moving splits each by its links (g, a, b)."""
-    both = cut(links.select("g", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select("g", F.col("b").alias("x"), F.col("a").alias("y"))).withColumn("w", F.lit(1).cast("long")))
-    strength = both.groupBy("g", F.col("x").alias("node")).agg(F.sum("w").alias("k"))
-    now = cut(nodes.select("g", "node", F.col("node").alias("label")).join(strength, ["g", "node"], "left").fillna(0, ["k"]))
-    edges, of, done = both, now.select("g", "node", F.col("node").alias("at")), None
+    """g, node, part (its least node) of groups' nodes (g, node, crc), as local_moving splits each by its links (g, x, y)."""
+    both = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).withColumn("w", F.lit(1).cast("long")))
+    strength = both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k"))
+    now = nodes.select("g", "node", "crc", F.col("node").alias("label")).join(_by(strength), "node", "left").fillna(0, ["k"])
+    now = written(now.join(now.groupBy("g").agg(F.sum("k").alias("total")), "g"))
+    edges, of, done = both, now.select("node", F.col("node").alias("at")), None
 
     def within(rows: DataFrame, by: DataFrame) -> DataFrame:
         """The links whose ends have one label."""
-        x, y = (by.select("g", F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("x", "y"))
-        return rows.join(x, ["g", "x"]).join(y, ["g", "y"]).filter("lx = ly").select("g", "x", "y", "w")
+        x, y = (_by(by.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))) for c in ("x", "y"))
+        return rows.join(x, "x").join(y, "y").filter("lx = ly").select("x", "y", "w")
 
     while True:
         moved = _moved_by_joins(edges, now)
-        placed = of.join(moved.select("g", F.col("node").alias("at"), "label"), ["g", "at"])
-        inner = cut(within(edges, moved))
+        placed = of.join(_by(moved.select("g", F.col("node").alias("at"), "label")), "at")
+        inner = written(within(edges, moved))
         refined = _moved_by_joins(inner, moved.withColumn("label", F.col("node")))
         roots = components(within(inner, refined).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        parts = cut(moved.join(roots, "node", "left").select("g", "node", "k", "label", F.coalesce("root", "node").alias("part")))
-        going = cut(parts.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("part").alias("m")).filter("m < n").select("g"))
-        ended = cut(placed.join(going, "g", "left_anti").select("g", "node", "label"))
+        parts = written(moved.join(_by(roots), "node", "left").select("g", "node", "k", "label", "crc", "total", F.coalesce("root", "node").alias("part")))
+        going = written(parts.filter("part <> node").select("g").distinct())
+        ended = written(placed.join(going, "g", "left_anti").select("node", "label"))
         done = ended if done is None else done.unionByName(ended)
         if going.isEmpty():
             break
         parts = parts.join(going, "g", "left_semi")
-        fewer = parts.groupBy("g", F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.min("label").alias("was"))
-        start = fewer.groupBy("g", "was").agg(F.min("node").alias("label"))
-        now = cut(fewer.join(start, ["g", "was"]).select("g", "node", "k", "label"))
-        of = cut(of.join(parts.select("g", F.col("node").alias("at"), "part"), ["g", "at"]).select("g", "node", F.col("part").alias("at")))
-        to = parts.select("g", F.col("node").alias("x"), F.col("part").alias("u"))
-        edges = edges.join(to, ["g", "x"]).join(to.select("g", F.col("x").alias("y"), F.col("u").alias("v")), ["g", "y"]).filter("u <> v")
-        edges = cut(edges.groupBy("g", F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("w")))
-    label = done.select("g", F.col("node").alias("a"), F.col("label").alias("la"))
-    inside = links.join(label, ["g", "a"]).join(label.select("g", F.col("a").alias("b"), F.col("la").alias("lb")), ["g", "b"]).filter("la = lb").select("a", "b")
-    return cut(nodes.select("g", "node").join(components(inside), "node", "left").select("g", "node", F.coalesce("root", "node").alias("part")))
+        fewer = parts.groupBy("g", F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.min("label").alias("was"), F.max(F.when(F.col("node") == F.col("part"), F.col("crc"))).alias("crc"), F.max("total").alias("total"))
+        start = fewer.groupBy("was").agg(F.min("node").alias("label"))
+        now = written(fewer.join(_by(start), "was").select("g", "node", "k", "label", "crc", "total"))
+        of = written(of.join(_by(parts.select(F.col("node").alias("at"), "part")), "at").select("node", F.col("part").alias("at")))
+        to = parts.select(F.col("node").alias("x"), F.col("part").alias("u"))
+        edges = edges.join(_by(to), "x").join(_by(to.select(F.col("x").alias("y"), F.col("u").alias("v"))), "y").filter("u <> v")
+        edges = written(edges.groupBy(F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("w")))
+    x, y = (_by(done.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))) for c in ("x", "y"))
+    inside = links.join(x, "x").join(y, "y").filter("lx = ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return written(nodes.select("g", "node").join(_by(components(inside)), "node", "left").select("g", "node", F.coalesce("root", "node").alias("part")))
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """name, node, crc of names (name): their numbers in order, and their checksums."""
+    found = nodes.repartitionByRange("name").sortWithinPartitions("name")
+    return written(found.select("name", F.monotonically_increasing_id().alias("node"), F.crc32("name").alias("crc")))
 
 
 def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> DataFrame:
-    """node, level, cluster (`least node/level`) of a simple graph (a, b)."""
-    every = cut(graph.select("a", "b").distinct())
-    ends = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = every.filter("a <> b")
-    nodes = cut(ends.join(components(links), "node", "left").select(F.coalesce("root", "node").alias("g"), "node"))
-    links = cut(links.join(nodes.select("g", F.col("node").alias("a")), "a").select("g", "a", "b"))
+    """node, level, cluster (`least node/level`) of a simple graph (a, b). In joins, nodes are numbers in order of their names."""
+    every = written(graph.select("a", "b").distinct())
+    numbers = _numbered(every.select(F.explode(F.array("a", "b")).alias("name")).distinct())
+    number = lambda end, out: _by(numbers.select(F.col("name").alias(end), F.col("node").alias(out)))
+    links = written(every.filter("a <> b").join(number("a", "x"), "a").join(number("b", "y"), "b").select("x", "y"))
+    groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    nodes = written(numbers.join(_by(groups), "node", "left").select(F.coalesce("root", "node").alias("g"), "node", "crc"))
+    links = written(links.join(_by(nodes.select("g", F.col("node").alias("x"))), "x").select("g", "x", "y"))
     out, level = None, 0
+    name = lambda x, out: _by(numbers.select(F.col("node").alias(x), F.col("name").alias(out)))
 
     def whole(at: int):
         def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -227,8 +251,9 @@ def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> Data
         return one
 
     while True:
-        large = cut(links.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("g"))
-        rows = links.join(large, "g", "left_anti").unionByName(nodes.join(large, "g", "left_anti").select("g", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")))
+        large = written(links.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("g"))
+        rows = links.join(large, "g", "left_anti").join(name("x", "a"), "x").join(name("y", "b"), "y").select("g", "a", "b")
+        rows = rows.unionByName(nodes.join(large, "g", "left_anti").join(name("node", "a"), "node").select("g", "a", F.lit(None).cast("string").alias("b")))
         found = rows.groupBy("g").applyInPandas(whole(level), "node string, level int, cluster string")
         out = found if out is None else out.unionByName(found)
         if large.isEmpty():
@@ -237,12 +262,13 @@ def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> Data
         parts = _split_by_joins(links, nodes)
         if level:  # what isn't split has no finer clusters
             split = parts.groupBy("g").agg(F.count_distinct("part").alias("n")).filter("n > 1").select("g")
-            parts = cut(parts.join(split, "g", "left_semi"))
-        out = out.unionByName(parts.select("node", F.lit(level).alias("level"), F.concat("part", F.lit(f"/{level}")).alias("cluster")))
+            parts = written(parts.join(split, "g", "left_semi"))
+        named = parts.join(name("node", "name"), "node").join(name("part", "least"), "part")
+        out = out.unionByName(named.select(F.col("name").alias("node"), F.lit(level).alias("level"), F.concat("least", F.lit(f"/{level}")).alias("cluster")))
         over = parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("part")
-        nodes = cut(parts.join(over, "part", "left_semi").select(F.col("part").alias("g"), "node"))
-        side = lambda x, name: nodes.select(F.col("g").alias(name), F.col("node").alias(x))
-        links = cut(links.drop("g").join(side("a", "g"), "a").join(side("b", "h"), "b").filter("g = h").select("g", "a", "b"))
+        nodes = written(parts.join(_by(over), "part", "left_semi").select(F.col("part").alias("g"), "node").join(_by(numbers.select("node", "crc")), "node"))
+        side = lambda x, name: _by(nodes.select(F.col("g").alias(name), F.col("node").alias(x)))
+        links = written(links.drop("g").join(side("x", "g"), "x").join(side("y", "h"), "y").filter("g = h").select("g", "x", "y"))
         level += 1
 
 

@@ -383,6 +383,21 @@ def test_joins_find_the_communities_of_one_task(spark, monkeypatch):
     assert sorted(tuple(r) for r in community.communities(frame).collect()) == alone
 
 
+def test_guessed_sizes_do_not_grow_from_round_to_round(spark, monkeypatch):
+    """The optimizer multiplies sizes at each join, and a checkpoint keeps its guess: the number itself would fill the driver."""
+    bits = []
+
+    def seen(df):
+        bits.append(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length())
+        return checkpoints.written(df)
+
+    monkeypatch.setattr(community, "written", seen)
+    monkeypatch.setattr(community, "LARGE", 20)
+    monkeypatch.setattr(community, "ROUNDS", 4)
+    community.communities(spark.createDataFrame(_random_graph(3, 2, 6), "a string, b string"))
+    assert max(bits) < 400
+
+
 def test_modularity_is_near_that_of_plain_moving():
     def modularity(pairs, parts):
         of, m = {n: i for i, part in enumerate(parts) for n in part}, len(pairs)
