@@ -578,6 +578,25 @@ def test_facts_met_as_numbers_equal_facts_met_as_rows(spark):
     assert graph.facts(edges.limit(0), seeds, 2).count() == 0 == graph.facts(edges, seeds.limit(0), 2).count()
 
 
+@pytest.mark.parametrize("some", [0, 1, 100])
+def test_facts_of_two_hops_are_not_shuffled(spark, monkeypatch, some):
+    """Whichever ends many questions reach, facts are those that met as rows; only edges between two such ends are dealt by question."""
+    import random
+
+    r, rows = random.Random(3), set()
+    for i in range(60):
+        rows |= {(f"a{i}", "R", f"b{r.randrange(40)}"), (f"b{r.randrange(40)}", "S_T", f"a{i}"), (f"a{i}", "OF", "hub"), (f"a{r.randrange(60)}", "R", f"a{i}")}
+    edges = spark.createDataFrame([(s, p, o, s, o, "x", None, None, None) for s, p, o in rows], "src string, relationship string, dst string, subject string, object string, source string, page_number long, bbox array<double>, section string")
+    seeds = spark.createDataFrame([(q, k, n) for q in range(9) for k, n in ((0, f"a{q * 5}"), (2, f"b{q}"), (1, "hub" if q < 4 else "a3"))], "query int, rank int, node string")
+    monkeypatch.setattr(graph, "SOME", some)
+    monkeypatch.setattr(graph, "GIVEN", 50)
+    want = graph.facts(edges, seeds, 2, first=lambda rows: rows)
+    got = graph.facts(edges, seeds, 2)
+    assert sorted(map(repr, got.select(sorted(want.columns)).collect())) == sorted(map(repr, want.select(sorted(want.columns)).collect()))
+    dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(f1" in line or "hashpartitioning(query" in line]
+    assert all("src" in line for line in dealt) and len(dealt) <= 1
+
+
 def test_starts_keep_what_any_question_has_among_its_first(spark):
     """Questions share a hub that they reach with several ranks; the first facts are those of all rows, and few rows meet the questions."""
     import random
