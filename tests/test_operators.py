@@ -597,6 +597,22 @@ def test_facts_of_two_hops_are_not_shuffled(spark, monkeypatch, some):
     assert all("src" in line for line in dealt) and len(dealt) <= 1
 
 
+def test_facts_are_counted_as_they_are_gathered(spark):
+    """Texts of several edges and of several seeds count once; a struct as query, seeds that lead nowhere."""
+    import random
+
+    r, rows = random.Random(7), set()
+    for _ in range(120):
+        a, b = (r.choice("abcde") for _ in range(2))
+        rows.add((f"{a}/{r.randrange(2)}", r.choice(["R_S", "R S", "T"]), f"{b}/{r.randrange(2)}", a, b))
+    rows.add(("loop", "R", "loop", "loop", "loop"))
+    edges = spark.createDataFrame(list(rows), "src string, relationship string, dst string, subject string, object string")
+    seeds = spark.createDataFrame([(q, k, n) for q in range(12) for k, n in enumerate(r.sample(["a/0", "a/1", "b/0", "c/1", "d/0", "loop", "nobody", None], 4))], "query int, rank int, node string")
+    seeds = seeds.withColumn("query", F.struct(F.lit("s").alias("s"), "query"))
+    want = {r["query"]["query"]: len(r["facts"]) for r in graph.facts_text(edges, seeds, 1).collect()}
+    assert {r["query"]["query"]: r["facts"] for r in graph.facts_count(edges, seeds).collect()} == want and len(set(want.values())) > 3
+
+
 def test_starts_keep_what_any_question_has_among_its_first(spark):
     """Questions share a hub that they reach with several ranks; the first facts are those of all rows, and few rows meet the questions."""
     import random
