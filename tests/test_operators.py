@@ -635,6 +635,29 @@ def test_starts_keep_what_any_question_has_among_its_first(spark):
     assert met * 2 < graph._reached(edges, seeds, 2, None).groupBy("query").count().agg(F.max("count")).first()[0]
 
 
+def test_a_nodes_edges_are_left_out_before_its_starts_meet_them(spark, monkeypatch):
+    """Common words are bits and rare ones meet their own questions alone; the first facts are those of all rows, and a hub gives a start few of its edges."""
+    import random
+
+    r, rows, k = random.Random(9), {}, 4
+    for i in range(200):
+        a = f"part#{i}"
+        for s, o, rel in ((a, "hub", "ORDERED"), (f"buyer {r.randrange(30)}", a, "BOUGHT"), (a, f"kind {r.randrange(3)}", "IS_A")):
+            rows[s, rel, o] = (s, rel, o, s, o, "x", None, None, None)
+    edges = spark.createDataFrame(list(rows.values()), "src string, relationship string, dst string, subject string, object string, source string, page_number long, bbox array<double>, section string")
+    questions = spark.createDataFrame([(q, f"which buyer bought PART#{q * 7} or is a") for q in range(25)], "query int, question string")
+    seeds = spark.createDataFrame([(q, i + 1, n) for q in range(25) for i, n in enumerate((f"part#{q * 7}", "buyer 3"))], "query int, rank int, node string")
+    monkeypatch.setattr(rank, "COMMON", 3)
+    held = rank.with_held(edges, questions)
+    bits, rare = zip(*((x["_mask"], x["_rare"]) for x in held.filter("object = 'hub' and subject = 'part#70'").collect()))
+    assert bits[0] < 8 and "part#70" in rare[0] and "part#7" in rare[0]
+    first = lambda rows: rank.first_facts(rows, questions, k, 2)
+    want, got = (rank.preranked(f, questions).filter(F.col("place") <= k).drop("bbox") for f in (graph.facts(edges, seeds, 2, None, first), graph.facts(held, seeds, 2, None, first, rank.first_of_starts(k, questions))))
+    assert sorted(map(repr, got.select(sorted(want.columns)).collect())) == sorted(map(repr, want.select(sorted(want.columns)).collect()))
+    met = graph._from_starts(held, seeds, 2, None, rank.first_of_starts(k, questions)).filter("dst = 'hub'").groupBy("query", "rank").count().agg(F.max("count")).first()[0]
+    assert met <= 60  # of 200
+
+
 def test_lookup_of_ids_known_to_be_unique(spark):
     rows = spark.createDataFrame([(1, 7), (2, None), (3, 9)], "n int, k int")
     names = spark.createDataFrame([(7, "seven"), (8, None), (None, "none")], "id int, name string")
