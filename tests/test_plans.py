@@ -212,6 +212,19 @@ def test_typed_edges_are_the_triplets(spark):
     assert found.columns == want.columns and sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_items_edges_are_merged_where_their_part_lies(spark, sf_dir):
+    """An item's row is shuffled once: its triples aren't dealt again by their hash, and the edges are those of all triples."""
+    from graphloom import queries
+
+    want = graph.typed_edges(queries.star(spark, sf_dir))
+    got = graph.typed_edges(queries.star(spark, sf_dir, "customer", "part", "orders"), queries.star(spark, sf_dir, "lineitem", dealt=True))
+    sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    assert sums(got) == sums(want)
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(_hash")
+    lines = graph.typed_edges(queries.star(spark, sf_dir, "lineitem", dealt=True))
+    assert dealt(lines) == 0 and "hashpartitioning(_by" not in lines._jdf.queryExecution().executedPlan().toString() and dealt(got) == 1
+
+
 def test_chunks_are_handed_over_in_parts(spark, monkeypatch):
     """A worker doesn't hold all chunks of an Arrow batch."""
     monkeypatch.setattr(chunking, "HELD", 20)
