@@ -310,3 +310,18 @@ def test_edges_are_written_as_they_are_merged(spark, tmp_path, monkeypatch, prob
     assert key(merge.read_graph(spark, root)[1]) == key(graph.edges(_triples(spark, two), "name", graph.edges(_triples(spark, one), "name")))
     few = [("s1", "R", "o1", "three")]
     assert merge.merge_batch(spark, _triples(spark, few), root, "name") == {"nodes": 0, "edges": 1}
+
+
+def test_batches_are_read_from_one_table(spark, sf_dir, monkeypatch):
+    """A merge reads its batch several times, and the tables are joined once for all of them."""
+    from graphloom import queries
+
+    read, whole = [], merge.merge_batch
+
+    def merged(spark, batch, *args):
+        read.append(batch.inputFiles())
+        return whole(spark, batch, *args)
+
+    monkeypatch.setattr(merge, "merge_batch", merged)
+    queries.graph_merge_batches(spark, sf_dir)
+    assert len(read) == 2 and all("/written-" in name for names in read for name in names) and sorted(read[0]) == sorted(read[1])
