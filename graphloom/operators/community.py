@@ -204,7 +204,7 @@ def _split_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
         placed = of.join(_by(moved.select("g", F.col("node").alias("at"), "label")), "at")
         inner = written(within(edges, moved))
         refined = _moved_by_joins(inner, moved.withColumn("label", F.col("node")))
-        roots = components(within(inner, refined).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        roots = components(within(inner, refined).select(F.col("x").alias("a"), F.col("y").alias("b")), written, _by)
         parts = written(moved.join(_by(roots), "node", "left").select("g", "node", "k", "label", "crc", "total", F.coalesce("root", "node").alias("part")))
         going = written(parts.filter("part <> node").select("g").distinct())
         ended = written(placed.join(going, "g", "left_anti").select("node", "label"))
@@ -221,7 +221,7 @@ def _split_by_joins(links: DataFrame, nodes: DataFrame) -> DataFrame:
         edges = written(edges.groupBy(F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("w")))
     x, y = (_by(done.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))) for c in ("x", "y"))
     inside = links.join(x, "x").join(y, "y").filter("lx = ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return written(nodes.select("g", "node").join(_by(components(inside)), "node", "left").select("g", "node", F.coalesce("root", "node").alias("part")))
+    return written(nodes.select("g", "node").join(_by(components(inside, written, _by)), "node", "left").select("g", "node", F.coalesce("root", "node").alias("part")))
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def communities(graph: DataFrame, most: int = DEFAULTS.max_cluster_size) -> Data
     numbers = _numbered(every.select(F.explode(F.array("a", "b")).alias("name")).distinct())
     number = lambda end, out: _by(numbers.select(F.col("name").alias(end), F.col("node").alias(out)))
     links = written(every.filter("a <> b").join(number("a", "x"), "a").join(number("b", "y"), "b").select("x", "y"))
-    groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), written, _by)
     nodes = written(numbers.join(_by(groups), "node", "left").select(F.coalesce("root", "node").alias("g"), "node", "crc"))
     links = written(links.join(_by(nodes.select("g", F.col("node").alias("x"))), "x").select("g", "x", "y"))
     out, level = None, 0
